@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, planes
+from . import packing, planes, quality
 from .common import table
 
 
@@ -27,12 +27,58 @@ def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
         "op7_bit_planes": op7_bit_planes,
+        "op8_rule_ledger": op8_rule_ledger,
     }
 
 
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), g AS (
+  SELECT *, len(words) AS n_words,
+    [x FOR x IN lines IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS wordy,
+    [list_aggregate(words[i:i+4], 'string_agg', ' ') FOR i IN range(1, len(words) - 3)] AS grams
+  FROM w
+), pos AS (
+  SELECT doc_id, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i FROM g
+), rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM pos) WHERE n > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM rep) GROUP BY doc_id
+), m AS (
+  SELECT g.doc_id, CAST(n_words AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(wordy) - len(list_distinct(wordy)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(wordy) AS BIGINT) AS n_lines,
+    CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS BIGINT) AS n_lower,
+    CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_shouts
+  FROM g LEFT JOIN cov ON g.doc_id = cov.doc_id
+), r AS (
+  SELECT *,
+    CAST(n_words < 10 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
+    + 8 * CAST(100 * n_dup_lines > 40 * n_lines AS BIGINT) + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 15 * n_words AS BIGINT)
+    + 64 * CAST(2 * n_upper > n_upper + n_lower AND n_upper >= 20 AS BIGINT) + 128 * CAST(5 * n_shouts > n_words AS BIGINT) AS failed
+  FROM m
+)
+SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_rule_ledger": OP8_SQL,
+    }
