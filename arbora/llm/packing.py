@@ -113,11 +113,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
         out: list[tuple] = []
         for batch in batches:
-            for group, doc, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), codec.encode(batch.column(2).to_pylist()), strict=True):
+            for group, doc, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), codec.encode(batch.column(2)), strict=True):
                 if group != now:
                     out += ended()
                     now, number, rests = group, 0, []
-                ids = got + end
+                ids = got.tobytes() + end
                 tokens = len(ids) // 4
                 whole = tokens - tokens % capacity
                 for start in range(0, whole, capacity):

@@ -110,10 +110,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "segment", "shard_start", "n_ids", "doc_ids", "content"])
 
         for batch in batches:
-            for name, got in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist()), strict=True):
-                ids.append(got + end)
+            for name, got in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1)), strict=True):
+                ids.append(got.tobytes() + end)
                 names.append(name)
-                held += len(got) // 4 + 1
+                held += len(got) + 1
                 if held >= segment_ids:
                     yield row()
                     start, segment, held, ids, names = start + held, segment + 1, 0, [], []

@@ -1,20 +1,24 @@
-"""Token ids of whole texts, as little-endian unsigned 32-bit integers."""
+"""Token ids of whole texts, as unsigned 32-bit integers."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .words import strings
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units whose ids a worker remembers, and characters of text it splits into units at a time.
-CACHE_UNITS, CHUNK_CHARS = 500_000, 4_000_000
+#: Units whose ids a worker remembers, twice at most, and bytes of text it takes at a time if no text is longer.
+CACHE_UNITS, SLICE_BYTES = 400_000, 4_000_000
 
-_UNSAFE = re.compile(r"\s[ \n]")
-_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
+#: All white space of either the tokenizers library or Python, for RE2.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -23,7 +27,7 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins a visible character with white space that follows it, so a text may be cut
     there, and the ids of the whole are those of the units in turn.  Units repeat a lot; their ids are remembered.
-    Only a text that may hold a special token, which can contain anything, is encoded in one piece.
+    Only a text that holds a special token or a zero character is encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -34,8 +38,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         before = said.get("pre_tokenizer") or {}
-        self.special = [x["content"] for x in said.get("added_tokens", [])]
         self.by_unit = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and not said.get("normalizer")
+        self.uncut = "|".join([r"\x00", *(re.escape(x["content"]) for x in said.get("added_tokens", []))])
         self.tokenizer = Tokenizer.from_file(path)
         if self.by_unit:
             vocabulary = said["model"]["vocab"]
@@ -47,8 +51,8 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, units: list[str]) -> list[bytes]:
-        """Ids of units that each start with white space: encoded as one text, then cut by the length of the tokens."""
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """Ids of units that each start with white space and end without: encoded as one text, then cut by the length of the tokens."""
         found: list[bytes] = []
         for i in range(0, len(units), 4096):
             some = units[i : i + 4096]
@@ -58,38 +62,63 @@ class Encoder:
             found += [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
         return found
 
-    def _units(self, text: str) -> list[str]:
-        if "\0" in text or _UNSAFE.search(text):
-            return _BOUNDARY.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
-        held: list[str] = []
-        chars = 0
-        for text in texts:
-            held.append(text)
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                yield from self._encode(held)
-                held, chars = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_unit:
-            return self._whole(texts)
-        split = [None if any(s in x for s in self.special) else self._units(x) for x in texts]
-        if len(self.known) > CACHE_UNITS:  # what is still in use comes back from the older ones
-            self.known, self.older = {}, self.known
+    def _of_units(self, units: list[str]) -> list[bytes]:
         known, older = self.known, self.older
-        new = {u for units in split if units is not None for u in units if u not in known}
-        for u in [u for u in new if u in older]:
-            known[u] = older[u]
-            new.remove(u)
-        inner, first = [u for u in new if u[:1] in (" ", "\n") and not u[-1].isspace()], [u for u in new if u[:1] not in (" ", "\n") or u[-1].isspace()]
-        known.update(zip(inner, self._new(inner), strict=True))
-        known.update(zip(first, self._whole(first), strict=True))
-        return [self._whole([x])[0] if units is None else b"".join([known[u] for u in units]) for x, units in zip(texts, split, strict=True)]
+        new = [u for u in units if u not in known]
+        back = [u for u in new if u in older]
+        if back:
+            known.update((u, older[u]) for u in back)
+            new = [u for u in new if u not in known]
+        inner = [u for u in new if u[:1] in (" ", "\n") and not u[-1].isspace()]
+        others = [u for u in new if u[:1] not in (" ", "\n") or u[-1].isspace()]
+        known.update(zip(inner, self._joined(inner), strict=True))
+        known.update(zip(others, self._whole(others), strict=True))
+        found = [known[u] for u in units]
+        if len(known) > CACHE_UNITS:  # what is still in use comes back from the older ones
+            self.known, self.older = {}, known
+        return found
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        odd = pc.match_substring_regex(texts, f"[{_SPACE}][ \\n]")
+        if pc.any(odd).as_py():  # only white space after something visible starts a unit
+            marked = pc.replace_with_mask(marked, odd, pc.replace_substring_regex(texts.filter(odd), f"([^{_SPACE}])([ \\n])", "\\1\0\\2"))
+        parts = pc.split_pattern(marked, "\0")
+        at = parts.offsets.to_numpy()
+        coded = pc.dictionary_encode(parts.values.slice(at[0], at[-1] - at[0]))
+        ids = self._of_units(coded.dictionary.to_pylist())
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        codes = coded.indices.to_numpy()
+        each, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return flat[np.repeat(starts - ends[:-1], each) + np.arange(ends[-1])], ends[at - at[0]]
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        uncut = np.ones(len(texts), bool) if not self.by_unit else pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
+        if not uncut.any():
+            return self._cut(texts)
+        whole = iter(self._whole(texts.filter(pa.array(uncut)).to_pylist()))
+        ids, bounds = self._cut(texts.filter(pa.array(~uncut))) if not uncut.all() else (None, None)
+        rest, parts = iter(range(len(texts))), []
+        for one in uncut.tolist():
+            if one:
+                parts.append(np.frombuffer(next(whole), "<u4"))
+            else:
+                k = next(rest)
+                parts.append(ids[bounds[k] : bounds[k + 1]])
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; a null text has none."""
+        texts = strings(texts)
+        bytes_before = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(bytes_before, bytes_before[start] + SLICE_BYTES, side="right")) - 1)
+            ids, bounds = self._slice(texts.slice(start, end - start))
+            for k in range(end - start):
+                yield ids[bounds[k] : bounds[k + 1]]
+            start = end
 
 
 def encoder(path: str) -> Encoder:
