@@ -15,7 +15,7 @@ from .words import strings
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units whose ids a worker remembers, twice at most, and bytes of text it takes at a time if no text is longer.
-CACHE_UNITS, SLICE_BYTES = 400_000, 4_000_000
+CACHE_UNITS, SLICE_BYTES = 800_000, 4_000_000
 
 #: All white space of either the tokenizers library or Python, for RE2.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -63,19 +63,20 @@ class Encoder:
         return found
 
     def _of_units(self, units: list[str]) -> list[bytes]:
-        known, older = self.known, self.older
-        new = [u for u in units if u not in known]
-        back = [u for u in new if u in older]
-        if back:
-            known.update((u, older[u]) for u in back)
-            new = [u for u in new if u not in known]
-        inner = [u for u in new if u[:1] in (" ", "\n") and not u[-1].isspace()]
-        others = [u for u in new if u[:1] not in (" ", "\n") or u[-1].isspace()]
-        known.update(zip(inner, self._joined(inner), strict=True))
-        known.update(zip(others, self._whole(others), strict=True))
-        found = [known[u] for u in units]
-        if len(known) > CACHE_UNITS:  # what is still in use comes back from the older ones
-            self.known, self.older = {}, known
+        found = list(map(self.known.get, units))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new: list[int] = []
+        for k in missing:
+            found[k] = self.older.get(units[k])
+            if found[k] is None:
+                new.append(k)
+        inner = [k for k in new if units[k][:1] in (" ", "\n") and not units[k][-1].isspace()]
+        for places, of in ((inner, self._joined), (sorted({*new} - {*inner}), self._whole)):
+            for k, ids in zip(places, of([units[k] for k in places]), strict=True):
+                found[k] = ids
+        self.known.update((units[k], found[k]) for k in missing)
+        if len(self.known) > CACHE_UNITS:  # what is still in use comes back from the older ones
+            self.known, self.older = {}, self.known
         return found
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +90,13 @@ class Encoder:
         ids = self._of_units(coded.dictionary.to_pylist())
         flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
         codes = coded.indices.to_numpy()
-        each, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        each = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
-        return flat[np.repeat(starts - ends[:-1], each) + np.arange(ends[-1])], ends[at - at[0]]
+        shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+        narrow = np.int32 if ends[-1] < 2**31 else np.int64
+        places = np.repeat(shift.astype(narrow), each)
+        places += np.arange(ends[-1], dtype=narrow)
+        return flat[places], ends[at - at[0]]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uncut = np.ones(len(texts), bool) if not self.by_unit else pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
