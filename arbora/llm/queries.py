@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, planes, quality, secrets
+from . import ngram_join, packing, pivots, planes, quality, secrets
 from .common import table
 
 
@@ -35,12 +35,22 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_randomness": op1_randomness,
         "op3_packing": op3_packing,
         "op7_bit_planes": op7_bit_planes,
         "op8_rule_ledger": op8_rule_ledger,
+        "op9_minhash_join": op9_minhash_join,
+        "op10_pivot_permutations": op10_pivot_permutations,
     }
 
 
