@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, pivots, planes, quality, secrets
+from . import chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, secrets, urls
 from .common import table
 
 
@@ -21,11 +21,29 @@ def op1_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
+    found = chat.preferences(chat.neighbour_pairs(table(spark, sf_dir, "conversations")))
+    return found.select("pair_id", "n_prompt", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
 def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = planes.file_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -46,7 +64,11 @@ def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_randomness": op1_randomness,
+        "op2_diagonal_voting": op2_diagonal_voting,
         "op3_packing": op3_packing,
+        "op4_redirect_equivalence": op4_redirect_equivalence,
+        "op5_systematic_mix": op5_systematic_mix,
+        "op6_preferences": op6_preferences,
         "op7_bit_planes": op7_bit_planes,
         "op8_rule_ledger": op8_rule_ledger,
         "op9_minhash_join": op9_minhash_join,
@@ -93,7 +115,53 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM r
 """
 
 
+#: The rules of op4 in SQL; pages carry no redirects or canonical links, without which aliases decide nothing.
+OP4_SQL = r"""
+WITH rules(verdict, host, start, rule) AS (
+  VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'), ('block', 'example.org', '/en/1', 'example.org/en/1'),
+         ('allow', 'com', '/fr/', 'com/fr/'), ('block', 'com', '/de/', 'com/de/')
+), p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path
+  FROM pages
+), m AS (
+  SELECT p.page_id, p.host, p.path, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.start)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, false AS by_alias FROM m WHERE k = 1
+"""
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id >> 1 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), both_sides AS (
+  SELECT pair_id FROM t GROUP BY pair_id HAVING count(DISTINCT side) = 2
+), differ AS (
+  SELECT pair_id, min(i) AS i FROM (
+    SELECT pair_id, i FROM t GROUP BY pair_id, i HAVING count(*) < 2 OR count(DISTINCT (role, text)) > 1
+  ) GROUP BY pair_id
+), n AS (
+  SELECT b.pair_id, coalesce(d.i - 1, (SELECT max(i) FROM t WHERE t.pair_id = b.pair_id)) AS n_prompt FROM both_sides b LEFT JOIN differ d ON b.pair_id = d.pair_id
+), r AS (
+  SELECT t.pair_id, side, i, role, n_prompt, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM t JOIN n ON t.pair_id = n.pair_id
+), s AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side, i > n_prompt ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r
+)
+SELECT pair_id, CAST(any_value(n_prompt) AS BIGINT) AS n_prompt,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 0 AND i <= n_prompt), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 0 AND i > n_prompt), '') AS chosen,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 1 AND i > n_prompt), '') AS rejected,
+  coalesce(string_agg((before + length(head)) || ':' || (before + length(head) + length(body)), ',' ORDER BY i) FILTER (side = 0 AND i > n_prompt AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((before + length(head)) || ':' || (before + length(head) + length(body)), ',' ORDER BY i) FILTER (side = 1 AND i > n_prompt AND role = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY pair_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_redirect_equivalence": OP4_SQL,
+        "op6_preferences": OP6_SQL,
         "op8_rule_ledger": OP8_SQL,
     }
