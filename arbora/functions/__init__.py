@@ -1 +1,3 @@
+"""Column functions."""
 
+from .text import *  # noqa: F403

@@ -1 +1 @@
-
+"""DataFrame operators over pages, lines, sections and nodes."""

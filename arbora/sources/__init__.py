@@ -1 +1 @@
-
+"""Readers of documents, pages, repositories and folders."""
