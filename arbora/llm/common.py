@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, shared_dir, staged
+
+__all__ = ["BATCH_ROWS", "drop_staged", "packed", "shared_dir", "small_batches", "staged", "table", "text_of", "unpacked"]
+
 #: Most rows in one Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS = 1000
 
@@ -15,37 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only where the setting is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        import tempfile
-
-        found = _unset.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="arbora-")
-        _unset[spark.sparkContext.applicationId] = found
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-_unset: dict[str, str | None] = {}
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return it as read from there.
-
-    This cuts the lineage and survives the loss of executors, since no part of the table lives with one of them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables this application has staged; call it once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to BATCH_ROWS rows; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
