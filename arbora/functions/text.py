@@ -85,7 +85,10 @@ def json_candidates(raw: Column) -> tuple[Column, Column]:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether the text is one JSON value.  The parser stops after a value, so the value is parsed as the only one of a list."""
+    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    has = lambda k: F.try_variant_get(one, f"$[{k}]", "variant").isNotNull()
+    return F.coalesce(F.try_parse_json(text).isNotNull() & has(0) & ~has(1), F.lit(False))
 
 
 def extract_json(raw: Column, schema: str) -> Column:

@@ -33,10 +33,10 @@ class RuleReasoner:
         return tocs.withColumn("numbered", F.when(2 * ending > lines, "yes").otherwise("no"))
 
     def toc_items(self, tocs: DataFrame) -> DataFrame:
-        """``items`` of ``toc_text``: a line's dotted code, title and last number."""
+        """``items`` of ``toc_text``: a line's dotted code, title and last number; a line needs a code or a number."""
         line = r"^\s*((?:\d+\.)*\d+)?\.?\s*(.*?)[\s.:]*(\d+)?\s*$"
         made = F.transform(F.split("toc_text", "\n"), lambda x: F.struct(F.nullif(F.regexp_extract(x, line, 1), F.lit("")).alias("structure"), F.regexp_extract(x, line, 2).alias("title"), F.regexp_extract(x, line, 3).try_cast("int").alias("page")))
-        return tocs.withColumn("items", F.filter(made, lambda i: i["title"] != ""))
+        return tocs.withColumn("items", F.filter(made, lambda i: (i["title"] != "") & (i["structure"].isNotNull() | i["page"].isNotNull())))
 
     def outline(self, pages: DataFrame) -> DataFrame:
         """doc_id, list_index, structure, title, physical_index: a section for each page that begins with a short line."""

@@ -1 +1 @@
-
+"""Incremental indexing of arriving documents."""

@@ -1,0 +1,34 @@
+"""Holding results against DuckDB."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+
+
+def tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    known = duckdb.connect()
+    for path in Path(sf_dir).iterdir():
+        files = path if path.is_file() else path / "*.parquet"
+        known.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{files}'")
+    return known
+
+
+def plain(value):
+    if isinstance(value, float):
+        return round(value, 6)
+    if isinstance(value, list | tuple):
+        return tuple(plain(x) for x in value)
+    return value
+
+
+def same(df, known: duckdb.DuckDBPyConnection, sql: str) -> None:
+    found = known.sql(sql)
+    columns = sorted(found.columns)
+    assert columns == sorted(df.columns)
+    place = [found.columns.index(c) for c in columns]
+    want = sorted(repr(tuple(plain(r[k]) for k in place)) for r in found.fetchall())
+    got = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
+    assert len(got) == len(want)
+    assert got == want

@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import random
+
+from arbora.operators import markdown as md
+from arbora.plans import markdown as plan
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+
+
+def sections(spark, *texts):
+    return md.sections(md.lines(docs(spark, *texts)))
+
+
+def test_fences_and_indents(spark):
+    text = "before\n# A\nx\n```\n# no\n```\n  ## indented\ny\n## B \r\nz\n```\n# hidden"
+    got = sections(spark, text).orderBy("ord").collect()
+    assert [(r["title"], r["level"], r["line_num"]) for r in got] == [("A", 1, 2), ("B", 2, 9)]
+    assert got[0]["text"] == "# A\nx\n```\n# no\n```\n  ## indented\ny"
+    assert got[1]["text"] == "## B \nz\n```\n# hidden"
+
+
+def test_empty(spark):
+    assert sections(spark, "", "no header", None).count() == 0
+
+
+def fold(levels, texts, least):
+    """Thinning by hand, from the last section to the first."""
+    ends = [next((j for j in range(k + 1, len(levels)) if levels[j] <= levels[k]), len(levels)) for k in range(len(levels))]
+    counts = [len("\n".join(texts[k : ends[k]])) // 4 for k in range(len(levels))]
+    gone, out = set(), []
+    for k in range(len(levels)):
+        if k in gone:
+            continue
+        text = texts[k]
+        if counts[k] < least and ends[k] > k + 1:
+            gone |= set(range(k + 1, ends[k]))
+            text = "\n\n".join(texts[k : ends[k]])
+        out.append((texts[k].split("\n")[0].lstrip("# "), text))
+    return counts, out
+
+
+def test_trees_and_thinning(spark):
+    random.seed(5)
+    for _ in range(4):
+        levels = [random.randint(1, 4) for _ in range(10)]
+        texts = [f"{'#' * n} h{k}\n{'x' * random.randint(1, 60)}" for k, n in enumerate(levels)]
+        made = sections(spark, "\n".join(texts)).cache()
+        parents = [next((j for j in range(k - 1, -1, -1) if levels[j] < levels[k]), None) for k in range(10)]
+        assert [r["parent_ord"] for r in md.with_parents(made).orderBy("ord").collect()] == parents
+        counts, want = fold(levels, texts, 20)
+        assert [r["subtree_tokens"] for r in md.with_subtree_tokens(made).orderBy("ord").collect()] == counts
+        assert [(r["title"], r["text"]) for r in md.thinned(made, 20).orderBy("ord").collect()] == want
+        depths = []
+        for k in range(10):
+            depths.append(0 if parents[k] is None else depths[parents[k]] + 1)
+        assert [r["depth"] for r in md.with_depth(made).orderBy("ord").collect()] == depths
+
+
+def test_plan(spark):
+    text = "# A\n" + "a" * 900 + "\n## B\nshort"
+    off = plan.build(docs(spark, text), {"if_add_node_summary": "no", "if_add_node_id": "no"}).orderBy("node_ord").collect()
+    assert [r["node_id"] for r in off] == ["0001", "0002"]
+    on = plan.build(docs(spark, text), {"if_add_node_text": "yes"}).orderBy("node_ord").collect()
+    assert [r["node_id"] for r in on] == ["0000", "0001"]
+    assert on[0]["summary"] is None and len(on[0]["prefix_summary"]) == 200
+    assert on[1]["summary"] == "## B\nshort" and on[1]["prefix_summary"] is None
