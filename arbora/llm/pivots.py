@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocked, local_components, streamed
+from .blocks import blocked, local_components, small_side, streamed
 from .common import small_batches, staged
 from .graph import components
 
 LEAST, NEAREST, SHARED, SEED = 0.93, 10, 4, 7
+#: Pivots are less alike than this.
+APART = 0.8
 #: Vectors for each pivot, and the fewest and most pivots.  The most bounds the sample and what tasks are sent.
 PER_PIVOT, FEWEST, MOST = 128, 64, 4096
 
@@ -32,35 +34,54 @@ def pivot_count(n: int) -> int:
 
 
 def clean(vectors: DataFrame) -> DataFrame:
-    """One row for each vec_id: vec_id, label, dims, unit (null where the vector can't link).
+    """One row for each vec_id: vec_id, label, dims, v (null where the vector can't link).
 
-    Of rows that share a vec_id the one with the smallest label and then embedding stands for all.
+    Of rows that share a vec_id the one with the smallest label and then embedding stands for all; vectors are moved for that
+    only if some id repeats.
     """
-    one = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct("label", F.col("embedding").cast("array<double>").alias("v"))).alias("r"))
-    v = F.col("r.v")
-    fine = F.col("r.label").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # Scaled by the largest component first, so that no square overflows or vanishes.
-    most = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / most)
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x))
-    usable = one.select("vec_id", F.col("r.label").alias("label"), F.size(v).alias("dims"), F.when(fine & (most > 0), scaled).alias("scaled"))
-    return usable.select("vec_id", "label", "dims", F.transform("scaled", lambda x: x / norm).alias("unit"))
-
-
-def fit(units: DataFrame, seed: int = SEED, most: int = MOST) -> dict[int, np.ndarray]:
-    """Pivots of each number of dimensions: the vectors whose hashes are least, at most ``most`` in all."""
-    n = units.count()
-    rows = units.select("dims", "unit", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(min(most, pivot_count(n))).collect()
-    found: dict[int, list] = {}
-    for r in rows:
-        found.setdefault(r["dims"], []).append(r["unit"])
-    return {d: np.array(x) for d, x in found.items()}
-
-
-def described(units: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
-    """The vectors with ``pivots``, their nearest pivots in order.  Where there are none of their dimensions: [-1]."""
-    small_batches(units.sparkSession)
-    sent = units.sparkSession.sparkContext.broadcast(pivots)  # at most MOST vectors
+    one = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("v"))
+    if not one.groupBy("vec_id").count().where("count > 1").isEmpty():
+        one = one.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.*")
+    v = F.col("v")
+    fine = F.col("label").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    return one.select("vec_id", "label", F.size(v).alias("dims"), F.when(fine, v).alias("v"))
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square overflows or vanishes."""
+    x = vectors.astype("f8")
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit(usable: DataFrame, n: int, seed: int = SEED, apart: float = APART) -> dict[int, np.ndarray]:
+    """Pivots of each number of dimensions, from the 2 * pivot_count(n) vectors whose hashes are least.
+
+    A vector nearer than ``apart`` to a pivot is no further one: pivots that lie together would be ordered at random by the
+    vectors around them, which would then share few of their nearest.
+    """
+    most = pivot_count(n)
+    rows = usable.select("dims", "v", F.xxhash64("vec_id", F.lit(seed)).alias("h"), "vec_id").orderBy("h", "vec_id").limit(2 * most).select("dims", "v").toArrow()
+    found: dict[int, np.ndarray] = {}
+    dims = rows.column("dims").to_numpy()
+    for d in np.unique(dims).tolist():
+        sample = units(_rows_of(rows.column("v").filter(pa.array(dims == d)), d))
+        chosen = np.empty((0, d))
+        for x in sample:
+            if len(chosen) < most and not (chosen @ x >= apart).any():
+                chosen = np.vstack([chosen, x])
+        found[d] = chosen
+    return found
+
+
+def _rows_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(-1, width)
+
+
+def described(usable: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
+    """vec_id, label, dims and ``pivots``, the nearest ones in order.  Where there are none of their dimensions: [-1]."""
+    small_batches(usable.sparkSession)
+    sent = usable.sparkSession.sparkContext.broadcast(pivots)  # at most MOST vectors
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,46 +91,67 @@ def described(units: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NE
                 if (known := sent.value.get(d)) is None:
                     continue
                 at = np.flatnonzero(dims == d)
-                x = batch.column("unit").take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
+                x = units(_rows_of(batch.column("v").take(pa.array(at)), d))
                 order = np.argsort(-(x @ known.T), axis=1, kind="stable")[:, :nearest]
                 for k, row in zip(at.tolist(), order.tolist(), strict=True):
                     out[k] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "pivots"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _DESCRIBED), pa.array(out, pa.list_(pa.int32()))], [*_DESCRIBED, "pivots"])
 
-    return units.mapInArrow(describe, T.StructType([*units.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
+    kept = usable.select(*_DESCRIBED).schema.fields
+    return usable.mapInArrow(describe, T.StructType([*kept, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
 
 
+_DESCRIBED = ["vec_id", "label", "dims"]
 _BLOCK = ["label", "dims", "pivot", "lo", "hi"]
 
 
+def _candidates(table: pa.Table, starts: np.ndarray, shared: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each block its first and last row and which two share enough pivots, the block's being the smallest of them."""
+    parts, los, his, pivot = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "pivot"))
+    pivots = table.column("pivots").combine_chunks()
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        n = b - a
+        lists = pivots[a:b].flatten().to_numpy().reshape(n, -1)
+        local, code = np.unique(lists, return_inverse=True)
+        held = np.zeros((n, len(local)), "f4")
+        held[np.arange(n)[:, None], code.reshape(n, -1)] = 1
+        before = held[:, local < pivot[a]]
+        close = (held @ held.T >= min(shared, lists.shape[1])) & (before @ before.T == 0)
+        if los[a] != his[a]:
+            close &= parts[a:b, None] != parts[None, a:b]
+        yield a, b, np.triu(close, 1)
+
+
+def _needed(members: DataFrame, shared: int) -> DataFrame:
+    """The members that have something to be compared with in their block, from the lists of pivots alone."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in streamed(batches, _BLOCK):
+            used = np.zeros(len(table), bool)
+            for a, b, close in _candidates(table, starts, shared):
+                used[a:b] = close.any(axis=0) | close.any(axis=1)
+            yield from table.filter(pa.array(used)).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(pick, members.schema)
+
+
 def _compared(members: DataFrame, least: float, shared: int) -> DataFrame:
     """vec_id, links (in one block), root (the smallest vec_id it reaches there)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in streamed(batches, _BLOCK):
-            names, parts = table.column("vec_id").to_numpy(), table.column("part").to_numpy()
-            los, his, pivot = (table.column(c).to_numpy() for c in ("lo", "hi", "pivot"))
-            pivots, units = table.column("pivots").combine_chunks(), table.column("unit").combine_chunks()
+            names, dims, vectors = table.column("vec_id").to_numpy(), table.column("dims").to_numpy(), table.column("v").combine_chunks()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                n = b - a
-                lists = pivots[a:b].flatten().to_numpy().reshape(n, -1)
-                x = units[a:b].flatten().to_numpy().reshape(n, -1)
-                local, code = np.unique(lists, return_inverse=True)
-                held = np.zeros((n, len(local)), "f4")
-                held[np.arange(n)[:, None], code.reshape(n, -1)] = 1
-                before = held[:, local < pivot[a]]
-                close = (x @ x.T >= least) & (held @ held.T >= min(shared, lists.shape[1])) & (before @ before.T == 0)
-                if los[a] != his[a]:
-                    close &= parts[a:b, None] != parts[None, a:b]
-                i, j = np.nonzero(np.triu(close, 1))
+            for a, b, close in _candidates(table, starts, shared):
+                x, own = units(_rows_of(vectors[a:b], dims[a])), names[a:b]
+                i, j = np.nonzero(close & (x @ x.T >= least))
                 if len(i):
-                    order = np.argsort(names[a:b], kind="stable")  # the smallest place is then the smallest name
+                    order = np.argsort(own, kind="stable")  # the smallest place is then the smallest name
                     place = np.argsort(order, kind="stable")
-                    roots = order[local_components(n, place[i], place[j])[place]]
-                    links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+                    roots = order[local_components(b - a, place[i], place[j])[place]]
+                    links = np.bincount(i, minlength=b - a) + np.bincount(j, minlength=b - a)
                     kept = links > 0
-                    out.append((names[a:b][kept], links[kept], names[a:b][roots[kept]]))
+                    out.append((own[kept], links[kept], own[roots[kept]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in zip(*out, strict=True)], ["vec_id", "links", "root"])
 
@@ -124,11 +166,15 @@ def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int = NEAREST
     each by itself, linked with nothing, component_id null and kept.  An empty table gives an empty one.
     """
     vectors = vectors.select("vec_id", "label", "embedding")
-    known = staged(clean(vectors), "vectors")
-    units = known.where("unit is not null")
-    indexed = staged(described(units, fit(units), nearest), "pivot-lists")
-    lists = indexed.select("label", "dims", F.explode("pivots").alias("pivot"), "vec_id", "unit", "pivots")
-    found = staged(_compared(blocked(lists, ["label", "dims", "pivot"], "vec_id"), least, shared), "vector-links")
+    known = clean(vectors)
+    usable = known.where("v is not null")
+    indexed = staged(described(usable, fit(usable, vectors.count()), nearest), "pivot-lists")
+    # Two that share so many of their pivots share one of the first of them in order of number, all but shared - 1.
+    first = F.slice(F.array_sort("pivots"), 1, max(1, nearest - shared + 1))
+    lists = indexed.select("label", "dims", F.explode(first).alias("pivot"), "vec_id", "pivots")
+    needed = staged(_needed(blocked(lists, ["label", "dims", "pivot"], "vec_id"), shared), "vector-candidates")
+    wanted = usable.select("vec_id", "v").join(small_side(staged(needed.select("vec_id").distinct(), "wanted-vectors")), "vec_id", "left_semi")
+    found = staged(_compared(needed.join(wanted, "vec_id"), least, shared), "vector-links")
     reached = components(found.select("vec_id", F.col("root").alias("other")))
     counted = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     linked = counted.join(reached, counted["vec_id"] == reached["node"]).select("vec_id", "n_links", "component")
