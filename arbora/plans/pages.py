@@ -25,19 +25,15 @@ def _exploded(tocs: DataFrame) -> DataFrame:
     return tocs.select("doc_id", F.posexplode("items").alias("k", "i")).select("doc_id", F.col("k").cast("long").alias("list_index"), "i.structure", "i.title", "i.page")
 
 
-def _first_page_with(items: DataFrame, pages: DataFrame, after: DataFrame, most: int | None, reasoner: RuleReasoner) -> DataFrame:
-    """``physical_index`` of each item: the first page after the table of contents that has its title."""
+def _after_toc(pages: DataFrame, after: DataFrame, most: int | None = None) -> DataFrame:
+    """The pages after each document's table of contents, ``most`` of them at most."""
     window = pages.join(after, "doc_id").where(F.col("physical_index") > F.col("last_page"))
-    if most is not None:
-        window = window.where(F.col("physical_index") <= F.col("last_page") + most)
-    pairs = items.join(window.select("doc_id", "physical_index", F.col("text").alias("page_text")), "doc_id")
-    found = reasoner.title_appears(pairs).where("answer = 'yes'").groupBy("doc_id", "list_index").agg(F.min("physical_index").cast("int").alias("physical_index"))
-    return items.join(found, ["doc_id", "list_index"], "left")
+    return (window if most is None else window.where(F.col("physical_index") <= F.col("last_page") + most)).drop("last_page")
 
 
 def by_numbers(items: DataFrame, pages: DataFrame, after: DataFrame, options: Options, reasoner: RuleReasoner) -> DataFrame:
     """Items with pages: some are found after the table of contents, and the usual difference serves for all."""
-    found = _first_page_with(items, pages, after, options.toc_check_page_num, reasoner)
+    found = reasoner.place(items, _after_toc(pages, after, options.toc_check_page_num))
     starts = after.select("doc_id", F.col("last_page").alias("start_page"))
     offsets = toc.page_offsets(toc.page_pairs(items, found, starts))
     placed = staged(toc.with_offset(found.withColumn("physical_index", F.lit(None).cast("int")), offsets), "placed")
@@ -90,7 +86,7 @@ def sections(pages: DataFrame, options: Options | dict | None = None, reasoner:
     done = accepted(by_numbers(listed, pages, after, options, reasoner), pages, counts, reasoner)
     done = staged(done, "by-numbers")
     left = listed.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
-    plain = staged(accepted(_first_page_with(left.drop("page"), pages, after, None, reasoner).select(*ITEM), pages, counts, reasoner), "by-titles")
+    plain = staged(accepted(reasoner.place(left.drop("page"), _after_toc(pages, after)).select(*ITEM), pages, counts, reasoner), "by-titles")
     done = done.unionByName(plain)
     alone = pages.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
     return staged(done.unionByName(accepted(reasoner.outline(alone).select(*ITEM), pages, counts, reasoner)), "sections")

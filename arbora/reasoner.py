@@ -6,19 +6,27 @@ different prompt.
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions import extract_json, index_number, squeezed, strip, yes_or_no
+from .functions import extract_json, index_number, squeezed, strip, token_count, yes_or_no
+from .operators.pages import grouped_text, groups
 from .staging import staged
 
 TOC_ITEMS = "array<struct<structure:string,title:string,page:int>>"
 SUMMARY_CHARS, TOC_LINES, TITLE_CHARS, DESCRIBED = 200, 3, 80, 3
 
 
+def _key() -> Column:
+    """A string for a document, whatever the type of its id."""
+    return F.sha2(F.to_json(F.struct("doc_id")), 256)
+
+
 class RuleReasoner:
     """Rules that need no model."""
 
@@ -47,6 +55,12 @@ class RuleReasoner:
         k = F.row_number().over(Window.partitionBy("doc_id").orderBy("physical_index")) - 1
         return short.select("doc_id", k.cast("long").alias("list_index"), (k + 1).cast("string").alias("structure"), "title", "physical_index")
 
+    def place(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        """``items`` (doc_id, list_index, title, ...) with ``physical_index``, the first of ``pages`` that has the title."""
+        pairs = items.join(pages.select("doc_id", "physical_index", F.col("text").alias("page_text")), "doc_id")
+        found = RuleReasoner.title_appears(self, pairs).where("answer = 'yes'").groupBy("doc_id", "list_index").agg(F.min("physical_index").cast("int").alias("physical_index"))
+        return items.join(found, ["doc_id", "list_index"], "left")
+
     def title_appears(self, rows: DataFrame) -> DataFrame:
         """``answer``: whether ``page_text`` has ``title`` without regard to case and white space."""
         found = F.contains(squeezed(F.col("page_text")), squeezed(F.col("title")))
@@ -72,41 +86,115 @@ class RuleReasoner:
 
 
 Complete = Callable[[list[str]], list[str]]
+GROUP_TOKENS, MOST_TURNS = 20_000, 8
+
+
+def parse_reply(raw: str):
+    """A reply's JSON by the rules of ``functions.extract_json``; None if it has none."""
+    body = raw[raw.find("```json") + 7 : raw.rfind("```")] if "```json" in raw else raw
+    body = " ".join(body.replace("None", "null").split())
+    for text in (body, body.replace(",]", "]").replace(",}", "}")):
+        try:
+            return json.loads(text)
+        except ValueError:
+            continue
+    return None
+
+
+def _number(value) -> int | None:
+    """A page tag, open or bare, or a number."""
+    found = re.fullmatch(r"<?physical_index_\s*(\d+)\s*>?\s*", value) if isinstance(value, str) else None
+    return int(found[1]) if found else value if isinstance(value, int) else None
+
+
+def _entries(reply) -> list[dict]:
+    return [x for x in reply if isinstance(x, dict) and x.get("title")] if isinstance(reply, list) else []
+
+
+def _patient(complete: Complete, retries: int, pause: float) -> Complete:
+    def ask(prompts: list[str]) -> list[str]:
+        for attempt in range(retries):
+            try:
+                return complete(prompts)
+            except Exception:
+                if attempt + 1 == retries:
+                    raise
+                time.sleep(pause)
+        return []
+
+    return ask
 
 
 class ModelReasoner(RuleReasoner):
-    """Asks a model.  ``complete`` maps prompts to replies, and is called on the executors; it retries by itself or is retried.
+    """Asks a model.  ``complete`` maps prompts to replies and is called on the executors.
 
     Prompts are made distinct before they are asked, and replies are written to the shared folder, so that a task which runs
-    again doesn't ask for what later stages have already read.  Outlines are made from the rules' candidates.
+    again doesn't ask for what later stages have already read.  Where a later question needs the answers before it, one task
+    goes through a document's page groups in order.
     """
 
     def __init__(self, complete: Complete, retries: int = 10, pause: float = 1.0, batch: int = 32):
-        self.complete, self.retries, self.pause, self.batch = complete, retries, pause, batch
+        self.ask, self.batch = _patient(complete, retries, pause), batch
 
     def _ask(self, rows: DataFrame, prompt: Column, out: str) -> DataFrame:
-        complete, retries, pause, size = self.complete, self.retries, self.pause, self.batch
+        ask, size = self.ask, self.batch
 
         def run(batches: Iterator) -> Iterator:
             import pandas as pd
 
             for frame in batches:
-                prompts, replies = frame["prompt"].tolist(), []
-                for k in range(0, len(prompts), size):
-                    for attempt in range(retries):
-                        try:
-                            replies += complete(prompts[k : k + size])
-                            break
-                        except Exception:
-                            if attempt + 1 == retries:
-                                raise
-                            time.sleep(pause)
-                yield pd.DataFrame({"key": frame["key"], "reply": replies})
+                prompts = frame["prompt"].tolist()
+                yield pd.DataFrame({"key": frame["key"], "reply": [r for k in range(0, len(prompts), size) for r in ask(prompts[k : k + size])]})
 
         keyed = staged(rows.withColumn("prompt", prompt).withColumn("key", F.sha2("prompt", 256)), "prompts")
         replies = staged(keyed.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, "key string, reply string"), "replies")
         return keyed.join(replies, "key", "left").withColumnRenamed("reply", out).drop("key", "prompt")
 
+    def _grouped(self, pages: DataFrame) -> DataFrame:
+        """key (of the document), doc_id, group_no, text of its page groups."""
+        counted = pages.withColumn("n_tokens", token_count(F.col("text")))
+        return grouped_text(groups(counted, GROUP_TOKENS), counted).withColumn("key", _key())
+
+    def outline(self, pages: DataFrame) -> DataFrame:
+        """Sections of each document from its page groups in order, each group being asked with what was found before it."""
+        ask = self.ask
+
+        def fold(frame):
+            import pandas as pd
+
+            found: list[dict] = []
+            for text in frame.sort_values("group_no")["text"]:
+                task = 'List the sections that start on these pages as a JSON list of {"structure": dotted number, "title": text, "physical_index": "<physical_index_X>"}, going on after the sections so far.'
+                found += _entries(parse_reply(ask([f"{task}\n\nSections so far:\n{json.dumps(found)}\n\nPages:\n{text}"])[0]))
+            rows = [(frame["key"].iloc[0], k, str(x["structure"]) if x.get("structure") is not None else None, str(x["title"]), _number(x.get("physical_index"))) for k, x in enumerate(found)]
+            return pd.DataFrame(rows, columns=["key", "list_index", "structure", "title", "physical_index"]).astype({"physical_index": "Int32"})
+
+        grouped = staged(self._grouped(pages), "page-groups")
+        made = grouped.select("key", "group_no", "text").groupBy("key").applyInPandas(fold, "key string, list_index long, structure string, title string, physical_index int")
+        return staged(grouped.select("key", "doc_id").distinct().join(made, "key").drop("key"), "outlines")
+
+    def place(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        """Page indexes of the items, from the page groups in order; what a group doesn't show stays as it was."""
+        ask = self.ask
+
+        def fold(own, texts):
+            import pandas as pd
+
+            own = own.sort_values("list_index")
+            found: dict[str, int] = {}
+            for text in texts.sort_values("group_no")["text"]:
+                listed = [{"title": t, "physical_index": found.get(t)} for t in own["title"]]
+                task = 'Add "physical_index": "<physical_index_X>" to the sections of this JSON list that start on these pages, and return the whole list.'
+                for x in _entries(parse_reply(ask([f"{task}\n\n{json.dumps(listed)}\n\nPages:\n{text}"])[0])):
+                    if (n := _number(x.get("physical_index"))) is not None:
+                        found.setdefault(x["title"], n)
+            return pd.DataFrame({"key": own["key"], "list_index": own["list_index"], "physical_index": pd.array([found.get(t) for t in own["title"]], "Int32")})
+
+        texts = self._grouped(pages).select("key", "group_no", "text")
+        keyed = items.withColumn("key", _key())
+        made = keyed.select("key", "list_index", "title").groupBy("key").cogroup(texts.groupBy("key")).applyInPandas(fold, "key string, list_index long, physical_index int")
+        return keyed.join(staged(made, "placed-items"), ["key", "list_index"], "left").drop("key")
+
     def _yes_no(self, rows: DataFrame, task: str, fields: list[str], out: str) -> DataFrame:
         parts = [x for f in fields for x in (F.lit(f"\n\n{f}:\n"), F.coalesce(f, F.lit("")))]
         asked = self._ask(rows, F.concat(F.lit(f'{task} Answer with a JSON object {{"answer": "yes" or "no"}} only.'), *parts), "raw_reply")
@@ -120,8 +208,16 @@ class ModelReasoner(RuleReasoner):
 
     def toc_items(self, tocs: DataFrame) -> DataFrame:
         task = 'Turn this table of contents into a JSON list of {"structure": dotted number or null, "title": text, "page": number or null}.\n\n'
-        asked = self._ask(tocs, F.concat(F.lit(task), "toc_text"), "raw_reply")
-        return asked.withColumn("items", F.coalesce(extract_json(F.col("raw_reply"), TOC_ITEMS), F.array().cast(TOC_ITEMS))).drop("raw_reply")
+        done = tocs.withColumn("items", F.array().cast(TOC_ITEMS)).withColumn("complete", F.lit("no"))
+        for _ in range(MOST_TURNS):  # a long table of contents comes in several replies
+            left = done.where("complete <> 'yes'")
+            if left.isEmpty():
+                break
+            asked = self._ask(left, F.concat(F.lit(task), "toc_text", F.lit("\n\nGo on after these, with nothing if all are there:\n"), F.to_json("items")), "raw_reply")
+            more = F.coalesce(extract_json(F.col("raw_reply"), TOC_ITEMS), F.array().cast(TOC_ITEMS))
+            grown = asked.withColumn("more", more).withColumn("items", F.concat("items", "more")).withColumn("complete", F.when(F.size("more") == 0, "yes").otherwise("no")).drop("raw_reply", "more")
+            done = staged(done.where("complete = 'yes'").unionByName(grown), "toc-replies")
+        return done.drop("complete")
 
     def title_appears(self, rows: DataFrame) -> DataFrame:
         there = rows.where("page_text is not null")

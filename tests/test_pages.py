@@ -107,3 +107,50 @@ def test_plan_splits(spark):
     made = spark.createDataFrame([(1, k + 1, t) for k, t in enumerate(texts)], "doc_id int, physical_index int, text string")
     got = plan.build(made, {"max_page_num_each_node": 2, "max_token_num_each_node": 10}).collect()
     assert len(got) == 8 and {r["is_leaf"] for r in got} == {True}
+
+
+def test_plan_by_model(spark):
+    """A model that answers from the prompts; its table of contents comes in two replies, and its pages in several groups."""
+    import json
+    import re
+
+    from arbora import reasoner as rs
+
+    def answer(prompt):
+        said = prompt.split("\n\n")
+        if "belong to a table of contents" in said[0]:
+            return json.dumps({"answer": "yes" if "CONTENTS" in prompt else "no"})
+        if "give page numbers" in said[0]:
+            return '{"answer": "yes"}'
+        if prompt.startswith("Turn this"):
+            had = json.loads(prompt.rsplit("\n", 1)[1])
+            rest = [{"structure": "1", "title": "Alpha", "page": 1}, {"structure": "2", "title": "Beta", "page": 3}][len(had) :]
+            return "```json\n" + json.dumps(rest[:1]) + "\n```"
+        if prompt.startswith("Add "):
+            listed, text = json.loads(said[1]), prompt.split("Pages:\n", 1)[1]
+            for x in listed:
+                for n, page in re.findall(r"<physical_index_(\d+)>\n(.*?)\n</phys", text, re.DOTALL):
+                    if page.startswith(x["title"]) and x["physical_index"] is None:
+                        x["physical_index"] = f"<physical_index_{n}>"
+            return json.dumps(listed)
+        if prompt.startswith("List the sections"):
+            return json.dumps([{"structure": str(n), "title": p.split()[0], "physical_index": f"<physical_index_{n}>"} for n, p in re.findall(r"<physical_index_(\d+)>\n(.*?)\n</phys", prompt, re.DOTALL)])
+        if "appear or start" in said[0] or "begin with this title" in said[0]:
+            title, text = re.search(r"title:\n(.*?)\n\npage_text:\n(.*)", prompt, re.DOTALL).groups()
+            return json.dumps({"answer": "yes" if title in text else "no"})
+        return "said"
+
+    texts = ["CONTENTS", "Alpha x", "more", "Beta y", "end"]
+    rows = [(1, k + 1, t) for k, t in enumerate(texts)] + [(2, 1, "One a"), (2, 2, "Two b")]
+    made = spark.createDataFrame(rows, "doc_id int, physical_index int, text string")
+    model = rs.ModelReasoner(lambda prompts: [answer(p) for p in prompts], retries=1)
+    got = [(r["doc_id"], r["title"], r["start_index"], r["end_index"], r["summary"]) for r in plan.build(made, {}, model).orderBy("doc_id", "node_ord").collect()]
+    assert got == [(1, "Preface", 1, 1, "said"), (1, "Alpha", 2, 3, "said"), (1, "Beta", 4, 5, "said"), (2, "One", 1, 1, "said"), (2, "Two", 2, 2, "said")]
+
+
+def test_replies():
+    from arbora import reasoner as rs
+
+    assert rs.parse_reply('```json\n[{"a": None,}]\n```') == [{"a": None}]
+    assert rs.parse_reply("nothing") is None and rs.parse_reply("```json [1]") is None
+    assert [rs._number(x) for x in ("<physical_index_3>", "physical_index_4", 5, "6", None)] == [3, 4, 5, None, None]
