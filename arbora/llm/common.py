@@ -9,8 +9,8 @@ from ..staging import drop_staged, shared_dir, staged
 
 __all__ = ["BATCH_ROWS", "drop_staged", "packed", "shared_dir", "small_batches", "staged", "table", "text_of", "unpacked"]
 
-#: Most rows in one Arrow batch, so that batches of long texts stay small.
-BATCH_ROWS = 1000
+#: Most rows and bytes in one Arrow batch, so that batches of long texts stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to BATCH_ROWS rows; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes; smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_of(df: DataFrame, *columns: str) -> DataFrame:

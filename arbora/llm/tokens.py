@@ -15,7 +15,7 @@ from .words import strings
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units whose ids a worker remembers, twice at most, and bytes of text it takes at a time if no text is longer.
-CACHE_UNITS, SLICE_BYTES = 800_000, 4_000_000
+CACHE_UNITS, SLICE_BYTES = 700_000, 2_000_000
 
 #: All white space of either the tokenizers library or Python, for RE2.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
