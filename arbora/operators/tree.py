@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import parent_code, shortened
+from .common import joined_in_order
 
 
 
@@ -26,22 +27,23 @@ def with_parents(items: DataFrame) -> DataFrame:
     return items.join(found.select("doc_id", "list_index", "parent"), ["doc_id", "list_index"], "left")
 
 
-def with_paths(nodes: DataFrame, most_depth: int = 32) -> DataFrame:
+def with_paths(nodes: DataFrame) -> DataFrame:
     """``path`` (list positions of a node's ancestors and itself) and ``depth``.
 
-    One join for each level that is there.  A tree deeper than ``most_depth`` is an error, not cut off.
+    One fold over each document's nodes in list order, in which parents come before their children, so trees may be as deep
+    as they like and nothing is joined.
     """
-    done = nodes.where("parent is null").select("doc_id", "list_index", F.array("list_index").alias("path"))
-    frontier, links = done, nodes.where("parent is not null").select("doc_id", "list_index", "parent")
-    for _ in range(most_depth):
-        step = frontier.select("doc_id", F.col("list_index").alias("parent"), "path")
-        frontier = links.join(step, ["doc_id", "parent"]).select("doc_id", "list_index", F.concat("path", F.array("list_index")).alias("path"))
-        if frontier.isEmpty():
-            break
-        done = done.unionByName(frontier)
-    else:
-        raise ValueError(f"a tree is deeper than {most_depth}")
-    return nodes.join(done, ["doc_id", "list_index"]).withColumn("depth", F.size("path") - 1)
+    row = F.struct("list_index", "parent", F.struct(*nodes.columns).alias("row"))
+    docs = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    docs = docs.withColumn("places", F.transform("rows", lambda r: r["list_index"]))
+
+    def step(paths: Column, r: Column) -> Column:
+        above = F.get(paths, (F.array_position("places", r["parent"]) - 1).cast("int"))
+        return F.array_append(paths, F.concat(F.coalesce(above, F.array().cast("array<bigint>")), F.array(r["list_index"].cast("long"))))
+
+    paths = F.aggregate("rows", F.array().cast("array<array<bigint>>"), step)
+    each = docs.withColumn("paths", paths).select(F.explode(F.arrays_zip("rows", "paths")).alias("z"))
+    return each.select("z.rows.row.*", F.col("z.paths").alias("path")).withColumn("depth", F.size("path") - 1)
 
 
 def with_node_ids(nodes: DataFrame) -> DataFrame:
@@ -130,25 +132,12 @@ def shortened_strings(nodes: DataFrame, most: int = 40) -> DataFrame:
 def as_json(nodes: DataFrame, fields: list[str], children: str = "nodes") -> DataFrame:
     """doc_id, json: each document's nested nodes, with ``fields`` of each and its children last if it has any.
 
-    Texts of one depth are joined into those of the depth above, from the deepest up; ``depth`` and ``parent`` are needed.
-    Fields that are null are left out.
+    ``node_ord`` is pre-order: a node's text opens a list if the next node is deeper, and else closes as many as the next one
+    is higher, so that the texts in order are the whole.  Fields that are null are left out.
     """
-
-    def node(inner: Column | None) -> Column:
-        own = F.to_json(F.struct(*fields))
-        if inner is None:
-            return own
-        head = F.substring(own, F.lit(1), F.length(own) - 1)
-        comma = F.when(own == "{}", F.lit("")).otherwise(F.lit(","))
-        return F.when(inner.isNotNull(), F.concat(head, comma, F.lit(f'"{children}":['), inner, F.lit("]}"))).otherwise(own)
-
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("list_index", "json"))), lambda x: x["json"]), ",")
-    below: DataFrame | None = None
-    for depth in range(deepest or 0, -1, -1):
-        level = nodes.where(F.col("depth") == depth)
-        if below is not None:
-            level = level.join(below, ["doc_id", "list_index"], "left")
-        texts = level.select("doc_id", "list_index", "parent", node(None if below is None else F.col("inner")).alias("json"))
-        below = texts.groupBy("doc_id", F.col("parent").alias("list_index")).agg(joined.alias("inner"))
-    return below.select("doc_id", F.concat(F.lit("["), "inner", F.lit("]")).alias("json"))
+    own, order = F.to_json(F.struct(*fields)), Window.partitionBy("doc_id").orderBy("node_ord")
+    following = F.lead("depth").over(order)
+    opened = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.when(own == "{}", F.lit("")).otherwise(F.lit(",")), F.lit(f'"{children}":['))
+    closed = F.concat(own, F.repeat(F.lit("]}"), F.col("depth") - F.coalesce(following, F.lit(0))), F.when(following.isNotNull(), F.lit(",")).otherwise(F.lit("")))
+    texts = nodes.select("doc_id", "node_ord", F.when(following > F.col("depth"), opened).otherwise(closed).alias("text"))
+    return texts.groupBy("doc_id").agg(F.concat(F.lit("["), joined_in_order(F.col("node_ord"), F.col("text")), F.lit("]")).alias("json"))
