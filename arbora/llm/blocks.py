@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Members of a bucket's part; a block has two parts at most.  Rows up to which a table is broadcast.
-PART, BROADCAST_ROWS = 256, 1_000_000
+PART, BROADCAST_ROWS = 256, 300_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
