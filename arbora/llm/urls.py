@@ -62,6 +62,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.when(best.isNotNull(), F.struct(best["length"].alias("length"), best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def with_rule(urls: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """``urls`` (host, path, ...) with ``r``, the longest rule that fits.
+
+    A list becomes part of the expression.  A table (verdict, rule), of any size, is joined on the ends of hosts, for each
+    different host and path once; the join is a plain one, so that ends which many hosts have are split at run time.
+    """
+    if not isinstance(rules, DataFrame):
+        return urls.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    text = F.col("rule")
+    known = rules.where(text.contains("/")).select(F.substring_index(text, "/", 1).alias("end"), F.substring(text, F.locate("/", text), F.length(text)).alias("start"), F.length(text).alias("length"), "rule", "verdict")
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fitting = urls.select("host", "path").distinct().select("host", "path", F.explode(ends).alias("end")).join(known, "end").where(F.startswith("path", F.col("start")))
+    best = fitting.groupBy("host", "path").agg(F.max(F.struct("length", "rule", "verdict")).alias("r"))
+    return urls.join(best, ["host", "path"], "left")
+
+
 def absolute(url: Column, target: Column) -> Column:
     """A link of a page as a whole url; null if it is none of http."""
     base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
@@ -83,7 +100,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     return tags.select("url", F.coalesce(canonical, refresh).alias("target")).select("url", absolute(F.col("url"), F.col("target")).alias("target")).where("target is not null")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``pages``: page_id, host, path, rule, verdict, by_alias.
 
     ``redirects`` (url, target) adds redirects seen while crawling to the links in ``html``.  A url that no rule fits is
@@ -96,13 +113,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: Dat
     edges = links.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     reached = components(edges, "aliases")
     as_url = F.concat(F.lit("://"), F.col("node"))
-    ruled = reached.select("node", "component", rule_of(host_of(as_url), path_of(as_url), rules)["verdict"].alias("own"))
+    ruled = with_rule(reached.select("component", host_of(as_url).alias("host"), path_of(as_url).alias("path")), rules).select("component", F.col("r.verdict").alias("own"))
     decided = ruled.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     blocked = decided.where("blocked and not coalesce(allowed, false)").select("component")
     aliases = staged(reached.join(blocked, "component", "left_semi").select("node").distinct(), "blocked-aliases")
     url = F.col("url").cast("string")
-    rule = rule_of(F.col("host"), F.col("path"), rules)
-    own = pages.select("page_id", node_of(url).alias("node"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("r", rule)
+    own = with_rule(pages.select("page_id", node_of(url).alias("node"), host_of(url).alias("host"), path_of(url).alias("path")), rules)
     marked = own.join(small_side(aliases.withColumn("alias", F.lit(True))), "node", "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("alias"), F.lit("block")).otherwise(F.lit("allow")))
     return marked.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), (F.col("r").isNull() & F.coalesce("alias", F.lit(False))).alias("by_alias"))

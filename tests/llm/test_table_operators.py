@@ -88,10 +88,12 @@ URLS = ["http://a.example.org/es/1", "https://EXAMPLE.org/en/12?x#y", "http://ex
 
 def test_url_rules(spark):
     rows = [(k, u, "<p>", "x") for k, u in enumerate(URLS)]
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
-    for k, u in enumerate(URLS):
-        host, path, rule, verdict = url_by_hand(u)
-        assert got[k] == (host, path, rule, verdict or "allow"), u
+    made = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    for rules in (urls.RULES, spark.createDataFrame(urls.RULES, "verdict string, rule string")):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(made, rules).collect()}
+        for k, u in enumerate(URLS):
+            host, path, rule, verdict = url_by_hand(u)
+            assert got[k] == (host, path, rule, verdict or "allow"), u
 
 
 def test_aliases(spark):
