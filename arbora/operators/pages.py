@@ -68,7 +68,7 @@ def groups(pages: DataFrame, most_tokens: int = 20_000, overlap: int = 1) -> Dat
     """
     rows = F.array_sort(F.collect_list(F.struct("physical_index", "n_tokens")))
     docs = pages.groupBy("doc_id").agg(rows.alias("rows"), F.sum("n_tokens").alias("total"))
-    parts = F.ceil(F.col("total") / F.lit(most_tokens))
+    parts = F.greatest(F.ceil(F.col("total") / F.lit(most_tokens)), F.lit(1))
     target = F.ceil((F.col("total") / parts + F.lit(most_tokens)) / 2)
     docs = docs.withColumns({"target": target, "tokens": F.transform("rows", lambda r: r["n_tokens"].cast("long"))})
     group = "struct<first:int,last:int>"

@@ -29,7 +29,7 @@ def by_hand(tokens, most, overlap):
 
 def test_groups(spark):
     random.seed(6)
-    cases = [[30_000, 100, 100], [5], [10] * 9] + [[random.randint(1, 60) for _ in range(random.randint(1, 15))] for _ in range(12)]
+    cases = [[30_000, 100, 100], [5], [0, 0], [10] * 9] + [[random.randint(1, 60) for _ in range(random.randint(1, 15))] for _ in range(12)]
     for overlap in (0, 1, 2):
         made = None
         for k, tokens in enumerate(cases):
