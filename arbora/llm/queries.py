@@ -159,9 +159,48 @@ FROM s GROUP BY pair_id
 """
 
 
+#: All pairs and the closure of their links: for small tables, on which the operators' recall is whole.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE [array_to_string(words[i:i+4], ' ') FOR i IN range(1, len(words) - 3)] END) AS gram
+  FROM w WHERE len(words) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)
+), reach(node, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.root
+), c AS (
+  SELECT node, min(root) AS class_id FROM reach GROUP BY node
+)
+SELECT d.doc_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links, c.class_id, d.doc_id = c.class_id AS kept FROM documents d JOIN c ON c.node = d.doc_id
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), u AS (
+  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.root
+), c AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.node = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_redirect_equivalence": OP4_SQL,
         "op6_preferences": OP6_SQL,
         "op8_rule_ledger": OP8_SQL,
+        "op9_minhash_join": OP9_SQL,
+        "op10_pivot_permutations": OP10_SQL,
     }

@@ -119,8 +119,9 @@ def test_aliases(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_url_sql(spark, sf_dir):
-    same(queries.op4_redirect_equivalence(spark, sf_dir), tables(sf_dir), queries.OP4_SQL)
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf_dir, name):
+    same(queries.queries()[name](spark, sf_dir), tables(sf_dir), queries.oracle_sql()[name])
 
 
 # Mixing
@@ -211,10 +212,6 @@ def test_preferences(spark):
     assert chat.preferences(chat.neighbour_pairs(made.limit(0))).count() == 0
 
 
-def test_chat_sql(spark, sf_dir):
-    same(queries.op6_preferences(spark, sf_dir), tables(sf_dir), queries.OP6_SQL)
-
-
 # N-gram join
 
 

@@ -14,8 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import licenses, packing, planes, quality, queries, secrets, tokens
-from tests.compare import same, tables
+from arbora.llm import licenses, packing, planes, quality, secrets, tokens
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 ODD = [None, "", " ", "\n\n", "a", "word " * 3000, "x" * 50_000, "é😀 字 <|endoftext|> \0 b", "a\r\n\tb  c"]
@@ -161,10 +160,6 @@ def test_measures(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_sql(spark, sf_dir):
-    same(queries.op8_rule_ledger(spark, sf_dir), tables(sf_dir), queries.OP8_SQL)
-
-
 def test_ablations(spark, sf_dir):
     made = quality.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
     rows = made.select("failed").collect()
