@@ -46,41 +46,64 @@ def options(args: argparse.Namespace):
     return load(given)
 
 
+def written(value: str, path: Path) -> None:
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(json.loads(value), indent=2, ensure_ascii=False), encoding="utf-8")
+    print(f"Written to {path}")
+
+
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from .operators.repo import SUMMARY_FILES
+    from .functions import stem
+    from .operators import repo as ops
     from .plans import folder, markdown, pages, repo
     from .reasoner import RuleReasoner
+    from .sinks import repository_results, results
     from .sources import files
-    from .sources.convert import HttpConverter
+    from .sources.convert import HttpConverter, LocalConverter, local_converter_there
 
+    many = args.command in ("folder", "repo")
     path = Path(args.path).resolve()
-    if not path.exists() or (args.command in ("folder", "repo")) != path.is_dir():
-        print(f"{args.path}: no such {'folder' if args.command in ('folder', 'repo') else 'file'}", file=sys.stderr)
+    if not path.exists() or many != path.is_dir():
+        print(f"{args.path}: no such {'folder' if many else 'file'}", file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("arbora").getOrCreate()
-    out = Path(args.output) if args.output else Path("results") / f"{path.stem}_{'index' if args.command == 'repo' else 'structure'}.json"
-    out.parent.mkdir(parents=True, exist_ok=True)
-    if args.command == "md":
-        read = files.markdown_files(spark, str(path))
-        nodes = markdown.build(read, options(args))
-    elif args.command == "pdf":
-        read = files.pdf_pages(spark, str(path)).where("error is null")
-        nodes = pages.build(read.select("doc_id", "physical_index", "text"), options(args))
-    elif args.command == "folder":
+    given, summaries = options(args), ["summary", "prefix_summary"] * (not args.no_summary)
+    text = ["text"] * args.text
+    if args.command == "folder":
         converter = HttpConverter(args.converter) if args.converter else None
-        nodes, runs = folder.build(spark, str(path), options(args), converter=converter if converter is None or converter.healthy() else None)
-        runs.groupBy("fmt", "status").agg(F.count("*").alias("files")).show()
-    else:
+        if (converter is None or not converter.healthy()) and (converter := None) is None and local_converter_there():
+            converter = LocalConverter()
+        nodes, runs = folder.build(spark, str(path), given, converter=converter)
+        out = Path(args.output or "results")
+        named = runs.select(F.regexp_extract("path", "[^/]*$", 0).alias("doc_id"), "output")
+        found = results(nodes, named.withColumn("doc_name", F.col("doc_id")), ["title", "node_id", "start_index", "end_index", "line_num", *[c for c in summaries if c in nodes.columns]]).join(named, "doc_id")
+        for row in found.select("output", "value").toLocalIterator():  # one document at a time
+            written(row["value"], out / row["output"])
+        runs.groupBy("fmt", "status").agg(F.count("*").alias("files")).orderBy("fmt", "status").show()
+        return 0
+    out = Path(args.output) if args.output else Path("results") / f"{path.name if args.command == 'repo' else path.stem}_{'index' if args.command == 'repo' else 'structure'}.json"
+    if args.command == "repo":
         known = files.repository(spark, str(path), path.name)
-        texts = files.file_texts(spark, str(path), path.name, SUMMARY_FILES)
-        nodes = repo.build(known, texts, args.include, args.exclude, None if args.no_summary else RuleReasoner())
-    with out.open("w", encoding="utf-8") as f:  # one row at a time
-        for row in nodes.toLocalIterator():
-            f.write(json.dumps(row.asDict(recursive=True), ensure_ascii=False) + "\n")
-    print(f"Written to {out}")
+        texts = files.file_texts(spark, str(path), path.name, ops.SUMMARY_FILES)
+        index = repo.build(known, texts, args.include, args.exclude, None if args.no_summary else RuleReasoner())
+        written(repository_results(index, repo.statistics(known, args.include, args.exclude)).first()["value"], out)
+        return 0
+    if args.command == "md":
+        nodes = markdown.build(files.markdown_files(spark, str(path)), given)
+        fields = ["title", "node_id", "line_num", *text, *summaries]
+    else:
+        nodes = pages.build(files.pdf_pages(spark, str(path)).where("error is null").select("doc_id", "physical_index", "text"), given)
+        fields = ["title", "node_id", "start_index", "end_index", *text, *summaries[:1]]
+    described = markdown.described(nodes) if summaries else None
+    names = nodes.select("doc_id").distinct().withColumn("doc_name", stem(F.col("doc_id")) if args.command == "md" else F.col("doc_id"))
+    found = results(nodes, names, fields, described).first()
+    if found is None:
+        print(f"{args.path}: no sections found", file=sys.stderr)
+        return 1
+    written(found["value"], out)
     return 0
 
 

@@ -37,6 +37,21 @@ class Options:
                 raise ValueError(f"{f.name} is a whole number, not {value!r}")
 
 
+def read_file(path: str) -> dict:
+    """Options of a file of ``name: value`` lines, the part of YAML that they need; an empty or missing file has none."""
+    if not os.path.exists(path):
+        return {}
+    kinds, found = {f.name: f.type for f in dataclasses.fields(Options)}, {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, colon, value = line.split("#", 1)[0].partition(":")
+            if colon and value.strip():
+                raw = value.strip().strip("\"'")
+                kind = kinds.get(name.strip())
+                found[name.strip()] = int(raw) if kind == "int" else float(raw) if kind == "float" else raw
+    return found
+
+
 def load(given: Options | dict | None = None, environment: dict[str, str] | None = None) -> Options:
     """Options of ``given`` over those of the environment over the defaults; of a mapping nulls are left out."""
     if isinstance(given, Options):

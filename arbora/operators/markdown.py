@@ -48,29 +48,26 @@ def sections(lines: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", F.col("ord").cast("long").alias("ord")).agg(level, first("title"), first("line_num"), text).withColumn("n_tokens", token_count(F.col("text")))
 
 
-def _by_level(values: list[Column], pick: Column) -> Column:
-    return F.get(F.array(*values), pick - 1)
+def _last_of() -> Column:
+    """For each level the last section before that has it."""
+    before = _doc().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    return F.array(*[F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(before) for k in LEVELS])
 
 
 def with_parents(sections: DataFrame) -> DataFrame:
     """``parent_ord``: the nearest section before with a smaller level; null for a root."""
-    before = _doc().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(before) for k in LEVELS]
-    with_last = sections.select("*", F.array(*last).alias("last_of"))
+    with_last = sections.withColumn("last_of", _last_of())
     return with_last.withColumn("parent_ord", F.array_max(F.slice("last_of", 1, F.col("level") - 1))).drop("last_of")
 
 
 def with_depth(sections: DataFrame) -> DataFrame:
-    """``depth``: how many ancestors a section has, from one fold over the levels of its document's sections."""
-    open_ = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("depths"))
+    """``depth``: how many ancestors a section has.
 
-    def step(done: Column, level: Column) -> Column:
-        kept = F.filter(done["stack"], lambda s: s < level)
-        return F.struct(F.array_append(kept, level).alias("stack"), F.array_append(done["depths"], F.size(kept)).alias("depths"))
-
-    levels = F.transform(F.array_sort(F.collect_list(F.struct("ord", "level"))), lambda s: s["level"])
-    folded = sections.groupBy("doc_id").agg(F.aggregate(levels, open_, step, lambda done: done["depths"]).alias("depths"))
-    return sections.join(folded, "doc_id").withColumn("depth", F.get("depths", F.col("ord").cast("int"))).drop("depths")
+    The last section of a smaller level is one, unless a section of a level smaller still came after it.
+    """
+    with_last = sections.withColumn("last_of", _last_of())
+    open_ = [(F.get("last_of", F.lit(k - 1)) > F.coalesce(F.array_max(F.slice("last_of", 1, k - 1)), F.lit(-1))) & (F.col("level") > k) for k in LEVELS]
+    return with_last.withColumn("depth", sum((F.coalesce(x, F.lit(False)).cast("int") for x in open_), F.lit(0))).drop("last_of")
 
 
 def with_node_ids(sections: DataFrame, first: int = 1) -> DataFrame:

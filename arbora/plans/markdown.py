@@ -30,9 +30,7 @@ def build(docs: DataFrame, options: Options | dict | None = None, reasoner: Rule
 
 def summarised(nodes: DataFrame, threshold: int, reasoner: RuleReasoner) -> DataFrame:
     """``summary`` of leaves and ``prefix_summary`` of others."""
-    short = nodes.where(F.col("n_tokens") < threshold).withColumn("said", F.col("text"))
-    long = reasoner.summary(nodes.where(F.col("n_tokens") >= threshold), "text", "said")
-    both = short.unionByName(long)
+    both = reasoner.summary(nodes, "text", "said", F.col("n_tokens") < threshold)
     return both.withColumns({"summary": F.when(F.col("is_leaf"), F.col("said")), "prefix_summary": F.when(~F.col("is_leaf"), F.col("said"))}).drop("said")
 
 

@@ -77,8 +77,10 @@ class RuleReasoner:
         having = F.filter(pages, lambda p: F.contains(squeezed(p), squeezed(F.col("title"))))
         return rows.withColumn("fixed_index", index_number(F.regexp_extract(F.get(having, F.lit(0)), r"^(<physical_index_\d+>)", 1)))
 
-    def summary(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        return rows.withColumn(out, F.substring(text, 1, SUMMARY_CHARS))
+    def summary(self, rows: DataFrame, text: str, out: str, short: Column | None = None) -> DataFrame:
+        """``out`` of a text; where ``short`` holds, the text itself."""
+        said = F.substring(text, 1, SUMMARY_CHARS)
+        return rows.withColumn(out, said if short is None else F.when(short, F.col(text)).otherwise(said))
 
     def description(self, docs: DataFrame) -> DataFrame:
         """``description`` from ``titles``, the first of them."""
@@ -232,9 +234,12 @@ class ModelReasoner(RuleReasoner):
         asked = self._ask(rows, F.concat(F.lit(task), "title", F.lit("\n\n"), F.coalesce("content", F.lit(""))), "raw_reply")
         return asked.withColumn("fixed_index", index_number(extract_json(F.col("raw_reply"), "physical_index string")["physical_index"])).drop("raw_reply")
 
-    def summary(self, rows: DataFrame, text: str, out: str) -> DataFrame:
-        some = rows.where(F.col(text).isNotNull())
-        return self._ask(some, F.concat(F.lit("Summarise this part of a document.\n\n"), text), out).unionByName(rows.where(F.col(text).isNull()).withColumn(out, F.lit(None).cast("string")))
+    def summary(self, rows: DataFrame, text: str, out: str, short: Column | None = None) -> DataFrame:
+        """Only texts that are there and not short reach the model."""
+        own = F.col(text).isNull() | F.coalesce(F.lit(False) if short is None else short, F.lit(False))
+        marked = staged(rows.withColumn("is_own", own), "to-summarise")
+        asked = self._ask(marked.where("not is_own"), F.concat(F.lit("Summarise this part of a document.\n\n"), text), out)
+        return asked.unionByName(marked.where("is_own").withColumn(out, F.col(text))).drop("is_own")
 
     def description(self, docs: DataFrame) -> DataFrame:
         return self._ask(docs, F.concat(F.lit("Describe in one sentence a document with these sections: "), F.array_join("titles", "; ")), "description")

@@ -25,6 +25,19 @@ def results(nodes: DataFrame, names: DataFrame, fields: list[str], descriptions:
     return trees.select("doc_id", F.concat(opened, F.lit('"structure":'), "json", F.lit("}")).alias("value"))
 
 
+def repository_results(index: DataFrame, statistics: DataFrame) -> DataFrame:
+    """repo_id, value: a JSON object for each repository with repo_name, structure, statistics and flat_index."""
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    named = index.withColumns({"title": F.coalesce("title", "repo_id"), "depth": depth, "doc_id": F.col("repo_id"), "node_ord": F.col("ord")})
+    trees = tree.as_json(named, ["title", "path", "type", "node_id", "summary", "file_count"])
+    rows = F.sort_array(F.collect_list(F.struct("ord", F.struct("title", "path", "type", "summary", "file_count", "subdir_count").alias("row"))))
+    flat = named.groupBy(F.col("repo_id").alias("doc_id")).agg(F.to_json(F.transform(rows, lambda r: r["row"])).alias("flat"))
+    counts = statistics.select(F.col("repo_id").alias("doc_id"), F.to_json(F.struct("total_files", "total_directories")).alias("counts"))
+    parts = [F.lit('{"repo_name":'), F.to_json(F.array("doc_id")), F.lit(',"structure":'), F.col("json"), F.lit(',"statistics":'), F.col("counts"), F.lit(',"flat_index":'), F.col("flat"), F.lit("}")]
+    parts[1] = F.regexp_replace(parts[1], r"^\[|\]$", "")
+    return trees.join(flat, "doc_id").join(counts, "doc_id").select(F.col("doc_id").alias("repo_id"), F.concat(*parts).alias("value"))
+
+
 def write_json(results: DataFrame, path: str) -> None:
     """One line of JSON for each document."""
     results.select("value").write.mode("overwrite").text(path)

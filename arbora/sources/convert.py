@@ -12,8 +12,6 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import base_name
-
 
 class Converter(Protocol):
     """Makes Markdown of a file's bytes, or of a url; None if it can't."""
@@ -55,6 +53,23 @@ class HttpConverter:
         return self._post({"kind": "http", "url": url})
 
 
+class LocalConverter:
+    """Conversion in the executors' own processes by docling, where that is installed."""
+
+    def convert(self, name: str, content: bytes) -> str | None:
+        from io import BytesIO
+
+        from docling.datamodel.base_models import DocumentStream
+        from docling.document_converter import DocumentConverter
+
+        return DocumentConverter().convert(DocumentStream(name=name, stream=BytesIO(content))).document.export_to_markdown()
+
+    def convert_url(self, url: str) -> str | None:
+        from docling.document_converter import DocumentConverter
+
+        return DocumentConverter().convert(url).document.export_to_markdown()
+
+
 def local_converter_there(module: str = "docling") -> bool:
     return importlib.util.find_spec(module) is not None
 
@@ -91,6 +106,3 @@ def html_to_markdown(html: Column) -> Column:
         text = F.replace(text, F.lit(name), F.lit(char))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" *\n *", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
-
-def names_of(files: DataFrame) -> DataFrame:
-    return files.withColumn("name", base_name(F.col("path")))

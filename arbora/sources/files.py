@@ -13,7 +13,7 @@ from ..operators.batch import classified
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """path, doc_id (the stem), text of whole Markdown files."""
-    read = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return read.select("path", stem(F.col("path")).alias("doc_id"), "text")
 
 

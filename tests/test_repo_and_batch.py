@@ -108,10 +108,10 @@ def test_folder(spark, tmp_path):
 def test_sources(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.py").write_text("x")
-    (tmp_path / "README.md").write_text("# R")
+    (tmp_path / "README.md").write_text("# R\nx\n")
     assert {r["path"] for r in source.repository(spark, str(tmp_path), "r").collect()} == {"s/a.py", "README.md"}
-    assert [tuple(r) for r in source.file_texts(spark, str(tmp_path), "r", repo.SUMMARY_FILES).collect()] == [("r", "README.md", "# R")]
-    assert source.markdown_files(spark, str(tmp_path / "README.md")).select("doc_id", "text").first() == ("README", "# R")
+    assert [tuple(r) for r in source.file_texts(spark, str(tmp_path), "r", repo.SUMMARY_FILES).collect()] == [("r", "README.md", "# R\nx\n")]
+    assert source.markdown_files(spark, str(tmp_path / "README.md")).select("doc_id", "text").first() == ("README", "# R\nx\n")
 
 
 def test_html(spark):
@@ -130,3 +130,37 @@ def test_options():
             config.load(wrong, {})
     with pytest.raises(TypeError):
         config.load([1], {})
+
+
+def test_option_files(tmp_path):
+    file = tmp_path / "o.yaml"
+    file.write_text("# options\nmodel: 'm'  # which\ntoc_check_page_num: 7\nproject_id:\n")
+    assert config.load(config.read_file(str(file)), {}) == config.Options(model="m", toc_check_page_num=7)
+    assert config.read_file(str(tmp_path / "none")) == {}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from arbora.__main__ import parser, run
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "b.py").write_text("x")
+    (tmp_path / "r" / "s").mkdir()
+    (tmp_path / "r" / "s" / "a.py").write_text("x")
+    (tmp_path / "n.md").write_text("# A\nx\n## B\ny\n# C\nz")
+    out = tmp_path / "out.json"
+    assert run(parser().parse_args(["md", str(tmp_path / "n.md"), "-o", str(out), "--text"])) == 0
+    got = json.loads(out.read_text())
+    assert got["doc_name"] == "n" and got["doc_description"] == "A; B; C"
+    assert [x["title"] for x in got["structure"]] == ["A", "C"] and got["structure"][0]["nodes"][0]["text"] == "## B\ny"
+    assert run(parser().parse_args(["repo", str(tmp_path / "r"), "-o", str(out)])) == 0
+    got = json.loads(out.read_text())
+    assert got["repo_name"] == "r" and got["statistics"] == {"total_files": 2, "total_directories": 2}
+    assert got["structure"][0]["nodes"][0]["summary"] == "Files: a.py" and [x["path"] for x in got["flat_index"]] == ["", "s"]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.md").write_text("# X")
+    assert run(parser().parse_args(["folder", str(tmp_path / "f"), "-o", str(tmp_path / "o"), "--no-summary"])) == 0
+    assert json.loads((tmp_path / "o" / "x_md_structure.json").read_text())["structure"] == [{"title": "X", "node_id": "0000", "line_num": 1}]
+    assert run(parser().parse_args(["pdf", str(tmp_path / "none.pdf")])) == 1
+    assert "no such file" in capsys.readouterr().err
