@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import page_tag
+from ..functions import dots_to_colon, page_tag
 from .common import joined_in_order
 
 
@@ -28,16 +28,31 @@ def page_runs(pages: DataFrame, limit: int, start: int = 1) -> DataFrame:
     return ended.where("is_toc = 'yes' and physical_index >= run_start and (run_stop is null or physical_index < run_stop)").drop("run_start", "run_stop")
 
 
+def all_runs(pages: DataFrame, limit: int, start: int = 1) -> DataFrame:
+    """The pages of every run that begins within the limit, with ``run``, the number of noes before it.
+
+    Between two noes all yes pages are one run, so runs need no scan: the first one is that of ``page_runs``.
+    """
+    noes = F.sum((F.col("is_toc") == "no").cast("int")).over(Window.partitionBy("doc_id").orderBy("physical_index"))
+    inside = pages.where(F.col("physical_index") >= start).withColumn("run", noes).where("is_toc = 'yes'")
+    begins = F.min("physical_index").over(Window.partitionBy("doc_id", "run"))
+    return inside.withColumn("begins", begins).where(F.col("begins") <= limit).drop("begins")
+
+
+def chosen_runs(tocs: DataFrame) -> DataFrame:
+    """Of each document's ``tocs`` (doc_id, run, numbered, ...) the first that has page numbers, else the first."""
+    order = Window.partitionBy("doc_id").orderBy(F.when(F.col("numbered") == "yes", 0).otherwise(1), "run")
+    return tocs.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
 def last_pages(runs: DataFrame) -> DataFrame:
     """doc_id, last_page: the page after which the content starts."""
     return runs.groupBy("doc_id").agg(F.max("physical_index").alias("last_page"))
 
 
-def toc_text(runs: DataFrame) -> DataFrame:
-    """doc_id, toc_text with leader dots as colons."""
-    from ..functions import dots_to_colon
-
-    return runs.groupBy("doc_id").agg(dots_to_colon(joined_in_order(F.col("physical_index"), F.col("text"))).alias("toc_text"))
+def toc_text(runs: DataFrame, *key: str) -> DataFrame:
+    """doc_id and other keys, toc_text with leader dots as colons."""
+    return runs.groupBy("doc_id", *key).agg(dots_to_colon(joined_in_order(F.col("physical_index"), F.col("text"))).alias("toc_text"))
 
 
 def page_pairs(by_page: DataFrame, by_index: DataFrame, starts: DataFrame) -> DataFrame:

@@ -78,9 +78,9 @@ def sections(pages: DataFrame, options: Options | dict | None = None, reasoner:
     near = reasoner.toc_pages(pages.where(F.col("physical_index") <= options.toc_check_page_num))
     hit = near.where("is_toc = 'yes'").select("doc_id").distinct()
     rest = reasoner.toc_pages(pages.where(F.col("physical_index") > options.toc_check_page_num).join(hit, "doc_id", "left_semi"))
-    runs = staged(toc.page_runs(near.unionByName(rest), options.toc_check_page_num), "toc-runs")
-    tocs = staged(reasoner.has_numbers(toc.toc_text(runs)), "tocs")
-    after = toc.last_pages(runs)
+    runs = staged(toc.all_runs(near.unionByName(rest), options.toc_check_page_num), "toc-runs")
+    tocs = staged(toc.chosen_runs(reasoner.has_numbers(toc.toc_text(runs, "run"))), "tocs")
+    after = toc.last_pages(runs.join(tocs.select("doc_id", "run"), ["doc_id", "run"], "left_semi"))
     listed = staged(_exploded(reasoner.toc_items(tocs.where("numbered = 'yes'"))), "toc-items")
 
     done = accepted(by_numbers(listed, pages, after, options, reasoner), pages, counts, reasoner)

@@ -79,6 +79,25 @@ def test_runs(spark):
     assert got == {d: run_by_hand(c, 4) for d, c in enumerate(cases)}
 
 
+def test_all_runs(spark):
+    random.seed(9)
+    cases = [[random.choice(["yes", "no", "maybe"]) for _ in range(10)] for _ in range(30)]
+    rows = [(d, k + 1, a) for d, c in enumerate(cases) for k, a in enumerate(c)]
+    made = toc.all_runs(spark.createDataFrame(rows, "doc_id int, physical_index int, is_toc string"), 6).orderBy("physical_index").collect()
+    for d, c in enumerate(cases):
+        want, at = [], 0
+        while at < 6:
+            run = run_by_hand(["maybe"] * at + c[at:], 6)
+            if not run:
+                break
+            want.append(run)
+            at = next((k for k in range(run[-1], 10) if c[k] == "no"), 10)
+        own = [r for r in made if r["doc_id"] == d]
+        assert [[r["physical_index"] for r in own if r["run"] == k] for k in sorted({r["run"] for r in own})] == want
+    tocs = spark.createDataFrame([(1, 0, "no"), (1, 2, "yes"), (1, 3, "yes"), (2, 1, "no"), (2, 4, "no")], "doc_id int, run int, numbered string")
+    assert {tuple(r) for r in toc.chosen_runs(tocs).collect()} == {(1, 2, "yes"), (2, 1, "no")}
+
+
 def test_offset_ties(spark):
     pairs = spark.createDataFrame([(1, 0, 5, 8), (1, 1, 6, 8), (1, 2, 7, 9), (1, 3, 8, 11), (1, 4, None, 1), (2, 0, None, 3)], "doc_id int, ord int, page int, physical_index int")
     assert [tuple(r) for r in toc.page_offsets(pairs).collect()] == [(1, 3)]
