@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import drop_staged, shared_dir, staged
 
-__all__ = ["BATCH_ROWS", "drop_staged", "packed", "shared_dir", "small_batches", "staged", "table", "text_of", "unpacked"]
+__all__ = ["BATCH_ROWS", "drop_staged", "packed", "shared_dir", "small_batches", "staged", "table", "text_of"]
 
 #: Most rows and bytes in one Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
@@ -34,6 +34,3 @@ def packed(df: DataFrame) -> DataFrame:
     """The rows as one struct column ``row``, so that the columns an operator adds can't clash with theirs."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
-
-def unpacked(df: DataFrame) -> DataFrame:
-    return df.select("row.*")

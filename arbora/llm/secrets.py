@@ -14,7 +14,6 @@ strings of all documents, gathered as one histogram of fixed size.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -30,14 +29,13 @@ from .words import strings
 # The patterns of the contract.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
+HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)  # whole runs, as the contract's pattern matches, of this length or more
 KINDS = ["assign", "access", "hex", "random"]
 
 LEAST_OPAQUE = 20
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_OPAQUE)
 _OPAQUE_CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"
-_HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 #: Alphabets from the narrowest; the first that holds all of a string's characters is its encoding.
@@ -145,9 +143,8 @@ def base_spans(text: str, hexes: bool = True) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-    # The runs of 16 or more are the matches of HEX that don't fail: its matches are whole runs.
     if hexes:
-        found += [(m.start(), 2, m.end()) for m in _HEX_RUN.finditer(text)]
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
