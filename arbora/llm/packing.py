@@ -76,17 +76,17 @@ def cut_bin(sizes: list[int], room: int, slack: int) -> list[list[tuple[int, int
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most ``capacity`` ids.
 
-    A document's ids are those of its text (null: empty) and ``end_id``.  Documents are dealt by a hash of doc_id and seed
-    to groups of about ``group_docs``, and each group is packed by itself: whole ``capacity`` stretches of a document are
-    sequences at once, so that only the rest of each document, less than one sequence, is held until its group ends.  The
-    rests are packed by first-fit decreasing.  A bin that would have more than an eighth of padding is cut into sequences
-    whose lengths are powers of two, which need none.  Sequence ids are group * 2^32 + number, and do not change from run to
-    run.  Rows that repeat are so many documents; doc_id may be null.
+    A document's ids are those of its text (null: empty) and ``end_id``.  Documents are dealt by a hash of doc_id, text and
+    seed to groups of about ``group_docs``, and each group is packed by itself: whole ``capacity`` stretches of a document
+    are sequences at once, so that only the rest of each document, less than one sequence, is held until its group ends, or
+    has four times as many as meant.  The rests are packed by first-fit decreasing.  A bin that would have more than an
+    eighth of padding is cut into sequences whose lengths are powers of two, which need none.  Sequence ids are group * 2^32
+    + number, and do not change from run to run.  Rows that repeat are so many documents; doc_id may be null.
     """
     spark = docs.sparkSession
     small_batches(spark)
     groups = max(1, -(-docs.count() // group_docs))
-    group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)).alias("group")
+    group = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)).alias("group")
     dealt = text_of(docs, group, F.col("doc_id").cast("long").alias("doc_id")).repartition("group").sortWithinPartitions("group", "doc_id", "text")
     kinds = [pa.int64()] * 6 + [pa.binary()]
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -125,6 +125,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     number += 1
                 if whole < tokens:
                     rests.append((doc, whole, tokens, ids[4 * whole :]))
+                    if len(rests) >= 4 * group_docs:  # rows that repeat a lot fall into one group
+                        out += ended()
+                        rests = []
                 if len(out) >= 2000:
                     yield rows(out)
                     out = []

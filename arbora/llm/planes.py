@@ -88,12 +88,13 @@ class Segment:
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, segment_ids: int = SEGMENT_IDS, bits: bool = False) -> DataFrame:
     """The segments of all documents in ascending doc_id order, ``end_id`` after each.
 
-    A null text is empty, a null doc_id comes first, and equal doc_ids are ordered by text; rows that repeat are so many
-    documents.  Each range partition is a shard; ``shard_start`` counts the shard's ids before the segment.  A segment takes
+    A null text is empty, a null doc_id comes first, and equal doc_ids are ordered by a hash of their texts, so that any
+    number of them is spread over shards; rows that repeat are so many documents.  Each range partition is a shard; ``shard_start`` counts the shard's ids before the segment.  A segment takes
     documents until it has ``segment_ids`` ids, so it is only larger where one document is.
     """
     small_batches(docs.sparkSession)
-    ordered = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

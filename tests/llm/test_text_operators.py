@@ -247,6 +247,18 @@ def test_first_fit_decreasing():
         assert packing.first_fit_decreasing(sizes, 100) == bins
 
 
+def test_packing_repeated_rows(spark):
+    """Rows that all fall into one group are packed in parts."""
+    made = spark.createDataFrame([(None, "again and again")] * 300, "doc_id long, text string")
+    rows = packing.pack(made, TOKENIZER, group_docs=20).collect()
+    one = len(ids_of(["again and again"])[0]) + 1
+    assert sum(r["length"] for r in rows) == 300 * one
+    held: dict = {}
+    for r in rows:
+        held[r["sequence_id"]] = held.get(r["sequence_id"], 0) + r["length"]
+    assert max(held.values()) <= 2048
+
+
 def test_packing_odd_rows(spark):
     made = frame(spark, ODD + ODD)
     got = packing.pack(made, TOKENIZER)
