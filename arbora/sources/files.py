@@ -13,7 +13,8 @@ from ..operators.batch import classified
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """path, doc_id (the stem), text of whole Markdown files."""
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # this path is encoded
+    read = spark.read.text(path, wholetext=True).select(named.alias("path"), F.col("value").alias("text"))
     return read.select("path", stem(F.col("path")).alias("doc_id"), "text")
 
 

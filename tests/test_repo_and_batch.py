@@ -114,6 +114,12 @@ def test_sources(spark, tmp_path):
     assert source.markdown_files(spark, str(tmp_path / "README.md")).select("doc_id", "text").first() == ("README", "# R\nx\n")
 
 
+def test_names_with_spaces(spark, tmp_path):
+    (tmp_path / "a b+c%.md").write_text("# A")
+    assert source.markdown_files(spark, str(tmp_path)).first()["doc_id"] == "a b+c%"
+    assert source.folder(spark, str(tmp_path)).first()["path"].endswith("/a b+c%.md")
+
+
 def test_html(spark):
     html = "<html><head><title>t</title></head><script>var a='</p>';</script><nav>n</nav><h1>A &amp; B</h1><p>x<br>y<li>z</li></p></html>"
     got = spark.createDataFrame([(html,)], "h string").select(html_to_markdown(F.col("h"))).first()[0]
