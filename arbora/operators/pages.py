@@ -96,4 +96,5 @@ def groups(pages: DataFrame, most_tokens: int = 20_000, overlap: int = 1) -> Dat
 def grouped_text(groups: DataFrame, pages: DataFrame) -> DataFrame:
     """``groups`` with the tagged text of their pages."""
     spans = groups.withColumnsRenamed({"first_pi": "start_index", "last_pi": "end_index"})
-    return with_text(spans, pages, with_tags=True, key=("doc_id", "group_no")).withColumnsRenamed({"start_index": "first_pi", "end_index": "last_pi"})
+    made = with_text(spans, pages, with_tags=True, key=("doc_id", "group_no")).withColumn("text", F.coalesce("text", F.lit("")))
+    return made.withColumnsRenamed({"start_index": "first_pi", "end_index": "last_pi"})

@@ -194,9 +194,7 @@ def page_range_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.between(fx.doc_pages(spark, sf_dir), 2, 4, with_tags=True)
 
 
-@query(
-    ["doc_pages"],
-    f"""
+_GROUPS = f"""
 WITH RECURSIVE t AS (
   SELECT doc_id, max(physical_index) AS n, sum(n_tokens) AS total, list(n_tokens ORDER BY physical_index) AS tok FROM doc_pages GROUP BY doc_id
 ), p AS (
@@ -209,16 +207,19 @@ WITH RECURSIVE t AS (
     CASE WHEN held + tok[i + 1] > target THEN CASE WHEN i > 0 THEN tok[i] ELSE 0 END ELSE held END + tok[i + 1],
     CASE WHEN held + tok[i + 1] > target THEN first END, CASE WHEN held + tok[i + 1] > target THEN i - 1 END
   FROM r WHERE i < n
-)
-SELECT doc_id, group_no - 1 AS group_no, done_first + 1 AS first_pi, done_last + 1 AS last_pi FROM r WHERE done_first IS NOT NULL
-UNION ALL SELECT doc_id, group_no, first + 1, n FROM r WHERE i = n
-UNION ALL SELECT doc_id, 0, 1, n FROM t WHERE total <= {GROUP_TOKENS}""",
-)
+), g AS (
+  SELECT doc_id, group_no - 1 AS group_no, done_first + 1 AS first_pi, done_last + 1 AS last_pi FROM r WHERE done_first IS NOT NULL
+  UNION ALL SELECT doc_id, group_no, first + 1, n FROM r WHERE i = n
+  UNION ALL SELECT doc_id, 0, 1, n FROM t WHERE total <= {GROUP_TOKENS}
+)"""
+
+
+@query(["doc_pages"], _GROUPS + " SELECT * FROM g")
 def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groups(fx.doc_pages(spark, sf_dir), GROUP_TOKENS)
 
 
-@query()
+@query(["doc_pages"], _GROUPS + f" SELECT g.doc_id, group_no, first_pi, last_pi, coalesce(string_agg({_TAG}, '' ORDER BY physical_index), '') AS text FROM g LEFT JOIN doc_pages d ON d.doc_id = g.doc_id AND d.physical_index BETWEEN first_pi AND last_pi GROUP BY ALL")
 def page_group_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fx.doc_pages(spark, sf_dir)
     return pages.grouped_text(pages.groups(made, GROUP_TOKENS), made)
@@ -333,7 +334,13 @@ def shortened_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.shortened_strings(_spans(spark, sf_dir).select("doc_id", "list_index", "title"), 12)
 
 
-@query()
+@query(
+    ["doc_pages", "toc_items"],
+    _IDS
+    + """, j AS (SELECT doc_id, list_index, parent, rtrim(CAST(json_object('title', title, 'node_id', lpad(CAST(node_ord AS VARCHAR), CAST(greatest(4, length(CAST(node_ord AS VARCHAR))) AS INT), '0'), 'start_index', start_index, 'end_index', end_index) AS VARCHAR), '}') AS own FROM n)
+, c AS (SELECT doc_id, parent, string_agg(own || '}', ',' ORDER BY list_index) AS below FROM j WHERE parent IS NOT NULL GROUP BY doc_id, parent)
+SELECT j.doc_id, '[' || string_agg(own || CASE WHEN below IS NULL THEN '}' ELSE ',"nodes":[' || below || ']}' END, ',' ORDER BY list_index) || ']' AS json FROM j LEFT JOIN c ON c.doc_id = j.doc_id AND c.parent = j.list_index WHERE j.parent IS NULL GROUP BY j.doc_id""",
+)
 def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.as_json(_nodes(spark, sf_dir), ["title", "node_id", "start_index", "end_index"])
 
