@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import drop_staged, shared_dir, staged
 
-__all__ = ["BATCH_ROWS", "drop_staged", "packed", "shared_dir", "small_batches", "staged", "table", "text_of"]
+__all__ = ["BATCH_ROWS", "drop_staged", "packed", "shared_dir", "small_batches", "staged", "table", "text_of", "tidied"]
 
 #: Most rows and bytes in one Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
@@ -25,6 +30,23 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches, after which memory that Arrow and the C library keep for later goes back to the system.
+
+    Workers live on for other tasks, whose memory it would add to.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and the text, a null text being empty."""
     return df.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

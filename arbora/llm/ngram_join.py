@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocked, local_components, pairs_within, small_side, streamed
-from .common import small_batches, staged, text_of
+from .common import small_batches, staged, text_of, tidied
 from .graph import components
 from .words import WINDOW, mixed, strings, window_hashes, window_starts, words
 
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             flat = band_hashes(gram, bounds, bands, rows).astype("i8").ravel()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "set", "grams", "bands"])
 
-    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(sign, "doc_id long, set binary, grams long, bands array<long>")
+    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(tidied(sign), "doc_id long, set binary, grams long, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_binary(set_keys(gram, bounds)), pa.binary()), pa.array(members, pa.binary())], ["set", "members"])
 
     texts = text_of(docs, F.col("doc_id").cast("long").alias("rep")).join(small_side(wanted), "rep", "left_semi").select("text")
-    return texts.mapInArrow(gather, "set binary, members binary")
+    return texts.mapInArrow(tidied(gather), "set binary, members binary")
 
 
 def _bands_of(table: pa.Table) -> np.ndarray:
@@ -171,7 +171,7 @@ def _needed(members: DataFrame) -> DataFrame:
                 used[i] = used[j] = True
             yield from table.filter(pa.array(used)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(pick, members.schema)
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(pick), members.schema)
 
 
 def _verified(members: DataFrame, least: float) -> DataFrame:
@@ -224,7 +224,7 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
             kept = links > 0
             yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks().filter(pa.array(kept)), pa.array(links[kept].astype("i8")), pa.array(reps[kept]), pa.array(reps[roots[kept]])], ["set", "links", "a", "b"])
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(verify, "set binary, links long, a long, b long")
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(verify), "set binary, links long, a long, b long")
 
 
 def link(docs: DataFrame, least: float = LEAST, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:

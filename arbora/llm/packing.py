@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, text_of, tidied
 from .tokens import encoder
 
 CAPACITY, END_ID, GROUP_DOCS, SEED = 2048, 1, 1024, 17
@@ -135,4 +135,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         for i in range(0, len(out), 2000):
             yield rows(out[i : i + 2000])
 
-    return dealt.mapInArrow(place, PIECES)
+    return dealt.mapInArrow(tidied(place), PIECES)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocked, local_components, small_side, streamed
-from .common import small_batches, staged
+from .common import small_batches, staged, tidied
 from .graph import components
 
 LEAST, NEAREST, SHARED, SEED = 0.93, 10, 4, 7
@@ -98,7 +98,7 @@ def described(usable: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _DESCRIBED), pa.array(out, pa.list_(pa.int32()))], [*_DESCRIBED, "pivots"])
 
     kept = usable.select(*_DESCRIBED).schema.fields
-    return usable.mapInArrow(describe, T.StructType([*kept, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
+    return usable.mapInArrow(tidied(describe), T.StructType([*kept, T.StructField("pivots", T.ArrayType(T.IntegerType()))]))
 
 
 _DESCRIBED = ["vec_id", "label", "dims"]
@@ -132,7 +132,7 @@ def _needed(members: DataFrame, shared: int) -> DataFrame:
                 used[a:b] = close.any(axis=0) | close.any(axis=1)
             yield from table.filter(pa.array(used)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(pick, members.schema)
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(pick), members.schema)
 
 
 def _compared(members: DataFrame, least: float, shared: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _compared(members: DataFrame, least: float, shared: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in zip(*out, strict=True)], ["vec_id", "links", "root"])
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(compare, "vec_id long, links long, root long")
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(compare), "vec_id long, links long, root long")
 
 
 def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:

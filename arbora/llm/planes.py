@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_of
+from .common import small_batches, staged, text_of, tidied
 from .tokens import encoder
 
 BLOCK_IDS, SEGMENT_IDS, END_ID = 65_536, 262_144, 0
@@ -121,7 +121,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids:
         if ids:
             yield row()
 
-    return ordered.mapInArrow(write, SEGMENTS)
+    return ordered.mapInArrow(tidied(write), SEGMENTS)
 
 
 def read_ids(segments: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def read_ids(segments: DataFrame) -> DataFrame:
                         ["shard", "doc_id", "in_shard", "n_tokens", "ids"],
                     )
 
-    docs = segments.select("shard", "shard_start", "doc_ids", "content").mapInArrow(read, "shard int, doc_id long, in_shard long, n_tokens long, ids binary")
+    docs = segments.select("shard", "shard_start", "doc_ids", "content").mapInArrow(tidied(read), "shard int, doc_id long, in_shard long, n_tokens long, ids binary")
     # One row for each shard, and so as many as the writer had tasks.
     before = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("in_shard")).alias("start"), "n_tokens", "ids")

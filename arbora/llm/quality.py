@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidied
 from .words import WINDOW, mixed, per_text, strings, window_hashes, window_starts, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts"]
@@ -94,7 +94,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[k], pa.int64()) for k in MEASURES)], ["row", *MEASURES])
 
     kinds = rows.select("row").schema.simpleString().removeprefix("struct<row:").removesuffix(">")
-    return rows.mapInArrow(measure, f"row {kinds}, " + ", ".join(f"{k} long" for k in MEASURES))
+    return rows.mapInArrow(tidied(measure), f"row {kinds}, " + ", ".join(f"{k} long" for k in MEASURES))
 
 
 def failed_bits() -> Column:

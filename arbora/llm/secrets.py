@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small_batches, staged
+from .common import packed, small_batches, staged, tidied
 from .words import strings
 
 # The patterns of the contract.
@@ -203,7 +203,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 ["row", "base", "opaque"],
             )
 
-    return rows.mapInArrow(scan, f"row {kinds}, base array<{_SPAN}>, opaque array<{_OPAQUE}>")
+    return rows.mapInArrow(tidied(scan), f"row {kinds}, base array<{_SPAN}>, opaque array<{_OPAQUE}>")
 
 
 def threshold(scanned: DataFrame, q: float = RATE) -> float:
