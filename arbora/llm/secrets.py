@@ -1,6 +1,8 @@
 """Secret scans: patterns, and a battery of randomness tests over opaque strings.
 
-An opaque string is a run of 20 or more of ``A-Za-z0-9+/_-`` whose encoding is inferred from the characters it holds.
+An opaque string is a run of 12 or more of ``A-Za-z0-9+/_-`` whose encoding is inferred from the characters it holds.  A run
+that fits no encoding, or with a part between ``/`` and ``+`` or between ``-`` and ``_`` that is clearly less like text than the
+whole, is tested by these parts, and they by theirs, with p-values multiplied by the number of ways in which it could be cut.
 Three tests ask whether its symbols look like independent draws from the encoding's alphabet: chi-squared uniformity, the
 runs of symbols above and below the middle of the alphabet, and the correlation of each symbol with the next.  Each gives
 a score that is about standard normal for random strings, and Stouffer's sum of their squares' tail, by Fisher's method,
@@ -33,15 +35,18 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX)  # whole runs, as the contract's pattern matches, of this length or more
 KINDS = ["assign", "access", "hex", "random"]
 
-LEAST_OPAQUE = 20
+LEAST_OPAQUE = 12
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST_OPAQUE)
 _OPAQUE_CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"
+_CUTS = [re.compile(r"[^/+]+"), re.compile(r"[^_-]+")]  # parts that may be base64url, and base64
 _HINTS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 #: Alphabets from the narrowest; the first that holds all of a string's characters is its encoding.
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
@@ -56,16 +61,17 @@ _TEXT_SHARE = [0.08, 0.80, 0.08, 0.04]
 _LETTERS = dict(zip("etaoinsrhldcumfpgwybvkxjqz", [127, 91, 82, 75, 70, 67, 63, 60, 61, 40, 43, 28, 28, 24, 22, 19, 20, 24, 20, 15, 10, 8, 2, 2, 1, 1], strict=True))
 _LETTER_TOTAL = sum(_LETTERS.values())
 
-LENGTH_EDGES = [24, 32, 48, 64]  # of the length classes
-LENGTH_WEIGHTS = [0.4, 0.8, 1.2, 1.3, 1.3]  # mean 1
+LENGTH_EDGES = [20, 24, 32, 48, 64]  # of the length classes
+LENGTH_WEIGHTS = [0.2, 0.4, 0.8, 1.2, 1.3, 1.3]  # mean 1 at most
 STEP, BINS = 0.05, 2000  # of the histogram of -log10 p
 RATE, LEAST_RANDOM = 0.01, 1e-4
+CLEAR = math.log(1000)  # how much more parts must tell than what they are cut from
 
 
 def encoding(run: str) -> str | None:
-    """The inferred encoding; None for what has a single class of characters, such as a word or a number."""
+    """The inferred encoding; None for what is too short, for a number, whose digits are even anyway, and for what fits none."""
     held = set(run)
-    if sum(bool(held & c) for c in _CLASSES[:3]) < 2:
+    if len(run) < LEAST_OPAQUE or held <= _CLASSES[0]:
         return None
     return next((name for name, order in _ORDER.items() if held <= order.keys()), None)
 
@@ -131,6 +137,33 @@ def assess(run: str) -> tuple[float, float] | None:
     return p_random, min(1.0, math.exp(min(0.0, ratio)))
 
 
+def tested(run: str, start: int = 0) -> list[tuple[int, int, float]]:
+    """Start, end, p_text of what is tested in a run and isn't rejected as random: the whole, or parts that tell more."""
+    got = assess(run)
+    whole = [(start, start + len(run), got[1])] if got and got[0] >= LEAST_RANDOM else []
+    cuts: list[list[tuple[int, int, float]]] = []
+    for cut in _CUTS:
+        parts = [m for m in cut.finditer(run) if len(m[0]) >= LEAST_OPAQUE]
+        if parts and len(parts[0][0]) < len(run):
+            cuts.append([x for m in parts for x in tested(m[0], start + m.start())])
+    best = max(cuts, key=_told, default=[])
+    return best if not whole or max((_nats(p) for *_, p in best), default=0.0) > _nats(whole[0][2]) + CLEAR else whole
+
+
+def _nats(p: float) -> float:
+    return -math.log(max(p, 1e-300))
+
+
+def _told(found: list[tuple[int, int, float]]) -> float:
+    """How much parts tell, less for each more and a little for what they leave out, so that no key is cut for nothing."""
+    return sum(_nats(p) - CLEAR + 0.1 * (b - a) for a, b, p in found)
+
+
+def ways(run: str) -> int:
+    """In how many ways a run can be cut: at either kind of separators, both or none."""
+    return (2 if "/" in run or "+" in run else 1) * (2 if "-" in run or "_" in run else 1)
+
+
 def length_class(n: int) -> int:
     return sum(n >= edge for edge in LENGTH_EDGES)
 
@@ -174,11 +207,9 @@ def scan_text(text: str, hexes: bool = True, opaques: bool = True) -> tuple[list
     """The base spans, and of each opaque string that isn't rejected as random: start, end, -log10 of its weighted p_text."""
     opaque = []
     for m in OPAQUE.finditer(text) if opaques else ():
-        if got := assess(m[0]):
-            p_random, p_text = got
-            if p_random >= LEAST_RANDOM:
-                weighted = p_text / LENGTH_WEIGHTS[length_class(len(m[0]))]
-                opaque.append((m.start(), m.end(), max(0.0, -math.log10(max(weighted, 1e-300)))))
+        for start, end, p_text in tested(m[0], m.start()):
+            weighted = p_text * ways(m[0]) / LENGTH_WEIGHTS[length_class(end - start)]
+            opaque.append((start, end, max(0.0, -math.log10(max(weighted, 1e-300)))))
     return base_spans(text, hexes), opaque
 
 

@@ -62,6 +62,40 @@ def test_random_strings_are_found(spark):
     assert got == [0] * len(plain) + [1] * len(keys)
 
 
+def strengths(make, n=300):
+    """The strength with which nine in ten of n keys are found whole."""
+    found = []
+    for _ in range(n):
+        text, key = make()
+        a = text.index(key)
+        found.append(max((s for x, y, s in secrets.scan_text(text)[1] if x <= a and y >= a + len(key)), default=0.0))
+    return float(np.quantile(found, 0.1))
+
+
+def drawn(alphabet, n, before="", after=""):
+    def make():
+        key = "".join(random.choices(alphabet, k=n))
+        return before + key + after, key
+
+    return make
+
+
+def test_opaque_parts_and_short_runs(spark):
+    random.seed(12)
+    alphabet = string.ascii_letters + string.digits
+    assert strengths(drawn(alphabet, 32, "users/reset-password/confirm/")) >= 4
+    assert strengths(drawn(alphabet, 40, "static/user_files/", "/x")) >= 4
+    assert strengths(drawn(alphabet + "-_", 48, "users/x/")) >= 4
+    assert strengths(drawn(alphabet + "+/", 48, "sk-live_")) >= 4
+    assert strengths(drawn(alphabet, 16)) >= 2
+    assert strengths(drawn(string.ascii_lowercase, 64)) >= 4 and strengths(drawn(string.ascii_uppercase, 64)) >= 4
+    keys = ["".join(random.choices(alphabet, k=32)) for _ in range(3)]
+    plain = ["users/reset-password/confirm/internationalisation", "some_long-path/of_ordinary-words/written+here", "acknowledgements"]
+    texts = [f"see users/reset-password/confirm/{keys[0]} now", f"see static/user_files/{keys[1]}/page now", f"see {keys[2]} now", *plain]
+    got = [r["spans"] for r in secrets.digest(frame(spark, texts, extra=False)).orderBy("doc_id").collect()]
+    assert got == [f"random:{t.index(k)}:{t.index(k) + 32}" for t, k in zip(texts, keys)] + [""] * len(plain)
+
+
 def test_battery():
     random.seed(3)
     fine = [secrets.combined(secrets.tests([random.randrange(16) for _ in range(64)], 16)) for _ in range(400)]
