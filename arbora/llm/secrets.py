@@ -48,6 +48,10 @@ ENCODINGS = {
     "lower": "abcdefghijklmnopqrstuvwxyz",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32 lower": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base36 upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -115,14 +119,18 @@ def combined(ps: tuple[float, ...]) -> float:
     return min(1.0, math.exp(-half) * total)
 
 
-def _text_share(c: str) -> float:
-    for share, kind in zip(_TEXT_SHARE, _CLASSES, strict=True):
-        if c in kind:
-            return share * (_LETTERS[c] / _LETTER_TOTAL if c in _LETTERS else _LETTERS[c.lower()] / _LETTER_TOTAL if c.isalpha() else 1 / len(kind))
-    raise ValueError(c)
+def _log_text(alphabet: str) -> dict[str, float]:
+    """Log shares of symbols in text that keeps to the alphabet.  Where that has one case, all letters are of that case."""
+    held = set(alphabet)
+    of_class = _TEXT_SHARE if held & _CLASSES[1] else [_TEXT_SHARE[0], 0.0, _TEXT_SHARE[1], _TEXT_SHARE[3]]
+    share = {}
+    for part, kind in zip(of_class, _CLASSES, strict=True):
+        share |= {c: part * (_LETTERS[c.lower()] / _LETTER_TOTAL if c.isalpha() else 1 / len(kind)) for c in kind & held}
+    total = sum(share.values())
+    return {c: math.log(x / total) for c, x in share.items()}
 
 
-_LOG_TEXT = {c: math.log(_text_share(c)) for kind in _CLASSES for c in kind}
+_LOG_TEXT = {name: _log_text(a) for name, a in ENCODINGS.items()}
 
 
 def assess(run: str) -> tuple[float, float] | None:
@@ -132,8 +140,8 @@ def assess(run: str) -> tuple[float, float] | None:
         return None
     order = _ORDER[name]
     p_random = combined(tests([order[c] for c in run], len(order)))
-    allowed = math.log(sum(math.exp(_LOG_TEXT[c]) for c in order))  # text that keeps to the alphabet
-    ratio = sum(_LOG_TEXT[c] - allowed for c in run) + len(run) * math.log(len(order))
+    text = _LOG_TEXT[name]
+    ratio = sum(text[c] for c in run) + len(run) * math.log(len(order))
     return p_random, min(1.0, math.exp(min(0.0, ratio)))
 
 

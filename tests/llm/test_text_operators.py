@@ -96,6 +96,18 @@ def test_opaque_parts_and_short_runs(spark):
     assert got == [f"random:{t.index(k)}:{t.index(k) + 32}" for t, k in zip(texts, keys)] + [""] * len(plain)
 
 
+def test_keys_of_one_case():
+    random.seed(13)
+    small, capital = string.ascii_lowercase, string.ascii_uppercase
+    for alphabet in (small + string.digits, small + "234567", capital + "234567", capital + string.digits, small + capital):
+        for n in (64, 128, 256):
+            assert strengths(drawn(alphabet, n)) >= 4, (alphabet, n)
+    assert secrets.encoding("q7w8e9r0t1y2u3") == "base36" and secrets.encoding("Q7W8E9R0T1Y2U3") == "base36 upper"
+    assert secrets.encoding("qwertyuiop234567") == "base32 lower" and secrets.encoding("QWERTYUIOP234567") == "base32"
+    for text in ("INTERNATIONALIZATION2", "internationalization2", "CHARACTERISTICS4OPERATION", "Characteristicsofoperation"):
+        assert secrets.assess(text)[1] > 1e-3
+
+
 def test_battery():
     random.seed(3)
     fine = [secrets.combined(secrets.tests([random.randrange(16) for _ in range(64)], 16)) for _ in range(400)]
