@@ -33,6 +33,11 @@ def pivot_count(n: int) -> int:
     return min(MOST, max(FEWEST, 1 << max(0, math.ceil(math.log2(max(1, n / PER_PIVOT))))))
 
 
+def nearest_count(pivots: int) -> int:
+    """How many of so many pivots describe a vector: NEAREST, and more among many, whose order small changes turn about."""
+    return NEAREST + 2 * max(0, math.ceil(math.log2(max(1, pivots) / FEWEST)) - 1)
+
+
 def clean(vectors: DataFrame) -> DataFrame:
     """One row for each vec_id: vec_id, label, dims, v (null where the vector can't link).
 
@@ -78,8 +83,8 @@ def _rows_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().reshape(-1, width)
 
 
-def described(usable: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
-    """vec_id, label, dims and ``pivots``, the nearest ones in order.  Where there are none of their dimensions: [-1]."""
+def described(usable: DataFrame, pivots: dict[int, np.ndarray], nearest: int | None = None) -> DataFrame:
+    """vec_id, label, dims and ``pivots``, the ``nearest`` ones in order, or as many as nearest_count gives.  Where there are none of their dimensions: [-1]."""
     small_batches(usable.sparkSession)
     sent = usable.sparkSession.sparkContext.broadcast(pivots)  # at most MOST vectors
 
@@ -92,7 +97,7 @@ def described(usable: DataFrame, pivots: dict[int, np.ndarray], nearest: int = N
                     continue
                 at = np.flatnonzero(dims == d)
                 x = units(_rows_of(batch.column("v").take(pa.array(at)), d))
-                order = np.argsort(-(x @ known.T), axis=1, kind="stable")[:, :nearest]
+                order = np.argsort(-(x @ known.T), axis=1, kind="stable")[:, : nearest or nearest_count(len(known))]
                 for k, row in zip(at.tolist(), order.tolist(), strict=True):
                     out[k] = row
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _DESCRIBED), pa.array(out, pa.list_(pa.int32()))], [*_DESCRIBED, "pivots"])
@@ -158,7 +163,7 @@ def _compared(members: DataFrame, least: float, shared: int) -> DataFrame:
     return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(compare), "vec_id long, links long, root long")
 
 
-def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int | None = None, shared: int = SHARED) -> DataFrame:
     """One row for each vec_id: vec_id, n_links, component_id, kept.
 
     Vectors are compared where labels are equal and not null.  Vectors that are null, zero, or hold null or non-finite
@@ -170,7 +175,7 @@ def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int = NEAREST
     usable = known.where("v is not null")
     indexed = staged(described(usable, fit(usable, vectors.count()), nearest), "pivot-lists")
     # Two that share so many of their pivots share one of the first of them in order of number, all but shared - 1.
-    first = F.slice(F.array_sort("pivots"), 1, max(1, nearest - shared + 1))
+    first = F.slice(F.array_sort("pivots"), F.lit(1), F.greatest(F.lit(1), F.size("pivots") - (shared - 1)))
     lists = indexed.select("label", "dims", F.explode(first).alias("pivot"), "vec_id", "pivots")
     needed = staged(_needed(blocked(lists, ["label", "dims", "pivot"], "vec_id"), shared), "vector-candidates")
     wanted = usable.select("vec_id", "v").join(small_side(staged(needed.select("vec_id").distinct(), "wanted-vectors")), "vec_id", "left_semi")

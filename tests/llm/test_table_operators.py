@@ -328,6 +328,22 @@ def test_embedding_recall(spark, sf_dir):
     assert got == vectors_by_hand(rows)
 
 
+@pytest.mark.parametrize("per_pivot, pivot_count", [(8, 1024), (1, 4096)])
+def test_embedding_recall_with_many_pivots(spark, monkeypatch, per_pivot, pivot_count):
+    monkeypatch.setattr(pivots, "PER_PIVOT", per_pivot)
+    rng = np.random.default_rng(6)
+    basis = np.linalg.qr(rng.normal(size=(64, 12)))[0].T
+    x = pivots.units(rng.normal(size=(6000, 12)) @ basis)
+    y = pivots.units(rng.normal(size=(2000, 12)) @ basis)
+    y = pivots.units(y - (x[:2000] * y).sum(axis=1, keepdims=True) * x[:2000])
+    all_ = np.concatenate([x, 0.935 * x[:2000] + np.sqrt(1 - 0.935**2) * y])
+    assert pivots.pivot_count(len(all_)) == pivot_count
+    made = spark.createDataFrame([(k, v, 1) for k, v in enumerate(all_.tolist())], "vec_id long, embedding array<double>, label int")
+    found = sum(r["n_links"] for r in pivots.deduplicate(made).collect())
+    there = int((all_ @ all_.T >= pivots.LEAST).sum()) - len(all_)
+    assert there >= found >= 0.99 * there, found / there
+
+
 def test_local_components():
     rng = np.random.default_rng(5)
     for _ in range(30):
