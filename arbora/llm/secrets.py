@@ -211,6 +211,27 @@ def holds_run(texts: pa.Array, characters: str, least: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
+def uncovered(spans: list[tuple[int, int, float]], base: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Of each opaque string, in order and apart, the parts that no base span covers."""
+    joint: list[list[int]] = []
+    for a, _, b in base:
+        if joint and a <= joint[-1][1]:
+            joint[-1][1] = max(joint[-1][1], b)
+        else:
+            joint.append([a, b])
+    out, k = [], 0
+    for start, end, _ in spans:
+        while k < len(joint) and joint[k][1] <= start:
+            k += 1
+        parts, at, j = [], start, k
+        while j < len(joint) and joint[j][0] < end:
+            if joint[j][0] > at:
+                parts.append((at, joint[j][0]))
+            at, j = max(at, joint[j][1]), j + 1
+        out.append([*parts, (at, end)] if at < end else parts)
+    return out
+
+
 def scan_text(text: str, hexes: bool = True, opaques: bool = True) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
     """The base spans, and of each opaque string that isn't rejected as random: start, end, -log10 of its weighted p_text."""
     opaque = []
@@ -222,7 +243,7 @@ def scan_text(text: str, hexes: bool = True, opaques: bool = True) -> tuple[list
 
 
 _SPAN = "struct<start:long,kind:int,end:long>"
-_OPAQUE = "struct<start:long,end:long,strength:double>"
+_OPAQUE = "struct<start:long,end:long,strength:double,parts:array<struct<start:long,end:long>>>"
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -231,14 +252,15 @@ def _scan(docs: DataFrame) -> DataFrame:
     rows = packed(docs).select("row", F.col("row.text").cast("string").alias("text"))
     kinds = rows.select("row").schema.simpleString().removeprefix("struct<row:").removesuffix(">")
     base = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    opaque = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("strength", pa.float64())]))
+    part = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    opaque = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("strength", pa.float64()), ("parts", pa.list_(part))]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hexes, opaques = holds_run(batch.column(1), ENCODINGS["hex"], LEAST_HEX), holds_run(batch.column(1), _OPAQUE_CHARS, LEAST_OPAQUE)
             got = [scan_text(x or "", h, o) for x, h, o in zip(batch.column(1).to_pylist(), hexes.tolist(), opaques.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in b] for b, _ in got], base), pa.array([[dict(zip(("start", "end", "strength"), s, strict=True)) for s in o] for _, o in got], opaque)],
+                [batch.column(0), pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in b] for b, _ in got], base), pa.array([[{"start": s[0], "end": s[1], "strength": s[2], "parts": [{"start": x, "end": y} for x, y in parts]} for s, parts in zip(o, uncovered(o, b), strict=True)] for b, o in got], opaque)],
                 ["row", "base", "opaque"],
             )
 
@@ -257,9 +279,9 @@ def threshold(scanned: DataFrame, q: float = RATE) -> float:
 
 
 def _random(least: float) -> Column:
-    """The opaque strings that are reported, but for those that a pattern has already."""
-    clear = lambda o: ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"]))
-    return F.transform(F.filter("opaque", lambda o: (o["strength"] >= F.lit(least)) & clear(o)), lambda o: F.struct(o["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), o["end"].alias("end")))
+    """What the patterns leave of the opaque strings that are reported."""
+    parts = F.flatten(F.transform(F.filter("opaque", lambda o: o["strength"] >= F.lit(least)), lambda o: o["parts"]))
+    return F.transform(parts, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end")))
 
 
 def find(docs: DataFrame, q: float = RATE, texts: bool = True) -> DataFrame:

@@ -96,6 +96,25 @@ def test_opaque_parts_and_short_runs(spark):
     assert got == [f"random:{t.index(k)}:{t.index(k) + 32}" for t, k in zip(texts, keys)] + [""] * len(plain)
 
 
+def test_random_beside_base_spans(spark):
+    random.seed(14)
+    access, key, digits = "AKIA" + "".join(random.choices(string.ascii_uppercase + string.digits, k=16)), "".join(random.choices(string.ascii_letters + string.digits, k=40)), "".join(random.choices("0123456789abcdef", k=40))
+    texts = [f"pair {access}/{key} here", f"pair {digits}/{key} here", f"pair {key}_{digits} here", f"only {digits} here"]
+    made = frame(spark, texts, extra=False)
+    for text, r in zip(texts, secrets.digest(made).orderBy("doc_id").collect(), strict=True):
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(","))]
+        base = {x for k, a, b in spans if k != "random" for x in range(a, b)}
+        found = [x for k, a, b in spans if k == "random" for x in range(a, b)]
+        assert not base & set(found) and len(found) == len(set(found))
+        if key in text:
+            at = text.index(key)
+            assert set(range(at, at + 40)) <= base | set(found)
+        else:
+            assert r["n_random"] == 0
+    clean = "".join(r["text"] for r in secrets.redact(made).collect())
+    assert key not in clean and not re.search("[A-Za-z0-9]{12,}", clean)
+
+
 def test_keys_of_one_case():
     random.seed(13)
     small, capital = string.ascii_lowercase, string.ascii_uppercase
