@@ -79,16 +79,32 @@ def with_rule(urls: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> Data
     return urls.join(best, ["host", "path"], "left")
 
 
+def without_dots(url: Column) -> Column:
+    """A whole url, the segments ``.`` and ``..`` of whose path are resolved; ``..`` at the top stays there."""
+    segments = F.split(path_of(url), "/")
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.lit(1), F.size(done) - 1))
+        return F.when(segment == ".", done).when(segment == "..", up).otherwise(F.concat(done, F.array(segment)))
+
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), step)
+    resolved = F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.array_join(F.concat(kept, ended), "/"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(path_of(url).rlike(r"(?s)(?:^|/)\.\.?(?:/|$)"), resolved).otherwise(url)
+
+
 def absolute(url: Column, target: Column) -> Column:
-    """A link of a page as a whole url; null if it is none of http."""
+    """A link of a page as a whole url, without dot segments; null if it is none of http."""
     base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
-    return (
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    return without_dots(
         F.when(target.rlike(r"(?i)^https?://"), target)
         .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
         .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
         .when(target.startswith("/"), F.concat(base, target))
-        .when(target != "", F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(target.startswith("?"), F.concat(base, path, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), target))
+        .when(target != "", F.concat(base, F.regexp_replace(path, "[^/]*$", ""), target))
     )
 
 
@@ -97,7 +113,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     tags = pages.where(F.col("html").rlike(r"(?i)canonical|refresh")).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"(?is)\srel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\scontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1))
-    return tags.select("url", F.coalesce(canonical, refresh).alias("target")).select("url", absolute(F.col("url"), F.col("target")).alias("target")).where("target is not null")
+    target = F.regexp_replace(F.coalesce(canonical, refresh), r"(?i)&(?:amp|#0*38|#x0*26);", "&")
+    return tags.select("url", target.alias("target")).select("url", absolute(F.col("url"), F.col("target")).alias("target")).where("target is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -119,6 +119,18 @@ def test_aliases(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_link_targets_are_resolved(spark):
+    rows = [
+        ("http://a.net/p?x", "http://b.com/de/x?a=1&amp;b=2", "http://b.com/de/x?a=1&b=2"), ("http://a.net/d/e/p", "../q", "http://a.net/d/q"), ("http://a.net/d/p", "./q?r=../s", "http://a.net/d/q?r=../s"),
+        ("http://a.net/d/p?old", "?q=1#f", "http://a.net/d/p?q=1#f"), ("http://a.net", "?q", "http://a.net/?q"), ("http://a.net/d/p?k#old", "#top", "http://a.net/d/p?k#top"), ("http://a.net/d/p", "../../../q/..", "http://a.net/"),
+        ("http://a.net/d/p", "/x/./y/../z/.", "http://a.net/x/z/"), ("http://a.net/d/p", "..", "http://a.net/"), ("http://a.net/d/p", "a..b/.c", "http://a.net/d/a..b/.c"), ("http://a.net", "q", "http://a.net/q"), ("http://a.net/d/p", "//b.com/../x", "http://b.com/x"),
+    ]
+    made = spark.createDataFrame([(u, f'<link rel="canonical" href="{t}">') for u, t, _ in rows], "url string, html string")
+    assert sorted(tuple(r) for r in urls.page_links(made).collect()) == sorted((u, w) for u, _, w in rows)
+    pages = [(1, "http://a.net/d/p", '<link rel=canonical href="../q?a=1&amp;b=2">'), (2, "http://a.net/q?a=1&b=2", '<link rel=canonical href="http://b.com/de/x">')]
+    assert {r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     same(queries.queries()[name](spark, sf_dir), tables(sf_dir), queries.oracle_sql()[name])
