@@ -16,7 +16,7 @@ from ..operators import toc, tree
 from ..reasoner import RuleReasoner
 from ..staging import staged
 
-REPAIRS, MOST_SPLITS = 3, 8
+REPAIRS = 3
 ITEM = ["doc_id", "list_index", "structure", "title", "physical_index"]
 ITEM_TYPES = "doc_id {0}, list_index long, structure string, title string, page int"
 
@@ -105,10 +105,11 @@ def split_large(nodes: DataFrame, pages: DataFrame, options: Options, reasoner:
     """``nodes`` (doc_id, path, title, start_index, end_index), those with too many pages and tokens split by their pages.
 
     A split node loses the children it had; a first section with the node's own title is dropped, and the node ends where
-    the first of the rest begins.  What is split off is looked at again, for MOST_SPLITS rounds at most.
+    the first of the rest begins.  What is split off is looked at again if it has fewer pages than its
+    parent, until nothing is.
     """
     frontier = nodes
-    for _ in range(MOST_SPLITS):
+    while True:
         keyed = frontier.withColumn("list_index", F.col("path"))
         big = staged(pg.large(keyed, pages, options.max_page_num_each_node, options.max_token_num_each_node).select("doc_id", F.col("path").alias("parent_path"), F.col("title").alias("own"), "start_index", "end_index"), "large")
         if big.isEmpty():
@@ -125,11 +126,14 @@ def split_large(nodes: DataFrame, pages: DataFrame, options: Options, reasoner:
         rest = staged(tree.with_spans(rest, ends.drop("own")), "split")
         begins = rest.groupBy("doc_id").agg(F.min_by("start_index", "list_index").alias("begins")).select("doc_id.*", "begins")
         children = rest.select("doc_id.doc_id", _child_path(F.col("doc_id.parent_path")).alias("path"), "title", "start_index", "end_index")
+        whole = big.select("doc_id", "parent_path", F.col("start_index").alias("from_page"), F.col("end_index").alias("to_page"))
+        smaller = (F.col("start_index") > F.col("from_page")) | (F.col("end_index") < F.col("to_page"))
+        again = children.withColumn("parent_path", F.slice("path", F.lit(1), F.size("path") - 1)).join(whole, ["doc_id", "parent_path"]).where(smaller).select(children.columns)
         cut = big.select("doc_id", F.col("parent_path"))
         under = nodes.join(cut, "doc_id").where((F.size("path") > F.size("parent_path")) & (F.slice("path", F.lit(1), F.size("parent_path")) == F.col("parent_path"))).select("doc_id", "path")
         kept = nodes.join(under, ["doc_id", "path"], "left_anti").join(begins.withColumnRenamed("parent_path", "path"), ["doc_id", "path"], "left")
         kept = kept.withColumn("end_index", F.coalesce("begins", "end_index")).drop("begins")
-        nodes, frontier = staged(kept.unionByName(children), "nodes"), staged(children, "frontier")
+        nodes, frontier = staged(kept.unionByName(children), "nodes"), staged(again, "frontier")
     return nodes
 
 

@@ -88,7 +88,7 @@ class RuleReasoner:
 
 
 Complete = Callable[[list[str]], list[str]]
-GROUP_TOKENS, MOST_TURNS = 20_000, 8
+GROUP_TOKENS = 20_000
 
 
 def parse_reply(raw: str):
@@ -211,13 +211,14 @@ class ModelReasoner(RuleReasoner):
     def toc_items(self, tocs: DataFrame) -> DataFrame:
         task = 'Turn this table of contents into a JSON list of {"structure": dotted number or null, "title": text, "page": number or null}.\n\n'
         done = tocs.withColumn("items", F.array().cast(TOC_ITEMS)).withColumn("complete", F.lit("no"))
-        for _ in range(MOST_TURNS):  # a long table of contents comes in several replies
-            left = done.where("complete <> 'yes'")
-            if left.isEmpty():
-                break
+        # A long table of contents comes in several replies.  One that adds nothing is the last, and no text has more items than characters.
+        while not (left := done.where("complete <> 'yes'")).isEmpty():
             asked = self._ask(left, F.concat(F.lit(task), "toc_text", F.lit("\n\nGo on after these, with nothing if all are there:\n"), F.to_json("items")), "raw_reply")
             more = F.coalesce(extract_json(F.col("raw_reply"), TOC_ITEMS), F.array().cast(TOC_ITEMS))
-            grown = asked.withColumn("more", more).withColumn("items", F.concat("items", "more")).withColumn("complete", F.when(F.size("more") == 0, "yes").otherwise("no")).drop("raw_reply", "more")
+            grown = asked.withColumn("more", more).withColumn("added", F.size(F.array_except("more", "items")) > 0)
+            grown = grown.withColumn("items", F.when(F.col("added"), F.concat("items", "more")).otherwise(F.col("items")))
+            ended = ~F.col("added") | (F.size("items") >= F.coalesce(F.length("toc_text"), F.lit(0)))
+            grown = grown.withColumn("complete", F.when(ended, "yes").otherwise("no")).drop("raw_reply", "more", "added")
             done = staged(done.where("complete = 'yes'").unionByName(grown), "toc-replies")
         return done.drop("complete")
 

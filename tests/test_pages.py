@@ -173,3 +173,36 @@ def test_replies():
     assert rs.parse_reply('```json\n[{"a": None,}]\n```') == [{"a": None}]
     assert rs.parse_reply("nothing") is None and rs.parse_reply("```json [1]") is None
     assert [rs._number(x) for x in ("<physical_index_3>", "physical_index_4", 5, "6", None)] == [3, 4, 5, None, None]
+
+
+def test_toc_items_go_on(spark):
+    import json
+
+    from arbora import reasoner as rs
+
+    def answer(prompt):
+        if "\n\nstubborn\n" in prompt:
+            return json.dumps([{"structure": "1", "title": "Again", "page": 1}])
+        had = json.loads(prompt.rsplit("\n", 1)[1])
+        return json.dumps([{"structure": str(k), "title": f"T{k}", "page": k} for k in range(12)][len(had) : len(had) + 1])
+
+    tocs = spark.createDataFrame([(1, "x" * 100), (2, "\n\nstubborn\n" + "x" * 100)], "doc_id int, toc_text string")
+    got = {r["doc_id"]: [x["title"] for x in r["items"]] for r in rs.ModelReasoner(lambda prompts: [answer(p) for p in prompts], retries=1).toc_items(tocs).collect()}
+    assert got == {1: [f"T{k}" for k in range(12)], 2: ["Again"]}
+
+
+def test_split_goes_on(spark):
+    from pyspark.sql import functions as F
+
+    from arbora import reasoner as rs
+    from arbora.config import load
+
+    class Peeling(rs.RuleReasoner):
+        def outline(self, pages):
+            ends = pages.groupBy("doc_id").agg(F.min("physical_index").alias("first"), F.max("physical_index").alias("last"))
+            return super().outline(pages.join(ends, "doc_id").where("physical_index <= first + 1 or physical_index = last").drop("first", "last"))
+
+    made = spark.createDataFrame([(1, k, f"Part{k:02}\nbody", 5) for k in range(1, 25)], "doc_id int, physical_index int, text string, n_tokens int")
+    nodes = spark.createDataFrame([(1, [0], "Whole", 1, 24)], "doc_id int, path array<long>, title string, start_index int, end_index int")
+    got = plan.split_large(nodes, made, load({"max_page_num_each_node": 1, "max_token_num_each_node": 1}, {}), Peeling()).collect()
+    assert max(len(r["path"]) for r in got) > 9 and not [r for r in got if r["end_index"] - r["start_index"] > 1]
