@@ -14,14 +14,74 @@ from .words import strings
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units whose ids a worker remembers, twice at most, and bytes of text it takes at a time if no text is longer.
-CACHE_UNITS, SLICE_BYTES = 700_000, 2_000_000
+#: Bytes that a worker's remembered units may take in all, units of the level that is merged often, and bytes of text that
+#: are taken at a time if no text is longer.
+CACHE_BYTES, RECENT_UNITS, SLICE_BYTES = 48_000_000, 50_000, 2_000_000
 
 #: All white space of either the tokenizers library or Python, for RE2.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _encoders: dict[str, Encoder] = {}
 
 
+class Remembered:
+    """Ids of units by a 96-bit hash, in arrays of about 30 bytes a unit, so that what a worker holds is bounded in bytes.
+
+    There are two levels sorted by the first part of the hash, a small one that is merged with what is new at each call, and
+    a large one with which it is merged when it is full.  All is forgotten where more than CACHE_BYTES are held.
+    """
+
+    def __init__(self, most_id: int = 2**32 - 1):
+        self.kind = "<u2" if most_id < 2**16 else "<u4"
+        self.forget()
+
+    def forget(self) -> None:
+        self.levels = [tuple(np.empty(0, k) for k in ("u8", "u4", "u4", "u4"))] * 2  # first and second part, start, length
+        self.ids, self.used = np.empty(1024, self.kind), 0
+
+    @property
+    def held(self) -> int:
+        return self.ids.nbytes + sum(x.nbytes for level in self.levels for x in level)
+
+    @staticmethod
+    def keys(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        import xxhash
+
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, units)), "<u8").reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), both[:, 1].astype("u4")
+
+    def find(self, keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each key whether it is known, and where its ids start and how many they are."""
+        n = len(keys[0])
+        known, start, length = np.zeros(n, bool), np.zeros(n, "i8"), np.zeros(n, "i8")
+        for first, second, starts, lengths in self.levels:
+            if len(first):
+                at = np.minimum(np.searchsorted(first, keys[0]), len(first) - 1)
+                same = (first[at] == keys[0]) & (second[at] == keys[1])
+                known |= same
+                start[same], length[same] = starts[at[same]], lengths[at[same]]
+        return known, start, length
+
+    def add(self, keys: tuple[np.ndarray, np.ndarray], ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Remember the ids of new keys; where they start."""
+        if self.used + len(ids) > len(self.ids):
+            grown = np.empty(self.used + len(ids) + len(self.ids) // 4, self.kind)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(length) - length
+        self.used += len(ids)
+        self.levels[1] = self._merged(self.levels[1], (*keys, start.astype("u4"), length.astype("u4")))
+        if len(self.levels[1][0]) > RECENT_UNITS:
+            self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+        return start
+
+    @staticmethod
+    def _merged(one: tuple, other: tuple) -> tuple:
+        order = np.argsort(other[0], kind="stable")
+        at = np.searchsorted(one[0], other[0][order])
+        return tuple(np.insert(a, at, b[order]) for a, b in zip(one, other, strict=True))
+
+
 class Encoder:
     """Ids by the tokenizers library without special tokens added.
 
@@ -45,39 +105,39 @@ class Encoder:
             vocabulary = said["model"]["vocab"]
             self.lengths = np.zeros(max(vocabulary.values()) + 1, "i8")  # each character of a byte-level token stands for a byte
             self.lengths[list(vocabulary.values())] = [len(x) for x in vocabulary]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Remembered(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, units: list[str]) -> list[bytes]:
+    def _joined(self, units: list[str], sizes: np.ndarray) -> list[bytes]:
         """Ids of units that each start with white space and end without: encoded as one text, then cut by the length of the tokens."""
         found: list[bytes] = []
         for i in range(0, len(units), 4096):
             some = units[i : i + 4096]
             ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in some]), side="left") + 1
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[i : i + 4096]), side="left") + 1
             raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             found += [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
         return found
 
-    def _of_units(self, units: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, units))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        new: list[int] = []
-        for k in missing:
-            found[k] = self.older.get(units[k])
-            if found[k] is None:
-                new.append(k)
-        inner = [k for k in new if units[k][:1] in (" ", "\n") and not units[k][-1].isspace()]
-        for places, of in ((inner, self._joined), (sorted({*new} - {*inner}), self._whole)):
-            for k, ids in zip(places, of([units[k] for k in places]), strict=True):
-                found[k] = ids
-        self.known.update((units[k], found[k]) for k in missing)
-        if len(self.known) > CACHE_UNITS:  # what is still in use comes back from the older ones
-            self.known, self.older = {}, self.known
-        return found
+    def _of_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of these different units start in what is remembered, and how many they are."""
+        if self.known.held > CACHE_BYTES:
+            self.known.forget()
+        first, second = self.known.keys(units.cast(pa.large_binary()).to_pylist())
+        known, start, length = self.known.find((first, second))
+        new = np.flatnonzero(~known)
+        if len(new):
+            fresh = units.take(pa.array(new))
+            texts, sizes = fresh.to_pylist(), pc.binary_length(fresh).to_numpy()
+            inner = np.fromiter((u[:1] in (" ", "\n") and not u[-1].isspace() for u in texts), bool, len(texts))
+            found = np.empty(len(texts), object)
+            found[inner] = self._joined([texts[k] for k in np.flatnonzero(inner)], sizes[inner])
+            found[~inner] = self._whole([texts[k] for k in np.flatnonzero(~inner)])
+            length[new] = [len(x) // 4 for x in found]
+            start[new] = self.known.add((first[new], second[new]), np.frombuffer(b"".join(found), "<u4"), length[new])
+        return start, length
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
@@ -87,16 +147,15 @@ class Encoder:
         parts = pc.split_pattern(marked, "\0")
         at = parts.offsets.to_numpy()
         coded = pc.dictionary_encode(parts.values.slice(at[0], at[-1] - at[0]))
-        ids = self._of_units(coded.dictionary.to_pylist())
-        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        starts, sizes = self._of_units(coded.dictionary)
         codes = coded.indices.to_numpy()
         each = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
-        shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
-        narrow = np.int32 if ends[-1] < 2**31 else np.int64
+        shift = starts[codes] - ends[:-1]
+        narrow = np.int32 if max(ends[-1], self.known.used) < 2**31 else np.int64
         places = np.repeat(shift.astype(narrow), each)
         places += np.arange(ends[-1], dtype=narrow)
-        return flat[places], ends[at - at[0]]
+        return self.known.ids[places].astype("<u4", copy=False), ends[at - at[0]]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uncut = np.ones(len(texts), bool) if not self.by_unit else pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
