@@ -76,26 +76,35 @@ def with_node_ids(sections: DataFrame, first: int = 1) -> DataFrame:
     return sections.withColumn("node_id", F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
 
 
+def _next_of(value: Column) -> Column:
+    """For each level the ``value`` of the first section after this one that is of it or a smaller one: a running last value from
+    the document's end, since a frame that only loses rows would be evaluated anew for each."""
+    after = _doc().orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.array(*[F.last(F.when(F.col("level") <= k, value), ignorenulls=True).over(after) for k in LEVELS])
+
+
 def with_subtree_end(sections: DataFrame) -> DataFrame:
     """``subtree_end``: the ord after the section's last descendant."""
-    after = _doc().orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    following = [F.first(F.when(F.col("level") <= k, F.col("ord")), ignorenulls=True).over(after) for k in LEVELS]
-    ends = sections.select("*", F.array(*following).alias("next_of"), F.count("*").over(_doc()).alias("sections_of"))
+    ends = sections.select("*", _next_of(F.col("ord")).alias("next_of"), F.count("*").over(_doc()).alias("sections_of"))
     return ends.withColumn("subtree_end", F.coalesce(F.get("next_of", F.col("level") - 1), F.col("sections_of"))).drop("next_of", "sections_of")
 
 
 def with_subtree_tokens(sections: DataFrame) -> DataFrame:
-    """``subtree_tokens`` of a section's text and those of its descendants, joined by line breaks.
+    """``subtree_end``, and ``subtree_tokens`` of a section's text and those of its descendants, joined by line breaks.
 
-    Running sums of lengths make it a difference of two rows; no text is built.
+    Running sums of lengths make it a difference of two rows, of which the later one comes with the subtree's end; no text is
+    built and nothing is joined.
     """
-    order = _doc().orderBy("ord")
-    length, some = F.length("text"), (F.length("text") > 0).cast("int")
-    ran = with_subtree_end(sections).withColumns({"ran": F.sum(length).over(order), "some": F.sum(some).over(order), "own": length, "own_some": some})
-    ends = ran.select("doc_id", (F.col("ord") + 1).alias("subtree_end"), F.col("ran").alias("end_ran"), F.col("some").alias("end_some"))
-    both = ran.join(ends, ["doc_id", "subtree_end"])
-    characters = (F.col("end_ran") - F.col("ran")) + (F.col("end_some") - F.col("some")) + F.col("own")
-    return both.withColumn("subtree_tokens", F.shiftright(characters, 2).cast("long")).drop("ran", "some", "own", "own_some", "end_ran", "end_some")
+    before = _doc().orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    length, some = F.length("text").cast("long"), (F.length("text") > 0).cast("long")
+    sums = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0).cast("long"))
+    place = F.struct("ord", sums(length, before).alias("ran"), sums(some, before).alias("some"))
+    whole = F.struct(F.count("*").over(_doc()).alias("ord"), sums(length, _doc()).alias("ran"), sums(some, _doc()).alias("some"))
+    placed = sections.select("*", place.alias("from"), whole.alias("whole"))
+    ended = placed.withColumn("to", F.coalesce(F.get(_next_of(F.col("from")), F.col("level") - 1), F.col("whole")))
+    below = F.col("to.some") - F.col("from.some") - some
+    characters = F.col("to.ran") - F.col("from.ran") + below
+    return ended.withColumns({"subtree_end": F.col("to.ord"), "subtree_tokens": F.shiftright(characters, 2).cast("long")}).drop("from", "whole", "to")
 
 
 def thinned(sections: DataFrame, least_tokens: int) -> DataFrame:

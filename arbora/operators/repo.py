@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import base_name, preview
+from . import tree
 from .common import joined_in_order
 
 # Which files are indexed, which are not, and which describe their directory, in order.
@@ -141,3 +142,10 @@ def shown(dirs: DataFrame, most_depth: int = 4) -> DataFrame:
     """Directories up to a depth in display order, with ``more`` where some below are left out."""
     index = flat_index(dirs).select("repo_id", "path", "ord")
     return dirs.join(index, ["repo_id", "path"]).where(F.col("depth") <= most_depth).withColumn("more", (F.col("depth") == most_depth) & (F.col("subdir_count") > 0))
+
+
+def drawn(index: DataFrame, most_depth: int = 4) -> DataFrame:
+    """doc_id, node_ord, line: the flat index as lines of text, directories with their numbers of files."""
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    label = F.concat(F.coalesce("title", "repo_id"), F.lit("/ ("), F.col("file_count").cast("string"), F.lit(" files)"))
+    return tree.drawn(index.select(F.col("repo_id").alias("doc_id"), F.col("ord").alias("node_ord"), depth.alias("depth"), label.alias("title")), most_depth)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import dots_to_colon, page_tag
+from ..functions import dots_to_colon, page_tag, squeezed
 from .common import joined_in_order
 
 
@@ -14,6 +14,16 @@ def _items() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("list_index")
 
 
+def _nearest(value: Column) -> tuple[Column, Column]:
+    """The last value before an item and the first one after it that is not null.
+
+    Both are running last values, the second from the document's end: a frame that only loses rows would be evaluated anew
+    for each of them.
+    """
+    end = Window.partitionBy("doc_id").orderBy(F.col("list_index").desc())
+    return tuple(F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for w in (_items(), end))
+
+
 def page_runs(pages: DataFrame, limit: int, start: int = 1) -> DataFrame:
     """The pages of each document's first table of contents: ``pages`` (doc_id, physical_index, is_toc: yes, no or other).
 
@@ -88,8 +98,7 @@ def with_offset(items: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def neighbours(items: DataFrame) -> DataFrame:
     """``prev_index`` and ``next_index`` of items without an index: the nearest known ones, else 0 and -1."""
-    before = F.last("physical_index", ignorenulls=True).over(_items().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("physical_index", ignorenulls=True).over(_items().rowsBetween(1, Window.unboundedFollowing))
+    before, after = _nearest(F.col("physical_index"))
     return items.withColumns({"prev_index": F.coalesce(before, F.lit(0)), "next_index": F.coalesce(after, F.lit(-1))}).where("physical_index is null")
 
 
@@ -99,9 +108,7 @@ def repair_ranges(items: DataFrame, wrong: DataFrame, counts: DataFrame, start_i
     ``wrong`` has doc_id and list_index, ``counts`` doc_id and n_pages.  Defaults are the page before the first and the last.
     """
     marked = items.join(wrong.select("doc_id", "list_index", F.lit(True).alias("is_wrong")).distinct(), ["doc_id", "list_index"], "left")
-    right = F.when(F.col("is_wrong").isNull(), F.col("physical_index"))
-    before = F.last(right, ignorenulls=True).over(_items().rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(right, ignorenulls=True).over(_items().rowsBetween(1, Window.unboundedFollowing))
+    before, after = _nearest(F.when(F.col("is_wrong").isNull(), F.col("physical_index")))
     ranged = marked.withColumns({"before": before, "after": after}).where("is_wrong").join(counts.select("doc_id", "n_pages"), "doc_id", "left")
     first, last = F.lit(start_index - 1), F.col("n_pages") + (start_index - 1)
     return ranged.withColumns({"prev_correct": F.coalesce("before", first), "next_correct": F.coalesce("after", last)}).drop("is_wrong", "before", "after", "n_pages")
@@ -115,8 +122,11 @@ def range_text(ranged: DataFrame, pages: DataFrame, first: str, last: str) -> Da
 
 
 def with_page_text(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """``page_text`` of each item's page; null where it has no index or the page is missing."""
-    texts = pages.select("doc_id", "physical_index", F.col("text").alias("page_text"))
+    """``page_text`` of each item's page; null where it has no index or the page is missing.
+
+    ``page_squeezed``, the text as titles are compared with it, is made once for each page, not for each item.
+    """
+    texts = pages.select("doc_id", "physical_index", F.col("text").alias("page_text"), squeezed(F.col("text")).alias("page_squeezed"))
     return items.join(texts, ["doc_id", "physical_index"], "left")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import parent_code, shortened
 from .common import joined_in_order
@@ -30,20 +34,27 @@ def with_parents(items: DataFrame) -> DataFrame:
 def with_paths(nodes: DataFrame) -> DataFrame:
     """``path`` (list positions of a node's ancestors and itself) and ``depth``.
 
-    One fold over each document's nodes in list order, in which parents come before their children, so trees may be as deep
-    as they like and nothing is joined.
+    One pass over each document's nodes in list order, in which parents come before their children; a parent that doesn't is
+    none.  A path is its parent's with the node's own position, so the pass is as long as the paths are.  Built-in folds copy
+    what they have gathered at each step, so this is done over Arrow batches, of which a document may have any number.
     """
-    row = F.struct("list_index", "parent", F.struct(*nodes.columns).alias("row"))
-    docs = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    docs = docs.withColumn("places", F.transform("rows", lambda r: r["list_index"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in nodes.columns])
+    placed = nodes.select(F.sha2(F.to_json(F.struct("doc_id")), 256).alias("doc"), F.col("list_index").cast("long").alias("k"), F.col("parent").cast("long").alias("parent"), row.alias("row"))
+    placed = placed.repartition("doc").sortWithinPartitions("doc", "k")
+    kinds = placed.select("row").schema.add("path", T.ArrayType(T.LongType()))
 
-    def step(paths: Column, r: Column) -> Column:
-        above = F.get(paths, (F.array_position("places", r["parent"]) - 1).cast("int"))
-        return F.array_append(paths, F.concat(F.coalesce(above, F.array().cast("array<bigint>")), F.array(r["list_index"].cast("long"))))
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            paths = []
+            for doc, k, parent in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if doc != now:
+                    now, known = doc, {}
+                paths.append([*known.get(parent, ()), k])
+                known.setdefault(k, paths[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(paths, pa.list_(pa.int64()))], ["row", "path"])
 
-    paths = F.aggregate("rows", F.array().cast("array<array<bigint>>"), step)
-    each = docs.withColumn("paths", paths).select(F.explode(F.arrays_zip("rows", "paths")).alias("z"))
-    return each.select("z.rows.row.*", F.col("z.paths").alias("path")).withColumn("depth", F.size("path") - 1)
+    return placed.mapInArrow(follow, kinds).select("row.*", "path").withColumn("depth", F.size("path") - 1)
 
 
 def with_node_ids(nodes: DataFrame) -> DataFrame:
@@ -125,6 +136,23 @@ def limited(nodes: DataFrame, most_depth: int = 3) -> DataFrame:
     return shown.withColumn("more", (F.col("depth") == most_depth) & F.coalesce("inner", F.lit(False))).drop("inner")
 
 
+def drawn(nodes: DataFrame, most_depth: int = 3, label: Column | None = None) -> DataFrame:
+    """doc_id, node_ord, line: the tree as lines of text up to a depth, with branches, and dots where children are left out.
+
+    ``nodes`` has doc_id, node_ord (pre-order), depth and title.  Whether a node has a later sibling, and so a branch that goes on
+    past its descendants, is told by the next node that isn't deeper: a running last value for each depth from the end.
+    """
+    later = Window.partitionBy("doc_id").orderBy(F.col("node_ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    next_of = [F.last(F.when(F.col("depth") <= d, F.col("depth")), ignorenulls=True).over(later) for d in range(most_depth + 1)]
+    deeper = F.lead("depth").over(Window.partitionBy("doc_id").orderBy("node_ord")) > F.col("depth")
+    placed = nodes.select("doc_id", "node_ord", "depth", (F.col("title") if label is None else label).alias("label"), F.array(*[F.coalesce(n == d, F.lit(False)) for d, n in enumerate(next_of)]).alias("goes_on"), F.coalesce(deeper, F.lit(False)).alias("inner"))
+    shown = placed.where(F.col("depth") <= most_depth)
+    stem_ = F.array_join(F.transform(F.slice("goes_on", F.lit(1), F.col("depth")), lambda g: F.when(g, F.lit("│   ")).otherwise(F.lit("    "))), "")
+    branch = F.when(F.get("goes_on", F.col("depth")), F.lit("├── ")).otherwise(F.lit("└── "))
+    more = F.when((F.col("depth") == most_depth) & F.col("inner"), F.lit(" ...")).otherwise(F.lit(""))
+    return shown.select("doc_id", "node_ord", F.concat(stem_, branch, F.coalesce("label", F.lit("")), more).alias("line"))
+
+
 def shortened_strings(nodes: DataFrame, most: int = 40) -> DataFrame:
     return nodes.select(*[shortened(F.col(c), most).alias(c) if t == "string" else F.col(c) for c, t in nodes.dtypes])
 

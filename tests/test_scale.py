@@ -1,0 +1,57 @@
+"""Costs in proportion to a document's size: no window or fold that starts anew for each row."""
+
+from __future__ import annotations
+
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from arbora.operators import markdown, toc, tree
+
+
+def took(df) -> float:
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def sections(spark, n):
+    return spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("ord"), (1 + F.col("id") * 7 % 5).cast("int").alias("level"), F.lit("some text").alias("text"))
+
+
+def items(spark, n):
+    return spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("list_index"), F.when(F.col("id") % 5 == 0, F.col("id").cast("int")).alias("physical_index"))
+
+
+def nodes(spark, n):
+    return spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("list_index"), F.when(F.col("id") % 10 != 0, F.col("id") - F.col("id") % 10).alias("parent"))
+
+
+CASES = {
+    "subtree ends": lambda spark, n: markdown.with_subtree_end(sections(spark, n)),
+    "subtree tokens": lambda spark, n: markdown.with_subtree_tokens(sections(spark, n)),
+    "neighbours": lambda spark, n: toc.neighbours(items(spark, n)),
+    "repair ranges": lambda spark, n: toc.repair_ranges(items(spark, n), items(spark, n).where("list_index % 3 = 0"), spark.createDataFrame([(1, n)], "doc_id int, n_pages long")),
+    "paths": lambda spark, n: tree.with_node_ids(tree.with_paths(nodes(spark, n))),
+    "drawn": lambda spark, n: tree.drawn(tree.with_node_ids(tree.with_paths(nodes(spark, n))).withColumn("title", F.lit("t"))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_one_document_of_100000_rows(spark, name):
+    took(CASES[name](spark, 1000))
+    assert took(CASES[name](spark, 100_000)) < 20
+
+
+def test_deep_paths(spark):
+    chain = spark.range(500).select(F.lit("d").alias("doc_id"), F.col("id").alias("list_index"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    got = tree.with_paths(chain).orderBy("list_index").collect()
+    assert [r["depth"] for r in got] == list(range(500)) and got[-1]["path"] == list(range(500))
+
+
+def test_paths_of_odd_parents(spark):
+    rows = [(1, 0, None, "a"), (1, 1, 0, "b"), (1, 2, 7, "c"), (1, 3, 1, "d"), (None, 0, None, "e"), (None, 1, 0, "f"), (2, 5, 5, "g")]
+    got = {(r["doc_id"], r["list_index"]): r["path"] for r in tree.with_paths(spark.createDataFrame(rows, "doc_id int, list_index int, parent int, title string")).collect()}
+    assert got == {(1, 0): [0], (1, 1): [0, 1], (1, 2): [2], (1, 3): [0, 1, 3], (None, 0): [0], (None, 1): [0, 1], (2, 5): [5]}
+    assert tree.with_paths(spark.createDataFrame([], "doc_id int, list_index int, parent int")).count() == 0
