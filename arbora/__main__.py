@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 VERSION = "0.1.0"
+SUFFIXES = {"pdf": [".pdf"], "md": [".md", ".markdown"]}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,16 +19,27 @@ def parser() -> argparse.ArgumentParser:
         one = sub.add_parser(name, help=f"index {what}")
         one.add_argument("path")
         one.add_argument("-o", "--output", help="where to write; ./results by default")
-        one.add_argument("--text", action="store_true", help="keep the texts of nodes")
+        one.add_argument("--config", help="a file of options; ARBORA_CONFIG by default")
+        one.add_argument("--model", help="rules, package.module:function, or a model of the service at --model-url")
+        one.add_argument("--model-url", help="a chat service; its key is in ARBORA_MODEL_KEY on the executors")
+        one.add_argument("--concurrency", type=int, help="requests to the service at a time, for each task")
         one.add_argument("--no-summary", action="store_true", help="make no summaries")
-        if name == "md":
+        one.add_argument("--show", type=int, nargs="?", const=3, metavar="DEPTH", help="print the tree up to a depth")
+        if name != "repo":
+            one.add_argument("--text", action="store_true", help="keep the texts of nodes")
+            one.add_argument("--no-node-id", action="store_true", help="write no ids of nodes")
+            one.add_argument("--no-description", action="store_true", help="describe no documents")
+        if name in ("md", "folder"):
             one.add_argument("--thin", type=int, help="merge sections with fewer tokens than this")
+            one.add_argument("--summary-tokens", type=int, help="sections with fewer tokens are their own summary")
         if name in ("pdf", "folder"):
-            one.add_argument("--toc-pages", type=int, default=20)
-            one.add_argument("--max-pages", type=int, default=10)
-            one.add_argument("--max-tokens", type=int, default=20_000)
+            one.add_argument("--toc-pages", type=int)
+            one.add_argument("--max-pages", type=int)
+            one.add_argument("--max-tokens", type=int)
         if name == "folder":
             one.add_argument("--converter", help="url of a conversion service")
+            one.add_argument("--converter-timeout", type=float, help="seconds")
+            one.add_argument("--no-convert", action="store_true", help="skip files that need conversion")
         if name == "repo":
             one.add_argument("--include", action="append")
             one.add_argument("--exclude", action="append")
@@ -35,15 +47,17 @@ def parser() -> argparse.ArgumentParser:
 
 
 def options(args: argparse.Namespace):
+    """What the command line says, over the environment and the file."""
     from .config import load
 
-    yes = lambda x: "yes" if x else "no"
-    given = {"if_add_node_text": yes(args.text), "if_add_node_summary": yes(not args.no_summary)}
-    if getattr(args, "thin", None):
-        given |= {"if_thinning": "yes", "min_token_threshold": args.thin}
-    for name, option in (("toc_pages", "toc_check_page_num"), ("max_pages", "max_page_num_each_node"), ("max_tokens", "max_token_num_each_node")):
-        given[option] = getattr(args, name, None)
-    return load(given)
+    given = {option: getattr(args, name, None) for name, option in (
+        ("model", "model"), ("model_url", "model_url"), ("concurrency", "model_concurrency"), ("toc_pages", "toc_check_page_num"), ("max_pages", "max_page_num_each_node"), ("max_tokens", "max_token_num_each_node"),
+        ("thin", "min_token_threshold"), ("summary_tokens", "summary_token_threshold"), ("converter", "converter_url"), ("converter_timeout", "converter_timeout"),
+    )}
+    for name, option, value in (("text", "if_add_node_text", "yes"), ("thin", "if_thinning", "yes"), ("no_summary", "if_add_node_summary", "no"), ("no_node_id", "if_add_node_id", "no"), ("no_description", "if_add_doc_description", "no")):
+        if getattr(args, name, None):
+            given[option] = value
+    return load(given, path=args.config)
 
 
 def written(value: str, path: Path) -> None:
@@ -52,58 +66,74 @@ def written(value: str, path: Path) -> None:
     print(f"Written to {path}")
 
 
+def show(lines) -> None:
+    """Prints the lines of a drawn tree, one document after another."""
+    for row in lines.orderBy("doc_id", "node_ord").select("line").toLocalIterator():
+        print(row["line"])
+
+
 def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from . import config
     from .functions import stem
     from .operators import repo as ops
+    from .operators import tree
     from .plans import folder, markdown, pages, repo
-    from .reasoner import RuleReasoner
     from .sinks import repository_results, results
     from .sources import files
-    from .sources.convert import HttpConverter, LocalConverter, local_converter_there
 
     many = args.command in ("folder", "repo")
     path = Path(args.path).resolve()
     if not path.exists() or many != path.is_dir():
         print(f"{args.path}: no such {'folder' if many else 'file'}", file=sys.stderr)
         return 1
+    if args.command in ("pdf", "md") and path.suffix.lower() not in SUFFIXES[args.command]:
+        print(f"{args.path}: not {' or '.join(SUFFIXES[args.command])}", file=sys.stderr)
+        return 1
+    try:
+        given = options(args)
+        reasoner = config.reasoner(given)
+    except (ValueError, ImportError, AttributeError) as why:
+        print(why, file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("arbora").getOrCreate()
-    given, summaries = options(args), ["summary", "prefix_summary"] * (not args.no_summary)
-    text = ["text"] * args.text
+    described = given.if_add_node_summary == "yes" and given.if_add_doc_description == "yes"
+    kept = [*["node_id"] * (given.if_add_node_id == "yes"), "start_index", "end_index", "line_num", *["text"] * (given.if_add_node_text == "yes"), *["summary", "prefix_summary"] * (given.if_add_node_summary == "yes")]
+    fields = lambda nodes: ["title", *[c for c in kept if c in nodes.columns]]
     if args.command == "folder":
-        converter = HttpConverter(args.converter) if args.converter else None
-        if (converter is None or not converter.healthy()) and (converter := None) is None and local_converter_there():
-            converter = LocalConverter()
-        nodes, runs = folder.build(spark, str(path), given, converter=converter)
+        nodes, runs = folder.build(spark, str(path), given, reasoner, None if args.no_convert else config.converter(given))
         out = Path(args.output or "results")
-        named = runs.select(F.regexp_extract("path", "[^/]*$", 0).alias("doc_id"), "output")
-        found = results(nodes, named.withColumn("doc_name", F.col("doc_id")), ["title", "node_id", "start_index", "end_index", "line_num", *[c for c in summaries if c in nodes.columns]]).join(named, "doc_id")
+        named = runs.select(F.regexp_extract("path", "[^/]*$", 0).alias("doc_id"), "output", "description")
+        found = results(nodes, named.withColumn("doc_name", F.col("doc_id")), fields(nodes), named if described else None).join(named.drop("description"), "doc_id")
         for row in found.select("output", "value").toLocalIterator():  # one document at a time
             written(row["value"], out / row["output"])
+        if args.show is not None:
+            show(tree.drawn(nodes, args.show))
         runs.groupBy("fmt", "status").agg(F.count("*").alias("files")).orderBy("fmt", "status").show()
         return 0
     out = Path(args.output) if args.output else Path("results") / f"{path.name if args.command == 'repo' else path.stem}_{'index' if args.command == 'repo' else 'structure'}.json"
     if args.command == "repo":
         known = files.repository(spark, str(path), path.name)
         texts = files.file_texts(spark, str(path), path.name, ops.SUMMARY_FILES)
-        index = repo.build(known, texts, args.include, args.exclude, None if args.no_summary else RuleReasoner())
+        index = repo.build(known, texts, args.include, args.exclude, reasoner if given.if_add_node_summary == "yes" else None)
         written(repository_results(index, repo.statistics(known, args.include, args.exclude)).first()["value"], out)
+        if args.show is not None:
+            show(ops.drawn(index, args.show))
         return 0
     if args.command == "md":
-        nodes = markdown.build(files.markdown_files(spark, str(path)), given)
-        fields = ["title", "node_id", "line_num", *text, *summaries]
+        nodes = markdown.build(files.markdown_files(spark, str(path)), given, reasoner)
     else:
-        nodes = pages.build(files.pdf_pages(spark, str(path)).where("error is null").select("doc_id", "physical_index", "text"), given)
-        fields = ["title", "node_id", "start_index", "end_index", *text, *summaries[:1]]
-    described = markdown.described(nodes) if summaries else None
+        nodes = pages.build(files.pdf_pages(spark, str(path)).where("error is null").select("doc_id", "physical_index", "text"), given, reasoner)
     names = nodes.select("doc_id").distinct().withColumn("doc_name", stem(F.col("doc_id")) if args.command == "md" else F.col("doc_id"))
-    found = results(nodes, names, fields, described).first()
+    found = results(nodes, names, fields(nodes), markdown.described(nodes, reasoner) if described else None).first()
     if found is None:
         print(f"{args.path}: no sections found", file=sys.stderr)
         return 1
     written(found["value"], out)
+    if args.show is not None:
+        show(tree.drawn(nodes, args.show))
     return 0
 
 

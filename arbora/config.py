@@ -12,9 +12,10 @@ YES_NO = ("yes", "no")
 
 @dataclass(frozen=True)
 class Options:
-    project_id: str | None = None
-    location: str = "us-central1"
-    model: str = "rules"
+    model: str = "rules"  # or package.module:function, or a model of the service at model_url
+    model_url: str | None = None
+    model_concurrency: int = 5
+    model_timeout: float = 300.0
     toc_check_page_num: int = 20
     max_page_num_each_node: int = 10
     max_token_num_each_node: int = 20_000
@@ -52,19 +53,40 @@ def read_file(path: str) -> dict:
     return found
 
 
-def load(given: Options | dict | None = None, environment: dict[str, str] | None = None) -> Options:
-    """Options of ``given`` over those of the environment over the defaults; of a mapping nulls are left out."""
+def load(given: Options | dict | None = None, environment: dict[str, str] | None = None, path: str | None = None) -> Options:
+    """Options of ``given`` over those of the environment, over those of a file, over the defaults; of a mapping nulls are left
+    out.  The file is ``path``, or what ARBORA_CONFIG names."""
     if isinstance(given, Options):
         return given
     if given is not None and not isinstance(given, dict):
         raise TypeError("options are a mapping, Options or None")
     environment = dict(os.environ) if environment is None else environment
     kinds = {f.name: f.type for f in dataclasses.fields(Options)}
-    values = {}
+    path = path or environment.get(PREFIX + "CONFIG")
+    if path and not os.path.exists(path):
+        raise ValueError(f"no such options file: {path}")
+    values = read_file(path) if path else {}
     for name, kind in kinds.items():
         if (raw := environment.get(PREFIX + name.upper())) is not None:
             values[name] = int(raw) if kind == "int" else float(raw) if kind == "float" else raw
-    given = {k: v for k, v in (given or {}).items() if v is not None}
-    if unknown := given.keys() - kinds.keys():
+    values |= {k: v for k, v in (given or {}).items() if v is not None}
+    if unknown := values.keys() - kinds.keys():
         raise ValueError(f"no such options: {', '.join(sorted(unknown))}")
-    return Options(**(values | given))
+    return Options(**values)
+
+
+def reasoner(options: Options):
+    """The reasoner that the options name."""
+    from .reasoner import load as load_reasoner
+
+    return load_reasoner(options.model, {"url": options.model_url, "concurrency": options.model_concurrency, "timeout": options.model_timeout})
+
+
+def converter(options: Options):
+    """The converter that the options name if it is up, else one in the same process if that is installed, else none."""
+    from .sources.convert import HttpConverter, LocalConverter, local_converter_there
+
+    service = HttpConverter(options.converter_url, options.converter_timeout) if options.converter_url else None
+    if service is not None and service.healthy():
+        return service
+    return LocalConverter() if local_converter_there() else None

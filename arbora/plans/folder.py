@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Options, load
+from ..config import reasoner as chosen_reasoner
 from ..functions import base_name
 from ..operators.batch import output_names
 from ..reasoner import RuleReasoner
@@ -16,29 +17,33 @@ from . import markdown, pages
 
 
 def build(spark: SparkSession, path: str, options: Options | dict | None = None, reasoner: RuleReasoner | None = None, converter: Converter | None = None, extract: Extractor = pdf_text) -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc_id, node_ord, node_id, title, ...) and runs (path, fmt, output, status, error) of a folder's files.
+    """Nodes (doc_id, node_ord, node_id, title, ...) and runs (path, fmt, output, status, error, description) of a folder's files.
 
     PDF files go through pages, Markdown and what ``converter`` makes of other files through headings.  A file that fails is
     a row of the runs and stops nothing else; without a converter convertible files are skipped.
     """
-    options, reasoner = load(options), reasoner or RuleReasoner()
+    options = load(options)
+    reasoner = reasoner or chosen_reasoner(options)
+    text = ["text"] if options.if_add_node_text == "yes" else []
     files = staged(output_names(folder(spark, path)).where("fmt <> 'unsupported'"), "files")
     listed = files.withColumn("doc_id", base_name(F.col("path")))
 
     read = staged(pdf_pages(spark, path, extract), "pdf-pages")
-    pdf = pages.build(read.where("error is null").select("doc_id", "physical_index", "text"), options, reasoner).select("doc_id", "node_ord", "node_id", "title", "depth", "start_index", "end_index", *(["summary"] if options.if_add_node_summary == "yes" else []))
+    pdf = pages.build(read.where("error is null").select("doc_id", "physical_index", "text"), options, reasoner).select("doc_id", "node_ord", "node_id", "title", "depth", "start_index", "end_index", *text, *(["summary"] if options.if_add_node_summary == "yes" else []))
 
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", "content")
     own = content.join(files.where("fmt = 'markdown'").select("path"), "path", "left_semi").select("path", F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
     other = content.join(files.where("fmt = 'docling'").select("path"), "path", "left_semi")
     made = own if converter is None else own.unionByName(converted(other, converter))
     made = staged(made.withColumn("doc_id", base_name(F.col("path"))), "markdown")
-    md = markdown.build(made.where("text is not null").select("doc_id", "text"), options, reasoner).select("doc_id", "node_ord", "node_id", "title", "depth", "line_num", *(["summary", "prefix_summary"] if options.if_add_node_summary == "yes" else []))
+    md = markdown.build(made.where("text is not null").select("doc_id", "text"), options, reasoner).select("doc_id", "node_ord", "node_id", "title", "depth", "line_num", *text, *(["summary", "prefix_summary"] if options.if_add_node_summary == "yes" else []))
     nodes = staged(pdf.unionByName(md, allowMissingColumns=True), "nodes")
 
     failed = read.where("error is not null").select("doc_id", "error").unionByName(made.where("error is not null").select("doc_id", "error"))
     tried = listed.join(failed, "doc_id", "left")
     skipped = (F.col("fmt") == "docling") & F.lit(converter is None)
     status = F.when(skipped, "skipped").when(F.col("error").isNotNull(), "failed").otherwise("success")
-    return nodes, tried.select("path", "fmt", "output", status.alias("status"), "error")
+    described = options.if_add_doc_description == "yes" and options.if_add_node_summary == "yes"
+    said = staged(markdown.described(nodes, reasoner), "descriptions") if described else nodes.select("doc_id", F.lit(None).cast("string").alias("description")).limit(0)
+    return nodes, tried.join(said, "doc_id", "left").select("path", "fmt", "output", status.alias("status"), "error", "description")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Options, load
+from ..config import reasoner as chosen_reasoner
 from ..operators import markdown as md
 from ..reasoner import RuleReasoner
 
@@ -19,7 +20,8 @@ def build(docs: DataFrame, options: Options | dict | None = None, reasoner: Rule
     0.  Summaries of short sections are their texts, and only long ones reach the reasoner; leaves have ``summary``, others
     ``prefix_summary``.
     """
-    options, reasoner = load(options), reasoner or RuleReasoner()
+    options = load(options)
+    reasoner = reasoner or chosen_reasoner(options)
     sections = md.sections(md.lines(docs))
     if options.if_thinning == "yes":
         sections = md.thinned(sections, options.min_token_threshold)

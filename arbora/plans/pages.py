@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Options, load
+from ..config import reasoner as chosen_reasoner
 from ..operators import pages as pg
 from ..operators import toc, tree
 from ..reasoner import RuleReasoner
@@ -43,7 +44,7 @@ def by_numbers(items: DataFrame, pages: DataFrame, after: DataFrame, options: Op
 
 
 def verified(items: DataFrame, pages: DataFrame, reasoner: RuleReasoner) -> DataFrame:
-    return reasoner.title_appears(toc.with_page_text(items, pages)).drop("page_text")
+    return reasoner.title_appears(toc.with_page_text(items, pages)).drop("page_text", "page_squeezed")
 
 
 def repaired(items: DataFrame, wrong: DataFrame, pages: DataFrame, counts: DataFrame, reasoner: RuleReasoner) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +74,8 @@ def accepted(items: DataFrame, pages: DataFrame, counts: DataFrame, reasoner: Ru
 
 def sections(pages: DataFrame, options: Options | dict | None = None, reasoner: RuleReasoner | None = None) -> DataFrame:
     """Items of each document: doc_id, list_index, structure, title, physical_index.  Documents for which no way works have none."""
-    options, reasoner = load(options), reasoner or RuleReasoner()
+    options = load(options)
+    reasoner = reasoner or chosen_reasoner(options)
     counts = staged(pg.totals(pages), "counts")
     near = reasoner.toc_pages(pages.where(F.col("physical_index") <= options.toc_check_page_num))
     hit = near.where("is_toc = 'yes'").select("doc_id").distinct()
@@ -94,7 +96,7 @@ def sections(pages: DataFrame, options: Options | dict | None = None, reasoner:
 
 def with_starts(items: DataFrame, pages: DataFrame, reasoner: RuleReasoner) -> DataFrame:
     """``appear_start``; no where an item has no index."""
-    return reasoner.title_starts(toc.with_page_text(items, pages)).drop("page_text")
+    return reasoner.title_starts(toc.with_page_text(items, pages)).drop("page_text", "page_squeezed")
 
 
 def _child_path(parent: Column) -> Column:
@@ -116,7 +118,8 @@ def split_large(nodes: DataFrame, pages: DataFrame, options: Options, reasoner:
             break
         # A node stands for a document of its own, so that the steps above work on each by itself.
         part = F.struct("doc_id", "parent_path")
-        inside = big.join(pages, "doc_id").where(F.col("physical_index").between(F.col("start_index"), F.col("end_index")))
+        spans = big.where(F.col("start_index") <= F.col("end_index")).select("doc_id", "parent_path", F.explode(F.sequence("start_index", "end_index")).alias("physical_index"))
+        inside = spans.join(pages, ["doc_id", "physical_index"])
         inside = staged(inside.select(part.alias("part"), "physical_index", "text", "n_tokens").withColumnRenamed("part", "doc_id"), "parts")
         counts = inside.groupBy("doc_id").agg(F.max("physical_index").alias("n_pages"))
         items = with_starts(accepted(reasoner.outline(inside).select(*ITEM), inside, counts, reasoner), inside, reasoner)
@@ -140,7 +143,8 @@ def split_large(nodes: DataFrame, pages: DataFrame, options: Options, reasoner:
 def build(pages: DataFrame, options: Options | dict | None = None, reasoner: RuleReasoner | None = None) -> DataFrame:
     """``pages`` (doc_id, physical_index, text) as nodes: doc_id, path, node_ord, node_id, depth, title, start_index,
     end_index, is_leaf, text and summary as asked for."""
-    options, reasoner = load(options), reasoner or RuleReasoner()
+    options = load(options)
+    reasoner = reasoner or chosen_reasoner(options)
     pages = staged(pg.with_tokens(pages), "pages")
     counts = pg.totals(pages)
     items = with_starts(tree.with_preface(sections(pages, options, reasoner)), pages, reasoner)
@@ -156,11 +160,12 @@ def build(pages: DataFrame, options: Options | dict | None = None, reasoner: Rul
     return nodes if options.if_add_node_text == "yes" else nodes.drop("text")
 
 
-class PageIndexer:
+class Indexer:
     """Options and a reasoner, for one set of pages after another."""
 
     def __init__(self, options: Options | dict | None = None, reasoner: RuleReasoner | None = None):
-        self.options, self.reasoner = load(options), reasoner or RuleReasoner()
+        self.options = load(options)
+        self.reasoner = reasoner or chosen_reasoner(self.options)
 
     def process(self, pages: DataFrame) -> DataFrame:
         return build(pages, self.options, self.reasoner)

@@ -21,15 +21,15 @@ def build(files: DataFrame, texts: DataFrame | None = None, include: list[str] |
     if reasoner is None:
         return repo.flat_index(dirs)
     dirs, contexts = staged(dirs, "dirs"), staged(repo.contexts(kept, texts), "contexts")
-    done = None
+    done = below = None
     for depth in range(dirs.agg(F.max("depth")).first()[0] or 0, -1, -1):
         level = dirs.where(F.col("depth") == depth)
         asked = level.select("repo_id", "path").join(contexts, ["repo_id", "path"], "left").withColumn("context", F.coalesce("context", F.lit("")))
-        if done is not None:
-            asked = repo.with_child_summaries(asked, done)
+        if below is not None:  # the level before has all their children
+            asked = repo.with_child_summaries(asked, below)
         said = reasoner.summary(asked.where("context <> ''"), "context", "summary").unionByName(asked.where("context = ''").withColumn("summary", F.lit("")))
-        new = staged(level.join(said.select("repo_id", "path", "summary"), ["repo_id", "path"]), "summaries")
-        done = new if done is None else done.unionByName(new)
+        below = staged(level.join(said.select("repo_id", "path", "summary"), ["repo_id", "path"]), "summaries")
+        done = below if done is None else done.unionByName(below)
     return repo.flat_index(done)
 
 

@@ -6,6 +6,7 @@ different prompt.
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 import time
@@ -22,6 +23,10 @@ TOC_ITEMS = "array<struct<structure:string,title:string,page:int>>"
 SUMMARY_CHARS, TOC_LINES, TITLE_CHARS, DESCRIBED = 200, 3, 80, 3
 
 
+def _squeezed_page(rows: DataFrame) -> Column:
+    return F.col("page_squeezed") if "page_squeezed" in rows.columns else squeezed(F.col("page_text"))
+
+
 def _key() -> Column:
     """A string for a document, whatever the type of its id."""
     return F.sha2(F.to_json(F.struct("doc_id")), 256)
@@ -56,19 +61,25 @@ class RuleReasoner:
         return short.select("doc_id", k.cast("long").alias("list_index"), (k + 1).cast("string").alias("structure"), "title", "physical_index")
 
     def place(self, items: DataFrame, pages: DataFrame) -> DataFrame:
-        """``items`` (doc_id, list_index, title, ...) with ``physical_index``, the first of ``pages`` that has the title."""
-        pairs = items.join(pages.select("doc_id", "physical_index", F.col("text").alias("page_text")), "doc_id")
-        found = RuleReasoner.title_appears(self, pairs).where("answer = 'yes'").groupBy("doc_id", "list_index").agg(F.min("physical_index").cast("int").alias("physical_index"))
-        return items.join(found, ["doc_id", "list_index"], "left")
+        """``items`` (doc_id, list_index, title, ...) with ``physical_index``, the first of ``pages`` that has the title.
+
+        A page meets the titles of its document as one list, so there are as many rows as pages, and then as finds; the text of
+        a page is squeezed once.
+        """
+        titles = items.groupBy("doc_id").agg(F.collect_list(F.struct("list_index", squeezed(F.col("title")).alias("title"))).alias("titles"))
+        met = pages.select("doc_id", F.col("physical_index").cast("int").alias("physical_index"), squeezed(F.col("text")).alias("squeezed")).join(titles, "doc_id")
+        finds = met.select("doc_id", "physical_index", F.explode(F.filter("titles", lambda t: F.contains(F.col("squeezed"), t["title"]))).alias("t"))
+        first = finds.groupBy("doc_id", F.col("t.list_index").alias("list_index")).agg(F.min("physical_index").alias("physical_index"))
+        return items.join(first, ["doc_id", "list_index"], "left")
 
     def title_appears(self, rows: DataFrame) -> DataFrame:
         """``answer``: whether ``page_text`` has ``title`` without regard to case and white space."""
-        found = F.contains(squeezed(F.col("page_text")), squeezed(F.col("title")))
+        found = F.contains(_squeezed_page(rows), squeezed(F.col("title")))
         return rows.withColumn("answer", F.when(found, "yes").otherwise("no"))
 
     def title_starts(self, rows: DataFrame) -> DataFrame:
         """``appear_start``: whether ``page_text`` begins with ``title`` in the same sense."""
-        found = F.startswith(squeezed(F.col("page_text")), squeezed(F.col("title")))
+        found = F.startswith(_squeezed_page(rows), squeezed(F.col("title")))
         return rows.withColumn("appear_start", F.when(found, "yes").otherwise("no"))
 
     def locate(self, rows: DataFrame) -> DataFrame:
@@ -87,7 +98,8 @@ class RuleReasoner:
         return docs.withColumn("description", F.array_join(F.slice("titles", 1, DESCRIBED), "; "))
 
 
-Complete = Callable[[list[str]], list[str]]
+#: Prompts to replies: texts, or pairs of a text and the reason why it ended.
+Complete = Callable[[list[str]], list]
 GROUP_TOKENS = 20_000
 
 
@@ -113,17 +125,38 @@ def _entries(reply) -> list[dict]:
     return [x for x in reply if isinstance(x, dict) and x.get("title")] if isinstance(reply, list) else []
 
 
-def _patient(complete: Complete, retries: int, pause: float) -> Complete:
-    def ask(prompts: list[str]) -> list[str]:
+def as_reply(said) -> tuple[str, bool]:
+    """A reply's text and whether it was cut at the output limit.  ``complete`` gives texts, or pairs of text and finish reason."""
+    if isinstance(said, str):
+        return said, False
+    text, reason = said
+    return text or "", any(x in str(reason or "").upper() for x in ("MAX_TOKENS", "LENGTH"))
+
+
+def _patient(complete: Complete, retries: int, pause: float) -> Callable[[list[str]], list[str]]:
+    """``complete`` tried again where it fails, and asked to go on where a reply was cut, until one ends or adds nothing."""
+
+    def tried(prompts: list[str]) -> list[tuple[str, bool]]:
         for attempt in range(retries):
             try:
-                return complete(prompts)
+                return [as_reply(x) for x in complete(prompts)]
             except Exception:
                 if attempt + 1 == retries:
                     raise
                 time.sleep(pause)
         return []
 
+    def ask(prompts: list[str]) -> list[str]:
+        got = tried(prompts)
+        texts = [text for text, _ in got]
+        cut = [k for k, (text, over) in enumerate(got) if over and text]
+        while cut:
+            more = tried([f"{prompts[k]}\n\nYour reply was cut. This is what there is of it:\n{texts[k]}\n\nGo on with the very next character." for k in cut])
+            for k, (text, _) in zip(cut, more, strict=True):
+                texts[k] += text
+            cut = [k for k, (text, over) in zip(cut, more, strict=True) if over and text]
+        return texts
+
     return ask
 
 
@@ -211,17 +244,24 @@ class ModelReasoner(RuleReasoner):
     def toc_items(self, tocs: DataFrame) -> DataFrame:
         task = 'Turn this table of contents into a JSON list of {"structure": dotted number or null, "title": text, "page": number or null}.\n\n'
         done = tocs.withColumn("items", F.array().cast(TOC_ITEMS)).withColumn("complete", F.lit("no"))
-        # A long table of contents comes in several replies.  One that adds nothing is the last, and no text has more items than characters.
+        # A long table of contents comes in several replies.  One after which the list is judged complete, or that adds nothing, is
+        # the last, and no text has more items than characters.
         while not (left := done.where("complete <> 'yes'")).isEmpty():
             asked = self._ask(left, F.concat(F.lit(task), "toc_text", F.lit("\n\nGo on after these, with nothing if all are there:\n"), F.to_json("items")), "raw_reply")
             more = F.coalesce(extract_json(F.col("raw_reply"), TOC_ITEMS), F.array().cast(TOC_ITEMS))
             grown = asked.withColumn("more", more).withColumn("added", F.size(F.array_except("more", "items")) > 0)
-            grown = grown.withColumn("items", F.when(F.col("added"), F.concat("items", "more")).otherwise(F.col("items")))
-            ended = ~F.col("added") | (F.size("items") >= F.coalesce(F.length("toc_text"), F.lit(0)))
-            grown = grown.withColumn("complete", F.when(ended, "yes").otherwise("no")).drop("raw_reply", "more", "added")
+            grown = grown.withColumn("items", F.when(F.col("added"), F.concat("items", "more")).otherwise(F.col("items"))).drop("raw_reply", "more", "complete")
+            judged = self.toc_complete(grown.where("added"))
+            full = F.size("items") >= F.coalesce(F.length("toc_text"), F.lit(0))
+            grown = judged.withColumn("complete", F.when(full, "yes").otherwise(F.col("complete"))).unionByName(grown.where("not added").withColumn("complete", F.lit("yes"))).drop("added")
             done = staged(done.where("complete = 'yes'").unionByName(grown), "toc-replies")
         return done.drop("complete")
 
+    def toc_complete(self, tocs: DataFrame) -> DataFrame:
+        """``complete``: whether ``items`` are all sections of ``toc_text``."""
+        listed = tocs.withColumn("listed", F.to_json("items"))
+        return self._yes_no(listed, "Does this list have all sections of the table of contents?", ["toc_text", "listed"], "complete").drop("listed")
+
     def title_appears(self, rows: DataFrame) -> DataFrame:
         there = rows.where("page_text is not null")
         return self._yes_no(there, "Does a section with this title appear or start on this page?", ["title", "page_text"], "answer").unionByName(rows.where("page_text is null").withColumn("answer", F.lit("no")))
@@ -244,3 +284,18 @@ class ModelReasoner(RuleReasoner):
 
     def description(self, docs: DataFrame) -> DataFrame:
         return self._ask(docs, F.concat(F.lit("Describe in one sentence a document with these sections: "), F.array_join("titles", "; ")), "description")
+
+
+def load(name: str, converse: dict | None = None) -> RuleReasoner:
+    """The reasoner of an option: ``rules``, an import path ``package.module:function`` of a ``Complete``, or the name of a
+    model behind the chat service that ``converse`` (url, concurrency, timeout) says."""
+    if name == "rules":
+        return RuleReasoner()
+    if ":" in name and not (converse or {}).get("url"):
+        module, _, function = name.partition(":")
+        return ModelReasoner(getattr(importlib.import_module(module), function))
+    from .sources.chat import ChatService
+
+    if not (converse or {}).get("url"):
+        raise ValueError(f"{name!r} is a model of a service; say its url")
+    return ModelReasoner(ChatService(model=name, **converse))

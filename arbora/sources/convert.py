@@ -74,23 +74,33 @@ def local_converter_there(module: str = "docling") -> bool:
     return importlib.util.find_spec(module) is not None
 
 
-def converted(files: DataFrame, converter: Converter) -> DataFrame:
-    """path, text, error of ``files`` (path, content); a file that can't be converted has an error and no text."""
+def _tried(rows: DataFrame, key: str, make) -> DataFrame:
+    """``key``, text, error of what ``make`` returns for each row's values; a failure is an error and no text."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            out = []
+            for values in zip(*[batch[c] for c in batch.columns], strict=True):
                 try:
-                    text = converter.convert(path.rsplit("/", 1)[-1], content)
-                    rows.append((path, text or None, None if text else "no Markdown came back"))
+                    text = make(*values)
+                    out.append((values[0], text or None, None if text else "no Markdown came back"))
                 except Exception as why:
-                    rows.append((path, None, f"{type(why).__name__}: {why}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                    out.append((values[0], None, f"{type(why).__name__}: {why}"))
+            yield pd.DataFrame(out, columns=[key, "text", "error"])
+
+    return rows.mapInPandas(run, f"{key} string, text string, error string")
+
+
+def converted(files: DataFrame, converter: Converter) -> DataFrame:
+    """path, text, error of ``files`` (path, content); a file that can't be converted has an error and no text."""
+    return _tried(files.select("path", "content"), "path", lambda path, content: converter.convert(path.rsplit("/", 1)[-1], content))
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+def converted_urls(urls: DataFrame, converter: Converter) -> DataFrame:
+    """url, text, error of ``urls`` (url); a page that can't be fetched or converted has an error and no text."""
+    return _tried(urls.select("url"), "url", converter.convert_url)
 
 
 def html_to_markdown(html: Column) -> Column:

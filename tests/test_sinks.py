@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arbora import sinks
 from arbora.operators import tree
-from arbora.plans.pages import PageIndexer
+from arbora.plans.pages import Indexer
 
 
 def nodes(spark):
@@ -38,5 +38,5 @@ def test_tables(spark, tmp_path):
 
 def test_indexer(spark):
     pages = spark.createDataFrame([(1, 1, "One\nx"), (1, 2, "Two\ny")], "doc_id int, physical_index int, text string")
-    got = PageIndexer({"if_add_node_summary": "no"}).process(pages).orderBy("node_ord").collect()
+    got = Indexer({"if_add_node_summary": "no"}).process(pages).orderBy("node_ord").collect()
     assert [(r["title"], r["start_index"], r["end_index"]) for r in got] == [("One", 1, 1), ("Two", 2, 2)]
