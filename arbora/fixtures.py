@@ -21,7 +21,7 @@ SQL = {
   FROM doc_pages""",
     "toc_items": """
   SELECT doc_id, k AS list_index,
-    CASE WHEN k % 4 = 0 THEN CAST(k // 4 + 1 AS VARCHAR) ELSE concat(CAST(k // 4 + 1 AS VARCHAR), '.', CAST(k % 4 AS VARCHAR)) END AS structure,
+    concat(CAST(k // 4 + 1 AS VARCHAR), CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '.1' WHEN 2 THEN '.1.1' ELSE '.2' END) AS structure,
     substr(text, 1, 40) AS title, physical_index - doc_id % 7 AS page,
     CASE WHEN k % 5 = 4 THEN NULL ELSE physical_index END AS physical_index
   FROM (SELECT *, (physical_index - 1) // 3 AS k FROM doc_pages WHERE (physical_index - 1) % 3 = 0)""",
@@ -66,9 +66,9 @@ def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-level sections at every third page; one in five has no page index."""
+    """Three-level sections at every third page; one in five has no page index."""
     k = doc_pages(spark, sf_dir).where("(physical_index - 1) % 3 = 0").withColumn("k", F.expr("(physical_index - 1) DIV 3"))
-    structure = F.expr("CASE WHEN k % 4 = 0 THEN CAST(k DIV 4 + 1 AS STRING) ELSE concat(CAST(k DIV 4 + 1 AS STRING), '.', CAST(k % 4 AS STRING)) END")
+    structure = F.expr("concat(CAST(k DIV 4 + 1 AS STRING), CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN '.1' WHEN 2 THEN '.1.1' ELSE '.2' END)")
     return k.select("doc_id", F.col("k").alias("list_index"), structure.alias("structure"), F.substring("text", 1, 40).alias("title"), (F.col("physical_index") - F.col("doc_id") % 7).alias("page"), F.when(F.col("k") % 5 != 4, F.col("physical_index")).alias("physical_index"))
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import sinks, staging
 from .config import Options
 from .functions import (
+    base_name,
     chat_role,
+    document_name,
     dots_to_colon,
     extract_json,
     fenced_json,
@@ -118,8 +121,7 @@ def md_subtree_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.with_subtree_tokens(_sections(spark, sf_dir)).select("doc_id", "ord", F.col("subtree_end").cast("long").alias("subtree_end"), "subtree_tokens")
 
 
-@query(
-    ["md_lines"],
+_THIN = (
     _SUBTREES
     + f"""
 , k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c a WHERE a.doc_id = c.doc_id AND a.ord < c.ord AND a.subtree_end > c.ord AND a.subtree_tokens < {LEAST_TOKENS}))
@@ -127,8 +129,13 @@ def md_subtree_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT k.doc_id, k.ord, any_value(k.level) AS level, any_value(k.title) AS title, any_value(k.line_num) AS line_num, any_value(k.subtree_tokens) AS own, count(*) AS n, string_agg(d.text, chr(10) || chr(10) ORDER BY d.ord) AS text
   FROM k JOIN c d ON d.doc_id = k.doc_id AND d.ord >= k.ord AND d.ord < CASE WHEN k.subtree_tokens < {LEAST_TOKENS} THEN k.subtree_end ELSE k.ord + 1 END GROUP BY k.doc_id, k.ord
 )
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, level, title, line_num, text, CAST(length(text) // 4 AS BIGINT) AS n_tokens, CASE WHEN n > 1 THEN CAST(length(text) // 4 AS BIGINT) ELSE own END AS subtree_tokens FROM m""",
+, z AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, level, title, line_num, text, CAST(length(text) // 4 AS BIGINT) AS n_tokens, CASE WHEN n > 1 THEN CAST(length(text) // 4 AS BIGINT) ELSE own END AS subtree_tokens FROM m
+)"""
 )
+
+
+@query(["md_lines"], _THIN + " SELECT * FROM z")
 def md_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.thinned(_sections(spark, sf_dir), LEAST_TOKENS)
 
@@ -156,7 +163,17 @@ def md_outline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.outline(_sections(spark, sf_dir))
 
 
-@query()
+@query(
+    ["md_lines"],
+    _THIN
+    + f""", l AS (
+  SELECT z.*, (SELECT max(p.ord) FROM z p WHERE p.doc_id = z.doc_id AND p.ord < z.ord AND p.level < z.level) AS parent_ord,
+    (SELECT count(*) FROM z x WHERE x.doc_id = z.doc_id AND x.ord < z.ord AND x.level < (SELECT min(y.level) FROM z y WHERE y.doc_id = z.doc_id AND y.ord > x.ord AND y.ord <= z.ord)) AS depth,
+    NOT coalesce(lead(level) OVER (PARTITION BY doc_id ORDER BY ord) > level, false) AS is_leaf, CASE WHEN n_tokens < {SUMMARY_TOKENS} THEN text ELSE substr(text, 1, 200) END AS said FROM z
+)
+SELECT doc_id, ord AS node_ord, parent_ord, CAST(depth AS INT) AS depth, lpad(CAST(ord AS VARCHAR), CAST(greatest(4, length(CAST(ord AS VARCHAR))) AS INT), '0') AS node_id, title, line_num, text, n_tokens,
+  CASE WHEN is_leaf THEN said END AS summary, CASE WHEN NOT is_leaf THEN said END AS prefix_summary, is_leaf FROM l""",
+)
 def md_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole Markdown plan, with thinning and summaries."""
     docs = fx.md_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "line"))), lambda x: x["line"]), "\n").alias("text"))
@@ -281,7 +298,8 @@ def toc_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IDS = (
     _SPANS
     + """, o AS (
-  SELECT q.*, CASE WHEN parent IS NULL THEN [list_index] ELSE [parent, list_index] END AS path FROM q
+  SELECT q.*, list_filter([g.list_index, p.list_index, q.list_index], lambda x: x IS NOT NULL) AS path
+  FROM q LEFT JOIN q p ON p.doc_id = q.doc_id AND p.list_index = q.parent LEFT JOIN q g ON g.doc_id = p.doc_id AND g.list_index = p.parent
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS node_ord, CAST(len(path) - 1 AS INT) AS depth FROM o
 )"""
@@ -314,9 +332,9 @@ def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.toc_lines(_nodes(spark, sf_dir))
 
 
-@query(["doc_pages", "toc_items"], _IDS + " SELECT doc_id, list_index, title, depth, EXISTS (SELECT 1 FROM n c WHERE c.doc_id = n.doc_id AND c.parent = n.list_index) AS more FROM n WHERE depth <= 0")
+@query(["doc_pages", "toc_items"], _IDS + " SELECT doc_id, list_index, title, depth, EXISTS (SELECT 1 FROM n c WHERE c.doc_id = n.doc_id AND c.parent = n.list_index) AND depth = 1 AS more FROM n WHERE depth <= 1")
 def tree_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.limited(_nodes(spark, sf_dir), 0).select("doc_id", "list_index", "title", "depth", "more")
+    return tree.limited(_nodes(spark, sf_dir), 1).select("doc_id", "list_index", "title", "depth", "more")
 
 
 @query(["doc_pages", "toc_items"], _IDS + " SELECT doc_id, list_index, parent, node_ord, title, lpad(CAST(node_ord AS VARCHAR), CAST(greatest(4, length(CAST(node_ord AS VARCHAR))) AS INT), '0') AS node_id FROM n")
@@ -334,17 +352,39 @@ def shortened_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.shortened_strings(_spans(spark, sf_dir).select("doc_id", "list_index", "title"), 12)
 
 
-@query(
-    ["doc_pages", "toc_items"],
+_JSON = (
     _IDS
-    + """, j AS (SELECT doc_id, list_index, parent, rtrim(CAST(json_object('title', title, 'node_id', lpad(CAST(node_ord AS VARCHAR), CAST(greatest(4, length(CAST(node_ord AS VARCHAR))) AS INT), '0'), 'start_index', start_index, 'end_index', end_index) AS VARCHAR), '}') AS own FROM n)
-, c AS (SELECT doc_id, parent, string_agg(own || '}', ',' ORDER BY list_index) AS below FROM j WHERE parent IS NOT NULL GROUP BY doc_id, parent)
-SELECT j.doc_id, '[' || string_agg(own || CASE WHEN below IS NULL THEN '}' ELSE ',"nodes":[' || below || ']}' END, ',' ORDER BY list_index) || ']' AS json FROM j LEFT JOIN c ON c.doc_id = j.doc_id AND c.parent = j.list_index WHERE j.parent IS NULL GROUP BY j.doc_id""",
+    + """, j AS (SELECT doc_id, list_index, parent, depth, rtrim(CAST(json_object('title', title, 'node_id', lpad(CAST(node_ord AS VARCHAR), CAST(greatest(4, length(CAST(node_ord AS VARCHAR))) AS INT), '0'), 'start_index', start_index, 'end_index', end_index) AS VARCHAR), '}') AS own FROM n)
+, c2 AS (SELECT doc_id, parent, string_agg(own || '}', ',' ORDER BY list_index) AS below FROM j WHERE depth = 2 GROUP BY doc_id, parent)
+, j1 AS (SELECT j.*, own || CASE WHEN below IS NULL THEN '}' ELSE ',"nodes":[' || below || ']}' END AS whole FROM j LEFT JOIN c2 ON c2.doc_id = j.doc_id AND c2.parent = j.list_index WHERE depth = 1)
+, c1 AS (SELECT doc_id, parent, string_agg(whole, ',' ORDER BY list_index) AS below FROM j1 GROUP BY doc_id, parent)
+, trees AS (SELECT j.doc_id, '[' || string_agg(own || CASE WHEN below IS NULL THEN '}' ELSE ',"nodes":[' || below || ']}' END, ',' ORDER BY list_index) || ']' AS json FROM j LEFT JOIN c1 ON c1.doc_id = j.doc_id AND c1.parent = j.list_index WHERE depth = 0 GROUP BY j.doc_id)"""
 )
+
+
+@query(["doc_pages", "toc_items"], _JSON + " SELECT doc_id, json FROM trees")
 def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.as_json(_nodes(spark, sf_dir), ["title", "node_id", "start_index", "end_index"])
 
 
+@query(["doc_pages", "toc_items"], _JSON + """ SELECT '{"doc_name":"doc' || doc_id || '","structure":' || json || '}' AS value FROM trees""")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested trees written as lines of JSON, and read back."""
+    nodes = _nodes(spark, sf_dir)
+    names = nodes.select("doc_id").distinct().withColumn("doc_name", F.concat(F.lit("doc"), "doc_id"))
+    path = staging.new_path(spark, "json-lines")
+    sinks.write_json(sinks.results(nodes, names, ["title", "node_id", "start_index", "end_index"]), path)
+    return spark.read.text(path)
+
+
+@query(["doc_pages", "toc_items"], _IDS + " SELECT doc_id, list_index, path, title, node_ord FROM n")
+def node_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes written in folders by document, and read back."""
+    path = staging.new_path(spark, "node-table")
+    sinks.write_nodes(_nodes(spark, sf_dir), path)
+    return spark.read.parquet(path).select("doc_id", "list_index", "path", "title", "node_ord")
+
+
 def _text_sql(text: str) -> str:
     return _SPANS + f""" SELECT x.doc_id, x.list_index, coalesce(string_agg({text}, '' ORDER BY p.physical_index), '') AS text
 FROM x LEFT JOIN doc_pages p ON p.doc_id = x.doc_id AND p.physical_index BETWEEN x.start_index AND x.end_index GROUP BY x.doc_id, x.list_index"""
@@ -504,7 +544,27 @@ def docs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.sampled(fx.toc_items(spark, sf_dir), 5).select("doc_id", "list_index")
 
 
-@query()
+#: No page of these documents is a table of contents, so sections are the pages that begin with a short line, which is all
+#: such a page has; and what lies in a section has no further ones, so nothing is split off.
+_INDEX = r"""
+WITH p AS (
+  SELECT doc_id, physical_index, text, regexp_replace(text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g') AS head, max(physical_index) OVER (PARTITION BY doc_id) AS n_pages FROM doc_pages
+), f AS (
+  SELECT doc_id, physical_index, head AS title, n_pages, row_number() OVER (PARTITION BY doc_id ORDER BY physical_index) - 1 AS k FROM p WHERE head <> '' AND length(head) <= 80
+), g AS (
+  SELECT f.*, (SELECT max(physical_index) FROM f z WHERE z.doc_id = f.doc_id) >= n_pages / 2 AS late FROM f
+), i AS (
+  SELECT doc_id, physical_index, title, n_pages, CAST(k AS BIGINT) AS list_index FROM g WHERE late
+  UNION ALL SELECT doc_id, 1, 'Preface', n_pages, -1 FROM g WHERE late AND k = 0 AND physical_index > 1
+)
+SELECT doc_id, [list_index] AS path, title, CAST(physical_index AS INT) AS start_index, 0 AS depth, true AS is_leaf,
+  CAST(row_number() OVER w - 1 AS BIGINT) AS node_ord, lpad(CAST(row_number() OVER w - 1 AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER w - 1 AS VARCHAR))) AS INT), '0') AS node_id,
+  CAST(CASE WHEN lead(list_index) OVER w IS NULL THEN n_pages ELSE lead(physical_index) OVER w - 1 END AS BIGINT) AS end_index,
+  substr((SELECT coalesce(string_agg(p.text, '' ORDER BY p.physical_index), '') FROM p WHERE p.doc_id = i.doc_id AND p.physical_index BETWEEN i.physical_index AND i.last_page), 1, 200) AS summary
+FROM (SELECT *, CASE WHEN lead(list_index) OVER v IS NULL THEN n_pages ELSE lead(physical_index) OVER v - 1 END AS last_page FROM i WINDOW v AS (PARTITION BY doc_id ORDER BY list_index)) i WINDOW w AS (PARTITION BY doc_id ORDER BY list_index)"""
+
+
+@query(["doc_pages"], _INDEX)
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole page plan, with the rules as the reasoner."""
     made = fx.doc_pages(spark, sf_dir).select("doc_id", F.col("physical_index").cast("int").alias("physical_index"), "text")
@@ -589,12 +649,12 @@ def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ["repo_files"],
-    r"SELECT page_id, n AS name, CASE WHEN length(n) > 1 AND instr(substr(n, 2), '.') > 0 AND NOT ends_with(n, '.') THEN regexp_replace(n, '\.[^.]+$', '') ELSE n END AS stem, CASE WHEN length(n) > 1 AND instr(substr(n, 2), '.') > 0 AND NOT ends_with(n, '.') THEN lower(regexp_extract(n, '(\.[^.]+)$', 1)) ELSE '' END AS suffix, CASE WHEN n = '' THEN 'Untitled' ELSE n END AS title FROM (SELECT page_id, regexp_extract(path, '[^/]*$') AS n FROM repo_files)",
+    r"SELECT page_id, n AS name, CASE WHEN length(n) > 1 AND instr(substr(n, 2), '.') > 0 AND NOT ends_with(n, '.') THEN regexp_replace(n, '\.[^.]+$', '') ELSE n END AS stem, CASE WHEN length(n) > 1 AND instr(substr(n, 2), '.') > 0 AND NOT ends_with(n, '.') THEN lower(regexp_extract(n, '(\.[^.]+)$', 1)) ELSE '' END AS suffix, CASE WHEN n = '' THEN 'Untitled' ELSE n END AS title, CASE WHEN page_id > 10 THEN n ELSE replace(path, '/', '-') END AS document FROM (SELECT page_id, path, regexp_extract(path, '[^/]*$') AS n FROM repo_files)",
 )
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
-    name = F.regexp_extract(path, "[^/]*$", 0)
-    return fx.repo_files(spark, sf_dir).select("page_id", name.alias("name"), stem(path).alias("stem"), suffix(path).alias("suffix"), title_or_untitled(name).alias("title"))
+    given = F.when(F.col("page_id") > 10, path)  # the others are streams without a path
+    return fx.repo_files(spark, sf_dir).select("page_id", base_name(path).alias("name"), stem(path).alias("stem"), suffix(path).alias("suffix"), title_or_untitled(base_name(path)).alias("title"), document_name(given, path).alias("document"))
 
 
 # Repositories and folders
@@ -656,7 +716,19 @@ def dir_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo.contexts(_kept(spark, sf_dir))
 
 
-@query()
+def _summaries_sql(deepest: int) -> str:
+    """Contexts, and from the deepest directories up their beginnings, each with those of the directories below it."""
+    parts = [_KEPT + """, l AS (SELECT repo_id, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY lower(regexp_extract(path, '[^/]*$')), regexp_extract(path, '[^/]*$')) - 1 AS ord FROM kept)
+, x AS (SELECT dir AS path, 'Files: ' || string_agg(name, ', ' ORDER BY ord) FILTER (ord < 20) || CASE WHEN count(*) > 20 THEN chr(10) || chr(10) || '... and ' || (count(*) - 20) || ' more files' ELSE '' END AS context FROM l GROUP BY dir)"""]
+    for depth in range(deepest, -1, -1):
+        below = f"(SELECT string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY k) FROM (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY lower(title), title) AS k FROM s{depth + 1} WHERE summary <> '') b WHERE b.parent_path = d.path AND k <= 10)" if depth < deepest else "NULL"
+        parts.append(f"""s{depth} AS (SELECT d.*, CASE WHEN context IS NULL THEN '' ELSE substr(context || coalesce(chr(10) || chr(10) || 'Subdirectories:' || chr(10) || {below}, ''), 1, 200) END AS summary FROM d LEFT JOIN x ON x.path = d.path WHERE depth = {depth})""")
+    every = " UNION ALL ".join(f"SELECT * FROM s{depth}" for depth in range(deepest + 1))
+    return ", ".join(parts) + f""", o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN path = '' THEN [] ELSE [{{'low': lower(p), 'name': p}} FOR p IN string_split(path, '/')] END) - 1 AS ord FROM ({every}))
+SELECT repo_id, ord, lpad(CAST(ord AS VARCHAR), CAST(greatest(4, length(CAST(ord AS VARCHAR))) AS INT), '0') AS node_id, title, path, 'directory' AS type, summary, file_count, subdir_count FROM o"""
+
+
+@query(["repo_files"], _summaries_sql(6))
 def repo_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repository plan with directory summaries from the bottom up."""
     return repo_plan.build(_repo(spark, sf_dir), None, REPO_INCLUDE, REPO_EXCLUDE, RuleReasoner())
@@ -686,15 +758,36 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.statistics(_named(spark, sf_dir).withColumn("status", status))
 
 
-@query()
+def _html_sql() -> str:
+    text = "html"
+    for tag in ("script", "style", "nav", "head"):
+        text = rf"regexp_replace({text}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g'), '\s+', ' ', 'g')"
+    for level in range(1, 7):
+        text = rf"regexp_replace({text}, '(?i)<h{level}\b[^>]*>\s*', chr(10) || chr(10) || '{'#' * level} ', 'g')"
+    text = rf"regexp_replace({text}, '(?i)\s*</h[1-6]\s*>|\s*</?(p|div|article|section|ul|ol|table|tr|body|html)\b[^>]*>\s*', chr(10) || chr(10), 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)\s*<br\s*/?>\s*', chr(10), 'g'), '(?i)\s*<li\b[^>]*>\s*', chr(10) || '- ', 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    text = rf"regexp_replace(regexp_replace({text}, ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"SELECT page_id, regexp_replace({text}, '^\s+|\s+$', '', 'g') AS markdown FROM pages"
+
+
+@query(None, _html_sql())
 def html_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "pages").select("page_id", html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query(None, "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY event_type")
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps as an append-only table, by kind."""
-    return fx.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    """Steps added to a log in two goes, and read back by kind."""
+    path = staging.new_path(spark, "steps")
+    steps = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("level"), F.col("props").alias("payload"))
+    valued = F.col("payload").isNotNull()
+    sinks.append_events(steps.where(valued), path)
+    sinks.append_events(steps.where(~valued), path)
+    return spark.read.parquet(path).groupBy(F.col("level").alias("event_type")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
