@@ -3,15 +3,19 @@
 An opaque string is a run of 12 or more of ``A-Za-z0-9+/_-`` whose encoding is inferred from the characters it holds.  A run
 that fits no encoding, or with a part between ``/`` and ``+`` or between ``-`` and ``_`` that is clearly less like text than the
 whole, is tested by these parts, and they by theirs, with p-values multiplied by the number of ways in which it could be cut.
-Three tests ask whether its symbols look like independent draws from the encoding's alphabet: chi-squared uniformity, the
-runs of symbols above and below the middle of the alphabet, and the correlation of each symbol with the next.  Each gives
-a score that is about standard normal for random strings, and Stouffer's sum of their squares' tail, by Fisher's method,
-is one p-value ``p_random``.  Short strings pass such tests whatever they are, so the strings are then held against chance
-the other way round: ``p_text`` bounds how often ordinary text of the same length and encoding would look at least this
-even.  The bound is the likelihood ratio of text against uniform symbols (Markov's inequality), so it falls with length.
-Strings are reported by the Benjamini-Hochberg procedure at rate ``q``, with p-values weighted by length class so that
-longer strings, which the tests can tell apart, get more of the error budget.  The counts behind its threshold are of all
-strings of all documents, gathered as one histogram of fixed size.
+
+The battery has three tests over an encoding's alphabet, ordered from the symbols that are rarest in text to the commonest:
+chi-squared uniformity over equal cells of the alphabet, more of them the longer the string is; the runs of symbols of the
+rarer and of the commoner half; and the correlation of each symbol with the next.  Their p-values, under random symbols, are
+combined into one, ``p_random``, by Fisher's method.
+
+A discovery is false where the string is text, so what is controlled is the p-value of that.  Text has a likelihood ratio of
+random symbols to text of 1 / p or more with probability p at most (Markov's inequality); the ratio counts as far as the
+battery finds the string random, so it is multiplied by ``p_random``, and not at all where that is below LEAST_RANDOM.  A string
+of rare letters that fails the battery, being sorted, alternating or uneven, so is no discovery.  The ratio grows and the tests sharpen with length, and p-values are weighted
+by length class, so that longer strings, which can be told apart, get more of the error budget of the Benjamini-Hochberg
+procedure at rate ``q``.  The counts behind its threshold are of all strings of all documents, gathered as one histogram of
+fixed size.
 """
 
 from __future__ import annotations
@@ -56,7 +60,6 @@ ENCODINGS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-_ORDER = {name: {c: k for k, c in enumerate(a)} for name, a in ENCODINGS.items()}
 _CLASSES = [frozenset("0123456789"), frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), frozenset("+/-_")]
 
 #: Shares of symbols in ordinary identifiers, paths and slugs, by class: mostly small letters.
@@ -69,6 +72,8 @@ LENGTH_EDGES = [20, 24, 32, 48, 64]  # of the length classes
 LENGTH_WEIGHTS = [0.2, 0.4, 0.8, 1.2, 1.3, 1.3]  # mean 1 at most
 STEP, BINS = 0.05, 2000  # of the histogram of -log10 p
 RATE, LEAST_RANDOM = 0.01, 1e-4
+#: Cells of the alphabet for chi-squared: the fewest, and symbols of the string for each cell beyond.
+CELLS, PER_CELL = 4, 5
 CLEAR = math.log(1000)  # how much more parts must tell than what they are cut from
 
 
@@ -77,22 +82,33 @@ def encoding(run: str) -> str | None:
     held = set(run)
     if len(run) < LEAST_OPAQUE or held <= _CLASSES[0]:
         return None
-    return next((name for name, order in _ORDER.items() if held <= order.keys()), None)
+    return next((name for name, symbols in _SYMBOLS.items() if held <= symbols), None)
 
 
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def cells(n: int, size: int) -> list[int]:
+    """Where the cells of an alphabet of ``size`` symbols begin, and its end, for a string of ``n``."""
+    count = min(size, max(CELLS, n // PER_CELL))
+    return [-(-k * size // count) for k in range(count + 1)]
+
+
+def _chi_squared_z(x: float, df: int) -> float:
+    """About standard normal if ``x`` is chi-squared (Wilson and Hilferty's cube root)."""
+    return ((x / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))
+
+
 def tests(symbols: list[int], size: int) -> tuple[float, float, float]:
-    """p-values of uniformity, runs and serial correlation if the symbols were random."""
+    """p-values of uniformity, runs and serial correlation if the symbols, 0 to size - 1, were random."""
     n = len(symbols)
-    counts: dict[int, int] = {}
+    edges = cells(n, size)
+    counts = [0] * size
     for s in symbols:
-        counts[s] = counts.get(s, 0) + 1
-    chi2 = size * sum(c * c for c in counts.values()) / n - n
-    spread = math.sqrt(2 * (size - 1) * (n - 1) / n)  # the exact deviation, since few symbols are seen often
-    uniform = 0.5 * math.erfc((chi2 - (size - 1)) / spread / math.sqrt(2))
+        counts[s] += 1
+    chi2 = sum((sum(counts[a:b]) - n * (b - a) / size) ** 2 / (n * (b - a) / size) for a, b in zip(edges, edges[1:], strict=False))
+    uniform = 0.5 * math.erfc(_chi_squared_z(chi2, len(edges) - 2) / math.sqrt(2))
     high = [2 * s >= size for s in symbols]
     a = sum(high)
     b = n - a
@@ -119,36 +135,49 @@ def combined(ps: tuple[float, ...]) -> float:
     return min(1.0, math.exp(-half) * total)
 
 
-def _log_text(alphabet: str) -> dict[str, float]:
-    """Log shares of symbols in text that keeps to the alphabet.  Where that has one case, all letters are of that case."""
+def _text_share(alphabet: str) -> dict[str, float]:
+    """Shares of symbols in text that keeps to the alphabet.  Where that has one case, all letters are of that case."""
     held = set(alphabet)
     of_class = _TEXT_SHARE if held & _CLASSES[1] else [_TEXT_SHARE[0], 0.0, _TEXT_SHARE[1], _TEXT_SHARE[3]]
     share = {}
     for part, kind in zip(of_class, _CLASSES, strict=True):
         share |= {c: part * (_LETTERS[c.lower()] / _LETTER_TOTAL if c.isalpha() else 1 / len(kind)) for c in kind & held}
     total = sum(share.values())
-    return {c: math.log(x / total) for c, x in share.items()}
+    return {c: x / total for c, x in share.items()}
+
+
+_SYMBOLS = {name: frozenset(a) for name, a in ENCODINGS.items()}
+_SHARES = {name: _text_share(a) for name, a in ENCODINGS.items()}
+#: The symbols from the rarest in text, and their places in that order.
+_RANKED = {name: sorted(a, key=lambda c: (_SHARES[name][c], c)) for name, a in ENCODINGS.items()}
+_PLACE = {name: {c: k for k, c in enumerate(a)} for name, a in _RANKED.items()}
+_LOG_SHARES = {name: {c: math.log(x) for c, x in shares.items()} for name, shares in _SHARES.items()}
 
 
-_LOG_TEXT = {name: _log_text(a) for name, a in ENCODINGS.items()}
+def p_of_text(run: str, name: str, p_random: float) -> float:
+    """The p-value that the procedure controls: how often text of the encoding has as large a likelihood ratio of random symbols to
+    text, by Markov's inequality, divided by the battery's combined p-value of the string; 1 if the battery rejects it."""
+    if p_random < LEAST_RANDOM:
+        return 1.0
+    shares = _LOG_SHARES[name]
+    ratio = sum(shares[c] for c in run) + len(run) * math.log(len(shares))
+    return math.exp(min(0.0, ratio - math.log(p_random)))
 
 
 def assess(run: str) -> tuple[float, float] | None:
-    """p_random and p_text of an opaque string, None if it has no encoding."""
+    """The battery's combined p-value of an opaque string, and the p-value of its being text; None if it has no encoding."""
     name = encoding(run)
     if name is None:
         return None
-    order = _ORDER[name]
-    p_random = combined(tests([order[c] for c in run], len(order)))
-    text = _LOG_TEXT[name]
-    ratio = sum(text[c] for c in run) + len(run) * math.log(len(order))
-    return p_random, min(1.0, math.exp(min(0.0, ratio)))
+    place = _PLACE[name]
+    p_random = combined(tests([place[c] for c in run], len(place)))
+    return p_random, p_of_text(run, name, p_random)
 
 
 def tested(run: str, start: int = 0) -> list[tuple[int, int, float]]:
-    """Start, end, p_text of what is tested in a run and isn't rejected as random: the whole, or parts that tell more."""
+    """Start, end, p_text of what is tested in a run: the whole, or parts that tell more."""
     got = assess(run)
-    whole = [(start, start + len(run), got[1])] if got and got[0] >= LEAST_RANDOM else []
+    whole = [(start, start + len(run), got[1])] if got else []
     cuts: list[list[tuple[int, int, float]]] = []
     for cut in _CUTS:
         parts = [m for m in cut.finditer(run) if len(m[0]) >= LEAST_OPAQUE]
@@ -233,7 +262,7 @@ def uncovered(spans: list[tuple[int, int, float]], base: list[tuple[int, int, in
 
 
 def scan_text(text: str, hexes: bool = True, opaques: bool = True) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
-    """The base spans, and of each opaque string that isn't rejected as random: start, end, -log10 of its weighted p_text."""
+    """The base spans, and of each opaque string that has an encoding: start, end, -log10 of its weighted p_text."""
     opaque = []
     for m in OPAQUE.finditer(text) if opaques else ():
         for start, end, p_text in tested(m[0], m.start()):
@@ -287,7 +316,9 @@ def _random(least: float) -> Column:
 def find(docs: DataFrame, q: float = RATE, texts: bool = True) -> DataFrame:
     """The rows of ``docs`` as struct ``row`` with ``base`` and ``random``: arrays of (start, kind, end), in code points.
 
-    A null text is empty and has no spans; rows that repeat are scanned each by itself; an empty table gives an empty one.
+    A null text is empty and has no spans; nulls elsewhere don't matter.  Rows that repeat are scanned each by itself, and their
+    strings count as often.  Spans of one place and kind can't tie; those of other kinds are all returned.  A very long text is
+    scanned whole, and a very long string is one string.  An empty table gives an empty one.  Columns may have any name.
     Texts are scanned whole and once: the rows and what was found in them are written to the shared folder, from where the
     threshold and then the result are made.  Without ``texts`` the rows lose their text first.
     """
