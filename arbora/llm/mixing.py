@@ -1,22 +1,45 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each source has a target in words; each of its documents is expected target / size times.  The documents of a source are
-ordered by size, their expected copies are summed up, one random offset is added, and a document is taken once for each
-whole number that its sum crosses.  The order by size spreads what is taken evenly over short and long documents.  The
-offset is drawn several times and the draw whose words come nearest the target stays, since with few documents one long
-one more or less moves the sum a lot.
+ordered from the longest to the shortest, their expected copies are summed up, one random offset is added, and a document is
+taken once for each whole number that its sum crosses.  Whether a long document is taken once more or less moves the words
+taken a lot, so what long ones bring above or below their share is made up for by the expected copies of all that follow:
+of a document these are what is left of the target by what is left of the source.  Long are few documents of a source at
+most, which are summed up one by one; the others are all expected alike often, and their sums come from their ranks.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import small_side
-from .common import staged
+from .common import repeated, small_batches, small_side, staged
 
-WEIGHTS, MOST_TIMES, SEED, DRAWS = (1, 2, 3), 3.0, 23, 32
+WEIGHTS, MOST_TIMES, SEED = (1, 2, 3), 3.0, 23
 WORD = r"[^\x20\x09-\x0D]+"
+#: A document is long with over this share of its source's target, and over one in so many of the source's words, so that a
+#: source has fewer long ones than that.
+LONG_SHARE, MOST_LONG = 0.002, 2000
+
+
+def numbered(rows: DataFrame, order: list[Column], label: str, by: str | None = None) -> DataFrame:
+    """``rows`` with ``rank``, from 1 in ``order``, in each group ``by``.
+
+    Ranks come from counts over range partitions, so a group of any share of the rows is spread over tasks; counts are one row
+    for each partition, or each group in it.
+    """
+    keys = [by] if by else []
+    placed = staged(rows.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], *order).withColumn("range", F.spark_partition_id()), label)
+    counts = placed.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("range")) - F.col("n")
+    known = staged(counts.select(*[F.col(k).alias("k_by") for k in keys], F.col("range").alias("k_range"), before.alias("before")), f"{label}-counts")
+    local = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "range").orderBy(*order)))
+    same = F.col("range") == F.col("k_range")
+    joined = local.join(small_side(known), same & F.col(by).eqNullSafe(F.col("k_by")) if by else same)
+    return joined.withColumn("rank", F.col("rank") + F.col("before")).select(*rows.columns, "rank")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES) -> DataFrame:
@@ -25,9 +48,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times
     Weights repeat over the sources in code-point order, null last.  What is over a source's most is shared again by weight
     among the others: the level at which nothing more is over is found from sums over the sources, a few rounds of them.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))))
-    weighted = staged(sources.select("source", "source_size", weight.alias("weight")), "sources")
+    ranked = numbered(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()], "sources")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int"))
+    weighted = staged(ranked.select("source", "source_size", weight.alias("weight")), "weights")
     all_words = float(weighted.agg(F.sum("source_size")).first()[0] or 0)
     level = over = -1.0
     most = F.col("source_size") * F.lit(most_times)
@@ -40,64 +63,82 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times
     return weighted.select("source", "source_size", F.least(F.col("weight") * F.lit(level), most).alias("target"))
 
 
-def _crossed(times: Column, rank: Column, offset: Column, most_times: float) -> Column:
-    """Whole numbers crossed by the ``rank``-th document of those expected ``times`` each."""
-    crossed = F.floor(times * rank + offset) - F.floor(times * (rank - 1) + offset)
-    return F.least(crossed, F.ceil(F.lit(most_times))).cast("long")
+def offset(seed: int) -> Column:
+    """The random offset of a source, in [0, 1)."""
+    return F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _times(target: float, taken: float, left: float, most_times: float) -> float:
+    return min(most_times, max(0.0, (target - taken) / left)) if left > 0 else 0.0
 
 
-def _draw(k: int, seed: int) -> Column:
-    """The k-th offset of a source, in [0, 1)."""
-    return F.pmod(F.xxhash64("source", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def taken_in_turn(sizes: list[int], source_size: int, target: float, start: float, most_times: float) -> tuple[list[int], float, int]:
+    """Copies of documents in order, where their sum ends if it starts at ``start``, and the words taken."""
+    copies, at, taken, left = [], start, 0, source_size
+    for size in sizes:
+        end = at + _times(target, taken, left, most_times)
+        copies.append(math.floor(end) - math.floor(at))
+        at, taken, left = end, taken + copies[-1] * size, left - size
+    return copies, at, taken
 
 
-def sampled(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
+def sampled(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = SEED) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, text_hash, size, source_size, target, copies, taken.
 
-    Size is the number of words, runs of characters other than white space (null text: 0).  Null is a source like others.
-    Ranks come from sums over range partitions, so a source of any share of the rows is spread over tasks.  Ties in size are
-    ordered by a hash of doc_id and seed, so that results are the same from run to run; rows that repeat are drawn each by
-    itself.  Texts are read once, and what is written and shuffled afterwards has no texts.
+    Size is the number of words, runs of characters other than white space (null text: 0; a text may be of any length).  Null
+    is a source like others.  Ties in size are ordered by a hash of doc_id and seed, so that results are the same from run to
+    run; rows that repeat are drawn each by itself.  Texts are read once, and what is written and shuffled afterwards has no
+    texts.  An empty table gives an empty one.  Columns other than doc_id, text and source aren't read, so names can't clash.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     sizes = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
-    goals = staged(goals.withColumn("times", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most_times))).otherwise(0.0)), "targets")
-
-    order = ["size", "tie", "doc_id", "text_hash"]
-    keyed = sizes.withColumn("tie", F.xxhash64("doc_id", F.lit(seed)))
-    placed = staged(keyed.repartitionByRange("source", *order).withColumn("range", F.spark_partition_id()), "ranges")
-    counts = placed.groupBy("source", "range").agg(F.count("*").alias("n"))
-    counts = counts.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("before"))
-    # What a source has is put beside its ranges, of which there are at most as many as sources and partitions.
-    known = counts.join(goals, counts["source"].eqNullSafe(goals["source"])).select(counts["source"].alias("k_source"), F.col("range").alias("k_range"), "before", "source_size", "target", "times")
-    known = staged(known, "source-ranges")
-    local = placed.withColumn("rank", F.row_number().over(Window.partitionBy("source", "range").orderBy(*order)))
-    joined = local.join(small_side(known), local["source"].eqNullSafe(F.col("k_source")) & (local["range"] == F.col("k_range")))
-    ranked = staged(joined.select("doc_id", "source", "text_hash", "size", "source_size", "target", "times", (F.col("rank") + F.col("before")).alias("rank")), "ranked")
-
-    taken = [F.sum(F.col("size") * _crossed(F.col("times"), F.col("rank"), _draw(k, seed), most_times)).alias(f"t{k}") for k in range(draws)]
-    tried = ranked.groupBy("source").agg(F.first("target").alias("goal"), *taken)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("k"), _draw(k, seed).alias("offset")) for k in range(draws)]))
-    offsets = staged(tried.select(F.col("source").alias("o_source"), best["offset"].alias("offset")), "offsets")
-    drawn = ranked.join(small_side(offsets), F.col("source").eqNullSafe(F.col("o_source")))
-    copies = _crossed(F.col("times"), F.col("rank"), F.col("offset"), most_times)
-    return drawn.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    long_from = F.greatest(F.col("target") * LONG_SHARE, F.col("source_size") / MOST_LONG)
+    goals = staged(goals.select(F.col("source").alias("g_source"), "source_size", "target", long_from.alias("long_from"), offset(seed).alias("offset")), "targets")
+
+    rows = sizes.join(small_side(goals), F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source").withColumn("tie", F.xxhash64("doc_id", F.lit(seed)))
+    rows = rows.withColumn("long", F.col("size") > F.col("long_from")).drop("long_from")
+    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target", "copies"]
+
+    def in_turn(own: pa.Table) -> pa.Table:
+        rows = sorted(own.to_pylist(), key=lambda r: (-r["size"], r["tie"], r["doc_id"] is not None, r["doc_id"], r["text_hash"]))
+        first = rows[0]
+        copies, end, taken = taken_in_turn([r["size"] for r in rows], first["source_size"], first["target"], first["offset"], most_times)
+        made = [{**{c: r.get(c) for c in columns}, "copies": n, "end": end, "words": taken} for r, n in zip(rows, copies, strict=True)]
+        return pa.Table.from_pylist(made, in_turn_schema)
+
+    in_turn_schema = pa.schema([(c, pa.string() if c == "source" else pa.float64() if c in ("target", "end") else pa.int64()) for c in [*columns, "end", "words"]])
+    kinds = "doc_id long, source string, text_hash long, size long, source_size long, target double, copies long, end double, words long"
+    long = staged(rows.where("long").groupBy("source").applyInArrow(in_turn, kinds), "long-documents")  # fewer than MOST_LONG of each source
+    done = long.groupBy("source").agg(F.first("end").alias("end"), F.first("words").alias("words"), F.sum("size").alias("long_size"))
+    done = staged(done.withColumnRenamed("source", "d_source"), "long-sources")
+
+    order = [F.col("size").desc(), F.col("tie").asc(), F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc_nulls_first()]
+    ranked = numbered(rows.where("not long").drop("long"), order, "ranges", "source").drop("tie")
+    ranked = ranked.join(small_side(done), F.col("source").eqNullSafe(F.col("d_source")), "left")
+    left = F.col("source_size") - F.coalesce("long_size", F.lit(0))
+    times = F.when(left > 0, F.least(F.lit(most_times), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("words", F.lit(0))) / left))).otherwise(0.0)
+    start = F.coalesce("end", "offset")
+    copies = (F.floor(start + F.col("times") * F.col("rank")) - F.floor(start + F.col("times") * (F.col("rank") - 1))).cast("long")
+    short = ranked.withColumn("times", times).withColumn("copies", F.least(copies, F.lit(math.ceil(most_times)).cast("long")))
+    return long.select(*columns).unionByName(short.select(*columns)).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as many times as it is taken, with their columns.
 
     Rows alike in doc_id, source and text are taken together as often as each of them would be; their other columns are
-    then those of one of them.
+    then those of one of them.  Nulls, ties, very long texts and empty tables are as in ``sampled``; columns may have any name.
     """
     key = ["m_id", "m_source", "m_hash"]
     got = sampled(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_hash").alias("m_hash"), "copies")
     got = staged(got.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")), "copies")
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d_id"), F.col("source").cast("string").alias("d_source"), F.xxhash64(text).alias("d_hash"))
-    if not got.where("alike > 1").isEmpty():
+    alike = not got.where("alike > 1").isEmpty()
+    if alike:
         rows = rows.groupBy("d_id", "d_source", "d_hash").agg(F.first("row").alias("row"))
     wanted = small_side(got.where("copies > 0").select(*key, "copies"))
     same = F.col("d_id").eqNullSafe(F.col("m_id")) & F.col("d_source").eqNullSafe(F.col("m_source")) & (F.col("d_hash") == F.col("m_hash"))
-    return rows.join(wanted, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return repeated(rows.join(wanted, same).select("row", *key, "copies"), "copies", key if alike else None).select("row.*")
