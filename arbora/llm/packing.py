@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, tidied
+from .common import same_rows, small_batches, text_of, tidied
 from .tokens import encoder
 
 CAPACITY, END_ID, GROUP_DOCS, SEED = 2048, 1, 1024, 17
+#: Groups of a task at most.
+GROUPS = 32
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -79,15 +81,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     A document's ids are those of its text (null: empty) and ``end_id``.  Documents are dealt by a hash of doc_id, text and
     seed to groups of about ``group_docs``, and each group is packed by itself: whole ``capacity`` stretches of a document
     are sequences at once, so that only the rest of each document, less than one sequence, is held until its group ends, or
-    has four times as many as meant.  The rests are packed by first-fit decreasing.  A bin that would have more than an
-    eighth of padding is cut into sequences whose lengths are powers of two, which need none.  Sequence ids are group * 2^32
-    + number, and do not change from run to run.  Rows that repeat are so many documents; doc_id may be null.
+    has four times as many as meant.  The rests are packed by first-fit decreasing; those of one length, in order of doc_id and
+    text.  A bin that would have more than an eighth of padding is cut into sequences whose lengths are powers of two, which
+    need none.  Sequence ids are group * 2^32 + number, and do not change from run to run.  A task has at most GROUPS groups,
+    however many documents there are.  Rows that repeat are so many documents; rows that repeat very often are numbered, by which they
+    are dealt to many groups.  doc_id may be null.  A very long text is encoded whole, in slices of its words, and its
+    pieces leave at once.  An empty table gives an empty one.  Columns other than doc_id and text aren't read, so names can't
+    clash.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    groups = max(1, -(-docs.count() // group_docs))
-    group = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)).alias("group")
-    dealt = text_of(docs, group, F.col("doc_id").cast("long").alias("doc_id")).repartition("group").sortWithinPartitions("group", "doc_id", "text")
+    own = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    counts = same_rows(own)
+    groups = max(1, -(-counts.n // group_docs))
+    group = F.pmod(F.xxhash64("doc_id", "text", "copy", F.lit(seed)), F.lit(groups)).cast("int").alias("group")
+    tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS)))
+    numbered = counts.spread(own).select(group, "doc_id", "text")
+    dealt = numbered.repartitionById(tasks, F.pmod("group", F.lit(tasks)).cast("int")).sortWithinPartitions("group", "doc_id", "text")
     kinds = [pa.int64()] * 6 + [pa.binary()]
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_of, tidied
+from .common import same_rows, small_batches, staged, text_of, tidied
 from .tokens import encoder
 
 BLOCK_IDS, SEGMENT_IDS, END_ID = 65_536, 262_144, 0
@@ -89,12 +89,15 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids:
     """The segments of all documents in ascending doc_id order, ``end_id`` after each.
 
     A null text is empty, a null doc_id comes first, and equal doc_ids are ordered by a hash of their texts, so that any
-    number of them is spread over shards; rows that repeat are so many documents.  Each range partition is a shard; ``shard_start`` counts the shard's ids before the segment.  A segment takes
-    documents until it has ``segment_ids`` ids, so it is only larger where one document is.
+    number of them is spread over shards; rows that repeat are so many documents, and are numbered if they repeat very often, so
+    that they are spread too.  Each range partition is a shard; ``shard_start`` counts the shard's ids before the segment.  A
+    segment takes documents until it has ``segment_ids`` ids, so it is only larger where one very long document is.  An empty
+    table gives no segments.  Columns other than doc_id and text aren't read, so names can't clash.
     """
     small_batches(docs.sparkSession)
-    keyed = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    own = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    keyed = same_rows(own).spread(own).withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "tie", "copy").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

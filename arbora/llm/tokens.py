@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes that a worker's remembered units may take in all, units of the level that is merged often, and bytes of text that
 #: are taken at a time if no text is longer.
-CACHE_BYTES, RECENT_UNITS, SLICE_BYTES = 48_000_000, 50_000, 2_000_000
+CACHE_BYTES, RECENT_UNITS, SLICE_BYTES = 48_000_000, 50_000, 4_000_000
 
 #: All white space of either the tokenizers library or Python, for RE2.
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
