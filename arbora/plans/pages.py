@@ -85,6 +85,8 @@ def sections(pages: DataFrame, options: Options | dict | None = None, reasoner:
     after = toc.last_pages(runs.join(tocs.select("doc_id", "run"), ["doc_id", "run"], "left_semi"))
     listed = staged(_exploded(reasoner.toc_items(tocs.where("numbered = 'yes'"))), "toc-items")
 
+    if listed.isEmpty():  # no document has a table of contents with pages
+        return staged(accepted(reasoner.outline(pages).select(*ITEM), pages, counts, reasoner), "sections")
     done = accepted(by_numbers(listed, pages, after, options, reasoner), pages, counts, reasoner)
     done = staged(done, "by-numbers")
     left = listed.join(done.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -40,6 +40,7 @@ from .plans import markdown as markdown_plan
 from .plans import pages as pages_plan
 from .plans import repo as repo_plan
 from .reasoner import RuleReasoner
+from .sources import files, pdf
 from .sources.convert import html_to_markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +194,33 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.with_tokens(fx.doc_pages(spark, sf_dir).drop("n_tokens")).select("doc_id", "physical_index", "n_tokens")
 
 
+def _pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a PDF file, its lines being pages; every third has no title."""
+
+    def made(batches):
+        import pandas as pd
+
+        for batch in batches:
+            files = [pdf.written(text.split("\n"), f"Title {d}" if d % 3 else None) for d, text in zip(batch["doc_id"], batch["text"], strict=True)]
+            yield pd.DataFrame({"path": [f"in/{d}.pdf" for d in batch["doc_id"]], "content": files})
+
+    return fx.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(made, "path string, content binary")
+
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(["doc_pages"], f"SELECT doc_id || '.pdf' AS doc_id, CAST(physical_index AS INT) AS physical_index, {_STRIP.format('text')} AS text, CAST(length({_STRIP.format('text')}) // 4 AS BIGINT) AS n_tokens, CAST(NULL AS VARCHAR) AS error FROM doc_pages")
+def pdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read from the bytes of PDF files."""
+    return files.pages_of(_pdf_files(spark, sf_dir), lambda content: pdf.read(content)[0])
+
+
+@query(None, "SELECT doc_id || '.pdf' AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Untitled' ELSE 'Title ' || doc_id END AS title FROM documents")
+def pdf_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.titles_of(_pdf_files(spark, sf_dir))
+
+
 _TAG = "'<physical_index_' || physical_index || '>' || chr(10) || text || chr(10) || '</physical_index_' || physical_index || '>' || chr(10)"
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import base_name, preview, stem, token_count
+from ..functions import base_name, preview, stem, title_or_untitled, token_count
 from ..operators.batch import classified
+from . import pdf
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -49,18 +50,23 @@ Extractor = Callable[[bytes], list[str]]
 
 
 def pdf_text(content: bytes) -> list[str]:
-    """The text of each page by pypdf, where that is installed."""
+    """The text of each page, by pypdf where that is installed, else by the reader here."""
     try:
         from pypdf import PdfReader
-    except ImportError as missing:
-        raise RuntimeError("reading PDF files needs pypdf on the executors, or an extractor of your own") from missing
+    except ImportError:
+        return pdf.read(content)[0]
     from io import BytesIO
 
     return [page.extract_text() or "" for page in PdfReader(BytesIO(content)).pages]
 
 
-def pdf_pages(spark: SparkSession, path: str, extract: Extractor = pdf_text) -> DataFrame:
-    """doc_id (the file name), physical_index, text, n_tokens of each page, error where a file can't be read."""
+def pdf_title(content: bytes) -> str | None:
+    return pdf.Pdf(content).title()
+
+
+def pages_of(files: DataFrame, extract: Extractor = pdf_text) -> DataFrame:
+    """doc_id (the file name), physical_index, text, n_tokens of each page of ``files`` (path, content); error where one can't be
+    read."""
 
     def pages(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -74,11 +80,37 @@ def pdf_pages(spark: SparkSession, path: str, extract: Extractor = pdf_text) ->
                     rows.append((name, None, None, f"{type(why).__name__}: {why}"))
             yield pd.DataFrame(rows, columns=["path", "physical_index", "text", "error"]).astype({"physical_index": "Int32"})
 
-    # A row is a whole file, so batches must be short.
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
-    got = read.mapInPandas(pages, "path string, physical_index int, text string, error string")
+    got = files.select("path", "content").mapInPandas(pages, "path string, physical_index int, text string, error string")
     return got.select(base_name(F.col("path")).alias("doc_id"), "physical_index", "text", token_count(F.col("text")).alias("n_tokens"), "error")
 
 
+def _pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
+
+
+def pdf_pages(spark: SparkSession, path: str, extract: Extractor = pdf_text) -> DataFrame:
+    """The pages of a folder's PDF files, or of one file, as ``pages_of`` has them."""
+    return pages_of(_pdf_files(spark, path), extract)
+
+
+def titles_of(files: DataFrame) -> DataFrame:
+    """doc_id, title (Untitled without one) of ``files`` (path, content); a file that can't be read is untitled."""
+
+    def titles(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        def title(content: bytes) -> str | None:
+            try:
+                return pdf_title(content)
+            except Exception:
+                return None
+
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "title": [title(x) for x in batch["content"]]}).astype({"title": "string"})
+
+    got = files.select("path", "content").mapInPandas(titles, "path string, title string")
+    return got.select(base_name(F.col("path")).alias("doc_id"), title_or_untitled(F.col("title")).alias("title"))
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.where("physical_index is not null").groupBy("doc_id").agg(F.count("*").alias("n_pages"))
