@@ -7,36 +7,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_side, staged
 
-#: Members of a bucket's part; a block has two parts at most.  Rows up to which a table is broadcast.
-PART, BROADCAST_ROWS = 256, 300_000
+#: Members of a bucket's part and their bytes; a block has two parts at most.  A part is as large as a task can hold, since n
+#: members are sent n / PART times each, while comparing them takes n * n steps however they are dealt.
+PART, PART_BYTES = 8192, 24_000_000
+#: Rows on a side of a tile, which is compared at once; blocks up to SMALL rows are compared many at a time instead.
+TILE, SMALL = 512, 64
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df``, a written table of narrow rows, to be broadcast if it has few rows, and else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def blocked(members: DataFrame, bucket: list[str], name: str, part: int = PART) -> DataFrame:
+def blocked(members: DataFrame, bucket: list[str], name: str, size: Column | None = None, part: int = PART, part_bytes: int = PART_BYTES) -> DataFrame:
     """The members with ``lo``, ``hi`` and ``part``: blocks that hold any two members of a bucket together exactly once.
 
-    A bucket of n members is dealt by a hash of ``name`` to ceil(n / part) parts, and each two parts make a block.  Two
-    members of one part meet in the block lo = hi; others in that of their parts.  Buckets of one member are left out.
-    Sizes are counted before rows are dealt, so no large bucket ever stands in one task.
+    A bucket of n members is dealt by a hash of ``name`` to so many parts that each has about ``part`` members and, by ``size``,
+    ``part_bytes`` bytes, and each two parts make a block.  Two members of one part meet in the block lo = hi; others in that
+    of their parts.  Buckets of one member are left out.  So rows are as many as members up to ``part`` of them in a bucket, and
+    n / ``part`` times as many beyond.  Sizes are counted before rows are dealt, so no large bucket ever stands in one task.
     """
-    sizes = staged(members.groupBy(*bucket).agg(F.count("*").alias("in_bucket")).where("in_bucket > 1"), "bucket-sizes")
-    sized = members.join(small_side(sizes), bucket)
-    parts = F.ceil(F.col("in_bucket") / F.lit(part)).cast("int")
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64(name, F.lit(3)), parts).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return other.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "in_bucket")
+    counted = members.groupBy(*bucket).agg(F.count("*").alias("in_bucket"), F.sum(F.lit(0) if size is None else size).alias("bytes"))
+    counted = counted.where("in_bucket > 1")
+    parts = F.least(F.col("in_bucket"), F.greatest(F.ceil(F.col("in_bucket") / F.lit(part)), F.ceil(F.col("bytes") / F.lit(part_bytes))))
+    sizes = staged(counted.select(*bucket, parts.cast("int").alias("parts")), "bucket-sizes")
+    dealt = members.join(small_side(sizes), bucket).withColumn("part", F.pmod(F.xxhash64(name, F.lit(3)), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "parts")
 
 
-def streamed(batches: Iterator[pa.RecordBatch], key: list[str], enough_rows: int = 20_000, enough_bytes: int = 48_000_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def streamed(batches: Iterator[pa.RecordBatch], key: list[str], enough_rows: int = 20_000, enough_bytes: int = 16_000_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole blocks of rows sorted by ``key``, many at a time, with where each block starts, and the end."""
     held: list[pa.RecordBatch] = []
     rows = size = 0
@@ -83,10 +83,18 @@ def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most n links that join what the links i-j of 0..n-1 do."""
+    roots = local_components(n, i, j)
+    own = np.flatnonzero(roots != np.arange(n))
+    return own, roots[own]
+
+
 def pairs_within(starts: np.ndarray, parts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows to compare, in pieces of bounded size: within a block lo = hi all two, else one of each part."""
+    """Rows to compare in blocks of up to SMALL rows, in pieces of bounded size: within a block lo = hi all two, else one of each
+    part."""
     sizes = np.diff(starts)
-    for n in np.unique(sizes[sizes > 1]):
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
         at = starts[:-1][sizes == n]
         i, j = np.triu_indices(n, 1)
         step = max(1, 400_000 // len(i))
@@ -94,3 +102,15 @@ def pairs_within(starts: np.ndarray, parts: np.ndarray, lo: np.ndarray, hi: np.n
             a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
             kept = (lo[a] == hi[a]) | (parts[a] != parts[b])
             yield a[kept], b[kept]
+
+
+def tiles(starts: np.ndarray, parts: np.ndarray, lo: np.ndarray, hi: np.ndarray, over: int = SMALL) -> Iterator[tuple[slice, slice]]:
+    """Ranges of rows to compare with each other in blocks of more than ``over`` rows, which are sorted by part.  A range with
+    itself stands for all two of its rows."""
+    sizes = np.diff(starts)
+    for a, b in zip(starts[:-1][sizes > over].tolist(), starts[1:][sizes > over].tolist(), strict=True):
+        one_part = lo[a] == hi[a]
+        cut = b if one_part else a + int(np.searchsorted(parts[a:b], parts[a], side="right"))
+        for i in range(a, cut, TILE):
+            for j in range(i if one_part else cut, b, TILE):
+                yield slice(i, min(i + TILE, cut)), slice(j, min(j + TILE, b))

@@ -3,8 +3,9 @@
 Every document is the set of its windows of five words.  Equal sets are one class, compared once.  Classes meet where a
 band of their MinHash signatures is equal; bands and rows follow from the recall wanted at the least similarity.  Buckets
 are compared in blocks of bounded size, two classes only in the bucket of the first band they share, and every candidate is
-verified on the full sets.  What leaves a block is a count for each class and a spanning forest of its links, so a group of
-n near copies moves rows in proportion to n, while every link is counted.
+verified on the full sets.  What leaves a block is a count for each class and a spanning forest of its links, while every link
+is counted.  Counting the links of n near copies takes n * n comparisons; rows moved for that are n up to PART of them in a
+bucket, and n * n / PART beyond.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocked, local_components, pairs_within, small_side, streamed
-from .common import small_batches, staged, text_of, tidied
+from .blocks import blocked, forest, local_components, pairs_within, streamed, tiles
+from .common import small_batches, small_side, staged, text_of, tidied
 from .graph import components
 from .words import WINDOW, mixed, strings, window_hashes, window_starts, words
 
@@ -145,20 +146,38 @@ def _bands_of(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(table), -1)
 
 
-def _candidates(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of one block whose first shared band is the block's."""
-    parts, lo, hi, bucket = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "bucket"))
-    bands = _bands_of(table)
-    for a, b in pairs_within(starts, parts, lo, hi):
-        for k in range(0, len(a), 50_000):
-            i, j = a[k : k + 50_000], b[k : k + 50_000]
-            same = bands[i] == bands[j]
-            first = same.argmax(axis=1)
-            kept = same[np.arange(len(i)), first] & (bands[i, first] == bucket[i])
-            yield i[kept], j[kept]
-
-
 _BLOCK = ["bucket", "lo", "hi"]
+_ROOM = 12_000_000  # cells of a matrix of sets
+
+
+class _Blocks:
+    """The pairs of a table's blocks whose first shared band is the block's."""
+
+    def __init__(self, table: pa.Table, starts: np.ndarray):
+        self.starts, self.bands = starts, _bands_of(table)
+        self.by_band = np.ascontiguousarray(self.bands.T)
+        self.parts, self.lo, self.hi, self.bucket = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "bucket"))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of small blocks."""
+        for a, b in pairs_within(self.starts, self.parts, self.lo, self.hi):
+            for k in range(0, len(a), 50_000):
+                i, j = a[k : k + 50_000], b[k : k + 50_000]
+                same = self.bands[i] == self.bands[j]
+                first = same.argmax(axis=1)
+                kept = same[np.arange(len(i)), first] & (self.bands[i, first] == self.bucket[i])
+                yield i[kept], j[kept]
+
+    def tiles(self) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Ranges of rows of larger blocks, and which two of them are pairs: all of a block share its band, so the others are told
+        by the bands before it."""
+        for i, j in tiles(self.starts, self.parts, self.lo, self.hi):
+            own = int((self.bands[i.start] == self.bucket[i.start]).argmax())
+            earlier = np.zeros((i.stop - i.start, j.stop - j.start), bool)
+            for band in self.by_band[:own]:
+                earlier |= band[i, None] == band[None, j]
+            close = ~earlier
+            yield i, j, np.triu(close, 1) if i == j else close
 
 
 def _needed(members: DataFrame) -> DataFrame:
@@ -166,12 +185,70 @@ def _needed(members: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in streamed(batches, _BLOCK):
-            used = np.zeros(len(table), bool)
-            for i, j in _candidates(table, starts):
+            used, found = np.zeros(len(table), bool), _Blocks(table, starts)
+            for i, j in found.pairs():
                 used[i] = used[j] = True
+            for i, j, close in found.tiles():
+                used[i] |= close.any(axis=1)
+                used[j] |= close.any(axis=0)
             yield from table.filter(pa.array(used)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(pick), members.schema)
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "part").mapInArrow(tidied(pick), members.schema)
+
+
+class _Sets:
+    """The sets of a table's rows, as numbers of their different members, row after row."""
+
+    def __init__(self, column: pa.BinaryArray):
+        n = len(column)
+        at = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + n + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", "u1")[at[0] : at[-1]].view("<u8")
+        self.bounds = (at - at[0]).astype("i8") // 8
+        self.sizes = np.diff(self.bounds)
+        values, codes = np.unique(raw, return_inverse=True)
+        self.codes = codes.astype("i4" if len(values) < 2**31 else "i8")
+        self.inside = np.zeros(len(values), bool)
+        self.of_range: dict[int, np.ndarray] = {}
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of pairs i, j, one i after another: i, its j and how many members they share."""
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for one, at, count in zip(*np.unique(i, return_index=True, return_counts=True), strict=True):
+            others = j[at : at + count]
+            own = self.codes[self.bounds[one] : self.bounds[one + 1]]
+            self.inside[own] = True
+            each = self.sizes[others]
+            ends = np.cumsum(each)
+            places = np.repeat(self.bounds[others] - (ends - each), each) + np.arange(ends[-1])
+            both = np.add.reduceat(self.inside[self.codes[places]].astype("i8"), ends - each)
+            self.inside[own] = False
+            yield np.full(len(others), one), others, both
+
+    def _range(self, rows: slice) -> np.ndarray:
+        """The different members of a range of rows, sorted."""
+        if rows.start not in self.of_range:
+            self.of_range[rows.start] = np.unique(self.codes[self.bounds[rows.start] : self.bounds[rows.stop]])
+        return self.of_range[rows.start]
+
+    def _matrix(self, rows: slice, members: np.ndarray) -> np.ndarray:
+        own = self.codes[self.bounds[rows.start] : self.bounds[rows.stop]]
+        row = np.repeat(np.arange(rows.stop - rows.start), self.sizes[rows])
+        at = np.minimum(np.searchsorted(members, own), len(members) - 1)
+        held = members[at] == own
+        out = np.zeros((rows.stop - rows.start, len(members)), "f4")
+        out[row[held], at[held]] = 1
+        return out
+
+    def overlaps(self, i: slice, j: slice) -> np.ndarray:
+        """How many members each two rows of two ranges share: products of matrices over the members that both ranges have."""
+        common = np.intersect1d(self._range(i), self._range(j), assume_unique=True)
+        total = np.zeros((i.stop - i.start, j.stop - j.start), "f4")  # whole numbers below 2^24 are exact
+        step = max(1, _ROOM // max(i.stop - i.start, j.stop - j.start))
+        for k in range(0, len(common), step):
+            one = self._matrix(i, common[k : k + step])
+            total += one @ (one if i == j else self._matrix(j, common[k : k + step])).T
+        return total
 
 
 def _verified(members: DataFrame, least: float) -> DataFrame:
@@ -191,40 +268,37 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
                 table, block = table.filter(pa.array(first)), block[first]
                 starts = np.searchsorted(block, np.arange(block[-1] + 2)) if len(block) else np.zeros(1, "i8")
             n = len(table)
-            raw = table.column("members").to_pylist()
-            sizes = np.fromiter(map(len, raw), "i8", n) // 8
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            values, codes = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
-            inside = np.zeros(len(values), bool)
-            found_i, found_j = [], []
-            for i, j in _candidates(table, starts):
+            found, sets, copies = _Blocks(table, starts), _Sets(table.column("members").combine_chunks()), table.column("copies").to_numpy()
+            links, sizes = np.zeros(n, "i8"), sets.sizes
+            from_, to = [np.empty(0, "i8")], [np.empty(0, "i8")]
+            for i, j in found.pairs():
                 near = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9
-                i, j = i[near], j[near]
-                order = np.argsort(i, kind="stable")
-                i, j = i[order], j[order]
-                for one, at, count in zip(*np.unique(i, return_index=True, return_counts=True), strict=True):
-                    others = j[at : at + count]
-                    own = codes[bounds[one] : bounds[one + 1]]
-                    inside[own] = True
-                    each = sizes[others]
-                    ends = np.cumsum(each)
-                    places = np.repeat(bounds[others] - (ends - each), each) + np.arange(ends[-1])
-                    both = np.add.reduceat(inside[codes[places]].astype("i8"), ends - each)
-                    inside[own] = False
-                    linked = others[both >= least * (each + sizes[one] - both) - 1e-9]
-                    found_i.append(np.full(len(linked), one))
-                    found_j.append(linked)
-            if not found_i:
-                continue
-            i, j = np.concatenate(found_i), np.concatenate(found_j)
-            copies = table.column("copies").to_numpy()
-            links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-            roots = local_components(n, i, j)
+                for one, others, both in sets.shared(i[near], j[near]):
+                    linked = both >= least * (sizes[others] + sizes[one] - both) - 1e-9
+                    a, b = one[linked], others[linked]
+                    links[a[:1]] += copies[b].sum()
+                    links[b] += copies[a]
+                    from_.append(a)
+                    to.append(b)
+            for i, j, close in found.tiles():
+                x, y = sizes[i, None], sizes[None, j]
+                close &= np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9
+                if close.any():
+                    both = sets.overlaps(i, j)
+                    linked = close & (both >= least * (x + y - both.astype("f8")) - 1e-9)
+                    links[i] += linked @ copies[j]
+                    links[j] += copies[i] @ linked
+                    a, b = np.nonzero(linked)
+                    width = i.stop - i.start
+                    a, b = forest(width + j.stop - j.start, a, b if i == j else b + width)
+                    from_.append(np.where(a < width, a + i.start, a - width + j.start))
+                    to.append(np.where(b < width, b + i.start, b - width + j.start))
+            roots = local_components(n, np.concatenate(from_), np.concatenate(to))
             reps = table.column("rep").to_numpy()
             kept = links > 0
-            yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks().filter(pa.array(kept)), pa.array(links[kept].astype("i8")), pa.array(reps[kept]), pa.array(reps[roots[kept]])], ["set", "links", "a", "b"])
+            yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks().filter(pa.array(kept)), pa.array(links[kept]), pa.array(reps[kept]), pa.array(reps[roots[kept]])], ["set", "links", "a", "b"])
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(verify), "set binary, links long, a long, b long")
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "part").mapInArrow(tidied(verify), "set binary, links long, a long, b long")
 
 
 def link(docs: DataFrame, least: float = LEAST, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
@@ -234,14 +308,16 @@ def link(docs: DataFrame, least: float = LEAST, recall: float = RECALL, most_has
     exact copies among them; ``class_id`` is the smallest doc_id that links reach, and ``kept`` marks it.  Words are runs of
     characters other than white space, as they are written.  A text without words (null, empty) links with nothing.  A null
     doc_id links with nothing and is kept, its class being null.  Rows that repeat are copies of each other, and rows
-    sharing a doc_id are in one class.
+    sharing a doc_id are in one class.  A very long text is one set like others; a part of a bucket has fewer members where
+    they are long.  Ties don't arise: all links at the threshold or above count.  An empty table gives an empty one.  Columns
+    other than doc_id and text aren't read, so names can't clash.
     """
     bands, rows = band_shape(least, recall, most_hashes)
     signed = staged(signatures(docs, bands, rows), "signatures")
     known = signed.where("doc_id is not null and set is not null")
-    classes = staged(known.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("set", F.explode("bands").alias("bucket"))
-    members = blocked(buckets, ["bucket"], "set").join(classes, "set")
+    classes = staged(known.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "classes")
+    buckets = classes.select("set", "grams", F.explode("bands").alias("bucket"))
+    members = blocked(buckets, ["bucket"], "set", 8 * (F.col("grams") + bands)).drop("grams").join(classes.drop("grams"), "set")
     needed = staged(_needed(members), "candidates")
     sets = _full_sets(docs, staged(needed.select("rep").distinct(), "wanted"))
     found = staged(_verified(needed.join(sets, "set"), least), "links")
@@ -257,7 +333,8 @@ def link(docs: DataFrame, least: float = LEAST, recall: float = RECALL, most_has
 def deduplicate(docs: DataFrame, least: float = LEAST, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
     """The rows of ``docs`` but for all documents other than the first of each class, with their columns.
 
-    Of rows that share a doc_id one stays, that with the smallest text.  Rows without doc_id stay.
+    Of rows that share a doc_id one stays, that with the smallest text (null: empty), any one if these are alike.  Rows without
+    doc_id and texts without words stay.  An empty table gives an empty one.  Columns may have any name.
     """
     linked = staged(link(docs, least, recall, most_hashes), "linked")
     dropped = staged(linked.where("not kept").select("doc_id").distinct(), "dropped")

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocked, local_components, small_side, streamed
-from .common import small_batches, staged, tidied
+from .blocks import blocked, forest, local_components, streamed, tiles
+from .common import small_batches, small_side, staged, tidied
 from .graph import components
 
 LEAST, NEAREST, SHARED, SEED = 0.93, 10, 4, 7
@@ -110,21 +110,29 @@ _DESCRIBED = ["vec_id", "label", "dims"]
 _BLOCK = ["label", "dims", "pivot", "lo", "hi"]
 
 
-def _candidates(table: pa.Table, starts: np.ndarray, shared: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For each block its first and last row and which two share enough pivots, the block's being the smallest of them."""
-    parts, los, his, pivot = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "pivot"))
+def _candidates(table: pa.Table, starts: np.ndarray, shared: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Ranges of rows of a block and which two share enough pivots, the block's being the smallest of them."""
+    parts, lo, hi, pivot = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "pivot"))
     pivots = table.column("pivots").combine_chunks()
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        n = b - a
-        lists = pivots[a:b].flatten().to_numpy().reshape(n, -1)
-        local, code = np.unique(lists, return_inverse=True)
-        held = np.zeros((n, len(local)), "f4")
-        held[np.arange(n)[:, None], code.reshape(n, -1)] = 1
-        before = held[:, local < pivot[a]]
-        close = (held @ held.T >= min(shared, lists.shape[1])) & (before @ before.T == 0)
-        if los[a] != his[a]:
-            close &= parts[a:b, None] != parts[None, a:b]
-        yield a, b, np.triu(close, 1)
+
+    def held(rows: slice, known: np.ndarray) -> np.ndarray:
+        own = lists[rows.start - at : rows.stop - at]
+        out = np.zeros((len(own), len(known)), "f4")
+        out[np.arange(len(own))[:, None], np.searchsorted(known, own)] = 1
+        return out
+
+    at, lists, local = -1, np.empty((0, 0)), np.empty(0)
+    for i, j in tiles(starts, parts, lo, hi, over=1):
+        block = int(np.searchsorted(starts, i.start, side="right")) - 1
+        if at != starts[block]:
+            at, end = int(starts[block]), int(starts[block + 1])
+            lists = pivots[at:end].flatten().to_numpy().reshape(end - at, -1)
+            local = np.unique(lists)
+        x = held(i, local)
+        y = x if i == j else held(j, local)
+        before = int(np.searchsorted(local, pivot[at]))
+        close = (x @ y.T >= min(shared, lists.shape[1])) & (x[:, :before] @ y[:, :before].T == 0)
+        yield i, j, np.triu(close, 1) if i == j else close
 
 
 def _needed(members: DataFrame, shared: int) -> DataFrame:
@@ -133,42 +141,49 @@ def _needed(members: DataFrame, shared: int) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in streamed(batches, _BLOCK):
             used = np.zeros(len(table), bool)
-            for a, b, close in _candidates(table, starts, shared):
-                used[a:b] = close.any(axis=0) | close.any(axis=1)
+            for i, j, close in _candidates(table, starts, shared):
+                used[i] |= close.any(axis=1)
+                used[j] |= close.any(axis=0)
             yield from table.filter(pa.array(used)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(pick), members.schema)
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "part").mapInArrow(tidied(pick), members.schema)
 
 
 def _compared(members: DataFrame, least: float, shared: int) -> DataFrame:
-    """vec_id, links (in one block), root (the smallest vec_id it reaches there)."""
+    """vec_id, links (in one block), root (a vec_id for all that are joined there)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in streamed(batches, _BLOCK):
             names, dims, vectors = table.column("vec_id").to_numpy(), table.column("dims").to_numpy(), table.column("v").combine_chunks()
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for a, b, close in _candidates(table, starts, shared):
-                x, own = units(_rows_of(vectors[a:b], dims[a])), names[a:b]
-                i, j = np.nonzero(close & (x @ x.T >= least))
-                if len(i):
-                    order = np.argsort(own, kind="stable")  # the smallest place is then the smallest name
-                    place = np.argsort(order, kind="stable")
-                    roots = order[local_components(b - a, place[i], place[j])[place]]
-                    links = np.bincount(i, minlength=b - a) + np.bincount(j, minlength=b - a)
-                    kept = links > 0
-                    out.append((own[kept], links[kept], own[roots[kept]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in zip(*out, strict=True)], ["vec_id", "links", "root"])
-
-    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(tidied(compare), "vec_id long, links long, root long")
+            links, from_, to = np.zeros(len(table), "i8"), [np.empty(0, "i8")], [np.empty(0, "i8")]
+            for i, j, close in _candidates(table, starts, shared):
+                if not close.any():
+                    continue
+                x = units(_rows_of(vectors[i.start : i.stop], dims[i.start]))
+                y = x if i == j else units(_rows_of(vectors[j.start : j.stop], dims[j.start]))
+                linked = close & (x @ y.T >= least)
+                links[i] += linked.sum(axis=1)
+                links[j] += linked.sum(axis=0)
+                a, b = np.nonzero(linked)
+                a, b = forest(len(x) + len(y), a, b if i == j else b + len(x))
+                from_.append(np.where(a < len(x), a + i.start, a - len(x) + j.start))
+                to.append(np.where(b < len(x), b + i.start, b - len(x) + j.start))
+            roots = local_components(len(table), np.concatenate(from_), np.concatenate(to))
+            kept = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array(links[kept]), pa.array(names[roots[kept]])], ["vec_id", "links", "root"])
+
+    return members.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "part").mapInArrow(tidied(compare), "vec_id long, links long, root long")
 
 
 def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int | None = None, shared: int = SHARED) -> DataFrame:
-    """One row for each vec_id: vec_id, n_links, component_id, kept.
+    """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors are compared where labels are equal and not null.  Vectors that are null, zero, or hold null or non-finite
-    components link with nothing, nor do vectors of different lengths with each other.  Rows without vec_id are returned
-    each by itself, linked with nothing, component_id null and kept.  An empty table gives an empty one.
+    components link with nothing, nor do vectors of different lengths with each other; a vector may be of any length.  Rows
+    without vec_id are returned each by itself, linked with nothing, component_id null and kept.  Rows that share a vec_id are
+    one vector, that of the smallest label and then embedding, and are returned as often as they are there, all alike.  Ties,
+    that is vectors as near to two pivots, take the pivot of the smaller number.  An empty table gives an empty one; columns
+    other than vec_id, label and embedding aren't read, so names can't clash.
     """
     vectors = vectors.select("vec_id", "label", "embedding")
     known = clean(vectors)
@@ -177,12 +192,13 @@ def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int | None =
     # Two that share so many of their pivots share one of the first of them in order of number, all but shared - 1.
     first = F.slice(F.array_sort("pivots"), F.lit(1), F.greatest(F.lit(1), F.size("pivots") - (shared - 1)))
     lists = indexed.select("label", "dims", F.explode(first).alias("pivot"), "vec_id", "pivots")
-    needed = staged(_needed(blocked(lists, ["label", "dims", "pivot"], "vec_id"), shared), "vector-candidates")
+    needed = staged(_needed(blocked(lists, ["label", "dims", "pivot"], "vec_id", 8 * F.col("dims")), shared), "vector-candidates")
     wanted = usable.select("vec_id", "v").join(small_side(staged(needed.select("vec_id").distinct(), "wanted-vectors")), "vec_id", "left_semi")
     found = staged(_compared(needed.join(wanted, "vec_id"), least, shared), "vector-links")
     reached = components(found.select("vec_id", F.col("root").alias("other")))
     counted = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     linked = counted.join(reached, counted["vec_id"] == reached["node"]).select("vec_id", "n_links", "component")
-    named = known.select("vec_id").join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"))
+    named = rows.join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     nameless = vectors.where("vec_id is null").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     return named.unionByName(nameless).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
