@@ -37,7 +37,10 @@ def preferences(pairs: DataFrame) -> DataFrame:
     chosen_mask, rejected_mask.
 
     The longest run of turns with which both conversations begin is rendered once as the prompt, which has no loss; what
-    follows is each side's completion.  Conversations that are alike have two empty completions.
+    follows is each side's completion.  Conversations that are alike have two empty completions.  Turns that are both null in
+    role or text are alike in it.  Texts may be of any length; a conversation is one row.  Rows that repeat are so many pairs,
+    and nothing is ordered, so there are no ties.  An empty table gives an empty one.  Columns other than the three aren't
+    read, so names can't clash.
     """
     alike = F.zip_with("chosen", "rejected", lambda a, b: a.eqNullSafe(b))
     differs = F.array_position(alike, F.lit(False))
@@ -51,8 +54,10 @@ def preferences(pairs: DataFrame) -> DataFrame:
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) as pair k.
 
-    Turns are ordered by turn, then role and text; a turn that repeats is a turn again.  Null roles and texts are empty, and
-    rows without conv_id belong to no conversation.  A pair of which one side is missing is left out.
+    Turns are ordered by turn (null first), then role and text; a turn that repeats is a turn again.  Null roles and texts are
+    empty, and rows without conv_id belong to no conversation.  A pair of which one side is missing is left out.  Texts may be
+    of any length.  An empty table gives an empty one.  Columns other than conv_id, turn, role and text aren't read, so names
+    can't clash.
     """
     rows = conversations.where("conv_id is not null").select(
         F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"),

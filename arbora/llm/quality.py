@@ -115,8 +115,9 @@ def passes(policy: str | list[str]) -> Column:
 def ledger(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: row (as it was), MEASURES, failed.
 
-    A null text is empty, so it fails ``few_words``.  Columns of any name may stand beside ``text``; rows that repeat are
-    judged each by itself; an empty table gives an empty one.
+    A null text is empty, so it fails ``few_words``; nulls elsewhere don't matter.  A very long text is measured whole, in
+    memory in proportion to it.  Nothing is ordered, so there are no ties.  Columns of any name may stand beside ``text``; rows
+    that repeat are judged each by itself; an empty table gives an empty one.
     """
     return with_measures(docs).withColumn("failed", failed_bits())
 

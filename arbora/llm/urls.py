@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import small_side
-from .common import staged
+from .common import small_side, staged
 from .graph import components
 
 # The rules of the contract, as (verdict, host/path).
@@ -122,7 +121,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, re
 
     ``redirects`` (url, target) adds redirects seen while crawling to the links in ``html``.  A url that no rule fits is
     blocked if its component holds a blocked url and no url that a rule allows; else it is allowed.  A null url, or one
-    without ``://``, has an empty host and path, fits no rule and has no aliases.
+    without ``://``, has an empty host and path, fits no rule and has no aliases; a null ``html`` has no links.  Of rules that
+    tie in length, which are the same rule twice, block wins.  Rows that repeat are judged alike, each by itself.  Urls and
+    pages may be of any length.  An empty table gives an empty one.  Columns other than page_id, url and html aren't read, so
+    names can't clash.
     """
     links = page_links(pages.select("url", "html"))
     if redirects is not None:

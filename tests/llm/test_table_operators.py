@@ -7,8 +7,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from arbora.llm import blocks, chat, graph, mixing, ngram_join, pivots, queries, urls
+from arbora.llm import blocks, chat, common, graph, mixing, ngram_join, pivots, queries, urls
 from tests.compare import same, tables
 
 
@@ -64,6 +65,22 @@ def test_blocks_hold_each_two_once(spark):
     assert len(seen) == 50 * 49 // 2 + 1 and set(seen.values()) == {1}
 
 
+def test_parts_by_bytes_and_few_rows(spark):
+    made = spark.range(3000).selectExpr("1L AS bucket", "id", "1000L AS size")
+    few = blocks.blocked(made, ["bucket"], "id", part=4096)
+    assert few.count() == 3000
+    sized = blocks.blocked(made, ["bucket"], "id", F.col("size"), part=4096, part_bytes=1_000_000)
+    assert sized.count() == 3 * 3000
+    assert blocks.blocked(made.limit(0), ["bucket"], "id").count() == 0
+
+
+@pytest.mark.parametrize("members", [16_000, 32_000, 64_000])
+def test_rows_of_large_buckets(spark, members):
+    """Each member goes to as many blocks as the bucket has parts, not to one for each few members."""
+    made = spark.range(members).selectExpr("1L AS bucket", "id")
+    assert blocks.blocked(made, ["bucket"], "id").count() == members * -(-members // blocks.PART)
+
+
 # Urls
 
 
@@ -182,6 +199,58 @@ def test_mixing(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def copies_by_hand(spark, rows):
+    """Copies of each row: the prefix sums of a source's documents from the longest, with one offset."""
+    made = mixed(spark, rows).select("doc_id", "text", "source", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("tie"), mixing.offset(mixing.SEED).alias("offset"))
+    sources: dict = {}
+    for r in made.collect():
+        sources.setdefault(r["source"], []).append((-len((r["text"] or "").split()), r["tie"], r["doc_id"], r["offset"]))
+    target = targets_by_hand({s: -sum(x[0] for x in own) for s, own in sources.items()})
+    found: dict = {}
+    for s, own in sources.items():
+        size = left = -sum(x[0] for x in own)
+        at, taken, times = own[0][3], 0, None
+        for n, _, doc, _ in sorted(own, key=lambda x: x[:2]):
+            if -n > max(mixing.LONG_SHARE * target[s], size / mixing.MOST_LONG):
+                now = min(3.0, max(0.0, (target[s] - taken) / left)) if left else 0.0
+            else:
+                times = (min(3.0, max(0.0, (target[s] - taken) / left)) if left else 0.0) if times is None else times
+                now = times
+            copies = math.floor(at + now + 1e-9) - math.floor(at + 1e-9)
+            found[doc] = copies
+            at, taken, left = at + now, taken - copies * n, left + n
+    return found
+
+
+def test_mixing_by_hand(spark):
+    random.seed(20)
+    rows = [(k, " ".join(["w"] * int(random.lognormvariate(3, 1))), random.choice(["a", "b", "c", "big", "big", None]), "mine") for k in range(3000)]
+    rows += [(5000, "w " * 4000, "b", None), (5001, "w " * 90_000, "long", None), (5002, "w", "long", None), (5003, None, "none", None)]
+    got = {r["doc_id"]: r["copies"] for r in mixing.sampled(mixed(spark, rows)).collect()}
+    want = copies_by_hand(spark, rows)
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) == 0
+
+
+def test_mixing_many_sources(spark):
+    """Sources are ranked over partitions; null is the last."""
+    rows = [(k, "w " * (1 + k % 5), None if k % 50 == 0 else f"host{k % 700:03}.example", "mine") for k in range(2100)]
+    got = mixing.sampled(mixed(spark, rows)).collect()
+    sizes: dict = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = targets_by_hand(sizes)
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r["target"], target[r["source"]], rel_tol=1e-9)
+
+
+def test_mixing_repeated_rows_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "REPEATS", 8)
+    made = mixed(spark, [(1, "w " * 10, "a", "mine")] * 90 + [(2, "w " * 10, "b", "mine")])
+    want = sum(r["copies"] for r in mixing.sampled(made).collect())
+    assert mixing.mix(made).count() == want > 8
+
+
 def test_mixing_takes_effect(spark):
     rows = [(k, "w " * 10, f"s{k % 3}", "mine") for k in range(60)] + [(5, "w " * 10, "s2", "mine")] * 2
     made = mixed(spark, rows)
@@ -224,6 +293,25 @@ def test_preferences(spark):
     assert chat.preferences(chat.neighbour_pairs(made.limit(0))).count() == 0
 
 
+def test_long_urls_pages_and_turns(spark):
+    long = "http://a.example.org/es/" + "x" * 200_000
+    rows = [(1, long, "<p>" * 200_000), (1, long, "<p>" * 200_000), (None, None, None)]
+    got = sorted((r["page_id"] or 0, len(r["path"]), r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(0, 0, "allow"), (1, 200_004, "block"), (1, 200_004, "block")]
+    turns = [(0, 0, "user", "q" * 500_000), (0, 1, "assistant", "a" * 500_000), (1, 0, "user", "q" * 500_000), (1, 1, "assistant", "b")]
+    one = chat.preferences(chat.neighbour_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    assert (one["n_prompt"], len(one["prompt"]), one["rejected"]) == (1, 500_018, "<|assistant|>\nb<|end|>\n")
+    assert [(s["start"], s["end"]) for s in one["chosen_mask"]] == [(14, 500_022)]
+
+
+def test_repeated_pairs_and_no_pairs(spark):
+    kind = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string"
+    row = (1, [("user", None), ("assistant", "x")], [("user", None)], "mine")
+    got = chat.preferences(spark.createDataFrame([row, row, (None, [], [], None)], kind)).collect()
+    assert sorted(repr(r["n_prompt"]) for r in got) == ["0", "1", "1"]
+    assert chat.preferences(spark.createDataFrame([], kind)).count() == 0
+
+
 # N-gram join
 
 
@@ -272,6 +360,39 @@ def test_ngram_join_of_a_large_group(spark):
     assert {(a, c) for a, _, c in got} == {(a, c) for a, _, c in want}
 
 
+def test_ngram_join_in_tiles(spark, monkeypatch):
+    """A bucket of several parts and tiles, long sets among them, is compared as by brute force."""
+    monkeypatch.setattr(blocks, "TILE", 48)
+    monkeypatch.setattr(blocks, "PART", 150)
+    monkeypatch.setattr(ngram_join, "_ROOM", 5000)
+    random.seed(22)
+    rows = []
+    for base in ([f"w{random.randint(0, 400)}" for _ in range(n)] for n in (60, 300)):
+        for _ in range(350):
+            w = list(base)
+            for _ in range(random.randint(0, len(w) // 40)):
+                w[random.randrange(len(w))] = f"x{random.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got, want = {tuple(r)[:3] for r in joined(spark, rows).collect()}, near_by_hand(rows)
+    found, there = sum(x[1] for x in got), sum(x[1] for x in want)
+    assert there >= found >= 0.999 * there and len(got) == len(want)
+    assert {(a, c) for a, _, c in got} == {(a, c) for a, _, c in want}
+
+
+def test_ngram_join_recall_near_the_threshold(spark):
+    """Pairs at a similarity of 0.80 to 0.85, each by itself."""
+    random.seed(23)
+    rows = []
+    for k in range(400):
+        base = [f"w{random.randint(0, 10**6)}" for _ in range(104)]
+        other = list(base)
+        other[-random.choice([9, 10, 11]) :] = [f"y{random.randint(0, 10**6)}" for _ in range(8)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got, want = {tuple(r)[:3] for r in joined(spark, rows).collect()}, near_by_hand(rows)
+    there = sum(x[1] for x in want)
+    assert there > 500 and sum(x[1] for x in got) >= 0.99 * there
+
+
 def test_bands():
     for least, recall in ((0.8, 0.9995), (0.8, 0.9), (0.5, 0.99)):
         bands, rows = ngram_join.band_shape(least, recall, 160)
@@ -291,6 +412,14 @@ def test_deduplicate(spark):
     assert ngram_join.deduplicate(made.limit(0)).count() == 0
 
 
+def test_ngram_join_clashing_columns_and_nothing(spark):
+    rows = [(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (None, None, None, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, bucket long, part string").withColumns({"set": F.lit(1), "links": F.lit("mine")})
+    assert sorted(map(repr, (tuple(r) for r in ngram_join.link(made).collect()))) == ["(1, 1, 1, True)", "(2, 1, 1, False)", "(None, 0, None, True)"]
+    assert ngram_join.link(made.limit(0)).count() == 0
+    assert ngram_join.deduplicate(made).columns == made.columns
+
+
 # Embeddings
 
 
@@ -328,6 +457,26 @@ def test_embeddings(spark):
     assert exact <= got
 
 
+def test_embeddings_that_repeat(spark):
+    """One row for each row: those that share a vec_id are one vector."""
+    rows = [(1, [1.0, 0.0], 1, "x")] * 3 + [(2, [1.0, 0.1], 1, "x"), (2, [0.0, 1.0], 2, "y"), (3, [0.0, 1.0], 2, None)]
+    got = sorted(tuple(r) for r in pivots.deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")).collect())
+    assert got == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False)] * 2 + [(3, 0, 3, True)]
+
+
+def test_embeddings_in_tiles(spark, monkeypatch):
+    """A list of more than a tile and a part is compared as by brute force."""
+    monkeypatch.setattr(blocks, "TILE", 64)
+    monkeypatch.setattr(blocks, "PART", 300)
+    rng = np.random.default_rng(21)
+    rows = []
+    for middle in rng.normal(size=(3, 16)):
+        rows += [(len(rows) + k, (middle + rng.normal(size=16) * 0.2).tolist(), 1) for k in range(500)]
+    got = {tuple(r) for r in pivots.deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = vectors_by_hand(rows)
+    assert sum(x[1] for x in want) >= sum(x[1] for x in got) >= 0.97 * sum(x[1] for x in want)
+
+
 def test_embeddings_nameless_and_empty(spark):
     made = spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1), (1, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(repr, (tuple(r) for r in pivots.deduplicate(made).collect()))) == ["(1, 0, 1, True)", "(None, 0, None, True)", "(None, 0, None, True)"]

@@ -8,14 +8,16 @@ import re
 import string
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import licenses, packing, planes, quality, secrets, tokens
+from arbora.llm import common, licenses, packing, planes, quality, secrets, tokens
 
+ROOT = Path(__file__).resolve().parent.parent.parent
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 ODD = [None, "", " ", "\n\n", "a", "word " * 3000, "x" * 50_000, "é😀 字 <|endoftext|> \0 b", "a\r\n\tb  c"]
 
@@ -136,6 +138,63 @@ def test_battery():
     assert secrets.encoding("deadbeef00112233") == "hex" and secrets.encoding("abcdefgh") is None
 
 
+def threshold_by_hand(strengths, q=secrets.RATE):
+    """Benjamini and Hochberg: the k-th least of m p-values is compared with q * k / m; p-values are rounded up to the histogram's steps."""
+    steps = sorted((min(int(s / secrets.STEP), secrets.BINS) * secrets.STEP for s in strengths), reverse=True)
+    passing = [s for k, s in enumerate(steps, 1) if 10**-s * len(steps) <= q * k]
+    return min(passing, default=float("inf"))
+
+
+def test_false_discovery_control_by_hand(spark, sf_dir):
+    """What is reported is what Benjamini and Hochberg's procedure over the p-values of all opaque strings of all documents is."""
+    random.seed(15)
+    alphabet = string.ascii_letters + string.digits
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [f"x {''.join(random.choices(alphabet, k=n))} y" for n in (12, 14, 16, 18, 20, 24, 28, 32, 40, 48) for _ in range(6)]
+    texts += [f"see {''.join(random.choice(['some', 'path', 'Of', 'Words', 'file', 'name_', 'Data', 'x2']) for _ in range(5))} now" for _ in range(200)]
+    found = [secrets.scan_text(t)[1] for t in texts]
+    least = threshold_by_hand([s for f in found for *_, s in f])
+    assert 0 < least < 10
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(frame(spark, texts, extra=False)).collect()}
+    reported = 0
+    for k, (text, f) in enumerate(zip(texts, found, strict=True)):
+        base = base_by_hand(text)
+        covered = {x for a, _, b in base for x in range(a, b)}
+        want = {x for a, b, s in f if s >= least for x in range(a, b)} - covered
+        spans = [x.split(":") for x in got[k].split(",") if x.startswith("random")]
+        assert {x for _, a, b in spans for x in range(int(a), int(b))} == want, text
+        reported += bool(spans)
+    assert reported > 30
+
+
+def test_the_battery_decides(spark):
+    """Strings of the same letters, which letter frequencies can't tell apart: in random order they are found, sorted or alternating
+    they aren't."""
+    random.seed(16)
+    alphabet = string.ascii_letters + string.digits
+    texts = []
+    for n in (32, 40, 48):
+        for _ in range(4):
+            key = random.choices(alphabet, k=n)
+            place = secrets._PLACE["base62"]
+            by_place = sorted(key, key=place.get)
+            low, high = by_place[: n // 2], by_place[n // 2 :]
+            turns = "".join(x for two in zip(low, random.sample(high, len(high)), strict=False) for x in two)
+            texts += [f"a {''.join(key)} b", f"a {''.join(by_place)} b", f"a {turns} b"]
+    got = [r["n_random"] > 0 for r in secrets.digest(frame(spark, texts, extra=False)).orderBy("doc_id").collect()]
+    assert all(got[::3]) and not any(got[1::3]) and not any(got[2::3])
+
+
+def test_secrets_in_long_texts_and_clashing_columns(spark):
+    key = "".join(random.Random(17).choices(string.ascii_letters + string.digits, k=40))
+    rows = [(1, "word " * 400_000 + key, "mine", 2.5), (2, key, None, None), (2, key, None, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, base string, random double")
+    got = secrets.digest(made).orderBy("doc_id").collect()
+    assert [r["spans"] for r in got] == ["random:2000000:2000040", "random:0:40", "random:0:40"]
+    clean = secrets.redact(made).orderBy("doc_id").collect()
+    assert [r["base"] for r in clean] == ["mine", None, None] and all(r["text"].endswith("[secret]") for r in clean)
+
+
 def test_redaction(spark):
     made = spark.createDataFrame([(1, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', 3), (None, None, 4), (2, "0123456789abcdef0123456789abcdef", 5), (2, "0123456789abcdef0123456789abcdef", 5)], "doc_id long, text string, base int")
     got = sorted(((r["text"] or "", r["base"]) for r in secrets.redact(made).collect()))
@@ -155,8 +214,12 @@ def test_secrets_odd_rows(spark):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def words_by_hand(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def license_by_hand(text):
-    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    words = words_by_hand(text)
     places, labels = [], set()
     for phrase, label in licenses.PHRASES.items():
         p = phrase.split()
@@ -192,6 +255,74 @@ def test_license_diagonals(spark):
     assert 0.6 <= got[1]["score"] <= 1.0 and len(got[1]["spans"]) == 1
 
 
+def finds_by_hand(text):
+    """(first word, last word, label, share of the notice) of every notice, by comparing all its grams with all of the text's."""
+    words, found = words_by_hand(text), []
+    for x in licenses.templates():
+        if x.base:
+            continue
+        hits: dict = {}
+        for at in range(len(x.words) - x.gram + 1):
+            for k in range(len(words) - x.gram + 1):
+                if tuple(words[k : k + x.gram]) == x.words[at : at + x.gram]:
+                    hits.setdefault(k - at, set()).add(at)
+        runs: list[list[int]] = []
+        for d in sorted(hits):
+            if runs and d - runs[-1][-1] <= licenses.NEAR:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            covered = {w for d in run for at in hits[d] for w in range(at, at + x.gram)}
+            places = [d + at for d in run for at in hits[d]]
+            if len(covered) / len(x.words) >= licenses.COVER:
+                found.append((min(places), max(places) + x.gram - 1, x.label, round(len(covered) / len(x.words), 9)))
+    return sorted(found)
+
+
+def test_license_notices_by_hand(spark):
+    random.seed(18)
+    notices = [text for _, text in licenses.NOTICES]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(random.randint(1, 3)):
+            words = random.choice(notices).split()
+            a, b = sorted(random.sample(range(len(words) + 1), 2)) if random.random() < 0.4 else (0, len(words))
+            words = words[a:b]
+            for _ in range(random.randint(0, 3)):
+                k = random.randrange(len(words) + 1)
+                words[k : k + random.randint(0, 1)] = random.choices(["x", "and", "the"], k=random.randint(0, 2))
+            parts += [*random.choices(["word", "license", "by"], k=random.randint(0, 5)), *words]
+        texts.append(" ".join(parts))
+    texts += ["cc by nc 4 " * 30, "licensed under cc by nc 4 0 " * 20]
+    base = set(licenses.PHRASES.values())
+    finds = 0
+    for r in licenses.scan(frame(spark, texts, extra=False)).collect():
+        want = finds_by_hand(texts[r["doc_id"]])
+        got = sorted((s["first"], s["last"], s["label"], round(s["cover"], 9)) for s in r["spans"])
+        phrases = [x for x in got if x not in want]
+        assert [x for x in got if x in want] == want and all(x[3] == 1.0 and x[2] in base for x in phrases)
+        assert len(phrases) == r["n_base"]
+        assert set(r["labels"].split(",")) - {""} == {x[2] for x in got}
+        assert r["score"] == pytest.approx(max((x[3] for x in got), default=0.0))
+        finds += len(want)
+    assert finds > 60
+
+
+def test_license_long_texts(spark):
+    texts = ["cc by " * 200_000, "some ordinary words here now " * 1_000_000, "x" * 3_000_000, "mit license " + "the quick brown fox " * 100_000]
+    got = licenses.scan_digest(frame(spark, texts, extra=False)).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"]) for r in got] == [(400_000, 200_000, 0, 399_998), (5_000_000, 0, None, None), (1, 0, None, None), (400_002, 1, 0, 0)]
+
+
+def test_license_repeated_rows_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "REPEATS", 4)
+    made = spark.createDataFrame([(1, "mit license", 5)] * 11 + [(None, None, 6)] * 9 + [(2, "x", 7)], "doc_id long, text string, rows int")
+    got = Counter((r["doc_id"], r["n_base"], r["labels"]) for r in licenses.scan(made).collect())
+    assert got == {(1, 1, "mit"): 11, (None, 0, ""): 9, (2, 0, ""): 1}
+
+
 def test_license_odd_rows(spark):
     made = frame(spark, ["mit license"] * 3 + ODD + ODD)
     made = made.unionByName(made.where("doc_id = 1"))
@@ -264,6 +395,47 @@ def test_encoder():
     assert got == ids_of(texts)
 
 
+def test_encoder_forgets(monkeypatch):
+    """What an encoder remembers stays within its bytes over many batches of new words, and ids stay right."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1_000_000)
+    monkeypatch.setattr(tokens, "RECENT_UNITS", 3000)
+    random.seed(19)
+    codec, held = tokens.Encoder(TOKENIZER), []
+    for _ in range(12):
+        texts = [" ".join("".join(random.choices(string.ascii_lowercase, k=random.randint(2, 9))) for _ in range(400)) for _ in range(30)]
+        assert [x.tolist() for x in codec.encode(pa.array(texts))] == ids_of(texts)
+        assert [x.tolist() for x in codec.encode(pa.array(texts[:3]))] == ids_of(texts[:3])
+        held.append(codec.known.held)
+    assert max(held) < 2_000_000 and min(b - a for a, b in zip(held, held[1:], strict=False)) < 0
+
+
+def test_workers_stay_small(spark):
+    """A worker's memory, over batches of new words, by its own account."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource, string
+import pyarrow as pa
+from arbora.llm import tokens
+from arbora.llm.common import tidied
+random.seed(1)
+def batch():
+    return pa.array([" ".join("".join(random.choices(string.ascii_lowercase, k=7)) for _ in range(200)) for _ in range(300)])
+sizes = []
+def work(batches):
+    codec = tokens.encoder({TOKENIZER!r})
+    for b in batches:
+        yield sum(len(x) for x in codec.encode(b))
+        sizes.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+assert len(list(tidied(work)(batch() for _ in range(30)))) == 30
+assert tokens.encoder({TOKENIZER!r}).known.held < 1.3 * tokens.CACHE_BYTES
+print(sizes[9], sizes[-1])
+"""
+    early, late = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(ROOT)).stdout.split())
+    assert late - early < 120 and late < 450
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
@@ -324,6 +496,25 @@ def test_packing_repeated_rows(spark):
     assert max(held.values()) <= 2048
 
 
+def test_rows_that_repeat_often(spark, monkeypatch):
+    """They are dealt to groups and shards by number, and none is lost."""
+    monkeypatch.setattr(common, "REPEATS", 16)
+    rows = [(None, None)] * 200 + [(7, "again and again")] * 150 + [(k, f"text {k}") for k in range(100, 140)]
+    made = spark.createDataFrame([(*r, "mine", 1) for r in rows], "doc_id long, text string, copy string, times int").repartition(5)
+    pieces = packing.pack(made, TOKENIZER, group_docs=32).collect()
+    sizes = Counter()
+    for r in pieces:
+        sizes[r["doc_id"]] += r["length"]
+    again = len(ids_of(["again and again"])[0]) + 1
+    assert sizes[None] == 200 and sizes[7] == 150 * again
+    assert len({r["sequence_id"] >> 32 for r in pieces if r["doc_id"] is None}) > 3
+    same = packing.pack(made.repartition(2), TOKENIZER, group_docs=32).collect()
+    assert Counter(map(tuple, same)) == Counter(map(tuple, pieces))
+    got = planes.file_round_trip(made, TOKENIZER).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [7] * 150 + list(range(100, 140))
+    assert got[-1]["start"] + got[-1]["n_tokens"] == sum(len(x) + 1 for x in ids_of([t for _, t in rows]))
+
+
 def test_packing_odd_rows(spark):
     made = frame(spark, ODD + ODD)
     got = packing.pack(made, TOKENIZER)
