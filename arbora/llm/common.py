@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from ..staging import drop_staged, shared_dir, staged
 __all__ = ["BATCH_ROWS", "REPEATS", "drop_staged", "packed", "repeated", "same_rows", "shared_dir", "small_batches", "small_side", "staged", "table", "text_of", "tidied"]
 
 #: Most rows and bytes in one Arrow batch, so that batches of long texts stay small.
-BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
+BATCH_ROWS, BATCH_BYTES = 500, 8_000_000
 
 #: Copies of a row that one task makes at most.
 REPEATS = 1000
@@ -36,13 +37,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def tidied(work: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
     """``work`` on a task's batches, after which memory that Arrow and the C library keep for later goes back to the system.
 
-    Workers live on for other tasks, whose memory it would add to.
+    Workers live on for other tasks, whose memory it would add to.  So would the encoders that a worker holds for tasks that encode,
+    which any other task drops.
     """
 
     def run(batches: Iterator) -> Iterator:
+        if not encodes and (tokens := sys.modules.get(f"{__package__}.tokens")) is not None:
+            tokens.drop_encoders()
         try:
             yield from work(batches)
         finally:

@@ -145,4 +145,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         for i in range(0, len(out), 2000):
             yield rows(out[i : i + 2000])
 
-    return dealt.mapInArrow(tidied(place), PIECES)
+    return dealt.mapInArrow(tidied(place, encodes=True), PIECES)

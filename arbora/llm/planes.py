@@ -124,7 +124,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids:
         if ids:
             yield row()
 
-    return ordered.mapInArrow(tidied(write), SEGMENTS)
+    return ordered.mapInArrow(tidied(write, encodes=True), SEGMENTS)
 
 
 def read_ids(segments: DataFrame) -> DataFrame:

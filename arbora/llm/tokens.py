@@ -190,3 +190,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def drop_encoders() -> None:
+    """Forget all encoders of this worker."""
+    _encoders.clear()

@@ -428,8 +428,10 @@ def work(batches):
     for b in batches:
         yield sum(len(x) for x in codec.encode(b))
         sizes.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
-assert len(list(tidied(work)(batch() for _ in range(30)))) == 30
-assert tokens.encoder({TOKENIZER!r}).known.held < 1.3 * tokens.CACHE_BYTES
+assert len(list(tidied(work, encodes=True)(batch() for _ in range(30)))) == 30
+assert tokens._encoders[{TOKENIZER!r}].known.held < 1.3 * tokens.CACHE_BYTES
+list(tidied(iter)(iter([])))
+assert not tokens._encoders
 print(sizes[9], sizes[-1])
 """
     early, late = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(ROOT)).stdout.split())
