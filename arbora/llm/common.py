@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..staging import drop_staged, shared_dir, staged
 
-__all__ = ["BATCH_ROWS", "REPEATS", "drop_staged", "packed", "repeated", "same_rows", "shared_dir", "small_batches", "small_side", "staged", "table", "text_of", "tidied"]
+__all__ = ["BATCH_ROWS", "REPEATS", "drop_staged", "gathered", "packed", "repeated", "same_rows", "shared_dir", "small_batches", "small_side", "staged", "table", "text_of", "tidied"]
 
 #: Most rows and bytes in one Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS, BATCH_BYTES = 500, 8_000_000
@@ -57,6 +57,18 @@ def tidied(work: Callable[[Iterator], Iterator], encodes: bool = False) -> Calla
     return run
 
 
+def gathered(batches: Iterator[pa.RecordBatch], enough_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``enough_bytes``, for work that costs less in larger parts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= enough_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and the text, a null text being empty."""
     return df.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

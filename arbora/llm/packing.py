@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same_rows, small_batches, text_of, tidied
-from .tokens import encoder
+from .common import gathered, same_rows, small_batches, text_of, tidied
+from .tokens import SLICE_BYTES, encoder
 
 CAPACITY, END_ID, GROUP_DOCS, SEED = 2048, 1, 1024, 17
 #: Groups of a task at most.
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     number += 1
 
         out: list[tuple] = []
-        for batch in batches:
+        for batch in gathered(batches, SLICE_BYTES):
             for group, doc, got in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), codec.encode(batch.column(2)), strict=True):
                 if group != now:
                     out += ended()

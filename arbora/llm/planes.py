@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import same_rows, small_batches, staged, text_of, tidied
-from .tokens import encoder
+from .common import gathered, same_rows, small_batches, staged, text_of, tidied
+from .tokens import SLICE_BYTES, encoder
 
 BLOCK_IDS, SEGMENT_IDS, END_ID = 65_536, 262_144, 0
 _HEAD = struct.Struct("<4s6I")
@@ -113,7 +113,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids:
             kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["shard", "segment", "shard_start", "n_ids", "doc_ids", "content"])
 
-        for batch in batches:
+        for batch in gathered(batches, SLICE_BYTES):
             for name, got in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1)), strict=True):
                 ids.append(got.tobytes() + end)
                 names.append(name)
