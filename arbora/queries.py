@@ -34,6 +34,7 @@ from .functions import (
     suffix,
     title_or_untitled,
     token_count,
+    yes_or_no,
 )
 from .operators import batch, markdown, pages, repo, toc, tree
 from .plans import markdown as markdown_plan
@@ -685,6 +686,49 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.repo_files(spark, sf_dir).select("page_id", base_name(path).alias("name"), stem(path).alias("stem"), suffix(path).alias("suffix"), title_or_untitled(base_name(path)).alias("title"), document_name(given, path).alias("document"))
 
 
+_SAID = "CASE event_id % 5 WHEN 0 THEN '{\"answer\": \"yes\"}' WHEN 1 THEN '```json' || chr(10) || '{\"why\": \"' || event_id || '\", \"answer\": \"no\"}' || chr(10) || '```' WHEN 2 THEN '{\"answer\": None}' WHEN 3 THEN '{\"other\": \"yes\"}' ELSE 'no JSON' END"
+
+
+@query(None, f"SELECT event_id, {_SAID} AS raw, CASE WHEN event_id % 5 = 0 THEN 'yes' ELSE 'no' END AS answer FROM events")
+def yes_no_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(_SAID.replace("event_id % 5", "CAST(event_id % 5 AS INT)").replace("chr(10)", "'\\n'"))
+    return fx.table(spark, sf_dir, "events").select("event_id", raw.alias("raw"), yes_or_no(raw, "answer").alias("answer"))
+
+
+# Files
+
+
+@query(
+    ["md_lines"],
+    _SECTIONS.replace("FROM md_lines", "FROM (SELECT d.lang AS doc_id, row_number() OVER (PARTITION BY d.lang ORDER BY m.doc_id, m.line_num) AS line_num, m.line FROM md_lines m JOIN documents d ON d.doc_id = m.doc_id)")
+    + " SELECT doc_id AS lang, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS characters, min(line_num) AS first_line, arg_max(title, ord) AS last_title FROM s GROUP BY doc_id",
+)
+def markdown_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files, one of each language, written, scanned whole and cut into sections."""
+    path = staging.new_path(spark, "markdown-files")
+    lines = fx.md_lines(spark, sf_dir).join(fx.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id", "line_num").select("lang", "line").write.partitionBy("lang").option("compression", "none").text(path)
+    read = files.markdown_files(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("doc_id"), F.regexp_replace("text", "\n$", "").alias("text"))
+    found = markdown.sections(markdown.lines(read))
+    return found.groupBy(F.col("doc_id").alias("lang")).agg(F.count("*").alias("sections"), F.sum(F.length("text")).cast("long").alias("characters"), F.min("line_num").alias("first_line"), F.max_by("title", "ord").alias("last_title"))
+
+
+@query(
+    None,
+    """WITH f AS (SELECT DISTINCT lang, source FROM documents)
+SELECT '' AS path, CAST(0 AS BIGINT) AS file_count, (SELECT count(DISTINCT lang) FROM f) AS subdir_count, 0 AS depth
+UNION ALL SELECT 'lang=' || lang, 0, count(*), 1 FROM f GROUP BY lang
+UNION ALL SELECT 'lang=' || lang || '/source=' || source, 1, 0, 2 FROM f""",
+)
+def repo_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of folders of text files, written and scanned as a repository."""
+    path = staging.new_path(spark, "files")
+    docs = fx.table(spark, sf_dir, "documents").select("lang", "source", F.lit("x").alias("value"))
+    docs.distinct().repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    found = repo.directories(repo.included(files.repository(spark, path, "r"), ["*.txt"], ["_*"]))
+    return found.select("path", "file_count", "subdir_count", "depth")
+
+
 # Repositories and folders
 
 REPO_INCLUDE, REPO_EXCLUDE = ["*.html", "*[02468]"], ["*.example.org/de/*", "*spam*"]
@@ -744,6 +788,25 @@ def dir_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo.contexts(_kept(spark, sf_dir))
 
 
+@query(
+    ["repo_files"],
+    _KEPT
+    + """, t AS (SELECT path, CASE WHEN depth % 2 = 0 THEN '' ELSE 'about ' || path || repeat(chr(10) || 'more', 40) END AS head, 'from ' || path AS init FROM d)
+, h AS (SELECT path, CASE WHEN head <> '' THEN '=== README.md ===' || chr(10) || array_to_string(string_split(head, chr(10))[1:30], chr(10)) ELSE '=== __init__.py ===' || chr(10) || init END AS head FROM t)
+, l AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY lower(regexp_extract(path, '[^/]*$')), regexp_extract(path, '[^/]*$')) - 1 AS ord FROM kept)
+, x AS (SELECT dir AS path, 'Files: ' || string_agg(name, ', ' ORDER BY ord) FILTER (ord < 20) || CASE WHEN count(*) > 20 THEN chr(10) || chr(10) || '... and ' || (count(*) - 20) || ' more files' ELSE '' END AS context FROM l GROUP BY dir)
+SELECT 'web' AS repo_id, h.path, h.head || coalesce(chr(10) || chr(10) || x.context, '') AS context FROM h LEFT JOIN x ON x.path = h.path""",
+)
+def dir_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that begin with the first describing file of a directory that has some text."""
+    kept = _kept(spark, sf_dir)
+    dirs = repo.directories(kept).select("repo_id", "path", "depth")
+    name = lambda n: F.when(F.col("path") == "", F.lit(n)).otherwise(F.concat("path", F.lit("/" + n)))
+    readme = dirs.select("repo_id", name("README.md").alias("path"), F.when(F.col("depth") % 2 == 0, "").otherwise(F.concat(F.lit("about "), "path", F.repeat(F.lit("\nmore"), 40))).alias("text"))
+    init = dirs.select("repo_id", name("__init__.py").alias("path"), F.concat(F.lit("from "), "path").alias("text"))
+    return repo.contexts(kept, readme.unionByName(init))
+
+
 def _summaries_sql(deepest: int) -> str:
     """Contexts, and from the deepest directories up their beginnings, each with those of the directories below it."""
     parts = [_KEPT + """, l AS (SELECT repo_id, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY lower(regexp_extract(path, '[^/]*$')), regexp_extract(path, '[^/]*$')) - 1 AS ord FROM kept)
