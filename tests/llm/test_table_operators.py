@@ -300,7 +300,7 @@ def test_long_urls_pages_and_turns(spark):
     assert got == [(0, 0, "allow"), (1, 200_004, "block"), (1, 200_004, "block")]
     turns = [(0, 0, "user", "q" * 500_000), (0, 1, "assistant", "a" * 500_000), (1, 0, "user", "q" * 500_000), (1, 1, "assistant", "b")]
     one = chat.preferences(chat.neighbour_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
-    assert (one["n_prompt"], len(one["prompt"]), one["rejected"]) == (1, 500_018, "<|assistant|>\nb<|end|>\n")
+    assert (one["n_prompt"], len(one["prompt"]), one["rejected"]) == (1, 500_017, "<|assistant|>\nb<|end|>\n")
     assert [(s["start"], s["end"]) for s in one["chosen_mask"]] == [(14, 500_022)]
 
 
