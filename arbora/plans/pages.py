@@ -37,10 +37,20 @@ def by_numbers(items: DataFrame, pages: DataFrame, after: DataFrame, options: Op
     found = reasoner.place(items, _after_toc(pages, after, options.toc_check_page_num))
     starts = after.select("doc_id", F.col("last_page").alias("start_page"))
     offsets = toc.page_offsets(toc.page_pairs(items, found, starts))
-    placed = staged(toc.with_offset(found.withColumn("physical_index", F.lit(None).cast("int")), offsets), "placed")
-    asked = toc.neighbours(placed)
-    located = reasoner.locate(asked.join(toc.range_text(asked, pages, "prev_index", "next_index"), ["doc_id", "list_index"]))
-    return toc.merged_fixes(placed, located.withColumn("is_valid", F.col("fixed_index").isNotNull())).select(*ITEM)
+    placed = toc.with_offset(found.withColumn("physical_index", F.lit(None).cast("int")), offsets)
+    return located_in_turn(placed, pages, reasoner).select(*ITEM)
+
+
+def located_in_turn(items: DataFrame, pages: DataFrame, reasoner: RuleReasoner) -> DataFrame:
+    """Items without an index are looked for between their known neighbours, those of one gap one after another, so that one that is
+    found narrows the next one's range; all documents' gaps take their turns together.  After the last known item there is no range.
+    """
+    marked = staged(toc.with_turns(items), "placed")
+    for turn in range(1, (marked.agg(F.max("turn")).first()[0] or 0) + 1):
+        asked = toc.neighbours(marked).where(F.col("turn") == turn)
+        located = reasoner.locate(asked.join(toc.range_text(asked, pages, "prev_index", "next_index"), ["doc_id", "list_index"]))
+        marked = staged(toc.merged_fixes(marked, located.withColumn("is_valid", F.col("fixed_index").isNotNull())), "placed")
+    return marked.drop("turn")
 
 
 def verified(items: DataFrame, pages: DataFrame, reasoner: RuleReasoner) -> DataFrame:

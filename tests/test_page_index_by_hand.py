@@ -63,7 +63,7 @@ class Document:
         found = list(at)
         for k, x in enumerate(items):
             if at[k] is None:
-                before = next((a for a in reversed(at[:k]) if a is not None), 0)
+                before = next((a for a in reversed(found[:k]) if a is not None), 0)  # what has just been found, too
                 after = next((a for a in at[k + 1 :] if a is not None), -1)
                 found[k] = self.first_with(x["title"], before, after)
         return [{**x, "at": a} for x, a in zip(items, found, strict=True)]
@@ -141,15 +141,15 @@ class Document:
             found = {p: v for p, v in found.items() if not any(p != c and p[: len(c)] == c for c in cut)} | added
             frontier = again
         order = sorted(found)
-        text = lambda a, b: "".join(self.pages[k] for k in range(max(a, 1), b + 1) if k in self.pages)
-        return [(list(p), n, found[p][0], found[p][1], found[p][2], not (n + 1 < len(order) and len(order[n + 1]) > len(p)), text(*found[p][1:])[:200]) for n, p in enumerate(order)]
+        text = lambda a, b: "".join(self.pages[k] for k in range(max(a, 1), b + 1) if k in self.pages)[:200] if a and b else None
+        return [(list(p), n, found[p][0], found[p][1], found[p][2], not (n + 1 < len(order) and len(order[n + 1]) > len(p)), text(*found[p][1:])) for n, p in enumerate(order)]
 
 
 def made(seed):
     """Pages of a document: perhaps a table of contents, with or without pages, some of them missing or wrong, and sections."""
     rng = random.Random(seed)
     kind = rng.choice(["numbers", "numbers", "numbers", "wrong", "late", "none", "two"])
-    titles = [f"{rng.choice(['Alpha', 'Beta', 'Gamma', 'Delta'])} part {seed}-{k}" for k in range(rng.randint(3, 8))]
+    titles = [f"{rng.choice(['Alpha', 'Beta', 'Gamma', 'Delta'])} part {seed}-{k}x" for k in range(rng.randint(3, 8))]
     codes, top, sub = [], 0, 0
     for _ in titles:
         if top and rng.random() < 0.4:
@@ -171,6 +171,10 @@ def made(seed):
     for c, t, a in zip(codes, titles, at, strict=True):
         page = a + shift if kind != "wrong" else rng.randint(1, 30)
         lines.append(f"{c} {t} ....... {page}" if rng.random() < 0.85 else f"{c}. {t}")
+    if kind == "numbers" and rng.random() < 0.7 and len(titles) > 3:  # two without a page, the second of which is named before the first begins
+        k = rng.randrange(1, len(titles) - 2)
+        lines[k], lines[k + 1] = f"{codes[k]} {titles[k]}", f"{codes[k + 1]} {titles[k + 1]}"
+        body[at[k - 1] - 1] += f"\nsee {titles[k + 1]}"
     if kind == "late":
         front += ["Words alone, on pages that stand before the contents and have lines that are too long for titles of sections"] * LIMIT
     if kind == "two":
