@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, secrets, urls
+from . import centroids, chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, secrets, urls
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.deduplicate(table(spark, sf_dir, "embeddings"))
 
 
+def op11_drake_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_randomness": op1_randomness,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rule_ledger": op8_rule_ledger,
         "op9_minhash_join": op9_minhash_join,
         "op10_pivot_permutations": op10_pivot_permutations,
+        "op11_drake_bounds": op11_drake_bounds,
     }
 
 
@@ -196,6 +201,40 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
 """
 
 
+def _op11_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Every round as tables of its own: all distances, the nearest, the floors of the means."""
+    parts = [
+        """v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(e, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS e
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, r) - 1 AS k, e FROM (SELECT r, e, sha256('3:' || vec_id) AS h FROM v ORDER BY h, r LIMIT {clusters}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(d)[2] AS k, min(d)[1] AS d FROM (
+    SELECT v.r, [list_sum([(v.e[j] - c.e[j]) * (v.e[j] - c.e[j]) FOR j IN range(1, 65)])::BIGINT, c.k] AS d FROM v, c{i} c
+  ) GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS e FROM (
+      SELECT k, j, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT a.k, unnest(range(1, 65)) AS j, unnest(v.e) AS x FROM v JOIN a{i} a ON a.r = v.r) GROUP BY k, j
+    ) GROUP BY k
+  ) m ON m.k = c.k
+)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a ON a.r = v.r JOIN c{rounds} c ON c.k = a.k
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_redirect_equivalence": OP4_SQL,
@@ -203,4 +242,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_rule_ledger": OP8_SQL,
         "op9_minhash_join": OP9_SQL,
         "op10_pivot_permutations": OP10_SQL,
+        "op11_drake_bounds": OP11_SQL,
     }
