@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, secrets, urls
+from . import centroids, chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, secrets, urls, winnowing
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op11_drake_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_randomness": op1_randomness,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_join": op9_minhash_join,
         "op10_pivot_permutations": op10_pivot_permutations,
         "op11_drake_bounds": op11_drake_bounds,
+        "op12_winnowing": op12_winnowing,
     }
 
 
@@ -235,6 +240,28 @@ FROM v JOIN a{rounds} a ON a.r = v.r JOIN c{rounds} c ON c.k = a.k
 OP11_SQL = _op11_sql()
 
 
+OP12_SQL = r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size, unnest([array_to_string(words[k:k + least(10, len(words)) - 1], ' ') FOR k IN range(1, greatest(2, len(words) - 8))]) AS w FROM i WHERE len(words) > 0
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), p AS (
+  SELECT r, s.size, unnest(range(1, len(words) - s.size + 2)) AS k, unnest([array_to_string(words[k:k + s.size - 1], ' ') FOR k IN range(1, len(words) - s.size + 2)]) AS w
+  FROM d, (SELECT DISTINCT size FROM windows) s WHERE len(words) >= s.size
+), m AS (
+  SELECT p.r, p.k, p.size, windows.item_id FROM p JOIN windows ON p.w = windows.w AND p.size = windows.size
+), h AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS j FROM m) GROUP BY r
+), n AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_redirect_equivalence": OP4_SQL,
@@ -243,4 +270,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_minhash_join": OP9_SQL,
         "op10_pivot_permutations": OP10_SQL,
         "op11_drake_bounds": OP11_SQL,
+        "op12_winnowing": OP12_SQL,
     }
