@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, secrets, urls, winnowing
+from . import centroids, chat, licenses, mixing, ngram_join, packing, pivots, planes, quality, runs, secrets, urls, winnowing
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_randomness": op1_randomness,
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pivot_permutations": op10_pivot_permutations,
         "op11_drake_bounds": op11_drake_bounds,
         "op12_winnowing": op12_winnowing,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -262,6 +267,42 @@ FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN n ON n.r = d.r
 """
 
 
+#: Runs as stretches of equal 6-word windows a period apart, all pairs of them: for small tables.
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), h AS (
+  SELECT w.*, len(words) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) END AS h FROM w, crc
+), g AS (
+  SELECT *, h // 10 AS g FROM h
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g
+), p AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN words ELSE [words[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1] FOR i IN range(0, n)] END AS words FROM a
+), k AS (
+  SELECT r, unnest(range(0, n - 5)) AS i, unnest([hash(words[j + 1:j + 6]) FOR j IN range(0, n - 5)]) AS gram FROM p WHERE n >= 12
+), e AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i
+), s AS (
+  SELECT r, q, min(i) AS s, max(i) + 6 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island
+), u AS (
+  SELECT r, s, e, min(q) AS q FROM s WHERE e - s >= 2 * q GROUP BY r, s, e HAVING e - s >= greatest(12, 2 * min(q))
+), b AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines, min([s - e, s, q]) AS best FROM u GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM u
+), gone_lists AS (
+  SELECT r, list(i) AS gone FROM gone GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, 1000 * -best[1] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce((SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT unnest(p.words) AS x, unnest(range(0, p.n)) AS i) WHERE gone IS NULL OR NOT list_contains(gone, i)), '')) AS collapsed_sha256
+FROM p LEFT JOIN b ON b.r = p.r LEFT JOIN gone_lists ON gone_lists.r = p.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_redirect_equivalence": OP4_SQL,
@@ -271,4 +312,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_pivot_permutations": OP10_SQL,
         "op11_drake_bounds": OP11_SQL,
         "op12_winnowing": OP12_SQL,
+        "op13_periodic_runs": OP13_SQL,
     }
