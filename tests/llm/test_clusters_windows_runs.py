@@ -1,0 +1,273 @@
+"""Centroid clustering, benchmark windows and periodic runs, against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from arbora.llm import centroids, queries, runs, winnowing
+from tests.compare import same, tables
+
+
+@pytest.mark.parametrize("name", ["op11_drake_bounds", "op12_winnowing", "op13_periodic_runs"])
+def test_sql(spark, sf_dir, name):
+    same(queries.queries()[name](spark, sf_dir), tables(sf_dir), queries.oracle_sql()[name])
+
+
+# Clusters
+
+
+def clusters_by_hand(rows, clusters=8, rounds=10, dims=64):
+    kept = [(i, [math.floor(1024 * float(np.float64(x))) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest()))[:clusters]
+    now = [v for _, v in first]
+    distance = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c, strict=True))
+    for done in range(rounds + 1):
+        near = [min((distance(v, c), k) for k, c in enumerate(now)) for _, v in kept]
+        if done < rounds:
+            for k in range(len(now)):
+                own = [v for (_, v), (_, m) in zip(kept, near, strict=True) if m == k]
+                if own:
+                    now[k] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    sha = lambda c: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+    by = {k: sum(d for d, m in near if m == k) for k in range(len(now))}
+    return sorted(((i, k, d, by[k], sum(by.values()), sha(now[k])) for (i, _), (d, k) in zip(kept, near, strict=True)), key=repr)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, cluster string")
+
+
+def clustered(spark, rows, **options):
+    return sorted((tuple(r) for r in centroids.digest(vectors(spark, rows), **options).collect()), key=repr)
+
+
+def test_clusters_by_hand(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(5, 64))
+    rows = [(k, (middles[k % 5] + 0.3 * rng.normal(size=64)).astype("f4").tolist()) for k in range(300)]
+    rows += [(500, [0.5] * 63), (501, None), (502, [0.5] * 63 + [None]), (503, [0.5] * 63 + [math.nan]), (504, [math.inf] + [0.5] * 63), (505, [0.0] * 64), (506, [-1e-9] * 64), (7, rows[7][1]), (None, rows[9][1])]
+    assert clustered(spark, rows) == clusters_by_hand(rows)
+    for clusters, rounds in ((1, 3), (2, 4), (30, 5), (400, 2)):
+        assert clustered(spark, rows, clusters=clusters, rounds=rounds) == clusters_by_hand(rows, clusters, rounds)
+
+
+def test_clusters_of_ties_and_copies(spark):
+    """Few different vectors, so that centroids start alike, lie as near as others, and lose all vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.integers(0, 2, 64).astype(float).tolist() if k % 4 == 0 else [float(k % 3)] * 64) for k in range(120)]
+    assert clustered(spark, rows) == clusters_by_hand(rows)
+
+
+def test_clusters_of_wide_numbers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=64) * 10.0 ** (k % 6)).tolist()) for k in range(60)]
+    assert clustered(spark, rows, rounds=4) == clusters_by_hand([(i, np.array(v, "f4").tolist()) for i, v in rows], rounds=4)
+    huge = [(k, [3e38 * (-1) ** k] * 64) for k in range(10)]
+    assert {r[0] for r in clustered(spark, huge, rounds=2)} == set(range(10))
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(k, [float(k)] * 64) for k in range(3)]
+    assert clustered(spark, rows) == clusters_by_hand(rows)
+    assert clustered(spark, []) == [] and clustered(spark, [(1, [1.0])]) == []
+
+
+def test_bounds_spare_distances(spark):
+    rng = np.random.default_rng(6)
+    middles = 4 * rng.normal(size=(40, 64))
+    rows = [(k, (middles[k % 40] + 0.3 * rng.normal(size=64)).tolist()) for k in range(2000)]
+    got = centroids.cluster(vectors(spark, rows), clusters=40, rounds=8)
+    assert got.looked[0] == 40 * 2000
+    assert sum(got.looked[1:]) < 0.6 * 40 * 2000 * (len(got.looked) - 1)
+
+
+def test_bounds_hold():
+    """However centroids move, each round's nearest centroid and bounds are those of all distances."""
+    rng = np.random.default_rng(7)
+    for kept in (1, 2, 5):
+        x = rng.integers(-40, 40, (400, 6))
+        c = rng.integers(-40, 40, (12, 6)).tolist()
+        bounds = centroids.scanned(centroids.Distances(x, c), np.arange(400), kept)
+        for k in range(12):
+            new = (np.array(c) + rng.integers(-12 // (k + 1), 12 // (k + 1) + 1, (12, 6))).tolist()
+            distances = centroids.Distances(x, new)
+            centroids.moved(bounds, distances, centroids._shifts(c, new), max(1, kept - k // 4))
+            squares = ((x[:, None, :] - np.array(new)[None]) ** 2).sum(axis=2)
+            assert (bounds.near[:, 0] == squares.argmin(axis=1)).all()
+            roots = np.sqrt(squares)
+            assert (bounds.upper >= roots[np.arange(400), bounds.near[:, 0]]).all()
+            assert (bounds.lower <= np.take_along_axis(roots, bounds.near[:, 1:], axis=1)).all()
+            others = np.ones_like(roots, bool)
+            np.put_along_axis(others, bounds.near, False, axis=1)
+            assert (np.where(others, roots, np.inf).min(axis=1) >= bounds.rest).all()
+            c = new
+
+
+# Windows of a benchmark
+
+
+def normal(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def windows_by_hand(docs, items):
+    out = []
+    for doc_id, text in docs:
+        have, hit, ids = normal(text), set(), set()
+        for item_id, item in items:
+            want = normal(item)
+            size = min(10, len(want))
+            starts = {tuple(want[k : k + size]) for k in range(len(want) - size + 1)} if size else set()
+            at = [k for k in range(len(have) - size + 1) if tuple(have[k : k + size]) in starts] if size else []
+            hit |= {k + j for k in at for j in range(size)}
+            if at and item_id is not None:
+                ids.add(str(item_id))
+        out.append((doc_id, len(have), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def frames(spark, docs, items):
+    return spark.createDataFrame([(i, t, True) for i, t in docs], "doc_id long, text string, item_id boolean"), spark.createDataFrame([(i, t, 1.5) for i, t in items], "item_id long, text string, doc_id double")
+
+
+def windows(spark, docs, items):
+    return sorted((tuple(r) for r in winnowing.digest(*frames(spark, docs, items)).collect()), key=repr)
+
+
+def made_up(seed, some=40):
+    """Texts of few words, so that windows occur whole, in part, overlapping and by chance."""
+    rng = random.Random(seed)
+    draw = lambda n, k=6: " ".join(rng.choice(["ab", "Cd", "é", "x1", "Zß", "q"][:k]) for _ in range(n))
+    items = [(k, draw(rng.choice([1, 2, 4, 5, 6, 9, 10, 11, 14, 30]))) for k in range(12)] + [(None, draw(12)), (3, draw(20)), (77, ""), (78, None), (79, "?!"), (5, draw(10, 1))]
+    docs = []
+    for k in range(some):
+        parts = [draw(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            words = (rng.choice(items)[1] or "").split()
+            a = rng.randint(0, len(words))
+            parts += [" ".join(words[a : a + rng.randint(0, 25)]).upper().replace(" ", ", "), draw(rng.randint(0, 4))]
+        docs.append((k, ".\n".join(parts)))
+    return docs + [(90, None), (91, ""), (91, "ab"), (None, items[9][1] or ""), (1, docs[1][1])], items
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_windows_by_hand(spark, seed):
+    docs, items = made_up(seed)
+    assert windows(spark, docs, items) == windows_by_hand(docs, items)
+
+
+def test_windows_by_shuffle_and_a_full_bitmap(spark, monkeypatch):
+    """Where the benchmark is too large for broadcasts and its bitmap lets everything through."""
+    from arbora.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(winnowing, "FEWEST_BITS", 6)
+    monkeypatch.setattr(winnowing, "MOST_BITS", 6)
+    docs, items = made_up(4)
+    assert windows(spark, docs, items) == windows_by_hand(docs, items)
+
+
+def test_windows_of_nothing_and_long_texts(spark):
+    docs, items = made_up(5, 3)
+    assert windows(spark, docs, []) == windows_by_hand(docs, [])
+    assert windows(spark, [], items) == []
+    item = " ".join(f"w{k}" for k in range(40))
+    long = " ".join(f"v{k % 9973}" for k in range(300_000))
+    docs = [(1, f"{long} {item} {long}"), (2, f"{long} {' '.join(item.split()[3:12])} {long}"), (3, "x" * 3_000_000)]
+    got = {r[0]: r for r in windows(spark, docs, [(8, item)])}
+    assert got[1][1:4] == (600_040, 40, 1) and got[2][2:4] == (0, 0) and got[3][1] == 1
+
+
+def test_spans_of_hits(spark):
+    item = [f"w{k}" for k in range(30)]
+    docs = [(1, " ".join(["a", *item[2:25], "b", *item[:10]]))]
+    got = winnowing.hits(*frames(spark, docs, [(4, " ".join(item))]))
+    assert sorted(tuple(r) for r in got.select("doc_id", "item_id", "start", "end").collect()) == [(1, 4, 1, 24), (1, 4, 25, 35)]
+
+
+# Runs
+
+
+def runs_by_hand(words, least=12):
+    n, found = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i + q - start >= 2 * q:
+                found.setdefault((start, i + q), q)
+    return sorted((a, b - a, q) for (a, b), q in found.items() if b - a >= max(least, 2 * q))
+
+
+def run_rows_by_hand(rows, place):
+    out = []
+    for doc_id, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        at = place(doc_id, len(words)) if place else None
+        words = [words[k] for k in at] if at is not None else words
+        found = runs_by_hand(words)
+        gone = {k for a, n, q in found for k in range(a + q, a + n)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        lines = "".join(f"{a},{n},{q}\n" for a, n, q in sorted(found, key=lambda r: (r[0], r[2])))
+        left = " ".join(w for k, w in enumerate(words) if k not in gone)
+        out.append((doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def repeating(seed, some):
+    rng = random.Random(seed)
+    texts = []
+    for k in range(some):
+        words = [rng.choice("abcdefgh"[: rng.choice([1, 2, 3, 8])]) for _ in range(rng.randint(0, 60))] + [f"x{rng.randrange(400)}" for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 2)):
+            p, a = rng.randint(1, 20), rng.randint(0, len(words))
+            words[a:a] = [f"p{j % p}" for j in range(rng.randint(0, 60))]
+        texts.append((k, rng.choice([" ", "\n", "\t \x0b"]).join(words)))
+    return texts
+
+
+@pytest.mark.parametrize("place", [None, runs.planted])
+def test_runs_by_hand(spark, place):
+    rows = [*repeating(1, 120), (500, None), (500, ""), (None, "a " * 40), (3, "b " * 12), (4, "b " * 11), (600, " \n")]
+    made = spark.createDataFrame([(i, t, [1]) for i, t in rows], "doc_id long, text string, runs array<int>")
+    assert sorted((tuple(r) for r in runs.digest(made, place=place).collect()), key=repr) == run_rows_by_hand(rows, place)
+
+
+def test_all_runs_of_a_batch():
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = [[rng.randrange(rng.choice([1, 2, 3, 30])) for _ in range(rng.randint(0, 70))] for _ in range(3)]
+        codes, bounds = np.array([x for t in texts for x in t], "i8"), np.cumsum([0, *map(len, texts)])
+        for least in (12, 4):
+            got = runs.maximal(codes, bounds, least).tolist()
+            for k, t in enumerate(texts):
+                assert sorted((a, b - a, q) for of, a, b, q in got if of == k) == runs_by_hand(t, least)
+
+
+def test_long_runs(spark):
+    words = [f"w{k % 7001}" for k in range(200_000)]
+    made = spark.createDataFrame([(1, " ".join(words)), (2, "a " * 300_000), (3, "z" * 2_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in runs.scan(made).select("doc_id", "runs", F.length("collapsed").alias("n")).collect()}
+    assert [tuple(x) for x in got[1]["runs"]] == [(0, 200_000, 7001)] and [tuple(x) for x in got[2]["runs"]] == [(0, 300_000, 1)]
+    assert got[2]["n"] == 1 and got[3]["n"] == 2_000_000 and got[3]["runs"] == []
+    assert runs.digest(made.limit(0)).count() == 0
+
+
+def test_only_repeated_windows_are_searched():
+    codes = np.arange(1000)
+    codes[600:700] = codes[100:200]
+    kept = runs.surviving(codes, np.array([0, 1000]))
+    assert kept.nonzero()[0].tolist() == [*range(100, 200), *range(600, 700)]
+    assert not runs.surviving(codes, np.array([0, 500, 1000])).any()
