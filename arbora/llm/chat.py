@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, END = "<|{}|>\n", "<|end|>\n"
 TRAINED = "assistant"
-_TURN = "struct<role:string,text:string>"
+#: Lengths of turns that are added up at once.
+BLOCK = 64
 
 
 def _head(turn: Column) -> Column:
@@ -19,17 +22,49 @@ def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), t["text"], F.lit(END))), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(values: Column, start: Column, count: Column) -> Column:
+    return F.aggregate(F.slice(values, start + 1, count), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def before(lengths: Column) -> Column:
+    """Of an array of numbers, the sum of those before each.
+
+    Sums of blocks of BLOCK numbers and of BLOCK blocks are made first, so that each place adds up a few of them; only the sums
+    of whole groups of BLOCK blocks are gathered one after another.
+    """
+    blocks = lambda values: F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / F.lit(BLOCK)).cast("int")), lambda b: _sum(values, b * BLOCK, F.lit(BLOCK)))
+
+    def running(values: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("sums"))
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["sums"], s["sum"] + x).alias("sums"))
+        return F.aggregate(values, start, step, lambda s: s["sums"])
+
+    def at(lengths: Column, small: Column, large: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            block = F.floor(i / F.lit(BLOCK)).cast("int")
+            group = F.floor(i / F.lit(BLOCK * BLOCK)).cast("int")
+            return F.get(large, group) + _sum(small, group * BLOCK, block - group * BLOCK) + _sum(lengths, block * BLOCK, i - block * BLOCK)
+
+        return F.transform(lengths, one)
+
+    return _let(lengths, lambda own: _let(blocks(own), lambda small: _let(running(blocks(small)), lambda large: at(own, small, large))))
+
+
 def mask(turns: Column) -> Column:
     """Where the loss counts in the rendered turns: (start, end) in characters of each assistant's text with its end mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+    sizes = F.transform(turns, lambda t: F.struct((t["role"] == TRAINED).alias("trained"), F.length(_head(t)).cast("long").alias("head"), (F.length(t["text"]) + F.lit(len(END))).cast("long").alias("body")))
 
-    def step(done: Column, t: Column) -> Column:
-        begin = done["at"] + F.length(_head(t))
-        stop = begin + F.length(t["text"]) + F.lit(len(END))
-        span = F.struct(begin.alias("start"), stop.alias("end"))
-        return F.struct(stop.alias("at"), F.when(t["role"] == TRAINED, F.array_append(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+    def spans(sizes: Column) -> Column:
+        begun = before(F.transform(sizes, lambda s: s["head"] + s["body"]))
+        placed = F.zip_with(sizes, begun, lambda s, at: F.struct(s["trained"].alias("trained"), (at + s["head"]).alias("start"), (at + s["head"] + s["body"]).alias("end")))
+        return F.transform(F.filter(placed, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(turns, start, step, lambda done: done["spans"])
+    return _let(sizes, spans)
 
 
 def preferences(pairs: DataFrame) -> DataFrame:

@@ -1,28 +1,31 @@
 """Mixing sources to target weights by systematic sampling.
 
-Each source has a target in words; each of its documents is expected target / size times.  The documents of a source are
-ordered from the longest to the shortest, their expected copies are summed up, one random offset is added, and a document is
-taken once for each whole number that its sum crosses.  Whether a long document is taken once more or less moves the words
-taken a lot, so what long ones bring above or below their share is made up for by the expected copies of all that follow:
-of a document these are what is left of the target by what is left of the source.  Long are few documents of a source at
-most, which are summed up one by one; the others are all expected alike often, and their sums come from their ranks.
+Each source has a target in words, and each of its documents a number of expected copies, which is fixed before anything is
+drawn.  The documents of a source are ordered from the longest to the shortest, their expected copies are summed up, one random
+offset is added, and a document is taken once for each whole number that its sum crosses.
+
+Expected copies would be target / size of the source for all, but for documents of which one alone is more than the error
+that is allowed: those are expected a whole number of times.  They fall into levels, by how many times they could be halved
+until the error allowed; a level has a number of copies, spread evenly over its documents.  That is the level's share of the
+target, rounded, or a few more or less, by which the words of the level and of all levels of longer documents come nearest to
+their share.  What they leave of the target is shared evenly among all other documents.
 """
 
 from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import repeated, small_batches, small_side, staged
+from .common import repeated, small_side, staged
 
 WEIGHTS, MOST_TIMES, SEED = (1, 2, 3), 3.0, 23
 WORD = r"[^\x20\x09-\x0D]+"
-#: A document is long with over this share of its source's target, and over one in so many of the source's words, so that a
-#: source has fewer long ones than that.
-LONG_SHARE, MOST_LONG = 0.002, 2000
+#: The share of a source's target that a document of fractional expected copies may have at most.
+ERROR = 2.0**-10
+#: By how many copies a level may differ from its share.
+EITHER_WAY = 8
 
 
 def numbered(rows: DataFrame, order: list[Column], label: str, by: str | None = None) -> DataFrame:
@@ -68,18 +71,61 @@ def offset(seed: int) -> Column:
     return F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _times(target: float, taken: float, left: float, most_times: float) -> float:
-    return min(most_times, max(0.0, (target - taken) / left)) if left > 0 else 0.0
+def _spread(copies: Column, n: Column, rank: Column) -> Column:
+    """How many of ``copies``, spread evenly over ``n`` documents, are due up to a rank."""
+    return F.floor(copies * rank / n + 0.5).cast("long")
 
 
-def taken_in_turn(sizes: list[int], source_size: int, target: float, start: float, most_times: float) -> tuple[list[int], float, int]:
-    """Copies of documents in order, where their sum ends if it starts at ``start``, and the words taken."""
-    copies, at, taken, left = [], start, 0, source_size
-    for size in sizes:
-        end = at + _times(target, taken, left, most_times)
-        copies.append(math.floor(end) - math.floor(at))
-        at, taken, left = end, taken + copies[-1] * size, left - size
-    return copies, at, taken
+def levels(ranked: DataFrame, most_times: float) -> DataFrame:
+    """l_source, l_level, n, first (rank before it), copies, copies_before, words, taken of each level of long documents.
+
+    Sums over a level's documents are made for each number of copies that it may have, and then a source's levels, a few dozen
+    at most, are gone through from the longest documents on.
+    """
+    long = ranked.where("level is not null")
+    counts = long.groupBy("source", "level").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.first("ratio").alias("ratio"))
+    counts = staged(counts.select(F.col("source").alias("l_source"), F.col("level").alias("l_level"), "n", (F.col("first") - 1).alias("first"), F.col("ratio").alias("l_ratio")), "levels")
+    same = F.col("source").eqNullSafe(F.col("l_source")) & (F.col("level") == F.col("l_level"))
+    met = long.join(small_side(counts), same)
+    due = lambda k: F.least(F.floor(F.col("n") * most_times), F.greatest(F.lit(0), F.floor(F.col("l_ratio") * F.col("n") + 0.5) + k)).cast("long")
+    rank = F.col("rank") - F.col("first")
+    own = lambda k: _spread(due(F.lit(k)), F.col("n"), rank) - _spread(due(F.lit(k)), F.col("n"), rank - 1)
+    tries = range(-EITHER_WAY, EITHER_WAY + 1)
+    each = met.groupBy("l_source", "l_level", "n", "first", "l_ratio").agg(F.sum("size").alias("words"), F.array(*[F.struct(F.first(due(F.lit(k))).alias("copies"), F.sum(own(k) * F.col("size")).alias("taken")) for k in tries]).alias("tries"))
+    rows = F.array_sort(F.collect_list(F.struct("l_level", "n", "first", "words", "l_ratio", "tries")))
+    chosen = "array<struct<level:int,n:long,first:long,copies:long,copies_before:long,words:long,taken:long>>"
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"), F.array().cast(chosen).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        words = s["words"] + x["words"]
+        best = F.array_min(F.transform(x["tries"], lambda t: F.struct(F.abs(s["taken"] + t["taken"] - x["l_ratio"] * words).alias("off"), t["copies"].alias("copies"), t["taken"].alias("taken"))))
+        row = F.struct(x["l_level"].alias("level"), x["n"].alias("n"), x["first"].alias("first"), best["copies"].alias("copies"), s["copies"].alias("copies_before"), x["words"].alias("words"), best["taken"].alias("taken"))
+        return F.struct(words.alias("words"), (s["taken"] + best["taken"]).alias("taken"), (s["copies"] + best["copies"]).alias("copies"), F.array_append(s["done"], row).alias("done"))
+
+    folded = each.groupBy("l_source").agg(F.aggregate(rows, start, step, lambda s: s["done"]).alias("done"))
+    return staged(folded.select("l_source", F.explode("done").alias("x")).select("l_source", F.col("x.level").alias("l_level"), "x.n", "x.first", "x.copies", "x.copies_before", "x.words", F.col("x.taken").alias("level_taken")), "level-copies")
+
+
+def expected(ranked: DataFrame, most_times: float) -> DataFrame:
+    """``ranked`` (source, source_size, target, size, rank from the longest, ...) with ``upto``, the expected copies of a source's
+    documents up to this one, and ``before``, those before it."""
+    ratio = F.when(F.col("source_size") > 0, F.least(F.lit(most_times), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    level = F.when(F.col("size") > F.col("target") * ERROR, F.greatest(F.lit(-20), F.floor(F.log2(F.col("target") / F.col("size")))).cast("int"))
+    rows = ranked.withColumns({"ratio": ratio, "level": level})
+    known = levels(rows, most_times)
+    sums = known.groupBy(F.col("l_source").alias("s_source")).agg(F.sum("n").alias("n_long"), F.sum("words").alias("long_size"), F.sum("level_taken").alias("long_taken"), F.sum("copies").alias("long_copies"))
+    rows = rows.join(small_side(staged(sums, "long-documents")), F.col("source").eqNullSafe(F.col("s_source")), "left").drop("s_source")
+    own = small_side(known.select("l_source", "l_level", "n", "first", "copies", "copies_before"))
+    rows = rows.join(own, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("level") == F.col("l_level")), "left").drop("l_source", "l_level")
+    n_long, left = F.coalesce("n_long", F.lit(0)), F.col("source_size") - F.coalesce("long_size", F.lit(0))
+    share = F.when(left > 0, F.least(F.lit(most_times), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("long_taken", F.lit(0))) / left))).otherwise(0.0)
+
+    def upto(rank: Column) -> Column:
+        long = F.col("copies_before") + _spread(F.col("copies"), F.col("n"), rank - F.col("first"))
+        return F.when(F.col("level").isNotNull(), long).otherwise(F.coalesce("long_copies", F.lit(0)) + F.col("share") * (rank - n_long))
+
+    made = rows.withColumn("share", share).withColumns({"upto": upto(F.col("rank")), "before": upto(F.col("rank") - 1)})
+    return made.drop("ratio", "level", "share", "n", "first", "copies", "copies_before", "n_long", "long_size", "long_taken", "long_copies")
 
 
 def sampled(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: float = MOST_TIMES, seed: int = SEED) -> DataFrame:
@@ -87,42 +133,21 @@ def sampled(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: f
 
     Size is the number of words, runs of characters other than white space (null text: 0; a text may be of any length).  Null
     is a source like others.  Ties in size are ordered by a hash of doc_id and seed, so that results are the same from run to
-    run; rows that repeat are drawn each by itself.  Texts are read once, and what is written and shuffled afterwards has no
-    texts.  An empty table gives an empty one.  Columns other than doc_id, text and source aren't read, so names can't clash.
+    run; rows that repeat are drawn each by itself.  No document is taken more than ``most_times``.  Texts are read once, and
+    what is written and shuffled afterwards has no texts.  An empty table gives an empty one.  Columns other than doc_id, text
+    and source aren't read, so names can't clash.
     """
-    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     sizes = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
-    long_from = F.greatest(F.col("target") * LONG_SHARE, F.col("source_size") / MOST_LONG)
-    goals = staged(goals.select(F.col("source").alias("g_source"), "source_size", "target", long_from.alias("long_from"), offset(seed).alias("offset")), "targets")
-
+    goals = staged(goals.select(F.col("source").alias("g_source"), "source_size", "target", offset(seed).alias("offset")), "targets")
     rows = sizes.join(small_side(goals), F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source").withColumn("tie", F.xxhash64("doc_id", F.lit(seed)))
-    rows = rows.withColumn("long", F.col("size") > F.col("long_from")).drop("long_from")
-    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target", "copies"]
-
-    def in_turn(own: pa.Table) -> pa.Table:
-        rows = sorted(own.to_pylist(), key=lambda r: (-r["size"], r["tie"], r["doc_id"] is not None, r["doc_id"], r["text_hash"]))
-        first = rows[0]
-        copies, end, taken = taken_in_turn([r["size"] for r in rows], first["source_size"], first["target"], first["offset"], most_times)
-        made = [{**{c: r.get(c) for c in columns}, "copies": n, "end": end, "words": taken} for r, n in zip(rows, copies, strict=True)]
-        return pa.Table.from_pylist(made, in_turn_schema)
-
-    in_turn_schema = pa.schema([(c, pa.string() if c == "source" else pa.float64() if c in ("target", "end") else pa.int64()) for c in [*columns, "end", "words"]])
-    kinds = "doc_id long, source string, text_hash long, size long, source_size long, target double, copies long, end double, words long"
-    long = staged(rows.where("long").groupBy("source").applyInArrow(in_turn, kinds), "long-documents")  # fewer than MOST_LONG of each source
-    done = long.groupBy("source").agg(F.first("end").alias("end"), F.first("words").alias("words"), F.sum("size").alias("long_size"))
-    done = staged(done.withColumnRenamed("source", "d_source"), "long-sources")
-
     order = [F.col("size").desc(), F.col("tie").asc(), F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc_nulls_first()]
-    ranked = numbered(rows.where("not long").drop("long"), order, "ranges", "source").drop("tie")
-    ranked = ranked.join(small_side(done), F.col("source").eqNullSafe(F.col("d_source")), "left")
-    left = F.col("source_size") - F.coalesce("long_size", F.lit(0))
-    times = F.when(left > 0, F.least(F.lit(most_times), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("words", F.lit(0))) / left))).otherwise(0.0)
-    start = F.coalesce("end", "offset")
-    copies = (F.floor(start + F.col("times") * F.col("rank")) - F.floor(start + F.col("times") * (F.col("rank") - 1))).cast("long")
-    short = ranked.withColumn("times", times).withColumn("copies", F.least(copies, F.lit(math.ceil(most_times)).cast("long")))
-    return long.select(*columns).unionByName(short.select(*columns)).withColumn("taken", F.col("size") * F.col("copies"))
+    ranked = staged(numbered(rows, order, "ranges", "source").drop("tie"), "ranked")
+    made = expected(ranked, most_times)
+    copies = F.least(F.lit(math.floor(most_times)), F.floor(F.col("upto") + F.col("offset")) - F.floor(F.col("before") + F.col("offset"))).cast("long")
+    drawn = made.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"))
+    return drawn.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

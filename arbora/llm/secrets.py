@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import packed, small_batches, staged, tidied
 from .words import strings
@@ -339,16 +340,34 @@ def digest(docs: DataFrame, q: float = RATE) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size("random").cast("long").alias("n_random"), F.sha2(_string("base"), 256).alias("base_sha256"), _string("all").alias("spans"))
 
 
+def cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with ``mark`` in place of its spans; those that overlap or touch are replaced together."""
+    out, at, open_ = [], 0, False
+    for start, end in sorted(spans):
+        if not open_ or start > at:
+            out += [text[at:start], mark]
+        at, open_ = max(at, end), True
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, q: float = RATE, mark: str = "[secret]") -> DataFrame:
-    """The rows of ``docs``, every span of whose texts is replaced by ``mark``; overlapping spans are replaced together."""
-    found = find(docs, q).withColumn("all", F.array_sort(F.concat("base", "random")))
-    text = F.col("row.text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, s: Column) -> Column:
-        apart = (s["start"] >= done["at"]) & ((s["start"] > done["at"]) | (done["at"] == 0) | ~F.endswith(done["out"], F.lit(mark)))
-        between = F.substr(text, (done["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - done["at"]).cast("int"))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(apart, F.concat(done["out"], between, F.lit(mark))).otherwise(done["out"]).alias("out"))
-
-    cut = F.aggregate("all", start, step, lambda done: F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"))))
-    return found.select(F.col("row").withField("text", F.when(F.size("all") > 0, cut).otherwise(text)).alias("row")).select("row.*")
+    """The rows of ``docs``, every span of whose texts is replaced by ``mark``; spans that overlap or touch are replaced together.
+
+    A text is cut once, in time in proportion to it and its spans.
+    """
+    place = F.transform(F.concat("base", "random"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(others)], F.lit(True).alias("there"))
+    found = find(docs, q).select(rest.alias("rest"), F.col("row.text").cast("string").alias("text"), place.alias("spans"))
+    small_batches(docs.sparkSession)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(1), batch.column(2).to_pylist()
+            if any(spans):
+                texts = pa.array([cut(t, [(x["start"], x["end"]) for x in own], mark) if own else t for t, own in zip(texts.to_pylist(), spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["rest", "text"])
+
+    kind = found.schema["rest"].dataType
+    made = found.mapInArrow(tidied(clean), T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType())]))
+    return made.select(*[F.col("text") if c == "text" else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns])

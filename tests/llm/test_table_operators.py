@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -199,8 +201,13 @@ def test_mixing(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def spread(copies, n):
+    """Whole numbers, one for each of n documents."""
+    return [math.floor(copies * (i + 1) / n + 0.5) - math.floor(copies * i / n + 0.5) for i in range(n)]
+
+
 def copies_by_hand(spark, rows):
-    """Copies of each row: the prefix sums of a source's documents from the longest, with one offset."""
+    """Copies of each row: differences of the floors of prefix sums, from the longest document on, with one offset."""
     made = mixed(spark, rows).select("doc_id", "text", "source", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("tie"), mixing.offset(mixing.SEED).alias("offset"))
     sources: dict = {}
     for r in made.collect():
@@ -208,17 +215,28 @@ def copies_by_hand(spark, rows):
     target = targets_by_hand({s: -sum(x[0] for x in own) for s, own in sources.items()})
     found: dict = {}
     for s, own in sources.items():
-        size = left = -sum(x[0] for x in own)
-        at, taken, times = own[0][3], 0, None
-        for n, _, doc, _ in sorted(own, key=lambda x: x[:2]):
-            if -n > max(mixing.LONG_SHARE * target[s], size / mixing.MOST_LONG):
-                now = min(3.0, max(0.0, (target[s] - taken) / left)) if left else 0.0
-            else:
-                times = (min(3.0, max(0.0, (target[s] - taken) / left)) if left else 0.0) if times is None else times
-                now = times
-            copies = math.floor(at + now + 1e-9) - math.floor(at + 1e-9)
-            found[doc] = copies
-            at, taken, left = at + now, taken - copies * n, left + n
+        own = [(-n, doc, offset) for n, _, doc, offset in sorted(own)]
+        size = sum(n for n, *_ in own)
+        ratio = target[s] / size if size else 0.0
+        by: dict = {}
+        for k, (n, *_) in enumerate(own):
+            if n > target[s] * mixing.ERROR:
+                by.setdefault(max(-20, math.floor(math.log2(target[s] / n))), []).append(k)
+        expected, taken, words, n_long = [0.0] * len(own), 0, 0, sum(map(len, by.values()))
+        for _, ks in sorted(by.items()):
+            words += sum(own[k][0] for k in ks)
+            due = {min(3 * len(ks), max(0, math.floor(ratio * len(ks) + 0.5) + e)) for e in range(-8, 9)}
+            sums = {c: sum(own[k][0] * m for k, m in zip(ks, spread(c, len(ks)), strict=True)) for c in due}
+            best = min(due, key=lambda c: (abs(taken + sums[c] - ratio * words), c))
+            taken += sums[best]
+            for k, m in zip(ks, spread(best, len(ks)), strict=True):
+                expected[k] = m
+        left = sum(n for n, *_ in own[n_long:])
+        share = min(3.0, max(0.0, (target[s] - taken) / left)) if left else 0.0
+        whole = sum(expected)
+        for k, (_, doc, offset) in enumerate(own):
+            upto, before = (whole + share * (k + 1 - n_long), whole + share * (k - n_long)) if k >= n_long else (sum(expected[: k + 1]), sum(expected[:k]))
+            found[doc] = math.floor(upto + offset) - math.floor(before + offset)
     return found
 
 
@@ -226,11 +244,22 @@ def test_mixing_by_hand(spark):
     random.seed(20)
     rows = [(k, " ".join(["w"] * int(random.lognormvariate(3, 1))), random.choice(["a", "b", "c", "big", "big", None]), "mine") for k in range(3000)]
     rows += [(5000, "w " * 4000, "b", None), (5001, "w " * 90_000, "long", None), (5002, "w", "long", None), (5003, None, "none", None)]
+    rows += [(6000 + k, "w " * 300, "alike", None) for k in range(7)]
     got = {r["doc_id"]: r["copies"] for r in mixing.sampled(mixed(spark, rows)).collect()}
     want = copies_by_hand(spark, rows)
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) == 0
 
 
+def test_mixing_comes_near(spark):
+    """Within 1 % of each target where a source has some documents, however uneven, and never more than three times."""
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).is_dir():
+        pytest.skip("no test data")
+    got = mixing.sampled(common.table(spark, sf, "documents")).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("copies").alias("most")).collect()
+    assert max(r["most"] for r in got) <= 3
+    assert max(abs(r["taken"] - r["target"]) / r["target"] for r in got) < 0.01
+
+
 def test_mixing_many_sources(spark):
     """Sources are ranked over partitions; null is the last."""
     rows = [(k, "w " * (1 + k % 5), None if k % 50 == 0 else f"host{k % 700:03}.example", "mine") for k in range(2100)]
@@ -304,6 +333,20 @@ def test_long_urls_pages_and_turns(spark):
     assert [(s["start"], s["end"]) for s in one["chosen_mask"]] == [(14, 500_022)]
 
 
+def test_conversations_of_many_turns(spark):
+    lengths = [0, 1, chat.BLOCK - 1, chat.BLOCK, chat.BLOCK + 1, chat.BLOCK**2, chat.BLOCK**2 + 1, 20_000]
+    arrays = spark.createDataFrame([([k % 7 for k in range(n)],) for n in lengths], "a array<long>")
+    for r in arrays.select("a", chat.before(F.col("a")).alias("b")).collect():
+        assert r["b"] == [0, *np.cumsum(r["a"]).tolist()][: len(r["a"])]
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(100_000)]
+    made = spark.createDataFrame([(1, turns, [("user", "other"), *turns[1:]])], "pair_id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    began = time.perf_counter()
+    one = chat.preferences(made).first()
+    assert time.perf_counter() - began < 60
+    assert len(one["chosen_mask"]) == 50_000
+    assert all(one["chosen"][s["start"] : s["end"]] == f"t{2 * k + 1}<|end|>\n" for k, s in enumerate(one["chosen_mask"]))
+
+
 def test_repeated_pairs_and_no_pairs(spark):
     kind = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string"
     row = (1, [("user", None), ("assistant", "x")], [("user", None)], "mine")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import string
 import zlib
 from collections import Counter
@@ -203,6 +204,16 @@ def test_redaction(spark):
     assert secrets.redact(made.limit(0)).count() == 0
 
 
+def test_redaction_of_many_secrets(spark):
+    """A text is cut in time in proportion to it."""
+    text = " ".join(f"{k:016x}abcdef" for k in range(100_000))
+    began = time.perf_counter()
+    got = secrets.redact(spark.createDataFrame([(text, 1)], "text string, c0 int"))
+    assert got.columns == ["text", "c0"] and got.first()["text"] == " ".join(["[secret]"] * 100_000)
+    assert time.perf_counter() - began < 60
+    assert secrets.cut("0123456789", [(5, 7), (1, 3), (2, 4), (4, 5)], "#") == "0#789" and secrets.cut("ab", [(0, 2)], "#") == "#"
+
+
 def test_secrets_odd_rows(spark):
     made = frame(spark, ODD + ODD)
     assert secrets.digest(made).count() == 2 * len(ODD)
