@@ -102,16 +102,6 @@ def neighbours(items: DataFrame) -> DataFrame:
     return items.withColumns({"prev_index": F.coalesce(before, F.lit(0)), "next_index": F.coalesce(after, F.lit(-1))}).where("physical_index is null")
 
 
-def with_turns(items: DataFrame) -> DataFrame:
-    """``turn`` of items without an index that stand before a known one: their place, from 1, in the gap; null for others."""
-    before = F.count("physical_index").over(_items().rowsBetween(Window.unboundedPreceding, 0))
-    _, after = _nearest(F.col("physical_index"))
-    missing = F.col("physical_index").isNull()
-    marked = items.withColumns({"gap": before, "asked": missing & after.isNotNull()})
-    place = F.row_number().over(Window.partitionBy("doc_id", "gap", "asked").orderBy("list_index"))
-    return marked.withColumn("turn", F.when(F.col("asked"), place)).drop("gap", "asked")
-
-
 def repair_ranges(items: DataFrame, wrong: DataFrame, counts: DataFrame, start_index: int = 1) -> DataFrame:
     """The wrong items with ``prev_correct`` and ``next_correct``, the nearest indexes of items that aren't wrong.
 

@@ -38,30 +38,19 @@ def by_numbers(items: DataFrame, pages: DataFrame, after: DataFrame, options: Op
     starts = after.select("doc_id", F.col("last_page").alias("start_page"))
     offsets = toc.page_offsets(toc.page_pairs(items, found, starts))
     placed = toc.with_offset(found.withColumn("physical_index", F.lit(None).cast("int")), offsets)
-    return located_in_turn(placed, pages, reasoner).select(*ITEM)
-
-
-def located_in_turn(items: DataFrame, pages: DataFrame, reasoner: RuleReasoner) -> DataFrame:
-    """Items without an index are looked for between their known neighbours, those of one gap one after another, so that one that is
-    found narrows the next one's range; all documents' gaps take their turns together.  After the last known item there is no range.
-    """
-    marked = staged(toc.with_turns(items), "placed")
-    for turn in range(1, (marked.agg(F.max("turn")).first()[0] or 0) + 1):
-        asked = toc.neighbours(marked).where(F.col("turn") == turn)
-        located = reasoner.locate(asked.join(toc.range_text(asked, pages, "prev_index", "next_index"), ["doc_id", "list_index"]))
-        marked = staged(toc.merged_fixes(marked, located.withColumn("is_valid", F.col("fixed_index").isNotNull())), "placed")
-    return marked.drop("turn")
+    placed = staged(placed.select(*ITEM), "placed")
+    found = reasoner.filled(placed, pages)
+    return toc.merged_fixes(placed, found.withColumn("is_valid", F.lit(True))).select(*ITEM)
 
 
 def verified(items: DataFrame, pages: DataFrame, reasoner: RuleReasoner) -> DataFrame:
     return reasoner.title_appears(toc.with_page_text(items, pages)).drop("page_text", "page_squeezed")
 
 
-def repaired(items: DataFrame, wrong: DataFrame, pages: DataFrame, counts: DataFrame, reasoner: RuleReasoner) -> tuple[DataFrame, DataFrame]:
-    """Items with one round of repairs, and those that are still wrong."""
+def repaired(items: DataFrame, wrong: DataFrame, pages: DataFrame, counts: DataFrame, reasoner: RuleReasoner, searched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with one round of repairs, and those that are still wrong; ``searched`` is what the reasoner looks for their titles in."""
     ranged = toc.repair_ranges(items, wrong, counts)
-    content = toc.range_text(ranged, pages, "prev_correct", "next_correct")
-    located = reasoner.locate(ranged.join(content, ["doc_id", "list_index"], "left")).select("doc_id", "list_index", "title", "fixed_index")
+    located = reasoner.locate(ranged, searched, "prev_correct", "next_correct").select("doc_id", "list_index", "title", "fixed_index")
     again = reasoner.title_appears(toc.with_page_text(located.withColumn("physical_index", F.col("fixed_index")), pages))
     fixes = staged(again.select("doc_id", "list_index", "fixed_index", (F.col("answer") == "yes").alias("is_valid")), "fixes")
     return staged(toc.merged_fixes(items, fixes), "repaired"), fixes.where("not is_valid").select("doc_id", "list_index")
@@ -75,10 +64,12 @@ def accepted(items: DataFrame, pages: DataFrame, counts: DataFrame, reasoner: Ru
     good = items.join(decided.where("decision = 'accept'").select("doc_id"), "doc_id", "left_semi")
     mending = items.join(decided.where("decision = 'repair'").select("doc_id"), "doc_id", "left_semi")
     wrong = checked.where("physical_index is not null and answer <> 'yes'").join(decided.where("decision = 'repair'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "list_index")
+    searched = None
     for _ in range(REPAIRS):
         if wrong.isEmpty():
             break
-        mending, wrong = repaired(mending, wrong, pages, counts, reasoner)
+        searched = reasoner.searchable(items.join(wrong, ["doc_id", "list_index"], "left_semi"), pages) if searched is None else searched
+        mending, wrong = repaired(mending, wrong, pages, counts, reasoner, searched)
     return good.unionByName(mending)
 
 

@@ -536,7 +536,8 @@ SELECT i.doc_id, i.list_index, coalesce(v.fixed, i.physical_index) AS physical_i
 def toc_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, made = fx.toc_items(spark, sf_dir), fx.doc_pages(spark, sf_dir)
     ranged = _ranged(spark, sf_dir)
-    located = RuleReasoner().locate(ranged.join(toc.range_text(ranged, made, "prev_correct", "next_correct"), ["doc_id", "list_index"]))
+    rules = RuleReasoner()
+    located = rules.locate(ranged, rules.searchable(ranged, made), "prev_correct", "next_correct")
     return toc.merged_fixes(items, located.withColumn("is_valid", F.col("fixed_index").isNotNull())).select("doc_id", "list_index", "physical_index")
 
 

@@ -12,11 +12,13 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import extract_json, index_number, squeezed, strip, token_count, yes_or_no
+from .functions import extract_json, index_number, page_tag, squeezed, strip, token_count, yes_or_no
+from .operators import titles
 from .operators.pages import grouped_text, groups
+from .operators.toc import range_text
 from .staging import staged
 
 TOC_ITEMS = "array<struct<structure:string,title:string,page:int>>"
@@ -53,24 +55,24 @@ class RuleReasoner:
 
     def outline(self, pages: DataFrame) -> DataFrame:
         """doc_id, list_index, structure, title, physical_index: a section for each page that begins with a short line."""
-        from pyspark.sql import Window
-
         head = strip(F.substring_index("text", "\n", 1))
         short = pages.where((head != "") & (F.length(head) <= TITLE_CHARS)).select("doc_id", "physical_index", head.alias("title"))
         k = F.row_number().over(Window.partitionBy("doc_id").orderBy("physical_index")) - 1
         return short.select("doc_id", k.cast("long").alias("list_index"), (k + 1).cast("string").alias("structure"), "title", "physical_index")
 
     def place(self, items: DataFrame, pages: DataFrame) -> DataFrame:
-        """``items`` (doc_id, list_index, title, ...) with ``physical_index``, the first of ``pages`` that has the title.
+        """``items`` (doc_id, list_index, title, ...) with ``physical_index``, the first of ``pages`` that has the title."""
+        return titles.first_pages(items, titles.finds(items, pages))
+
+    def searchable(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        """What ``locate`` looks for the titles of ``items`` in."""
+        return staged(titles.finds(items, pages), "finds")
 
-        A page meets the titles of its document as one list, so there are as many rows as pages, and then as finds; the text of
-        a page is squeezed once.
-        """
-        titles = items.groupBy("doc_id").agg(F.collect_list(F.struct("list_index", squeezed(F.col("title")).alias("title"))).alias("titles"))
-        met = pages.select("doc_id", F.col("physical_index").cast("int").alias("physical_index"), squeezed(F.col("text")).alias("squeezed")).join(titles, "doc_id")
-        finds = met.select("doc_id", "physical_index", F.explode(F.filter("titles", lambda t: F.contains(F.col("squeezed"), t["title"]))).alias("t"))
-        first = finds.groupBy("doc_id", F.col("t.list_index").alias("list_index")).agg(F.min("physical_index").alias("physical_index"))
-        return items.join(first, ["doc_id", "list_index"], "left")
+    def filled(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        """doc_id, list_index, fixed_index of the items that have no index and are found between known ones, each narrowing the
+        next one's range."""
+        missing = items.where("physical_index is null")
+        return titles.filled(items, titles.finds(missing, pages))
 
     def title_appears(self, rows: DataFrame) -> DataFrame:
         """``answer``: whether ``page_text`` has ``title`` without regard to case and white space."""
@@ -82,11 +84,9 @@ class RuleReasoner:
         found = F.startswith(_squeezed_page(rows), squeezed(F.col("title")))
         return rows.withColumn("appear_start", F.when(found, "yes").otherwise("no"))
 
-    def locate(self, rows: DataFrame) -> DataFrame:
-        """``fixed_index``: the first page of ``content`` (tagged pages) that has ``title``."""
-        pages = F.regexp_extract_all("content", F.lit(r"(?s)<physical_index_(\d+)>\n.*?\n</physical_index_"), F.lit(0))
-        having = F.filter(pages, lambda p: F.contains(squeezed(p), squeezed(F.col("title"))))
-        return rows.withColumn("fixed_index", index_number(F.regexp_extract(F.get(having, F.lit(0)), r"^(<physical_index_\d+>)", 1)))
+    def locate(self, ranged: DataFrame, searched: DataFrame, first: str, last: str) -> DataFrame:
+        """``ranged`` (doc_id, list_index, title, ...) with ``fixed_index``, the first page from ``first`` to ``last`` with the title."""
+        return titles.first_within(ranged, searched, first, last)
 
     def summary(self, rows: DataFrame, text: str, out: str, short: Column | None = None) -> DataFrame:
         """``out`` of a text; where ``short`` holds, the text itself."""
@@ -101,6 +101,7 @@ class RuleReasoner:
 #: Prompts to replies: texts, or pairs of a text and the reason why it ended.
 Complete = Callable[[list[str]], list]
 GROUP_TOKENS = 20_000
+_LOCATE = 'On which of these pages does the section start? Answer with a JSON object {"physical_index": "<physical_index_X>"} only.'
 
 
 def parse_reply(raw: str):
@@ -270,10 +271,42 @@ class ModelReasoner(RuleReasoner):
         there = rows.where("page_text is not null")
         return self._yes_no(there, "Does this page begin with this title?", ["title", "page_text"], "appear_start").unionByName(rows.where("page_text is null").withColumn("appear_start", F.lit("no")))
 
-    def locate(self, rows: DataFrame) -> DataFrame:
-        task = 'On which of these pages does the section start? Answer with a JSON object {"physical_index": "<physical_index_X>"} only.\n\nTitle: '
-        asked = self._ask(rows, F.concat(F.lit(task), "title", F.lit("\n\n"), F.coalesce("content", F.lit(""))), "raw_reply")
-        return asked.withColumn("fixed_index", index_number(extract_json(F.col("raw_reply"), "physical_index string")["physical_index"])).drop("raw_reply")
+    def searchable(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        return pages
+
+    def locate(self, ranged: DataFrame, searched: DataFrame, first: str, last: str) -> DataFrame:
+        rows = ranged.join(range_text(ranged, searched, first, last), ["doc_id", "list_index"], "left")
+        asked = self._ask(rows, F.concat(F.lit(f"{_LOCATE}\n\nTitle: "), "title", F.lit("\n\n"), F.coalesce("content", F.lit(""))), "raw_reply")
+        return asked.withColumn("fixed_index", index_number(extract_json(F.col("raw_reply"), "physical_index string")["physical_index"])).drop("raw_reply", "content")
+
+    def filled(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        """As with rules, but that each item of a gap is asked for with the text of what is left of its range.
+
+        One task goes through a document's items in order and holds its pages."""
+        ask = self.ask
+
+        def walk(own, texts):
+            import pandas as pd
+
+            by_page = dict(sorted(zip(texts["physical_index"], texts["text"], strict=True)))
+            before, found = 0, []
+            for index, title, known, after in own.sort_values("list_index")[["list_index", "title", "known", "after"]].itertuples(index=False):
+                if not pd.isna(known):
+                    before = int(known)
+                elif not pd.isna(after) and title is not None and (content := "".join(t for k, t in by_page.items() if before <= k <= after)):
+                    reply = parse_reply(ask([f"{_LOCATE}\n\nTitle: {title}\n\n{content}"])[0])
+                    if (n := _number(reply.get("physical_index") if isinstance(reply, dict) else None)) is not None:
+                        before = n
+                        found.append((own["key"].iloc[0], index, n))
+            return pd.DataFrame(found, columns=["key", "list_index", "fixed_index"]).astype({"fixed_index": "Int32"})
+
+        marked = items.withColumn("key", _key())
+        gaps = marked.join(marked.where("physical_index is null").select("key").distinct(), "key", "left_semi")
+        order = Window.partitionBy("key").orderBy(F.col("list_index").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        asked = gaps.select("key", "list_index", "title", F.col("physical_index").cast("double").alias("known"), F.last("physical_index", ignorenulls=True).over(order).cast("double").alias("after"))
+        tagged = pages.select(_key().alias("key"), "physical_index", page_tag(F.col("physical_index"), F.col("text"), "\n\n").alias("text")).join(gaps.select("key").distinct(), "key", "left_semi")
+        made = asked.groupBy("key").cogroup(tagged.groupBy("key")).applyInPandas(walk, "key string, list_index long, fixed_index int")
+        return marked.select("key", "doc_id").distinct().join(staged(made, "filled-items"), "key").drop("key")
 
     def summary(self, rows: DataFrame, text: str, out: str, short: Column | None = None) -> DataFrame:
         """Only texts that are there and not short reach the model."""
