@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import page_tag, token_count
 from .common import joined_in_order
@@ -48,9 +55,21 @@ def with_text(nodes: DataFrame, pages: DataFrame, with_tags: bool = False, key:
 
 
 def with_span_tokens(nodes: DataFrame, pages: DataFrame, key: tuple[str, ...] = ("doc_id", "list_index")) -> DataFrame:
-    """``span_tokens``: tokens of the pages of each node's span."""
-    sums = _paired(nodes, pages.drop("text"), list(key)).groupBy(*key).agg(F.sum("n_tokens").alias("span_tokens"))
-    return nodes.join(sums, list(key), "left").withColumn("span_tokens", F.coalesce("span_tokens", F.lit(0)))
+    """``span_tokens``: tokens of the pages of each node's span.
+
+    Pages are summed up once; a span's tokens are the sum up to its end less that before its start.  Both are met as points in the
+    order of the pages, as the running last sum, so that pages may be missing and no span is listed page by page.
+    """
+    names = list(key)
+    given = nodes.where((F.col("start_index") != 0) & (F.col("end_index") != 0) & (F.col("start_index") <= F.col("end_index")))
+    ends = F.array(F.struct((F.greatest(F.col("start_index"), F.lit(1)) - 1).cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_index").cast("long").alias("at"), F.lit(1).alias("sign")))
+    points = given.select(*names, F.explode(ends).alias("p")).select("doc_id", F.col("p.at").alias("at"), F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)], F.col("p.sign").alias("sign")).alias("point"), F.lit(None).cast("long").alias("n_tokens"))
+    summed = pages.where("physical_index >= 1").groupBy("doc_id", F.col("physical_index").cast("long").alias("at")).agg(F.sum("n_tokens").cast("long").alias("n_tokens"))
+    rows = summed.select("doc_id", "at", F.lit(None).cast(points.schema["point"].dataType).alias("point"), "n_tokens").unionByName(points)
+    upto = F.sum("n_tokens").over(Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumn("upto", F.coalesce(upto, F.lit(0))).where("point is not null")
+    sums = met.groupBy(*[F.col(f"point.k{i}").alias(n) for i, n in enumerate(names)]).agg(F.sum(F.col("point.sign") * F.col("upto")).alias("span_tokens"))
+    return nodes.join(sums, names, "left").withColumn("span_tokens", F.coalesce("span_tokens", F.lit(0)))
 
 
 def large(nodes: DataFrame, pages: DataFrame, most_pages: int, most_tokens: int) -> DataFrame:
@@ -64,33 +83,66 @@ def groups(pages: DataFrame, most_tokens: int = 20_000, overlap: int = 1) -> Dat
 
     A document of at most ``most_tokens`` is one group.  Others are filled up to the mean of ``most_tokens`` and an even
     share, and each group begins with the last ``overlap`` pages of the one before.  A first page that is too large leaves an
-    empty group (last_pi = first_pi - 1) before it.  One fold over the numbers of tokens of each document.
+    empty group (last_pi = first_pi - 1) before it.  One pass over each document's pages in order, of which the last
+    ``overlap`` and a few numbers are held.
     """
-    rows = F.array_sort(F.collect_list(F.struct("physical_index", "n_tokens")))
-    docs = pages.groupBy("doc_id").agg(rows.alias("rows"), F.sum("n_tokens").alias("total"))
-    parts = F.greatest(F.ceil(F.col("total") / F.lit(most_tokens)), F.lit(1))
-    target = F.ceil((F.col("total") / parts + F.lit(most_tokens)) / 2)
-    docs = docs.withColumns({"target": target, "tokens": F.transform("rows", lambda r: r["n_tokens"].cast("long"))})
-    group = "struct<first:int,last:int>"
-    start = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("held"))
-
-    def step(s: Column, tokens: Column) -> Column:
-        over = s["held"] + tokens > F.col("target")
-        ended = F.array_append(s["done"], F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last")))
-        again = F.greatest(s["at"] - overlap, F.lit(0))
-        seeded = F.aggregate(F.slice("tokens", again + 1, s["at"] - again), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.struct(
-            F.when(over, ended).otherwise(s["done"]).alias("done"),
-            F.when(over, again).otherwise(s["first"]).alias("first"),
-            (s["at"] + 1).alias("at"),
-            (F.when(over, seeded).otherwise(s["held"]) + tokens).alias("held"),
-        )
-
-    folded = F.aggregate("tokens", start, step, lambda s: F.array_append(s["done"], F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"))))
-    one = F.array(F.struct(F.lit(0).alias("first"), (F.size("rows") - 1).alias("last")))
-    runs = docs.select("doc_id", "rows", F.posexplode(F.when(F.col("total") <= most_tokens, one).otherwise(folded)).alias("group_no", "g"))
-    first = F.get("rows", F.col("g.first"))["physical_index"]
-    return runs.select("doc_id", F.col("group_no").cast("long").alias("group_no"), first.alias("first_pi"), (first + F.col("g.last") - F.col("g.first")).alias("last_pi"))
+    whole, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("physical_index")
+    total = F.sum("n_tokens").over(whole)
+    parts = F.greatest(F.ceil(total / F.lit(most_tokens)), F.lit(1))
+    target = F.when(total > most_tokens, F.ceil((total / parts + F.lit(most_tokens)) / 2)).cast("long")
+    rows = pages.select("doc_id", "physical_index", "n_tokens").withColumn("target", target)
+    rows = rows.select("doc_id", F.col("physical_index").cast("long").alias("at"), F.col("n_tokens").cast("long").alias("n_tokens"), "target", F.row_number().over(order).alias("k"))
+    kinds = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("group_no", "first_pi", "last_pi")]])
+    page = pages.schema["physical_index"].dataType
+    made = rows.mapInArrow(partial(_filled, overlap), kinds)
+    return made.select("doc_id", "group_no", F.col("first_pi").cast(page).alias("first_pi"), F.col("last_pi").cast(page).alias("last_pi"))
+
+
+@dataclass
+class _Group:
+    """What is known of a document's groups after some of its pages, which are counted from 0."""
+
+    doc: object
+    number: int = 0
+    first: int = 0  # page that the group begins with
+    first_pi: int = 0
+    at: int = 0  # pages so far
+    held: int = 0  # tokens of the group
+    late: deque = field(default_factory=deque)  # tokens and numbers of the last pages
+
+
+def _filled(overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now: _Group | None = None
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, at, tokens, target, k in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+            if k == 1:
+                if now is not None:
+                    out.append(_ended(now))
+                now = _Group(doc, first_pi=at)
+            tokens = tokens or 0
+            if target is not None and now.held + tokens > target:
+                out.append(_ended(now))
+                seeded = list(now.late)[-overlap:] if overlap else []
+                now.number, now.first, now.held = now.number + 1, now.at - len(seeded), sum(n for n, _ in seeded)
+                now.first_pi = seeded[0][1] if seeded else at
+            now.at, now.held = now.at + 1, now.held + tokens
+            now.late.append((tokens, at))
+            if len(now.late) > overlap:
+                now.late.popleft()
+        if out:
+            yield _group_rows(batch, out)
+    if now is not None:
+        yield _group_rows(batch, [_ended(now)])
+
+
+def _ended(group: _Group) -> tuple:
+    return group.doc, group.number, group.first_pi, group.first_pi + group.at - 1 - group.first
+
+
+def _group_rows(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "group_no", "first_pi", "last_pi"])
 
 
 def grouped_text(groups: DataFrame, pages: DataFrame) -> DataFrame:

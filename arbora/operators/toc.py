@@ -159,6 +159,6 @@ def merged_fixes(items: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def sampled(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` items of each document at random, without replacement."""
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("list_index", F.lit(seed)), "list_index")
+    """``n`` items of each document at random, without replacement: those with the least digests of document, index and seed."""
+    order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("list_index").cast("string"), F.lit(seed)).cast("binary")), "list_index")
     return items.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")

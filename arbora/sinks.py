@@ -9,8 +9,13 @@ from .operators import tree
 
 
 def write_nodes(nodes: DataFrame, path: str, buckets: int = 64) -> None:
-    """The node table, in folders by a hash of the document, so that the number of folders doesn't grow with documents."""
-    nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """The node table, in folders by a hash of the document, so that the number of folders doesn't grow with documents.
+
+    Rows are rebalanced by folder: adaptive execution splits what is larger than its advisory size among tasks, each of which
+    writes files of its own, and puts small folders together, so that tasks and files grow with the data and not with folders.
+    """
+    placed = nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    placed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def results(nodes: DataFrame, names: DataFrame, fields: list[str], descriptions: DataFrame | None = None) -> DataFrame:

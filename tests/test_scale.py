@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import markdown, toc, tree
+from arbora.operators import markdown, pages, toc, tree
 
 
 def took(df) -> float:
@@ -28,7 +28,18 @@ def nodes(spark, n):
     return spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("list_index"), F.when(F.col("id") % 10 != 0, F.col("id") - F.col("id") % 10).alias("parent"))
 
 
+def many_pages(spark, n):
+    return spark.range(1, n + 1).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("physical_index"), F.lit("text").alias("text"), (1 + F.col("id") * 7 % 30).alias("n_tokens"))
+
+
+def nested(spark, n):
+    """Nodes whose spans all end at the last page."""
+    return spark.range(1, n + 1).select(F.lit(1).alias("doc_id"), F.col("id").alias("list_index"), F.col("id").alias("start_index"), F.lit(n).cast("long").alias("end_index"))
+
+
 CASES = {
+    "page groups": lambda spark, n: pages.groups(many_pages(spark, n), 30),
+    "span tokens": lambda spark, n: pages.with_span_tokens(nested(spark, n), many_pages(spark, n)),
     "subtree ends": lambda spark, n: markdown.with_subtree_end(sections(spark, n)),
     "subtree tokens": lambda spark, n: markdown.with_subtree_tokens(sections(spark, n)),
     "neighbours": lambda spark, n: toc.neighbours(items(spark, n)),

@@ -40,3 +40,17 @@ def test_indexer(spark):
     pages = spark.createDataFrame([(1, 1, "One\nx"), (1, 2, "Two\ny")], "doc_id int, physical_index int, text string")
     got = Indexer({"if_add_node_summary": "no"}).process(pages).orderBy("node_ord").collect()
     assert [(r["title"], r["start_index"], r["end_index"]) for r in got] == [("One", 1, 1), ("Two", 2, 2)]
+
+
+def test_large_folders_are_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        nodes = spark.range(60_000).select((F.col("id") % 40).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition(16)
+        sinks.write_nodes(nodes, str(tmp_path / "nodes"), 4)
+    finally:
+        spark.conf.set(key, had)
+    folders = sorted(p for p in (tmp_path / "nodes").iterdir() if p.is_dir())
+    assert len(folders) == 4 and sum(len(list(p.glob("*.parquet"))) for p in folders) > 8
+    assert spark.read.parquet(str(tmp_path / "nodes")).select("doc_id", "text").distinct().count() == 60_000
