@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--model", help="rules, package.module:function, or a model of the service at --model-url")
         one.add_argument("--model-url", help="a chat service; its key is in ARBORA_MODEL_KEY on the executors")
         one.add_argument("--concurrency", type=int, help="requests to the service at a time, for each task")
+        one.add_argument("--replies", help="a folder that keeps a model's replies for later runs")
+        one.add_argument("--token-counter", help="package.module:function from texts to numbers of tokens")
         one.add_argument("--no-summary", action="store_true", help="make no summaries")
         one.add_argument("--show", type=int, nargs="?", const=3, metavar="DEPTH", help="print the tree up to a depth")
         if name != "repo":
@@ -40,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--converter", help="url of a conversion service")
             one.add_argument("--converter-timeout", type=float, help="seconds")
             one.add_argument("--no-convert", action="store_true", help="skip files that need conversion")
+            one.add_argument("--progress", action="store_true", help="print what becomes of each file")
+            one.add_argument("--events", help="a table that what becomes of each file is added to")
         if name == "repo":
             one.add_argument("--include", action="append")
             one.add_argument("--exclude", action="append")
@@ -51,7 +55,7 @@ def options(args: argparse.Namespace):
     from .config import load
 
     given = {option: getattr(args, name, None) for name, option in (
-        ("model", "model"), ("model_url", "model_url"), ("concurrency", "model_concurrency"), ("toc_pages", "toc_check_page_num"), ("max_pages", "max_page_num_each_node"), ("max_tokens", "max_token_num_each_node"),
+        ("model", "model"), ("model_url", "model_url"), ("concurrency", "model_concurrency"), ("replies", "model_replies"), ("token_counter", "token_counter"), ("toc_pages", "toc_check_page_num"), ("max_pages", "max_page_num_each_node"), ("max_tokens", "max_token_num_each_node"),
         ("thin", "min_token_threshold"), ("summary_tokens", "summary_token_threshold"), ("converter", "converter_url"), ("converter_timeout", "converter_timeout"),
     )}
     for name, option, value in (("text", "if_add_node_text", "yes"), ("thin", "if_thinning", "yes"), ("no_summary", "if_add_node_summary", "no"), ("no_node_id", "if_add_node_id", "no"), ("no_description", "if_add_doc_description", "no")):
@@ -103,7 +107,8 @@ def run(args: argparse.Namespace) -> int:
     kept = [*["node_id"] * (given.if_add_node_id == "yes"), "start_index", "end_index", "line_num", *["text"] * (given.if_add_node_text == "yes"), *["summary", "prefix_summary"] * (given.if_add_node_summary == "yes")]
     fields = lambda nodes: ["title", *[c for c in kept if c in nodes.columns]]
     if args.command == "folder":
-        nodes, runs = folder.build(spark, str(path), given, reasoner, None if args.no_convert else config.converter(given))
+        said = (lambda name, status: print(f"{name}: {status}", flush=True)) if args.progress else None
+        nodes, runs = folder.build(spark, str(path), given, reasoner, None if args.no_convert else config.converter(given), on_progress=said, events=args.events)
         out = Path(args.output or "results")
         named = runs.select(F.regexp_extract("path", "[^/]*$", 0).alias("doc_id"), "output", "description")
         found = results(nodes, named.withColumn("doc_name", F.col("doc_id")), fields(nodes), named if described else None).join(named.drop("description"), "doc_id")

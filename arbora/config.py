@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import importlib
 import os
 from dataclasses import dataclass
 
@@ -16,6 +17,9 @@ class Options:
     model_url: str | None = None
     model_concurrency: int = 5
     model_timeout: float = 300.0
+    model_tasks: int | None = None  # that ask at a time; as many as the session runs by default
+    model_replies: str | None = None  # a folder that keeps replies for later runs
+    token_counter: str | None = None  # package.module:function from texts to numbers of tokens; an estimate without one
     toc_check_page_num: int = 20
     max_page_num_each_node: int = 10
     max_token_num_each_node: int = 20_000
@@ -34,22 +38,60 @@ class Options:
             value = getattr(self, f.name)
             if f.name.startswith("if_") and value not in YES_NO:
                 raise ValueError(f"{f.name} is yes or no, not {value!r}")
-            if f.type == "int" and (isinstance(value, bool) or not isinstance(value, int)):
+            if (f.type == "int" or f.type == "int | None" and value is not None) and (isinstance(value, bool) or not isinstance(value, int)):
                 raise ValueError(f"{f.name} is a whole number, not {value!r}")
 
 
+def _typed(kind: str | None, raw: str):
+    return int(raw) if kind in ("int", "int | None") else float(raw) if kind == "float" else raw
+
+
+def _value(text: str) -> str:
+    """What stands after a colon: in quotes as it is, else up to a comment, which begins a line or follows a space."""
+    text = text.strip()
+    if text[:1] in ("'", '"'):
+        quote, out, k = text[0], [], 1
+        while k < len(text):
+            if text[k] == quote:
+                if quote == "'" and text[k + 1 : k + 2] == quote:  # a quote in quotes is doubled
+                    k += 1
+                elif text[k + 1 :].strip() and not text[k + 1 :].lstrip().startswith("#"):
+                    raise ValueError(f"more after the quotes: {text}")
+                else:
+                    return "".join(out)
+            elif quote == '"' and text[k] == "\\" and k + 1 < len(text):
+                k += 1
+                out.append({"n": "\n", "t": "\t"}.get(text[k], text[k]))
+                k += 1
+                continue
+            out.append(text[k])
+            k += 1
+        raise ValueError(f"quotes that don't end: {text}")
+    for k, c in enumerate(text):
+        if c == "#" and (k == 0 or text[k - 1] in " \t"):
+            return text[:k].rstrip()
+    return text
+
+
 def read_file(path: str) -> dict:
-    """Options of a file of ``name: value`` lines, the part of YAML that they need; an empty or missing file has none."""
+    """Options of a file of ``name: value`` lines, the part of YAML that they need; an empty or missing file has none.
+
+    Options have no parts, so a value that goes on in deeper lines, a list or a mapping is an error rather than half a value.
+    """
     if not os.path.exists(path):
         return {}
     kinds, found = {f.name: f.type for f in dataclasses.fields(Options)}, {}
     with open(path, encoding="utf-8") as f:
-        for line in f:
-            name, colon, value = line.split("#", 1)[0].partition(":")
-            if colon and value.strip():
-                raw = value.strip().strip("\"'")
-                kind = kinds.get(name.strip())
-                found[name.strip()] = int(raw) if kind == "int" else float(raw) if kind == "float" else raw
+        for number, line in enumerate(f, 1):
+            bare = line.strip()
+            if not bare or bare.startswith("#") or bare in ("---", "..."):
+                continue
+            name, colon, value = line.partition(":")
+            if line[0] in " \t" or bare.startswith("- ") or not colon or value[:1] not in ("", " ", "\t", "\n") or value.strip()[:1] in ("[", "{", "|", ">"):
+                raise ValueError(f"{path}, line {number}: options are lines of a name, a colon and one value")
+            name, raw = name.strip().strip("\"'"), _value(value)
+            if raw and (value.strip()[:1] in ("'", '"') or raw not in ("null", "~", "Null", "NULL")):
+                found[name] = _typed(kinds.get(name), raw)
     return found
 
 
@@ -68,7 +110,7 @@ def load(given: Options | dict | None = None, environment: dict[str, str] | None
     values = read_file(path) if path else {}
     for name, kind in kinds.items():
         if (raw := environment.get(PREFIX + name.upper())) is not None:
-            values[name] = int(raw) if kind == "int" else float(raw) if kind == "float" else raw
+            values[name] = _typed(kind, raw)
     values |= {k: v for k, v in (given or {}).items() if v is not None}
     if unknown := values.keys() - kinds.keys():
         raise ValueError(f"no such options: {', '.join(sorted(unknown))}")
@@ -79,7 +121,15 @@ def reasoner(options: Options):
     """The reasoner that the options name."""
     from .reasoner import load as load_reasoner
 
-    return load_reasoner(options.model, {"url": options.model_url, "concurrency": options.model_concurrency, "timeout": options.model_timeout})
+    return load_reasoner(options.model, {"url": options.model_url, "concurrency": options.model_concurrency, "timeout": options.model_timeout}, options.model_tasks, options.model_replies)
+
+
+def token_counter(options: Options):
+    """The function that counts tokens, if the options name one."""
+    if options.token_counter is None:
+        return None
+    module, _, function = options.token_counter.partition(":")
+    return getattr(importlib.import_module(module), function)
 
 
 def converter(options: Options):

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import header_level, header_title, strip, token_count
+from ..functions import counted_tokens, header_level, header_title, strip, token_count
+from ..functions.text import Counter
 from .common import joined_in_order
 
 LEVELS = range(1, 7)
@@ -34,7 +35,7 @@ def headers(lines: DataFrame) -> DataFrame:
     return lines.select("*", F.when(header, header_level(stripped)).cast("int").alias("level"), F.when(header & header_level(stripped).isNotNull(), header_title(stripped)).alias("title"))
 
 
-def sections(lines: DataFrame) -> DataFrame:
+def sections(lines: DataFrame, counter: Counter | None = None) -> DataFrame:
     """doc_id, ord (from 0), level, title, line_num, text, n_tokens of each section.
 
     A header that is indented starts no section, and its lines stay in the section before.  Lines before the first section
@@ -45,7 +46,7 @@ def sections(lines: DataFrame) -> DataFrame:
     first = lambda c: F.max(F.when(F.col("starts"), F.col(c))).alias(c)
     text = strip(joined_in_order(F.col("line_num"), F.col("line"), "\n")).alias("text")
     level = F.max(F.when(F.col("starts"), F.length(F.regexp_extract("line", "^(#{1,6})", 1)))).cast("int").alias("level")
-    return numbered.groupBy("doc_id", F.col("ord").cast("long").alias("ord")).agg(level, first("title"), first("line_num"), text).withColumn("n_tokens", token_count(F.col("text")))
+    return numbered.groupBy("doc_id", F.col("ord").cast("long").alias("ord")).agg(level, first("title"), first("line_num"), text).withColumn("n_tokens", counted_tokens(F.col("text"), counter))
 
 
 def _last_of() -> Column:

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import page_tag, token_count
+from ..functions import counted_tokens, page_tag
+from ..functions.text import Counter
 from .common import joined_in_order
 
 
-def with_tokens(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("n_tokens", token_count(F.col("text")))
+def with_tokens(pages: DataFrame, counter: Counter | None = None) -> DataFrame:
+    return pages.withColumn("n_tokens", counted_tokens(F.col("text"), counter))
 
 
 def tagged(pages: DataFrame, end: str = "\n") -> DataFrame:

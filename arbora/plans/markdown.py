@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Options, load
 from ..config import reasoner as chosen_reasoner
+from ..config import token_counter
 from ..operators import markdown as md
 from ..reasoner import RuleReasoner
 
@@ -22,7 +23,7 @@ def build(docs: DataFrame, options: Options | dict | None = None, reasoner: Rule
     """
     options = load(options)
     reasoner = reasoner or chosen_reasoner(options)
-    sections = md.sections(md.lines(docs))
+    sections = md.sections(md.lines(docs), token_counter(options))
     if options.if_thinning == "yes":
         sections = md.thinned(sections, options.min_token_threshold)
     nodes = md.with_leaves(md.with_depth(md.with_node_ids(md.with_parents(sections), 0 if options.if_add_node_id == "yes" else 1)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Options, load
 from ..config import reasoner as chosen_reasoner
+from ..config import token_counter
 from ..operators import pages as pg
 from ..operators import toc, tree
 from ..reasoner import RuleReasoner
@@ -149,7 +150,7 @@ def build(pages: DataFrame, options: Options | dict | None = None, reasoner: Rul
     end_index, is_leaf, text and summary as asked for."""
     options = load(options)
     reasoner = reasoner or chosen_reasoner(options)
-    pages = staged(pg.with_tokens(pages), "pages")
+    pages = staged(pg.with_tokens(pages, token_counter(options)), "pages")
     counts = pg.totals(pages)
     items = with_starts(tree.with_preface(sections(pages, options, reasoner)), pages, reasoner)
     spanned = tree.with_spans(tree.with_index(items), counts.select("doc_id", F.col("n_pages").alias("end_index")))

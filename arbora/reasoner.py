@@ -15,11 +15,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import extract_json, index_number, page_tag, squeezed, strip, token_count, yes_or_no
+from .functions import chat_history, extract_json, index_number, page_tag, squeezed, strip, token_count, yes_or_no
 from .operators import titles
 from .operators.pages import grouped_text, groups
 from .operators.toc import range_text
-from .staging import staged
+from .staging import folder_there, staged
 
 TOC_ITEMS = "array<struct<structure:string,title:string,page:int>>"
 SUMMARY_CHARS, TOC_LINES, TITLE_CHARS, DESCRIBED = 200, 3, 80, 3
@@ -134,25 +134,48 @@ def as_reply(said) -> tuple[str, bool]:
     return text or "", any(x in str(reason or "").upper() for x in ("MAX_TOKENS", "LENGTH"))
 
 
-def _patient(complete: Complete, retries: int, pause: float) -> Callable[[list[str]], list[str]]:
-    """``complete`` tried again where it fails, and asked to go on where a reply was cut, until one ends or adds nothing."""
+_GO_ON = "Your reply was cut. Go on with the very next character."
 
-    def tried(prompts: list[str]) -> list[tuple[str, bool]]:
+
+def _told(history: list[dict], prompt: str) -> str:
+    """A conversation as one text, for functions that know prompts only."""
+    return "\n\n".join([*(f"{t['role']}: {t['content']}" for t in history), prompt]) if history else prompt
+
+
+def _patient(complete: Complete, retries: int, pause: float) -> Callable[..., list[str]]:
+    """``complete`` tried again where it fails, and asked to go on where a reply was cut, until one ends or adds nothing.
+
+    What has a method ``converse``, from lists of turns (role, content) to replies, is asked to go on in the same conversation and is
+    given its history; other functions get both as parts of the prompt.
+    """
+    converse = getattr(complete, "converse", None)
+
+    def tried(prompts: list[str], histories: list[list[dict]]) -> list[tuple[str, bool]]:
         for attempt in range(retries):
             try:
-                return [as_reply(x) for x in complete(prompts)]
+                if converse is not None:
+                    said = converse([[*h, {"role": "user", "content": p}] for p, h in zip(prompts, histories, strict=True)])
+                else:
+                    said = complete([_told(h, p) for p, h in zip(prompts, histories, strict=True)])
+                return [as_reply(x) for x in said]
             except Exception:
                 if attempt + 1 == retries:
                     raise
                 time.sleep(pause)
         return []
 
-    def ask(prompts: list[str]) -> list[str]:
-        got = tried(prompts)
+    def further(prompt: str, history: list[dict], text: str) -> tuple[str, list[dict]]:
+        if converse is not None:
+            return _GO_ON, [*history, {"role": "user", "content": prompt}, {"role": "model", "content": text}]
+        return f"{prompt}\n\nYour reply was cut. This is what there is of it:\n{text}\n\nGo on with the very next character.", history
+
+    def ask(prompts: list[str], histories: list[list[dict]] | None = None) -> list[str]:
+        histories = histories or [[] for _ in prompts]
+        got = tried(prompts, histories)
         texts = [text for text, _ in got]
         cut = [k for k, (text, over) in enumerate(got) if over and text]
         while cut:
-            more = tried([f"{prompts[k]}\n\nYour reply was cut. This is what there is of it:\n{texts[k]}\n\nGo on with the very next character." for k in cut])
+            more = tried(*map(list, zip(*[further(prompts[k], histories[k], texts[k]) for k in cut], strict=True)))
             for k, (text, _) in zip(cut, more, strict=True):
                 texts[k] += text
             cut = [k for k, (text, over) in zip(cut, more, strict=True) if over and text]
@@ -164,31 +187,62 @@ def _patient(complete: Complete, retries: int, pause: float) -> Callable[[list[s
 class ModelReasoner(RuleReasoner):
     """Asks a model.  ``complete`` maps prompts to replies and is called on the executors.
 
-    Prompts are made distinct before they are asked, and replies are written to the shared folder, so that a task which runs
-    again doesn't ask for what later stages have already read.  Where a later question needs the answers before it, one task
-    goes through a document's page groups in order.
+    Prompts are made distinct before they are asked and dealt to ``tasks`` tasks, as many as may ask at a time, each of which sends
+    ``batch`` of them at once.  Replies are written to the shared folder, so that a task which runs again doesn't ask for what later
+    stages have already read.  With ``replies``, a folder, they are kept as a table there under a digest of ``name`` and the prompt,
+    and a later run asks only for what the table doesn't have.  Where a later question needs the answers before it, one task
+    goes through a document's page groups or items in order, and its replies aren't kept.
     """
 
-    def __init__(self, complete: Complete, retries: int = 10, pause: float = 1.0, batch: int = 32):
-        self.ask, self.batch = _patient(complete, retries, pause), batch
-
-    def _ask(self, rows: DataFrame, prompt: Column, out: str) -> DataFrame:
+    def __init__(self, complete: Complete, retries: int = 10, pause: float = 1.0, batch: int = 32, tasks: int | None = None, replies: str | None = None, name: str = "model"):
+        self.ask, self.batch, self.tasks, self.replies, self.name = _patient(complete, retries, pause), batch, tasks, replies, name
+
+    def chat(self, rows: DataFrame, prompt: Column, out: str, history: Column | None = None) -> DataFrame:
+        """``rows`` with the model's reply ``out`` to ``prompt``, after the turns (role, content) of ``history`` if there are any."""
+        return self._ask(rows, prompt, out, history)
+
+    def _ask(self, rows: DataFrame, prompt: Column, out: str, history: Column | None = None) -> DataFrame:
+        turns = F.lit(None).cast("string") if history is None else F.to_json(F.slice(chat_history(history, prompt), F.lit(1), F.size(history)))
+        key = F.sha2(F.concat_ws("\n", F.lit(self.name), F.coalesce(turns, F.lit("")), prompt), 256)
+        keyed = staged(rows.withColumns({"prompt": prompt, "turns": turns, "key": key}), "prompts")
+        wanted = keyed.where("prompt is not null").select("key", "prompt", "turns").dropDuplicates(["key"])
+        known = self._known(rows)
+        if known is not None:
+            wanted = wanted.join(known, "key", "left_anti")
+        said = self._said(staged(wanted, "new-prompts"))
+        if self.replies:
+            said.write.mode("append").parquet(self.replies)
+            said = self._known(rows)
+        return keyed.join(said, "key", "left").withColumnRenamed("reply", out).drop("key", "prompt", "turns")
+
+    def _known(self, rows: DataFrame) -> DataFrame | None:
+        """The kept replies; of two runs that asked the same at a time one's is taken."""
+        if not self.replies or not folder_there(rows.sparkSession, self.replies):
+            return None
+        kept = rows.sparkSession.read.schema("key string, reply string").parquet(self.replies)
+        return kept.groupBy("key").agg(F.min("reply").alias("reply"))
+
+    def _said(self, wanted: DataFrame) -> DataFrame:
+        """key, reply of ``wanted`` (key, prompt, turns), a written table."""
         ask, size = self.ask, self.batch
 
         def run(batches: Iterator) -> Iterator:
             import pandas as pd
 
             for frame in batches:
-                prompts = frame["prompt"].tolist()
-                yield pd.DataFrame({"key": frame["key"], "reply": [r for k in range(0, len(prompts), size) for r in ask(prompts[k : k + size])]})
+                replies: list[str] = []
+                for k in range(0, len(frame), size):
+                    some = frame.iloc[k : k + size]
+                    replies += ask(some["prompt"].tolist(), [json.loads(t) if isinstance(t, str) else [] for t in some["turns"]])
+                yield pd.DataFrame({"key": frame["key"], "reply": replies})
 
-        keyed = staged(rows.withColumn("prompt", prompt).withColumn("key", F.sha2("prompt", 256)), "prompts")
-        replies = staged(keyed.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, "key string, reply string"), "replies")
-        return keyed.join(replies, "key", "left").withColumnRenamed("reply", out).drop("key", "prompt")
+        tasks = max(1, min(self.tasks or wanted.sparkSession.sparkContext.defaultParallelism, wanted.count()))
+        dealt = wanted.repartitionById(tasks, F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
+        return staged(dealt.mapInPandas(run, "key string, reply string"), "replies")
 
     def _grouped(self, pages: DataFrame) -> DataFrame:
         """key (of the document), doc_id, group_no, text of its page groups."""
-        counted = pages.withColumn("n_tokens", token_count(F.col("text")))
+        counted = pages if "n_tokens" in pages.columns else pages.withColumn("n_tokens", token_count(F.col("text")))
         return grouped_text(groups(counted, GROUP_TOKENS), counted).withColumn("key", _key())
 
     def outline(self, pages: DataFrame) -> DataFrame:
@@ -319,16 +373,16 @@ class ModelReasoner(RuleReasoner):
         return self._ask(docs, F.concat(F.lit("Describe in one sentence a document with these sections: "), F.array_join("titles", "; ")), "description")
 
 
-def load(name: str, converse: dict | None = None) -> RuleReasoner:
+def load(name: str, converse: dict | None = None, tasks: int | None = None, replies: str | None = None) -> RuleReasoner:
     """The reasoner of an option: ``rules``, an import path ``package.module:function`` of a ``Complete``, or the name of a
     model behind the chat service that ``converse`` (url, concurrency, timeout) says."""
     if name == "rules":
         return RuleReasoner()
     if ":" in name and not (converse or {}).get("url"):
         module, _, function = name.partition(":")
-        return ModelReasoner(getattr(importlib.import_module(module), function))
+        return ModelReasoner(getattr(importlib.import_module(module), function), tasks=tasks, replies=replies, name=name)
     from .sources.chat import ChatService
 
     if not (converse or {}).get("url"):
         raise ValueError(f"{name!r} is a model of a service; say its url")
-    return ModelReasoner(ChatService(model=name, **converse))
+    return ModelReasoner(ChatService(model=name, **converse), tasks=tasks, replies=replies, name=name)

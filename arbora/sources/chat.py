@@ -24,8 +24,9 @@ class ChatService:
         self.options = {"max_tokens": most_tokens, "temperature": temperature}
 
     def chat(self, prompt: str, history: list[dict] | None = None) -> tuple[str, str]:
-        """One reply; ``history`` has turns of role and content."""
-        turns = [*(history or []), {"role": "user", "content": prompt}]
+        """One reply; ``history`` has turns of role and content, those that aren't the user's being the assistant's."""
+        said = [{"role": "user" if t["role"] == "user" else "assistant", "content": t["content"]} for t in history or []]
+        turns = [*said, {"role": "user", "content": prompt}]
         body = json.dumps({"model": self.model, "messages": turns, **self.options}).encode()
         headers = {"Content-Type": "application/json"}
         if key := os.environ.get(KEY):
@@ -35,6 +36,10 @@ class ChatService:
             choice = json.load(reply)["choices"][0]
         return choice["message"].get("content") or "", choice.get("finish_reason") or ""
 
-    def __call__(self, prompts: list[str]) -> list[tuple[str, str]]:
+    def converse(self, conversations: list[list[dict]]) -> list[tuple[str, str]]:
+        """A reply to each list of turns, the last of which is the user's."""
         with ThreadPoolExecutor(self.concurrency) as pool:
-            return list(pool.map(self.chat, prompts))
+            return list(pool.map(lambda turns: self.chat(turns[-1]["content"], turns[:-1]), conversations))
+
+    def __call__(self, prompts: list[str]) -> list[tuple[str, str]]:
+        return self.converse([[{"role": "user", "content": p}] for p in prompts])

@@ -25,6 +25,18 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
     return classified(read)
 
 
+def most_readable(spark: SparkSession) -> int:
+    """Bytes of the largest file that the session reads whole."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+
+
+def contents(spark: SparkSession, path: str, suffixes: list[str], most_bytes: int | None = None) -> DataFrame:
+    """path, content of a folder's files with these suffixes, in either case, up to a size; nothing of other files is read."""
+    either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in suffixes]
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*{" + ",".join(either) + "}").option("recursiveFileLookup", "false").load(path)
+    return read.where(F.col("length") <= (most_readable(spark) if most_bytes is None else min(most_bytes, most_readable(spark)))).select("path", "content")
+
+
 def repository(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     """repo_id, path (under the root) of all files below a root; contents are not read."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
@@ -84,13 +96,9 @@ def pages_of(files: DataFrame, extract: Extractor = pdf_text) -> DataFrame:
     return got.select(base_name(F.col("path")).alias("doc_id"), "physical_index", "text", token_count(F.col("text")).alias("n_tokens"), "error")
 
 
-def _pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "content")
-
-
-def pdf_pages(spark: SparkSession, path: str, extract: Extractor = pdf_text) -> DataFrame:
+def pdf_pages(spark: SparkSession, path: str, extract: Extractor = pdf_text, most_bytes: int | None = None) -> DataFrame:
     """The pages of a folder's PDF files, or of one file, as ``pages_of`` has them."""
-    return pages_of(_pdf_files(spark, path), extract)
+    return pages_of(contents(spark, path, [".pdf"], most_bytes), extract)
 
 
 def titles_of(files: DataFrame) -> DataFrame:

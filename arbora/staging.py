@@ -42,6 +42,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_there(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder, wherever paths like this are."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this application has staged; call it once the results that read them are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

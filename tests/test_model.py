@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import json
 import sys
@@ -9,6 +10,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbora import config, queries, staging
 from arbora import reasoner as rs
@@ -96,6 +98,92 @@ def test_cut_replies_go_on():
     assert rs._patient(lambda prompts: ["plain"] * len(prompts), 1, 0)(["a"]) == ["plain"]
 
 
+class Converser:
+    """Says a conversation's turns, in parts of twelve characters; on executors, so that calls are seen in what is said."""
+
+    def __init__(self, whole):
+        self.whole = whole
+
+    def converse(self, conversations):
+        out = []
+        for turns in conversations:
+            had = sum(len(t["content"]) for t in turns if t["role"] == "model" and t["content"] in self.whole)
+            out.append((self.whole[had : had + 12], "length" if had + 12 < len(self.whole) else "stop"))
+        return out
+
+
+def test_cut_replies_go_on_in_the_conversation():
+    assert rs._patient(Converser("abcdefghijklmnopqrstuvwxyz0123456789"), 1, 0)(["a", "b"]) == ["abcdefghijklmnopqrstuvwxyz0123456789"] * 2
+    assert rs._patient(lambda prompts: prompts, 1, 0)(["b"], [[{"role": "user", "content": "a"}]]) == ["user: a\n\nb"]
+
+
+def test_history(spark):
+    class Echo:
+        def converse(self, conversations):
+            return ["|".join(f"{t['role']}:{t['content']}" for t in turns) for turns in conversations]
+
+    rows = spark.createDataFrame([(1, "p", [("user", "a"), ("assistant", "b")]), (2, "p", []), (3, "p", None), (4, None, [("user", "a")])], "id int, prompt_text string, turns_so_far array<struct<role:string,content:string>>")
+    got = {r["id"]: r["said"] for r in rs.ModelReasoner(Echo(), retries=1).chat(rows, F.col("prompt_text"), "said", F.col("turns_so_far")).collect()}
+    assert got == {1: "user:a|model:b|user:p", 2: "user:p", 3: "user:p", 4: None}
+
+
+def test_prompts_are_dealt_to_tasks_and_asked_once(spark, tmp_path):
+    def complete(prompts):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        return [f"{p} in {context.stageId()}.{context.partitionId()}" for p in prompts]
+
+    prompts = spark.range(5000).select("id", F.concat(F.lit("p"), F.col("id") % 4999).alias("prompt_text"))
+    model = lambda: rs.ModelReasoner(complete, retries=1, tasks=8, replies=str(tmp_path / "replies"), name="m")
+    first = {r["id"]: r["said"] for r in model().chat(prompts, F.col("prompt_text"), "said").collect()}
+    assert len(first) == 5000 and all(said.startswith(f"p{k % 4999} in ") for k, said in first.items())
+    parts = collections.Counter(said.rsplit(".", 1)[1] for said in first.values())
+    assert len(parts) == 8 and min(parts.values()) > 400
+    again = {r["id"]: r["said"] for r in model().chat(prompts, F.col("prompt_text"), "said").collect()}
+    assert again == first  # none was asked again, or another stage would have said it
+    more = rs.ModelReasoner(complete, retries=1, replies=str(tmp_path / "replies"), name="other").chat(prompts.limit(1), F.col("prompt_text"), "said").first()["said"]
+    assert more not in first.values()
+
+
+def count_words(texts):
+    if any("fail" in t for t in texts):
+        raise ValueError("no")
+    return [len(t.split()) for t in texts]
+
+
+def test_token_counter(spark, tmp_path, monkeypatch):
+    from arbora.functions import counted_tokens
+    from arbora.operators import markdown, pages
+
+    made = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (4, "fail now"), (5, "longer text")], "id int, text string").coalesce(1)
+    counter = lambda texts: count_words(texts)
+    assert {r["id"]: r["n"] for r in made.select("id", counted_tokens(F.col("text"), counter).alias("n")).collect()} == {1: 3, 2: 0, 3: 0, 4: 2, 5: 2}
+    assert pages.with_tokens(made.where("id = 1"), counter).first()["n_tokens"] == 3
+    docs = spark.createDataFrame([(1, "# A\none two three")], "doc_id int, text string")
+    assert markdown.sections(markdown.lines(docs), counter).first()["n_tokens"] == 5
+    assert config.token_counter(config.Options()) is None
+    assert config.token_counter(config.Options(token_counter="builtins:len")) is len
+
+
+@pytest.mark.parametrize(
+    ("line", "value"),
+    [("model: http://x/#part", "http://x/#part"), ("model: a # said", "a"), ('model: "a # b" # said', "a # b"), ("model: 'it''s'", "it's"), (r'model: "a\"b"', 'a"b'), ("model: a:b", "a:b"), ("model: null", "rules"), ("model: # nothing", "rules"), ("'model': x", "x"), ("# model: y", "rules")],
+)
+def test_values_of_option_files(tmp_path, line, value):
+    file = tmp_path / "o.yaml"
+    file.write_text(f"---\n{line}\n")
+    assert config.load(None, {}, str(file)).model == value
+
+
+@pytest.mark.parametrize("text", ["model:\n  name: x\n", "model: [a, b]\n", "model: {a: b}\n", "- model\n", "model\n", 'model: "a\n', "model: 'a' b\n", "model: |\n  a\n"])
+def test_option_files_that_say_more(tmp_path, text):
+    file = tmp_path / "o.yaml"
+    file.write_text(text)
+    with pytest.raises(ValueError):
+        config.load(None, {}, str(file))
+
+
 def test_contents_judged_complete(spark):
     asked = []
 
@@ -193,8 +281,6 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
 def test_sample_by_hand(spark, sf_dir):
     """Five items of each document with the least seeded digests."""
-    import collections
-
     from arbora import fixtures as fx
 
     def hashed(d, k):

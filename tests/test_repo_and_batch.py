@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import fnmatch
 import random
 import re
@@ -105,6 +107,34 @@ def test_folder(spark, tmp_path):
     assert batch.statistics(skipped).first().asDict() == {"total": 4, "success": 2, "failed": 1, "skipped": 1}
 
 
+def test_folder_with_files_that_fail(spark, tmp_path):
+    """Files that are too large or not UTF-8 are rows, whether they would be indexed or not, and what becomes of files is said."""
+    (tmp_path / "f").mkdir()
+    for name, content in (("a.md", b"# A\nx"), ("b.MD", b"# B\n" + b"x" * 3000), ("c.markdown", b"# C \xff"), ("d.pdf", b"one\fTwo"), ("e.PDF", b"x" * 5000), ("f.zip", b"x" * 9000), ("g.html", b"<p>"), ("h.md", b"\n")):
+        (tmp_path / "f" / name).write_bytes(content)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    had, said, events = spark.conf.get(key), [], str(tmp_path / "events")
+    spark.conf.set(key, "2000")
+    try:
+        nodes, runs = folder.build(spark, str(tmp_path / "f"), {"if_add_node_summary": "no"}, extract=lambda content: content.decode().split("\f"), on_progress=lambda name, status: said.append((name, status)), events=events)
+        got = {r["path"].rsplit("/", 1)[1]: (r["status"], r["error"]) for r in runs.collect()}
+        titles = {(r["doc_id"], r["title"]) for r in nodes.collect()}
+    finally:
+        spark.conf.set(key, had)
+    assert got == {
+        "a.md": ("success", None), "b.MD": ("failed", "larger than 2000 bytes: 3004"), "c.markdown": ("failed", "not UTF-8"), "d.pdf": ("success", None),
+        "e.PDF": ("failed", "larger than 2000 bytes: 5000"), "g.html": ("skipped", None), "h.md": ("success", None),
+    }
+    assert titles == {("a.md", "A"), ("d.pdf", "one"), ("d.pdf", "Two")}
+    want = [("a.md", "reading"), ("a.md", "done"), ("b.MD", "failed"), ("c.markdown", "reading"), ("c.markdown", "failed"), ("d.pdf", "reading"), ("d.pdf", "done"), ("e.PDF", "failed"), ("g.html", "skipped"), ("h.md", "reading"), ("h.md", "done")]
+    assert sorted(said) == sorted(want) and said.index(("a.md", "done")) < said.index(("d.pdf", "done"))
+    written = spark.read.parquet(events).orderBy("seq").collect()
+    assert sorted((r["doc_id"], json.loads(r["payload"])["status"]) for r in written) == sorted(want)
+    assert {r["doc_id"] for r in written if r["level"] == "error"} == {"b.MD", "c.markdown", "e.PDF"}
+    few = folder.build(spark, str(tmp_path / "f"), {"if_add_node_summary": "no"}, extract=lambda content: ["x"], most_bytes=4)[1]
+    assert {r["path"].rsplit("/", 1)[1] for r in few.where("status = 'success'").collect()} == {"h.md"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.py").write_text("x")
