@@ -6,7 +6,7 @@ tables for DuckDB, as common table expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SQL = {
@@ -31,6 +31,51 @@ SQL = {
   SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN props WHEN 1 THEN concat('```json', chr(10), props, chr(10), '```')
     WHEN 2 THEN '{"k": None}' WHEN 3 THEN concat('{"k": ', CAST(event_id AS VARCHAR), ',}') ELSE 'not json' END AS raw FROM events""",
 }
+#: Ways to sections, each with pages that lead to it: contents with page numbers, with wrong ones, with too few, and large sections.
+WAYS = ["numbers", "titles", "heads", "parts"]
+_LONG = "These words come before a title and go on for a while, as nobody would take so long a line for the title of a section"
+
+
+def _contents(way: str, spark: bool) -> dict[str, str]:
+    """What the pages of a document with contents are made of, for one engine or the other.
+
+    ``w`` is the document's own words.  Sections k = 0, 1, ... have codes 1, 1.1, 2, 2.1, ...; a few numbers are wrong or left
+    out where contents have numbers, and all are wrong or most left out for the other ways.
+    """
+    div = "DIV" if spark else "//"
+    many = f"CASE WHEN k % 2 = 1 THEN 7 + doc_id % 3 ELSE 1 + (doc_id + k) % 3 END" if way == "parts" else "1 + (doc_id + k) % 3"
+    said = {"numbers": "NOT (doc_id % 4 < 2 AND k IN (3, 4))", "titles": "true", "heads": "k < 3", "parts": "true"}[way]
+    right = "first + doc_id % 5" + (" + CASE WHEN k = 1 AND doc_id % 2 = 0 THEN 2 ELSE 0 END" if way == "numbers" else "")
+    two = {"numbers": "doc_id % 3 = 0 AND doc_id % 4 >= 2", "titles": "doc_id % 3 = 0", "heads": "false", "parts": "doc_id % 3 = 0"}[way]
+    code = f"concat(CAST(k {div} 2 + 1 AS {'STRING' if spark else 'VARCHAR'}), CASE WHEN k % 2 = 1 THEN '.1' ELSE '' END)"
+    title = "concat('Part ', doc_id, '-', k, 'x')"
+    line = f"concat({code}, ' ', {title}, CASE WHEN {said} THEN concat(' ......... ', {'1 + (k * 5 + doc_id) % 7' if way == 'titles' else right}) ELSE '' END)"
+    new, inner = "'\\n'" if spark else "chr(10)", f"concat('Inner ', k, '.', j, ' x')"
+    named = f"CASE WHEN (doc_id + 2 * k) % 5 = 0 THEN concat('{_LONG}', {new}, upper({title}), {new}, w) ELSE concat({title}, {new}, w) END"
+    mention = f", CASE WHEN k = 2 THEN concat({new}, 'see Part ', doc_id, '-4x') ELSE '' END" if way == "numbers" else ""
+    plain = "rpad(w, 100, ' and more of it')"
+    other = f"CASE WHEN j % 2 = 0 THEN concat({inner}, {new}, w) ELSE {plain} END" if way == "parts" else plain
+    return {"pages": many, "tocs": f"CASE WHEN {two} THEN 2 ELSE 1 END", "line": line, "new": new, "text": f"CASE WHEN j = 0 THEN concat({named}{mention}) ELSE {other} END"}
+
+
+def contents_sql(way: str) -> str:
+    x = _contents(way, spark=False)
+    return f"""
+  WITH base AS (
+    SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '[ \t\n\r0-9]+', ' ', 'g'), 1, 60) AS w, unnest(range(0, 6 + doc_id % 3)) AS k FROM documents
+  ), many AS (
+    SELECT *, {x["pages"]} AS c, {x["tocs"]} AS tocs, doc_id % 2 AS front FROM base
+  ), sections AS (
+    SELECT *, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - c + 1 AS first FROM many
+  ), body AS (
+    SELECT *, unnest(range(0, c)) AS j FROM sections
+  )
+  SELECT doc_id, front + tocs + first + j AS physical_index, {x["text"]} AS text FROM body
+  UNION ALL SELECT doc_id, front + CASE WHEN k < 3 THEN 1 ELSE tocs END, string_agg({x["line"]}, {x["new"]} ORDER BY k) || CASE WHEN tocs = 2 AND min(k) = 0 THEN {x["new"]} ELSE '' END FROM sections GROUP BY doc_id, front, tocs, CASE WHEN k < 3 THEN 1 ELSE tocs END
+  UNION ALL SELECT doc_id, 1, '{_LONG}' FROM sections WHERE k = 0 AND front = 1"""
+
+
+SQL |= {f"contents_{way}": contents_sql(way) for way in WAYS}
 _NEEDS = {"md_lines": ["doc_pages"], "toc_items": ["doc_pages"]}
 
 
@@ -84,3 +129,21 @@ def llm_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE CAST(event_id % 5 AS INT) WHEN 0 THEN props WHEN 1 THEN concat('```json\\n', props, '\\n```')
           WHEN 2 THEN '{"k": None}' WHEN 3 THEN concat('{"k": ', CAST(event_id AS STRING), ',}') ELSE 'not json' END""")
     return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+
+
+def contents_pages(spark: SparkSession, sf_dir: str, way: str) -> DataFrame:
+    """Documents with a cover or none, contents on a page or two, and sections of a few pages each, for one of WAYS."""
+    x = _contents(way, spark=True)
+    words = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r0-9]+", " "), 1, 60)
+    base = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.explode(F.expr("sequence(0, CAST(5 + doc_id % 3 AS INT))")).alias("k"))
+    many = base.withColumns({"c": F.expr(f"CAST({x['pages']} AS INT)"), "tocs": F.expr(x["tocs"]), "front": F.expr("CAST(doc_id % 2 AS INT)")})
+    first = F.sum("c").over(Window.partitionBy("doc_id").orderBy("k")) - F.col("c") + 1
+    sections = many.withColumn("first", first)
+    body = sections.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    made = body.select("doc_id", (F.col("front") + F.col("tocs") + F.col("first") + F.col("j")).cast("int").alias("physical_index"), F.expr(x["text"]).alias("text"))
+    on = F.when(F.col("k") < 3, 1).otherwise(F.col("tocs"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", F.expr(x["line"]).alias("line")))), lambda r: r["line"])
+    end = F.when((F.col("tocs") == 2) & (F.min("k") == 0), F.lit("\n")).otherwise(F.lit(""))
+    toc = sections.groupBy("doc_id", "front", "tocs", on.alias("on")).agg(F.concat(F.array_join(lines, "\n"), end).alias("text"))
+    cover = sections.where("k = 0 and front = 1").select("doc_id", F.lit(1).alias("physical_index"), F.lit(_LONG).alias("text"))
+    return made.unionByName(toc.select("doc_id", (F.col("front") + F.col("on")).cast("int").alias("physical_index"), "text")).unionByName(cover)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import sinks, staging
+from . import page_sql, sinks, staging
 from .config import Options
 from .functions import (
     base_name,
@@ -602,6 +602,23 @@ def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_plan.build(made, options)
 
 
+def _page_plan(way: str) -> Query:
+    options = Options(toc_check_page_num=TOC_LIMIT, max_page_num_each_node=MOST_PAGES, max_token_num_each_node=MOST_TOKENS)
+    plan = page_sql.page_plan(TOC_LIMIT, MOST_PAGES, MOST_TOKENS).replace("contents_pages", f"contents_{way}")
+
+    @query([f"contents_{way}"], plan)
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pages_plan.build(fx.contents_pages(spark, sf_dir, way), options)
+
+    return f
+
+
+# Documents with contents, whose sections come by one way each: numbers, titles, heads of pages, and parts of large sections.
+for _way in fx.WAYS:
+    QUERIES[f"page_index_by_{_way}"] = QUERIES.pop((_f := _page_plan(_way)).__name__)
+    ORACLES[f"page_index_by_{_way}"] = ORACLES.pop(_f.__name__)
+
+
 # Scalars
 
 
