@@ -21,8 +21,8 @@ from ..functions import squeezed
 
 #: Fingerprints are of 2 ** MOST_BLOCK characters at most.
 MOST_BLOCK = 5
-#: Pages that one part of a document has, and documents up to which those with titles are sent to all tasks.
-PART_PAGES, FEW_DOCS = 2048, 100_000
+#: Titles times characters up to which each title is looked for on each page, which takes less than to make ready for more.
+SMALL = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +50,10 @@ class Titles:
     """The squeezed titles of one document, ready to be found."""
 
     def __init__(self, titles: list[str]):
-        self.titles = titles
+        self.titles, self.made = titles, False
+
+    def _make(self) -> None:
+        self.made, titles = True, self.titles
         lengths = np.array([len(t) for t in titles], "i8")
         self.everywhere = np.flatnonzero(lengths == 0)
         made = [_fingerprints(t) for t in titles]
@@ -71,6 +74,11 @@ class Titles:
 
     def on(self, pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of titles and of the pages that have them, each two once, in order of pages."""
+        if len(self.titles) * sum(map(len, pages)) <= SMALL:
+            both = [(k, n) for n, page in enumerate(pages) for k, title in enumerate(self.titles) if title in page]
+            return np.array([k for k, _ in both], "i8"), np.array([n for _, n in both], "i8")
+        if not self.made:
+            self._make()
         text = "".join(pages)
         ends = np.cumsum([len(p) for p in pages])
         prints = _fingerprints(text)
@@ -100,40 +108,33 @@ class Titles:
 def finds(items: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, key, physical_index: the pages (doc_id, physical_index, text) that have a title of their document's ``items``.
 
-    ``key`` is the squeezed title; each is there once for a page, however many items have it.  A document's pages are dealt to
-    parts of PART_PAGES numbers, which have its titles each.  An empty title stands on every page, a null one on none.
+    ``key`` is the squeezed title; each is there once for a page, however many items have it.  A task takes in a document's titles
+    and then reads its pages one batch after another.  An empty title stands on every page, a null one on none.
     """
-    named = items.select("doc_id", squeezed(F.col("title")).alias("text")).where("text is not null").distinct()
-    part = F.floor(F.col("physical_index") / F.lit(PART_PAGES)).cast("long")
-    held = pages.select("doc_id", part.alias("part"), F.col("physical_index").cast("int").alias("physical_index"), F.col("text"))
-    docs = named.select("doc_id").distinct()
-    held = held.join(F.broadcast(docs) if docs.limit(FEW_DOCS + 1).count() <= FEW_DOCS else docs, "doc_id", "left_semi")
-    parts = pages.select("doc_id", part.alias("part")).distinct()
-    rows = named.join(parts, "doc_id").select("doc_id", "part", F.lit(None).cast("int").alias("physical_index"), "text")
-    rows = rows.unionByName(held.withColumn("text", squeezed(F.col("text"))).where("text is not null"))
-    rows = rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", F.col("physical_index").asc_nulls_first())
+    named = items.select("doc_id", F.lit(None).cast("int").alias("physical_index"), squeezed(F.col("title")).alias("text"))
+    rows = named.unionByName(pages.select("doc_id", F.col("physical_index").cast("int").alias("physical_index"), squeezed(F.col("text")).alias("text"))).where("text is not null")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("physical_index").asc_nulls_first())
     kinds = T.StructType([rows.schema["doc_id"], T.StructField("key", T.StringType()), T.StructField("physical_index", T.IntegerType())])
     return rows.mapInArrow(_searched, kinds)
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, titles, known = None, [], None
+    now, begun, titles, known = None, False, {}, None
     for batch in batches:
-        docs, parts, numbers = (batch.column(c).to_pylist() for c in range(3))
-        texts, at = batch.column(3), 0
-        keys, places, rows = [], [], []
+        docs, numbers, texts = (batch.column(c).to_pylist() for c in range(3))
+        keys, places, rows, at = [], [], [], 0
         while at < len(docs):
-            end, own, names = at, (docs[at], parts[at]), numbers[at] is None
-            while end < len(docs) and (docs[end], parts[end]) == own and (numbers[end] is None) == names:
+            end, doc, names = at, docs[at], numbers[at] is None
+            while end < len(docs) and docs[end] == doc and (numbers[end] is None) == names:
                 end += 1
-            if own != now:
-                now, titles, known = own, [], None
+            if not begun or doc != now:
+                now, begun, titles, known = doc, True, {}, None
             if names:
-                titles += texts.slice(at, end - at).to_pylist()
-            else:
-                known = known or Titles(titles)
-                of, on = known.on(texts.slice(at, end - at).to_pylist())
-                keys += [titles[k] for k in of.tolist()]
+                titles |= dict.fromkeys(texts[at:end])
+            elif titles:
+                known = known or Titles(list(titles))
+                of, on = known.on(texts[at:end])
+                keys += [known.titles[k] for k in of.tolist()]
                 rows += (on + at).tolist()
                 places += [numbers[at + k] for k in on.tolist()]
             at = end

@@ -39,7 +39,7 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     what they have gathered at each step, so this is done over Arrow batches, of which a document may have any number.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in nodes.columns])
-    placed = nodes.select(F.sha2(F.to_json(F.struct("doc_id")), 256).alias("doc"), F.col("list_index").cast("long").alias("k"), F.col("parent").cast("long").alias("parent"), row.alias("row"))
+    placed = nodes.select(F.col("doc_id").alias("doc"), F.col("list_index").cast("long").alias("k"), F.col("parent").cast("long").alias("parent"), row.alias("row"))
     placed = placed.repartition("doc").sortWithinPartitions("doc", "k")
     kinds = placed.select("row").schema.add("path", T.ArrayType(T.LongType()))
 

@@ -69,7 +69,9 @@ def accepted(items: DataFrame, pages: DataFrame, counts: DataFrame, reasoner: Ru
     for _ in range(REPAIRS):
         if wrong.isEmpty():
             break
-        searched = reasoner.searchable(items.join(wrong, ["doc_id", "list_index"], "left_semi"), pages) if searched is None else searched
+        if searched is None:
+            own = pages.join(decided.where("decision = 'repair'").select("doc_id"), "doc_id", "left_semi")
+            searched = reasoner.searchable(items.join(wrong, ["doc_id", "list_index"], "left_semi"), own)
         mending, wrong = repaired(mending, wrong, pages, counts, reasoner, searched)
     return good.unionByName(mending)
 
