@@ -3,7 +3,8 @@
 Pivots are vectors of a bounded sample.  Each vector is described by its nearest pivots in order, and stands in the
 inverted list of each of them.  Two vectors are candidates if they share enough of their nearest pivots, which the lists
 count; they are compared in the list of the smallest pivot that they share, and verified by cosine in double precision.
-Lists are compared in blocks of bounded size, and what leaves a block is a count for each vector and a spanning forest of
+A list that is larger than a part is divided by the second smallest pivot that two of its members share, where that leaves less
+to compare, so that lists don't grow with the vectors while these lie apart.  Lists are compared in blocks of bounded size, and what leaves a block is a count for each vector and a spanning forest of
 its links.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocked, forest, local_components, streamed, tiles
+from .blocks import PART, blocked, forest, local_components, streamed, tiles
 from .common import small_batches, small_side, staged, tidied
 from .graph import components
 
@@ -27,6 +28,8 @@ LEAST, NEAREST, SHARED, SEED = 0.93, 10, 4, 7
 APART = 0.8
 #: Vectors for each pivot, and the fewest and most pivots.  The most bounds the sample and what tasks are sent.
 PER_PIVOT, FEWEST, MOST = 128, 64, 4096
+#: Members of a list beyond which it is divided by second pivots.
+DIVIDED = PART
 
 
 def pivot_count(n: int) -> int:
@@ -107,12 +110,13 @@ def described(usable: DataFrame, pivots: dict[int, np.ndarray], nearest: int | N
 
 
 _DESCRIBED = ["vec_id", "label", "dims"]
-_BLOCK = ["label", "dims", "pivot", "lo", "hi"]
+_LIST = ["label", "dims", "pivot", "second"]
+_BLOCK = [*_LIST, "lo", "hi"]
 
 
 def _candidates(table: pa.Table, starts: np.ndarray, shared: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Ranges of rows of a block and which two share enough pivots, the block's being the smallest of them."""
-    parts, lo, hi, pivot = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "pivot"))
+    """Ranges of rows of a block and which two share enough pivots, the block's being the smallest one or two of them."""
+    parts, lo, hi, pivot, second = (table.column(c).to_numpy() for c in ("part", "lo", "hi", "pivot", "second"))
     pivots = table.column("pivots").combine_chunks()
 
     def held(rows: slice, known: np.ndarray) -> np.ndarray:
@@ -130,11 +134,33 @@ def _candidates(table: pa.Table, starts: np.ndarray, shared: int) -> Iterator[tu
             local = np.unique(lists)
         x = held(i, local)
         y = x if i == j else held(j, local)
-        before = int(np.searchsorted(local, pivot[at]))
-        close = (x @ y.T >= min(shared, lists.shape[1])) & (x[:, :before] @ y[:, :before].T == 0)
+        before = int(np.searchsorted(local, max(pivot[at], second[at])))
+        smaller = 0 if second[at] < 0 else 1  # shared ones before the block's last
+        close = (x @ y.T >= min(shared, lists.shape[1])) & (x[:, :before] @ y[:, :before].T == smaller)
         yield i, j, np.triu(close, 1) if i == j else close
 
 
+def inverted(indexed: DataFrame, shared: int = SHARED) -> DataFrame:
+    """The inverted lists of ``indexed`` (vec_id, label, dims, pivots): its columns with ``pivot`` and ``second``, -1 or the second
+    pivot by which a large list is divided."""
+    # Two that share so many of their pivots share one of the first of them in order of number, all but shared - 1.
+    needed = F.least(F.lit(shared), F.size("pivots"))
+    first = F.slice(F.array_sort("pivots"), F.lit(1), F.size("pivots") - needed + 1)
+    lists = indexed.select("label", "dims", F.explode(first).alias("pivot"), "vec_id", "pivots")
+    counts = lists.groupBy("label", "dims", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > DIVIDED)
+    counts = staged(counts, "large-lists")
+    whole = lists.withColumn("second", F.lit(-1))
+    if counts.isEmpty():
+        return whole
+    later = F.array_sort(F.filter("pivots", lambda p: p > F.col("pivot")))
+    large = lists.join(small_side(counts.drop("n")), ["label", "dims", "pivot"]).where(needed > 1)
+    divided = large.withColumn("later", later).select(*lists.columns, F.explode(F.slice("later", F.lit(1), F.greatest(F.lit(0), F.size("later") - needed + 2))).alias("second"))
+    work = divided.groupBy("label", "dims", "pivot", "second").agg(F.count("*").cast("double").alias("n")).groupBy("label", "dims", "pivot").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    better = counts.join(work, ["label", "dims", "pivot"]).where(F.col("work") < F.col("n").cast("double") * F.col("n") / 2).select("label", "dims", "pivot")
+    better = small_side(staged(better, "divided-lists"))
+    return whole.join(better, ["label", "dims", "pivot"], "left_anti").unionByName(divided.join(better, ["label", "dims", "pivot"]).select(*whole.columns))
+
+
 def _needed(members: DataFrame, shared: int) -> DataFrame:
     """The members that have something to be compared with in their block, from the lists of pivots alone."""
 
@@ -189,10 +215,7 @@ def deduplicate(vectors: DataFrame, least: float = LEAST, nearest: int | None =
     known = clean(vectors)
     usable = known.where("v is not null")
     indexed = staged(described(usable, fit(usable, vectors.count()), nearest), "pivot-lists")
-    # Two that share so many of their pivots share one of the first of them in order of number, all but shared - 1.
-    first = F.slice(F.array_sort("pivots"), F.lit(1), F.greatest(F.lit(1), F.size("pivots") - (shared - 1)))
-    lists = indexed.select("label", "dims", F.explode(first).alias("pivot"), "vec_id", "pivots")
-    needed = staged(_needed(blocked(lists, ["label", "dims", "pivot"], "vec_id", 8 * F.col("dims")), shared), "vector-candidates")
+    needed = staged(_needed(blocked(inverted(indexed, shared), _LIST, "vec_id", 8 * F.col("dims")), shared), "vector-candidates")
     wanted = usable.select("vec_id", "v").join(small_side(staged(needed.select("vec_id").distinct(), "wanted-vectors")), "vec_id", "left_semi")
     found = staged(_compared(needed.join(wanted, "vec_id"), least, shared), "vector-links")
     reached = components(found.select("vec_id", F.col("root").alias("other")))

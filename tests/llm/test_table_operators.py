@@ -520,6 +520,27 @@ def test_embeddings_in_tiles(spark, monkeypatch):
     assert sum(x[1] for x in want) >= sum(x[1] for x in got) >= 0.97 * sum(x[1] for x in want)
 
 
+def test_large_lists_are_divided(spark, monkeypatch):
+    """By second pivots where vectors lie apart, which loses nothing; lists of near copies aren't."""
+    rng = np.random.default_rng(22)
+    middles = rng.normal(size=(500, 16))
+    rows = [(k, (middles[k % 500] + 0.1 * rng.normal(size=16)).tolist(), 1) for k in range(2000)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    plain = sorted(tuple(r) for r in pivots.deduplicate(made).collect())
+    monkeypatch.setattr(pivots, "DIVIDED", 40)
+    assert sorted(tuple(r) for r in pivots.deduplicate(made).collect()) == plain
+    assert sum(r[1] for r in plain) > 1000
+    usable = pivots.clean(made)
+    lists = pivots.inverted(pivots.described(usable, pivots.fit(usable, 2000))).cache()
+    divided = lists.where("second >= 0")
+    assert divided.count() > 1000
+    largest = lambda df, *key: df.groupBy(*key).agg(F.countDistinct("vec_id").alias("n")).agg(F.max("n")).first()[0]
+    assert largest(divided, "pivot", "second") < largest(divided, "pivot") / 2
+    near = spark.createDataFrame([(k, (middles[0] + 1e-3 * rng.normal(size=16)).tolist(), 1) for k in range(200)] + [(900 + k, middles[k].tolist(), 1) for k in range(100)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in pivots.deduplicate(near).collect()}
+    assert all(got[k] >= 199 for k in range(200))
+
+
 def test_embeddings_nameless_and_empty(spark):
     made = spark.createDataFrame([(None, [1.0], 1), (None, [1.0], 1), (1, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(repr, (tuple(r) for r in pivots.deduplicate(made).collect()))) == ["(1, 0, 1, True)", "(None, 0, None, True)", "(None, 0, None, True)"]
