@@ -22,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, same_rows, small_batches, staged, text_of, tidied
+from ..staging import new_path
+from .common import gathered, same_rows, small_batches, text_of, tidied
 from .tokens import SLICE_BYTES, encoder
 
 BLOCK_IDS, SEGMENT_IDS, END_ID = 65_536, 262_144, 0
@@ -150,6 +151,10 @@ def read_ids(segments: DataFrame) -> DataFrame:
 
 
 def file_round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """Write all documents to a file in the shared folder and read them back from it."""
-    return read_ids(staged(write_ids(docs, tokenizer, **options), "token-ids"))
+    """Write all documents to a file in the shared folder and read them back from it.
+
+    The table isn't compressed once more, since its frames are."""
+    segments, path = write_ids(docs, tokenizer, **options), new_path(docs.sparkSession, "token-ids")
+    segments.write.option("compression", "none").parquet(path)
+    return read_ids(docs.sparkSession.read.schema(segments.schema).parquet(path))
 
