@@ -311,10 +311,10 @@ class Text:
         contents = self.pdf.get(page.get("Contents"))
         refs = contents if isinstance(contents, list) else [page.get("Contents")]
         raw = b"\n".join(self.pdf.stream(int(r)) for r in refs if isinstance(r, Reference) and isinstance(self.pdf.get(r), dict))
-        self.run(raw, page.get("Resources") or {}, 0)
+        self.run(raw, page.get("Resources") or {})
         return "\n".join(line.strip() for line in "".join(self.out).strip().split("\n"))
 
-    def run(self, raw: bytes, resources: dict, depth: int) -> None:
+    def run(self, raw: bytes, resources: dict, within: frozenset[int] = frozenset()) -> None:
         reader, held = Reader(raw), []
         decode: Callable[[bytes], str] = lambda raw: raw.decode("cp1252", "replace")
         self.x = self.y = self.leading = 0.0
@@ -343,13 +343,13 @@ class Text:
                 self.show(decode(held[-1]))
             elif x == "TJ" and held and isinstance(held[-1], list):
                 self.show("".join(decode(p) if isinstance(p, bytes) else " " if isinstance(p, int | float) and p < -GAP else "" for p in held[-1]))
-            elif x == "Do" and held and depth < 8:
+            elif x == "Do" and held:
                 forms = self.pdf.get(resources.get("XObject")) or {}
                 ref = forms.get(str(held[0]))
                 form = self.pdf.get(ref)
-                if isinstance(form, dict) and form.get("Subtype") == "Form" and isinstance(ref, Reference):
+                if isinstance(form, dict) and form.get("Subtype") == "Form" and isinstance(ref, Reference) and int(ref) not in within:  # a form may not show itself
                     place = self.x, self.y, self.leading
-                    self.run(self.pdf.stream(int(ref)), self.pdf.get(form.get("Resources")) or resources, depth + 1)
+                    self.run(self.pdf.stream(int(ref)), self.pdf.get(form.get("Resources")) or resources, within | {int(ref)})
                     self.x, self.y, self.leading = place
             elif x == "ID":  # an inline image, up to its end
                 end = re.compile(rb"\sEI\s").search(raw, reader.at)

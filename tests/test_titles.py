@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.operators import titles, toc
-from arbora.reasoner import RuleReasoner
+from arbora.reasoner import ModelReasoner, RuleReasoner
 
 
 def squeezed(text):
@@ -75,6 +76,31 @@ def test_gaps_by_hand(spark):
     assert got == want and want
 
 
+def looked_up(prompts):
+    """A model that finds titles as the rules do."""
+    out = []
+    for prompt in prompts:
+        title, _, content = prompt.partition("Title: ")[2].partition("\n\n")
+        pages = re.findall(r"<physical_index_(\d+)>\n(.*?)\n</physical_index_\d+>", content, re.DOTALL)
+        found = next((k for k, text in pages if re.sub(r"\s+", "", title).lower() in re.sub(r"\s+", "", text).lower()), None)
+        out.append(json.dumps({"physical_index": f"<physical_index_{found}>"}) if found else "nowhere")
+    return out
+
+
+def test_gaps_and_ranges_by_a_model(spark):
+    rng = random.Random(11)
+    pages = [(d, p, f"words\nChapter {rng.randint(0, 9)} and Chapter {rng.randint(0, 9)}\nmore") for d in range(8) for p in range(1, 25)]
+    items = [(d, k, f"chapter {rng.randint(0, 9)}", rng.randint(1, 24) if rng.random() < 0.3 else None) for d in range(8) for k in range(12)]
+    made_items = spark.createDataFrame(items, "doc_id int, list_index long, title string, physical_index int")
+    made_pages = spark.createDataFrame(pages, "doc_id int, physical_index int, text string")
+    rules, model = RuleReasoner(), ModelReasoner(lambda prompts: looked_up(prompts), retries=1)
+    got = [{(r["doc_id"], r["list_index"], r["fixed_index"]) for r in x.filled(made_items, made_pages).collect()} for x in (rules, model)]
+    assert got[0] == got[1] and len(got[0]) > 10
+    ranged = made_items.withColumns({"a": F.col("list_index").cast("int"), "b": (F.col("list_index") + 8).cast("int")})
+    got = [{(r["doc_id"], r["list_index"], r["fixed_index"]) for r in x.locate(ranged, x.searchable(made_items, made_pages), "a", "b").collect()} for x in (rules, model)]
+    assert got[0] == got[1] and len(got[0]) == len(items)
+
+
 def test_nothing_to_find(spark):
     items, pages = frames(spark, [], [])
     assert titles.finds(items, pages).count() == 0
