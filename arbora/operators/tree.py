@@ -110,6 +110,17 @@ def is_leaf(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(known, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("leaf", F.lit(False)).alias("is_leaf"))
 
 
+def without_below(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``nodes`` (doc_id, path, ...) without those below one of ``cuts`` (doc_id, path).
+
+    A node meets cuts by the paths of its ancestors, of which it has as many as it is deep.
+    """
+    above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
+    cut = cuts.select("doc_id", F.col("path").alias("above")).distinct()
+    below = nodes.where(F.size("path") > 1).select("doc_id", "path", F.explode(above).alias("above")).join(cut, ["doc_id", "above"], "left_semi")
+    return nodes.join(below.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
+
+
 def without(nodes: DataFrame, *fields: str) -> DataFrame:
     """Without these columns, those that are there."""
     return nodes.drop(*(fields or ("text",)))

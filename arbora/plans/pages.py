@@ -138,10 +138,7 @@ def split_large(nodes: DataFrame, pages: DataFrame, options: Options, reasoner:
         whole = big.select("doc_id", "parent_path", F.col("start_index").alias("from_page"), F.col("end_index").alias("to_page"))
         smaller = (F.col("start_index") > F.col("from_page")) | (F.col("end_index") < F.col("to_page"))
         again = children.withColumn("parent_path", F.slice("path", F.lit(1), F.size("path") - 1)).join(whole, ["doc_id", "parent_path"]).where(smaller).select(children.columns)
-        cut = big.select("doc_id", "parent_path").distinct()
-        above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-        under = nodes.where(F.size("path") > 1).select("doc_id", "path", F.explode(above).alias("parent_path")).join(cut, ["doc_id", "parent_path"], "left_semi").select("doc_id", "path").distinct()
-        kept = nodes.join(under, ["doc_id", "path"], "left_anti").join(begins.withColumnRenamed("parent_path", "path"), ["doc_id", "path"], "left")
+        kept = tree.without_below(nodes, big.select("doc_id", F.col("parent_path").alias("path"))).join(begins.withColumnRenamed("parent_path", "path"), ["doc_id", "path"], "left")
         kept = kept.withColumn("end_index", F.coalesce("begins", "end_index")).drop("begins")
         nodes, frontier = staged(kept.unionByName(children), "nodes"), staged(again, "frontier")
     return nodes

@@ -37,7 +37,14 @@ def nested(spark, n):
     return spark.range(1, n + 1).select(F.lit(1).alias("doc_id"), F.col("id").alias("list_index"), F.col("id").alias("start_index"), F.lit(n).cast("long").alias("end_index"))
 
 
+def below_cuts(spark, n):
+    """n nodes three deep, a tenth of which are cut."""
+    made = spark.range(n).select(F.lit(1).alias("doc_id"), F.when(F.col("id") % 10 == 0, F.array("id")).when(F.col("id") % 10 == 5, F.array(F.col("id") - 5, "id")).otherwise(F.array(F.col("id") - F.col("id") % 10, F.col("id") - F.col("id") % 10 + 5, "id")).alias("path"))
+    return tree.without_below(made, made.where("path[0] % 20 = 0 and size(path) = 2 or path[0] % 30 = 0 and size(path) = 1"))
+
+
 CASES = {
+    "cuts": below_cuts,
     "page groups": lambda spark, n: pages.groups(many_pages(spark, n), 30),
     "span tokens": lambda spark, n: pages.with_span_tokens(nested(spark, n), many_pages(spark, n)),
     "subtree ends": lambda spark, n: markdown.with_subtree_end(sections(spark, n)),
@@ -66,3 +73,9 @@ def test_paths_of_odd_parents(spark):
     got = {(r["doc_id"], r["list_index"]): r["path"] for r in tree.with_paths(spark.createDataFrame(rows, "doc_id int, list_index int, parent int, title string")).collect()}
     assert got == {(1, 0): [0], (1, 1): [0, 1], (1, 2): [2], (1, 3): [0, 1, 3], (None, 0): [0], (None, 1): [0, 1], (2, 5): [5]}
     assert tree.with_paths(spark.createDataFrame([], "doc_id int, list_index int, parent int")).count() == 0
+
+
+def test_cuts(spark):
+    left = below_cuts(spark, 600).where("size(path) = 3").select("path").collect()
+    assert left and all(r["path"][0] % 20 and r["path"][0] % 30 for r in left)
+    assert below_cuts(spark, 600).where("size(path) = 2 and path[0] % 30 = 0").count() == 0 and below_cuts(spark, 600).where("size(path) = 1").count() == 60
