@@ -63,6 +63,15 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+def ablations(spark: SparkSession, sf_dir: str, policy: str = "v1") -> DataFrame:
+    """A report of the first stage: for each rule of a policy the documents that it rejects, and those that it alone does.
+
+    Each document is judged by all rules once, and counted by the set of those that it fails.  Of an empty table no rule rejects
+    any, and none is listed.
+    """
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("text")), policy)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("n-gram jaccard join", near_copies),
