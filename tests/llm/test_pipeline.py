@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from arbora.llm import mixing, quality
+from arbora.llm import mixing, quality, queries
 from arbora.llm.common import staged
 from tests.llm.test_table_operators import near_by_hand
 from tests.llm.test_text_operators import base_by_hand, ids_of
@@ -70,3 +70,11 @@ def test_run_and_extra_columns(spark, sf_dir, tmp_path):
     assert got.count() > 0 and got.columns[0] == "doc_id"
     docs.limit(0).write.parquet(f"{folder}-empty/documents.parquet")
     assert pipeline.run(spark, f"{folder}-empty").count() == 0
+
+
+def test_ablations_of_the_first_stage(spark, sf_dir):
+    """What each rule rejects, and rejects alone, from the failure bits of all documents."""
+    got = {r["rule"]: (r["rejected"], r["rejected_alone"]) for r in pipeline.ablations(spark, sf_dir).collect()}
+    bits = [r["failed"] for r in queries.op8_rule_ledger(spark, sf_dir).collect()]
+    assert got == {name: (sum(b >> k & 1 for b in bits), sum(b == 1 << k for b in bits)) for k, (name, _) in enumerate(quality.RULES)}
+    assert sum(n for n, _ in got.values()) > 0
