@@ -43,14 +43,14 @@ def _contents(way: str, spark: bool) -> dict[str, str]:
     out where contents have numbers, and all are wrong or most left out for the other ways.
     """
     div = "DIV" if spark else "//"
-    many = f"CASE WHEN k % 2 = 1 THEN 7 + doc_id % 3 ELSE 1 + (doc_id + k) % 3 END" if way == "parts" else "1 + (doc_id + k) % 3"
+    many = "CASE WHEN k % 2 = 1 THEN 7 + doc_id % 3 ELSE 1 + (doc_id + k) % 3 END" if way == "parts" else "1 + (doc_id + k) % 3"
     said = {"numbers": "NOT (doc_id % 4 < 2 AND k IN (3, 4))", "titles": "true", "heads": "k < 3", "parts": "true"}[way]
     right = "first + doc_id % 5" + (" + CASE WHEN k = 1 AND doc_id % 2 = 0 THEN 2 ELSE 0 END" if way == "numbers" else "")
     two = {"numbers": "doc_id % 3 = 0 AND doc_id % 4 >= 2", "titles": "doc_id % 3 = 0", "heads": "false", "parts": "doc_id % 3 = 0"}[way]
     code = f"concat(CAST(k {div} 2 + 1 AS {'STRING' if spark else 'VARCHAR'}), CASE WHEN k % 2 = 1 THEN '.1' ELSE '' END)"
     title = "concat('Part ', doc_id, '-', k, 'x')"
     line = f"concat({code}, ' ', {title}, CASE WHEN {said} THEN concat(' ......... ', {'1 + (k * 5 + doc_id) % 7' if way == 'titles' else right}) ELSE '' END)"
-    new, inner = "'\\n'" if spark else "chr(10)", f"concat('Inner ', k, '.', j, ' x')"
+    new, inner = "'\\n'" if spark else "chr(10)", "concat('Inner ', k, '.', j, ' x')"
     named = f"CASE WHEN (doc_id + 2 * k) % 5 = 0 THEN concat('{_LONG}', {new}, upper({title}), {new}, w) ELSE concat({title}, {new}, w) END"
     mention = f", CASE WHEN k = 2 THEN concat({new}, 'see Part ', doc_id, '-4x') ELSE '' END" if way == "numbers" else ""
     plain = "rpad(w, 100, ' and more of it')"

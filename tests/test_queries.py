@@ -16,9 +16,8 @@ def test_same_as_sql(spark, sf_dir, known, name):
     same(queries.QUERIES[name](spark, sf_dir), known, queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - queries.ORACLES.keys()))
-def test_runs(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert queries.QUERIES.keys() == queries.ORACLES.keys()
 
 
 def test_entry(spark):
