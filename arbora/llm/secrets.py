@@ -9,17 +9,20 @@ chi-squared uniformity over equal cells of the alphabet, more of them the longer
 rarer and of the commoner half; and the correlation of each symbol with the next.  Their p-values, under random symbols, are
 combined into one, ``p_random``, by Fisher's method.
 
-A discovery is false where the string is text, so what is controlled is the p-value of that.  Text has a likelihood ratio of
-random symbols to text of 1 / p or more with probability p at most (Markov's inequality); the ratio counts as far as the
-battery finds the string random, so it is multiplied by ``p_random``, and not at all where that is below LEAST_RANDOM.  A string
-of rare letters that fails the battery, being sorted, alternating or uneven, so is no discovery.  The ratio grows and the tests sharpen with length, and p-values are weighted
-by length class, so that longer strings, which can be told apart, get more of the error budget of the Benjamini-Hochberg
-procedure at rate ``q``.  The counts behind its threshold are of all strings of all documents, gathered as one histogram of
-fixed size.
+A discovery is false where the string is text, so what is controlled is the p-value of that: how often text, symbols drawn by
+their shares in text, comes as near to a uniform alphabet as the string does, by chi-squared over three cells of the alphabet from
+the rarest symbols to the commonest.  That is counted exactly over all ways to fill the cells up to EXACT symbols, and bounded
+beyond (Sanov's bound for a convex set, which has no other factor).  Order tells nothing against text, whose symbols may come in
+any, but it can refute randomness: the p-value is divided by ``p_random`` / DOUBT where that is below 1, and is 1 where ``p_random``
+is below LEAST_RANDOM, so that a string that is sorted, alternating or uneven is no discovery.  The tests sharpen with length, and
+p-values are weighted by length class, so that longer strings, which can be told apart, get more of the error budget of the
+Benjamini-Hochberg procedure at rate ``q``.  The counts behind its threshold are of all strings of all documents, gathered as one
+histogram of fixed size.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -72,9 +75,11 @@ _LETTER_TOTAL = sum(_LETTERS.values())
 LENGTH_EDGES = [20, 24, 32, 48, 64]  # of the length classes
 LENGTH_WEIGHTS = [0.2, 0.4, 0.8, 1.2, 1.3, 1.3]  # mean 1 at most
 STEP, BINS = 0.05, 2000  # of the histogram of -log10 p
-RATE, LEAST_RANDOM = 0.01, 1e-4
+RATE, LEAST_RANDOM, DOUBT = 0.01, 1e-4, 0.1
 #: Cells of the alphabet for chi-squared: the fewest, and symbols of the string for each cell beyond.
 CELLS, PER_CELL = 4, 5
+#: Where an alphabet, from the rarest symbols in text, is cut for the p-value of text, and the longest string for which that is exact.
+TEXT_CELLS, EXACT = (1 / 3, 3 / 4), 128
 CLEAR = math.log(1000)  # how much more parts must tell than what they are cut from
 
 
@@ -152,17 +157,52 @@ _SHARES = {name: _text_share(a) for name, a in ENCODINGS.items()}
 #: The symbols from the rarest in text, and their places in that order.
 _RANKED = {name: sorted(a, key=lambda c: (_SHARES[name][c], c)) for name, a in ENCODINGS.items()}
 _PLACE = {name: {c: k for k, c in enumerate(a)} for name, a in _RANKED.items()}
-_LOG_SHARES = {name: {c: math.log(x) for c, x in shares.items()} for name, shares in _SHARES.items()}
+_TEXT_EDGES = {name: [0, *(round(x * len(a)) for x in TEXT_CELLS), len(a)] for name, a in _RANKED.items()}
+
+
+@functools.cache
+def text_cells(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of the three cells in text and among random symbols."""
+    ends = list(zip(_TEXT_EDGES[name], _TEXT_EDGES[name][1:], strict=False))
+    ranked = _RANKED[name]
+    return np.array([sum(_SHARES[name][c] for c in ranked[a:b]) for a, b in ends]), np.array([(b - a) / len(ranked) for a, b in ends])
+
+
+@functools.lru_cache(maxsize=128)
+def _text_tail(name: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values of chi-squared of ``n`` symbols, ascending, and the probability that text has one as small."""
+    share, even = text_cells(name)
+    first, second = (x.ravel() for x in np.indices((n + 1, n + 1)))
+    filled = np.stack([first, second, n - first - second], 1)[first + second <= n]
+    factorial = np.array([math.lgamma(k + 1) for k in range(n + 1)])
+    chance = np.exp(factorial[n] + (filled * np.log(share) - factorial[filled]).sum(1))
+    values = ((filled - n * even) ** 2 / (n * even)).sum(1)
+    order = np.argsort(values)
+    return values[order], np.cumsum(chance[order])
+
+
+def _text_bound(name: str, n: int, chi2: float) -> float:
+    """At least the probability that text has a chi-squared as small: exp(-n * the least divergence of such counts from text's)."""
+    share, even = text_cells(name)
+    if ((share - even) ** 2 / even).sum() <= chi2 / n:
+        return 1.0
+    angles = np.linspace(0, 2 * math.pi, 2000)
+    across = np.linalg.svd(np.sqrt(even)[None, :])[2][1:]  # what leaves the sum of shares as it is
+    edge = even + math.sqrt(chi2 / n) * np.sqrt(even) * (np.cos(angles)[:, None] * across[0] + np.sin(angles)[:, None] * across[1])
+    edge = edge[(edge > 0).all(1)]
+    return math.exp(-n * max(0.0, (edge * np.log(edge / share)).sum(1).min()))
 
 
-def p_of_text(run: str, name: str, p_random: float) -> float:
-    """The p-value that the procedure controls: how often text of the encoding has as large a likelihood ratio of random symbols to
-    text, by Markov's inequality, divided by the battery's combined p-value of the string; 1 if the battery rejects it."""
-    if p_random < LEAST_RANDOM:
-        return 1.0
-    shares = _LOG_SHARES[name]
-    ratio = sum(shares[c] for c in run) + len(run) * math.log(len(shares))
-    return math.exp(min(0.0, ratio - math.log(p_random)))
+def p_of_text(symbols: list[int], name: str) -> float:
+    """How often text of the encoding has its symbols as evenly in the cells."""
+    n, (_, low, high, _) = len(symbols), _TEXT_EDGES[name]
+    counts = np.bincount([(s >= low) + (s >= high) for s in symbols], minlength=3)
+    even = text_cells(name)[1]
+    chi2 = float(((counts - n * even) ** 2 / (n * even)).sum())
+    if n > EXACT:
+        return _text_bound(name, n, chi2)
+    values, chances = _text_tail(name, n)
+    return min(1.0, float(chances[np.searchsorted(values, chi2 + 1e-9) - 1]))
 
 
 def assess(run: str) -> tuple[float, float] | None:
@@ -170,9 +210,11 @@ def assess(run: str) -> tuple[float, float] | None:
     name = encoding(run)
     if name is None:
         return None
-    place = _PLACE[name]
-    p_random = combined(tests([place[c] for c in run], len(place)))
-    return p_random, p_of_text(run, name, p_random)
+    symbols = [_PLACE[name][c] for c in run]
+    p_random = combined(tests(symbols, len(_PLACE[name])))
+    if p_random < LEAST_RANDOM:
+        return p_random, 1.0
+    return p_random, min(1.0, p_of_text(symbols, name) / min(1.0, p_random / DOUBT))
 
 
 def tested(run: str, start: int = 0) -> list[tuple[int, int, float]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -186,6 +187,41 @@ def test_the_battery_decides(spark):
     assert all(got[::3]) and not any(got[1::3]) and not any(got[2::3])
 
 
+def test_p_of_text_by_hand():
+    """Chi-squared's p-value under text, against all ways to fill the cells one after another; and the bound for long strings."""
+    rng = random.Random(18)
+    for name in secrets.ENCODINGS:
+        share, even = secrets.text_cells(name)
+        ends = secrets._TEXT_EDGES[name]
+        far = lambda c: sum((x - sum(c) * e) ** 2 / (sum(c) * e) for x, e in zip(c, even))  # noqa: B023, E731
+        for n in (12, 17, 25):
+            symbols = [rng.randrange(ends[-1]) for _ in range(n)]
+            seen = far([sum(a <= x < b for x in symbols) for a, b in zip(ends, ends[1:])])
+            want = 0.0
+            for a in range(n + 1):
+                for b in range(n + 1 - a):
+                    if far((a, b, n - a - b)) <= seen + 1e-9:
+                        want += math.comb(n, a) * math.comb(n - a, b) * share[0] ** a * share[1] ** b * share[2] ** (n - a - b)
+            assert math.isclose(secrets.p_of_text(symbols, name), min(1.0, want), rel_tol=1e-6)
+        values, chances = secrets._text_tail(name, secrets.EXACT)
+        for chi2 in (0.5, 2.0, 6.0, 40.0, 1000.0):
+            exact = chances[np.searchsorted(values, chi2 + 1e-9) - 1]
+            assert exact * 0.99 <= secrets._text_bound(name, secrets.EXACT, chi2) <= 1
+
+
+def test_text_is_seldom_taken_for_random():
+    """Of symbols drawn as text has them, a share of t at most has a p-value of t; of random ones of 24 and more most have 1e-5."""
+    rng = random.Random(19)
+    for name in ("base62", "base36", "hex", "base64url"):
+        symbols = range(len(secrets._RANKED[name]))
+        weights = [secrets._SHARES[name][c] for c in secrets._RANKED[name]]
+        for n in (16, 32, 150):
+            ps = np.array([secrets.p_of_text(rng.choices(symbols, weights, k=n), name) for _ in range(3000)])
+            assert (ps <= 0.1).mean() < 0.12 and (ps <= 0.01).mean() < 0.016 and (ps <= 0.001).mean() < 0.004
+    keys = lambda n: np.array([secrets.assess("".join(rng.choices(string.ascii_letters + string.digits, k=n)))[1] for _ in range(400)])
+    assert (keys(24) <= 1e-5).mean() > 0.75 and (keys(32) <= 1e-5).mean() > 0.93 and (keys(48) <= 1e-8).mean() > 0.97
+
+
 def test_secrets_in_long_texts_and_clashing_columns(spark):
     key = "".join(random.Random(17).choices(string.ascii_letters + string.digits, k=40))
     rows = [(1, "word " * 400_000 + key, "mine", 2.5), (2, key, None, None), (2, key, None, None)]
