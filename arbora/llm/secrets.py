@@ -3,6 +3,7 @@
 An opaque string is a run of 12 or more of ``A-Za-z0-9+/_-`` whose encoding is inferred from the characters it holds.  A run
 that fits no encoding, or with a part between ``/`` and ``+`` or between ``-`` and ``_`` that is clearly less like text than the
 whole, is tested by these parts, and they by theirs, with p-values multiplied by the number of ways in which it could be cut.
+Likelihoods of letters say where to cut, since they add up over parts; what is a discovery the tests alone say.
 
 The battery has three tests over an encoding's alphabet, ordered from the symbols that are rarest in text to the commonest:
 chi-squared uniformity over equal cells of the alphabet, more of them the longer the string is; the runs of symbols of the
@@ -157,6 +158,7 @@ _SHARES = {name: _text_share(a) for name, a in ENCODINGS.items()}
 #: The symbols from the rarest in text, and their places in that order.
 _RANKED = {name: sorted(a, key=lambda c: (_SHARES[name][c], c)) for name, a in ENCODINGS.items()}
 _PLACE = {name: {c: k for k, c in enumerate(a)} for name, a in _RANKED.items()}
+_LOG_SHARES = {name: {c: math.log(x) for c, x in shares.items()} for name, shares in _SHARES.items()}
 _TEXT_EDGES = {name: [0, *(round(x * len(a)) for x in TEXT_CELLS), len(a)] for name, a in _RANKED.items()}
 
 
@@ -205,38 +207,37 @@ def p_of_text(symbols: list[int], name: str) -> float:
     return min(1.0, float(chances[np.searchsorted(values, chi2 + 1e-9) - 1]))
 
 
-def assess(run: str) -> tuple[float, float] | None:
-    """The battery's combined p-value of an opaque string, and the p-value of its being text; None if it has no encoding."""
+def assess(run: str) -> tuple[float, float, float] | None:
+    """The battery's combined p-value of an opaque string, the p-value of its being text, and what its symbols tell against text, in
+    nats of likelihood, by which runs are cut; None if it has no encoding."""
     name = encoding(run)
     if name is None:
         return None
     symbols = [_PLACE[name][c] for c in run]
     p_random = combined(tests(symbols, len(_PLACE[name])))
     if p_random < LEAST_RANDOM:
-        return p_random, 1.0
-    return p_random, min(1.0, p_of_text(symbols, name) / min(1.0, p_random / DOUBT))
+        return p_random, 1.0, 0.0
+    shares = _LOG_SHARES[name]
+    nats = math.log(p_random) - sum(shares[c] for c in run) - len(run) * math.log(len(shares))
+    return p_random, min(1.0, p_of_text(symbols, name) / min(1.0, p_random / DOUBT)), max(0.0, nats)
 
 
-def tested(run: str, start: int = 0) -> list[tuple[int, int, float]]:
-    """Start, end, p_text of what is tested in a run: the whole, or parts that tell more."""
+def tested(run: str, start: int = 0) -> list[tuple[int, int, float, float]]:
+    """Start, end, p_text and nats of what is tested in a run: the whole, or parts that tell more."""
     got = assess(run)
-    whole = [(start, start + len(run), got[1])] if got else []
-    cuts: list[list[tuple[int, int, float]]] = []
+    whole = [(start, start + len(run), *got[1:])] if got else []
+    cuts: list[list[tuple[int, int, float, float]]] = []
     for cut in _CUTS:
         parts = [m for m in cut.finditer(run) if len(m[0]) >= LEAST_OPAQUE]
         if parts and len(parts[0][0]) < len(run):
             cuts.append([x for m in parts for x in tested(m[0], start + m.start())])
     best = max(cuts, key=_told, default=[])
-    return best if not whole or max((_nats(p) for *_, p in best), default=0.0) > _nats(whole[0][2]) + CLEAR else whole
+    return best if not whole or max((nats for *_, nats in best), default=0.0) > whole[0][3] + CLEAR else whole
 
 
-def _nats(p: float) -> float:
-    return -math.log(max(p, 1e-300))
-
-
-def _told(found: list[tuple[int, int, float]]) -> float:
+def _told(found: list[tuple[int, int, float, float]]) -> float:
     """How much parts tell, less for each more and a little for what they leave out, so that no key is cut for nothing."""
-    return sum(_nats(p) - CLEAR + 0.1 * (b - a) for a, b, p in found)
+    return sum(nats - CLEAR + 0.1 * (b - a) for a, b, _, nats in found)
 
 
 def ways(run: str) -> int:
@@ -308,7 +309,7 @@ def scan_text(text: str, hexes: bool = True, opaques: bool = True) -> tuple[list
     """The base spans, and of each opaque string that has an encoding: start, end, -log10 of its weighted p_text."""
     opaque = []
     for m in OPAQUE.finditer(text) if opaques else ():
-        for start, end, p_text in tested(m[0], m.start()):
+        for start, end, p_text, _ in tested(m[0], m.start()):
             weighted = p_text * ways(m[0]) / LENGTH_WEIGHTS[length_class(end - start)]
             opaque.append((start, end, max(0.0, -math.log10(max(weighted, 1e-300)))))
     return base_spans(text, hexes), opaque
