@@ -14,6 +14,8 @@ from ..functions.text import Counter
 from .common import joined_in_order
 
 LEVELS = range(1, 7)
+#: Lines that are gone through in one piece where a document may have any number.
+BLOCK_LINES = 8192
 
 
 def _doc() -> WindowSpec:
@@ -43,6 +45,34 @@ def sections(lines: DataFrame, counter: Counter | None = None) -> DataFrame:
     """
     marked = headers(lines).withColumn("starts", F.col("title").isNotNull() & F.startswith("line", F.lit("#")))
     numbered = marked.withColumn("ord", F.sum(F.col("starts").cast("int")).over(_doc().orderBy("line_num")) - 1).where("ord >= 0")
+    return _joined(numbered, counter)
+
+
+def sections_of_long(lines: DataFrame, counter: Counter | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """As ``sections``, for documents of any number of lines, none of which goes through one task whole.
+
+    A document is cut into blocks of lines.  Each block is counted as if it began outside a fence and as if inside one; the
+    blocks' counts in order, a narrow table, say which holds and how many sections come before.
+    """
+    stripped, block = strip(F.col("line")), F.floor((F.col("line_num") - 1) / F.lit(block_lines)).cast("long")
+    fence, level = F.startswith(stripped, F.lit("```")), header_level(stripped)
+    header = F.coalesce(~fence & level.isNotNull() & F.startswith("line", F.lit("#")), F.lit(False))
+    marked = lines.select("doc_id", "line_num", "line", block.alias("block"), F.coalesce(fence, F.lit(False)).cast("int").alias("fence"), header.alias("header"))
+    order = Window.partitionBy("doc_id", "block").orderBy("line_num")
+    inside = F.sum("fence").over(order)
+    counted = marked.drop("line").withColumn("odd", inside % 2 == 1).groupBy("doc_id", "block")
+    counted = counted.agg(F.sum("fence").alias("fences"), *[F.count(F.when(F.col("header") & (F.col("odd") == odd), 1)).alias(c) for c, odd in (("outside", False), ("within", True))])
+    before = _doc().orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    turned = counted.withColumn("turned", F.coalesce(F.sum("fences").over(before), F.lit(0)) % 2)
+    ran = turned.withColumn("ran", F.coalesce(F.sum(F.when(F.col("turned") == 0, F.col("outside")).otherwise(F.col("within"))).over(before), F.lit(0)))
+    placed = marked.join(ran.select("doc_id", "block", "turned", "ran"), ["doc_id", "block"])
+    placed = placed.withColumn("starts", F.col("header") & ((F.col("turned") + inside) % 2 == 0))
+    numbered = placed.withColumn("ord", F.col("ran") + F.sum(F.col("starts").cast("int")).over(order) - 1).where("ord >= 0")
+    return _joined(numbered.withColumn("title", F.when(F.col("starts"), header_title(strip(F.col("line"))))), counter)
+
+
+def _joined(numbered: DataFrame, counter: Counter | None) -> DataFrame:
+    """The sections of lines with ``starts``, ``title`` and ``ord``."""
     first = lambda c: F.max(F.when(F.col("starts"), F.col(c))).alias(c)
     text = strip(joined_in_order(F.col("line_num"), F.col("line"), "\n")).alias("text")
     level = F.max(F.when(F.col("starts"), F.length(F.regexp_extract("line", "^(#{1,6})", 1)))).cast("int").alias("level")

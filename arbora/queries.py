@@ -722,12 +722,11 @@ def yes_no_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT doc_id AS lang, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS characters, min(line_num) AS first_line, arg_max(title, ord) AS last_title FROM s GROUP BY doc_id",
 )
 def markdown_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown files, one of each language, written, scanned whole and cut into sections."""
+    """Markdown documents, one of each language in files of its parts, written, scanned and cut into sections."""
     path = staging.new_path(spark, "markdown-files")
     lines = fx.md_lines(spark, sf_dir).join(fx.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    lines.repartition("lang").sortWithinPartitions("lang", "doc_id", "line_num").select("lang", "line").write.partitionBy("lang").option("compression", "none").text(path)
-    read = files.markdown_files(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("doc_id"), F.regexp_replace("text", "\n$", "").alias("text"))
-    found = markdown.sections(markdown.lines(read))
+    lines.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id", "line_num").select("lang", "line").write.partitionBy("lang").option("compression", "none").text(path)
+    found = markdown.sections_of_long(files.markdown_lines(spark, f"{path}/*/*.txt", F.regexp_extract("path", "/lang=([^/]*)/", 1)))
     return found.groupBy(F.col("doc_id").alias("lang")).agg(F.count("*").alias("sections"), F.sum(F.length("text")).cast("long").alias("characters"), F.min("line_num").alias("first_line"), F.max_by("title", "ord").alias("last_title"))
 
 

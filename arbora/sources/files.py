@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import base_name, preview, stem, title_or_untitled, token_count
 from ..operators.batch import classified
+from ..staging import staged
 from . import pdf
 
 
@@ -19,6 +20,22 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return read.select("path", stem(F.col("path")).alias("doc_id"), "text")
 
 
+def markdown_lines(spark: SparkSession, path: str, doc_id: Column | None = None) -> DataFrame:
+    """doc_id (the stem), line_num (from 1), line of Markdown files of any size; CR and CR LF end a line like LF.
+
+    Spark cuts large files, and no task reads one whole.  Lines are written once with the part of a file that they come from and
+    numbers that rise in it, and the parts' counts in order say how many lines come before.  ``doc_id`` makes a document's name
+    of ``path``; files of the same one are its parts, in the order of their paths.  An empty file has no lines.
+    """
+    named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    read = spark.read.text(path).select(named.alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    lines = staged(read.select((stem(F.col("path")) if doc_id is None else doc_id).alias("doc_id"), "path", "at", "id", "line"), "markdown-lines")
+    parts = lines.groupBy("doc_id", "path", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("doc_id").orderBy("path", "at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = staged(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "markdown-parts")
+    return lines.join(parts, ["doc_id", "path", "at"]).select("doc_id", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_num"), "line")
+
+
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """path, length, fmt of the files of one folder, without those below it; contents are not read."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", "length")

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from arbora.operators import markdown as md
 from arbora.plans import markdown as plan
+from arbora.sources import files
 
 
 def docs(spark, *texts):
@@ -67,3 +70,33 @@ def test_plan(spark):
     assert [r["node_id"] for r in on] == ["0000", "0001"]
     assert on[0]["summary"] is None and len(on[0]["prefix_summary"]) == 200
     assert on[1]["summary"] == "## B\nshort" and on[1]["prefix_summary"] is None
+
+
+def test_long_documents_in_blocks(spark):
+    """Blocks of any size give what one pass over the document gives, with fences that open and close across them."""
+    random.seed(11)
+    kinds = ["# A", "## B x", "  # no start", "```", "text", "", "   ", "#none", "```py"]
+    texts = ["\n".join(random.choices(kinds, weights=[4, 4, 1, 1, 6, 2, 1, 1, 1], k=n)) for n in (0, 1, 7, 60, 61, 200)]
+    lines = md.lines(docs(spark, *texts)).cache()
+    whole = sorted(md.sections(lines).collect())
+    assert len(whole) > 20
+    for block in (1, 3, 60, 1000):
+        assert sorted(md.sections_of_long(lines, block_lines=block).collect()) == whole
+
+
+def test_lines_of_files_that_are_cut(spark, tmp_path):
+    """Lines keep their numbers where Spark cuts a file into many parts, and where a document is in several files."""
+    made = {"a.md": "".join(f"line {k} é\n" for k in range(900)), "b.md": "x\r\ny\rz\n\n", "c d+e%.md": "last, without an end", "empty.md": ""}
+    for name, text in made.items():
+        (tmp_path / name).write_bytes(text.encode())
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {(r["doc_id"], r["line_num"]): r["line"] for r in files.markdown_lines(spark, str(tmp_path)).collect()}
+        parts = files.markdown_lines(spark, str(tmp_path), F.lit("one")).orderBy("line_num").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    want = [f"line {k} é" for k in range(900)]
+    assert got == {("a", k + 1): x for k, x in enumerate(want)} | {("b", k + 1): x for k, x in enumerate(["x", "y", "z", ""])} | {("c d+e%", 1): "last, without an end"}
+    assert [r["line_num"] for r in parts] == list(range(1, 906)) and [r["line"] for r in parts] == [*want, "x", "y", "z", "", "last, without an end"]
+
