@@ -134,7 +134,9 @@ def llm_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contents_pages(spark: SparkSession, sf_dir: str, way: str) -> DataFrame:
     """Documents with a cover or none, contents on a page or two, and sections of a few pages each, for one of WAYS."""
     x = _contents(way, spark=True)
-    words = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r0-9]+", " "), 1, 60)
+    text, plain = F.coalesce("text", F.lit("")), lambda c: F.regexp_replace(c, r"[ \t\n\r0-9]+", " ")
+    begun = plain(F.substring(text, 1, 400))  # if that leaves more than 60 characters, the rest changes none of them
+    words = F.substring(F.when(F.length(begun) > 60, begun).otherwise(plain(text)), 1, 60)
     base = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"), F.explode(F.expr("sequence(0, CAST(5 + doc_id % 3 AS INT))")).alias("k"))
     many = base.withColumns({"c": F.expr(f"CAST({x['pages']} AS INT)"), "tocs": F.expr(x["tocs"]), "front": F.expr("CAST(doc_id % 2 AS INT)")})
     first = F.sum("c").over(Window.partitionBy("doc_id").orderBy("k")) - F.col("c") + 1

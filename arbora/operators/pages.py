@@ -47,10 +47,17 @@ def _paired(nodes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     return listed.join(pages, ["doc_id", "physical_index"])
 
 
-def with_text(nodes: DataFrame, pages: DataFrame, with_tags: bool = False, key: tuple[str, ...] = ("doc_id", "list_index")) -> DataFrame:
-    """``text`` of the pages of each node's span; null where the node has no start or end, empty where it ends before it starts."""
+def with_text(nodes: DataFrame, pages: DataFrame, with_tags: bool = False, key: tuple[str, ...] = ("doc_id", "list_index"), most: int | None = None) -> DataFrame:
+    """``text`` of the pages of each node's span; null where the node has no start or end, empty where it ends before it starts.
+
+    With ``most`` its first characters, of which no page holds more than as many.
+    """
+    if most is not None:
+        pages = pages.select("doc_id", "physical_index", F.substring("text", 1, most).alias("text"))
     text = page_tag(F.col("physical_index"), F.col("text")) if with_tags else F.col("text")
     texts = _paired(nodes, pages, list(key)).groupBy(*key).agg(joined_in_order(F.col("physical_index"), text).alias("text"))
+    if most is not None:
+        texts = texts.withColumn("text", F.substring("text", 1, most))
     given = F.coalesce(F.col("start_index"), F.lit(0)) * F.coalesce(F.col("end_index"), F.lit(0)) != 0
     return nodes.join(texts, list(key), "left").withColumn("text", F.when(given, F.coalesce("text", F.lit(""))))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -105,24 +106,25 @@ class Titles:
         return pairs[:, 1], pairs[:, 0]
 
 
-def finds(items: DataFrame, pages: DataFrame) -> DataFrame:
+def finds(items: DataFrame, pages: DataFrame, starts: bool = False) -> DataFrame:
     """doc_id, key, physical_index: the pages (doc_id, physical_index, text) that have a title of their document's ``items``.
 
     ``key`` is the squeezed title; each is there once for a page, however many items have it.  A task takes in a document's titles
     and then reads its pages one batch after another.  An empty title stands on every page, a null one on none.
+    With ``starts`` there is a column of that name: whether the page begins with the title.
     """
     named = items.select("doc_id", F.lit(None).cast("int").alias("physical_index"), squeezed(F.col("title")).alias("text"))
     rows = named.unionByName(pages.select("doc_id", F.col("physical_index").cast("int").alias("physical_index"), squeezed(F.col("text")).alias("text"))).where("text is not null")
     rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.col("physical_index").asc_nulls_first())
     kinds = T.StructType([rows.schema["doc_id"], T.StructField("key", T.StringType()), T.StructField("physical_index", T.IntegerType())])
-    return rows.mapInArrow(_searched, kinds)
+    return rows.mapInArrow(partial(_searched, starts), kinds.add("starts", T.BooleanType()) if starts else kinds)
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _searched(starts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, begun, titles, known = None, False, {}, None
     for batch in batches:
         docs, numbers, texts = (batch.column(c).to_pylist() for c in range(3))
-        keys, places, rows, at = [], [], [], 0
+        keys, places, rows, begins, at = [], [], [], [], 0
         while at < len(docs):
             end, doc, names = at, docs[at], numbers[at] is None
             while end < len(docs) and docs[end] == doc and (numbers[end] is None) == names:
@@ -137,9 +139,25 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys += [known.titles[k] for k in of.tolist()]
                 rows += (on + at).tolist()
                 places += [numbers[at + k] for k in on.tolist()]
+                if starts:
+                    begins += [texts[at + p].startswith(known.titles[k]) for k, p in zip(of.tolist(), on.tolist(), strict=True)]
             at = end
         if rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys, pa.string()), pa.array(places, pa.int32())], ["doc_id", "key", "physical_index"])
+            columns = {"doc_id": batch.column(0).take(pa.array(rows)), "key": pa.array(keys, pa.string()), "physical_index": pa.array(places, pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns | ({"starts": pa.array(begins, pa.bool_())} if starts else {}))
+
+
+def judged(items: DataFrame, found: DataFrame) -> DataFrame:
+    """``items`` with ``answer`` and ``appear_start``: whether their page has their title, and begins with it, by ``found``, which
+    has ``starts`` and all their titles."""
+    hit = found.select("doc_id", "key", "physical_index", "starts")
+    met = items.withColumn("key", squeezed(F.col("title"))).join(hit, ["doc_id", "key", "physical_index"], "left")
+    return met.withColumns({"answer": F.when(F.col("starts").isNotNull(), "yes").otherwise("no"), "appear_start": F.when(F.col("starts"), "yes").otherwise("no")}).drop("key", "starts")
+
+
+def of_titles(found: DataFrame, items: DataFrame) -> DataFrame:
+    """What is found of the titles of ``items``."""
+    return found.join(items.select("doc_id", squeezed(F.col("title")).alias("key")).distinct(), ["doc_id", "key"], "left_semi")
 
 
 def first_pages(items: DataFrame, found: DataFrame) -> DataFrame:

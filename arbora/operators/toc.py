@@ -153,9 +153,11 @@ def gate(accuracies: DataFrame) -> DataFrame:
 
 
 def merged_fixes(items: DataFrame, fixes: DataFrame) -> DataFrame:
-    """``physical_index`` of ``fixes`` (doc_id, list_index, fixed_index, is_valid) where they are valid."""
-    valid = fixes.where("is_valid").select("doc_id", "list_index", "fixed_index")
-    return items.join(valid, ["doc_id", "list_index"], "left").withColumn("physical_index", F.coalesce("fixed_index", "physical_index")).drop("fixed_index")
+    """``physical_index`` of ``fixes`` (doc_id, list_index, fixed_index, is_valid) where they are valid, and ``appear_start`` if both
+    have it."""
+    both = {"physical_index", "appear_start"} & {"physical_index", *fixes.columns} & set(items.columns)
+    valid = fixes.where("is_valid").select("doc_id", "list_index", *[F.col("fixed_index" if c == "physical_index" else c).alias(f"fixed_{c}") for c in both])
+    return items.join(valid, ["doc_id", "list_index"], "left").withColumns({c: F.coalesce(f"fixed_{c}", c) for c in both}).drop(*[f"fixed_{c}" for c in both])
 
 
 def sampled(items: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -37,6 +37,11 @@ def _key() -> Column:
 class RuleReasoner:
     """Rules that need no model."""
 
+    #: Whether what ``searchable`` finds answers all that is asked of titles, so that no page's text is needed for it again.
+    indexed = True
+    #: Characters of a text that ``summary`` reads; None for all.
+    summary_reads: int | None = SUMMARY_CHARS
+
     def toc_pages(self, pages: DataFrame) -> DataFrame:
         """``is_toc``: yes for a page with three or more lines that end in digits."""
         ending = F.size(F.regexp_extract_all("text", F.lit(r"(?m)\d[ \t]*$"), F.lit(0)))
@@ -55,10 +60,17 @@ class RuleReasoner:
 
     def outline(self, pages: DataFrame) -> DataFrame:
         """doc_id, list_index, structure, title, physical_index: a section for each page that begins with a short line."""
-        head = strip(F.substring_index("text", "\n", 1))
-        short = pages.where((head != "") & (F.length(head) <= TITLE_CHARS)).select("doc_id", "physical_index", head.alias("title"))
+        short = (self.headed(pages) if "text" in pages.columns else pages).where("head is not null").withColumnRenamed("head", "title")
         k = F.row_number().over(Window.partitionBy("doc_id").orderBy("physical_index")) - 1
-        return short.select("doc_id", k.cast("long").alias("list_index"), (k + 1).cast("string").alias("structure"), "title", "physical_index")
+        return short.select("doc_id", k.cast("long").alias("list_index"), (k + 1).cast("string").alias("structure"), "title", "physical_index", "answer", "appear_start")
+
+    def headed(self, pages: DataFrame) -> DataFrame:
+        """``pages`` with all that ``outline`` needs of their texts: ``head``, the short line that a page begins with or null, and
+        whether the page has it (``answer``) and begins with it (``appear_start``)."""
+        line = strip(F.substring_index("text", "\n", 1))
+        named = pages.withColumn("head", F.when((line != "") & (F.length(line) <= TITLE_CHARS), line))
+        some = named.withColumns({"page": F.when(F.col("head").isNotNull(), squeezed(F.col("text"))), "own": squeezed(F.col("head"))})
+        return some.withColumns({"answer": F.when(F.contains("page", "own"), "yes").otherwise("no"), "appear_start": F.when(F.startswith("page", "own"), "yes").otherwise("no")}).drop("text", "page", "own")
 
     def place(self, items: DataFrame, pages: DataFrame) -> DataFrame:
         """``items`` (doc_id, list_index, title, ...) with ``physical_index``, the first of ``pages`` that has the title."""
@@ -66,7 +78,15 @@ class RuleReasoner:
 
     def searchable(self, items: DataFrame, pages: DataFrame) -> DataFrame:
         """What ``locate`` looks for the titles of ``items`` in."""
-        return staged(titles.finds(items, pages), "finds")
+        return staged(titles.finds(items, pages, starts=True), "finds")
+
+    def placed(self, items: DataFrame, searched: DataFrame) -> DataFrame:
+        """As ``place``, in the part of what is ``searchable`` that is on the pages."""
+        return titles.first_pages(items, searched)
+
+    def gaps_filled(self, items: DataFrame, searched: DataFrame) -> DataFrame:
+        """As ``filled``, in what is ``searchable``."""
+        return titles.filled(items, titles.of_titles(searched, items.where("physical_index is null")))
 
     def filled(self, items: DataFrame, pages: DataFrame) -> DataFrame:
         """doc_id, list_index, fixed_index of the items that have no index and are found between known ones, each narrowing the
@@ -194,6 +214,8 @@ class ModelReasoner(RuleReasoner):
     goes through a document's page groups or items in order, and its replies aren't kept.
     """
 
+    indexed, summary_reads = False, None
+
     def __init__(self, complete: Complete, retries: int = 10, pause: float = 1.0, batch: int = 32, tasks: int | None = None, replies: str | None = None, name: str = "model"):
         self.ask, self.batch, self.tasks, self.replies, self.name = _patient(complete, retries, pause), batch, tasks, replies, name
 
@@ -325,9 +347,18 @@ class ModelReasoner(RuleReasoner):
         there = rows.where("page_text is not null")
         return self._yes_no(there, "Does this page begin with this title?", ["title", "page_text"], "appear_start").unionByName(rows.where("page_text is null").withColumn("appear_start", F.lit("no")))
 
+    def headed(self, pages: DataFrame) -> DataFrame:
+        return pages
+
     def searchable(self, items: DataFrame, pages: DataFrame) -> DataFrame:
         return pages
 
+    def placed(self, items: DataFrame, searched: DataFrame) -> DataFrame:
+        return self.place(items, searched)
+
+    def gaps_filled(self, items: DataFrame, searched: DataFrame) -> DataFrame:
+        return self.filled(items, searched)
+
     def locate(self, ranged: DataFrame, searched: DataFrame, first: str, last: str) -> DataFrame:
         rows = ranged.join(range_text(ranged, searched, first, last), ["doc_id", "list_index"], "left")
         asked = self._ask(rows, F.concat(F.lit(f"{_LOCATE}\n\nTitle: "), "title", F.lit("\n\n"), F.coalesce("content", F.lit(""))), "raw_reply")

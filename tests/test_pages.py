@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from arbora.operators import pages as pg
 from arbora.operators import toc
 from arbora.plans import pages as plan
@@ -206,3 +208,42 @@ def test_split_goes_on(spark):
     nodes = spark.createDataFrame([(1, [0], "Whole", 1, 24)], "doc_id int, path array<long>, title string, start_index int, end_index int")
     got = plan.split_large(nodes, made, load({"max_page_num_each_node": 1, "max_token_num_each_node": 1}, {}), Peeling()).collect()
     assert max(len(r["path"]) for r in got) > 9 and not [r for r in got if r["end_index"] - r["start_index"] > 1]
+
+
+@pytest.mark.parametrize("way", ["numbers", "parts"])
+def test_rules_read_texts_for_titles_once(spark, sf_dir, monkeypatch, way):
+    """Titles are looked for once; what is found answers all later questions, so that no page's text meets an item again."""
+    from arbora import fixtures
+    from arbora.operators import titles
+    from arbora.plans import pages as plan
+
+    calls, finds = [], titles.finds
+    monkeypatch.setattr(titles, "finds", lambda *a, **k: calls.append(1) or finds(*a, **k))
+    monkeypatch.setattr(plan.toc, "with_page_text", lambda *a: pytest.fail("texts are joined to items"))
+    made = fixtures.contents_pages(spark, sf_dir, way).where("doc_id < 24")
+    assert plan.build(made, {"toc_check_page_num": 5, "max_page_num_each_node": 3, "max_token_num_each_node": 100}).count() > 0
+    assert len(calls) == 1
+
+
+def test_first_characters_of_spans(spark):
+    rows = [(1, 1, "ab"), (1, 2, None), (1, 3, ""), (1, 4, "cdefgh"), (1, 5, "ij"), (2, 1, "xyzuvw")]
+    made = spark.createDataFrame(rows, "doc_id int, physical_index int, text string")
+    nodes = spark.createDataFrame([(1, 0, 1, 5), (1, 1, 2, 3), (1, 2, 4, 4), (1, 3, 5, 4), (1, 4, None, 4), (2, 0, 1, 9)], "doc_id int, list_index int, start_index int, end_index int")
+    whole = {(r["doc_id"], r["list_index"]): r["text"] for r in pg.with_text(nodes, made).collect()}
+    for most in (1, 4, 5, 100):
+        got = {(r["doc_id"], r["list_index"]): r["text"] for r in pg.with_text(nodes, made, most=most).collect()}
+        assert got == {k: t if t is None else t[:most] for k, t in whole.items()}
+
+
+def test_judged_by_what_is_found(spark):
+    """The index says of each item what its page's text says."""
+    from arbora import reasoner as rs
+    from arbora.operators import titles
+
+    pages_ = spark.createDataFrame([(1, 1, "The  End\nof it"), (1, 2, "not THE\nend"), (1, 3, None), (None, 1, "the end")], "doc_id int, physical_index int, text string")
+    rows = [(1, 0, "the end", 1), (1, 1, "The End", 2), (1, 2, "the end", 3), (1, 3, "the end", 9), (1, 4, None, 1), (1, 5, "", 2), (1, 6, "of", 1), (1, 7, "the end", None)]
+    items = spark.createDataFrame(rows, "doc_id int, list_index long, title string, physical_index int")
+    rules = rs.RuleReasoner()
+    by_text = rules.title_starts(rules.title_appears(toc.with_page_text(items, pages_)))
+    kept = ["list_index", "answer", "appear_start"]
+    assert sorted(titles.judged(items, rules.searchable(items, pages_)).select(kept).collect()) == sorted(by_text.select(kept).collect())
