@@ -202,9 +202,12 @@ def _pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            files = [pdf.written(text.split("\n"), f"Title {d}" if d % 3 else None) for d, text in zip(batch["doc_id"], batch["text"], strict=True)]
-            yield pd.DataFrame({"path": [f"in/{d}.pdf" for d in batch["doc_id"]], "content": files})
+            for k in range(0, len(batch), 32):  # files are larger than their texts
+                some = batch.iloc[k : k + 32]
+                made_files = [pdf.written(text.split("\n"), f"Title {d}" if d % 3 else None) for d, text in zip(some["doc_id"], some["text"], strict=True)]
+                yield pd.DataFrame({"path": [f"in/{d}.pdf" for d in some["doc_id"]], "content": made_files})
 
+    files.small_batches(spark)
     return fx.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(made, "path string, content binary")
 
 

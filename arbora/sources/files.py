@@ -75,6 +75,18 @@ def previews(texts: DataFrame, lines: int = 50, characters: int = 2000) -> DataF
     return texts.withColumn("preview", preview(F.col("text"), lines, characters))
 
 
+#: Files, and about as many bytes, that a task of PDF files takes in at a time, and pages that it hands on at a time.
+BATCH_FILES, BATCH_BYTES, BATCH_PAGES = 256, 16 << 20, 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to these; they stay so, since a plan reads them when it runs.  Smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_FILES), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 Extractor = Callable[[bytes], list[str]]
 
 
@@ -90,7 +102,7 @@ def pdf_text(content: bytes) -> list[str]:
 
 
 def pdf_title(content: bytes) -> str | None:
-    return pdf.Pdf(content).title()
+    return pdf.title_of(content)
 
 
 def pages_of(files: DataFrame, extract: Extractor = pdf_text) -> DataFrame:
@@ -100,6 +112,7 @@ def pages_of(files: DataFrame, extract: Extractor = pdf_text) -> DataFrame:
     def pages(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        made = lambda rows: pd.DataFrame(rows, columns=["path", "physical_index", "text", "error"]).astype({"physical_index": "Int32"})
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
@@ -107,8 +120,12 @@ def pages_of(files: DataFrame, extract: Extractor = pdf_text) -> DataFrame:
                     rows += [(name, k + 1, text or "", None) for k, text in enumerate(extract(content))]
                 except Exception as why:  # a file that can't be read is a row, not the end of the job
                     rows.append((name, None, None, f"{type(why).__name__}: {why}"))
-            yield pd.DataFrame(rows, columns=["path", "physical_index", "text", "error"]).astype({"physical_index": "Int32"})
+                while len(rows) >= BATCH_PAGES:
+                    yield made(rows[:BATCH_PAGES])
+                    rows = rows[BATCH_PAGES:]
+            yield made(rows)
 
+    small_batches(files.sparkSession)
     got = files.select("path", "content").mapInPandas(pages, "path string, physical_index int, text string, error string")
     return got.select(base_name(F.col("path")).alias("doc_id"), "physical_index", "text", token_count(F.col("text")).alias("n_tokens"), "error")
 
@@ -133,6 +150,7 @@ def titles_of(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "title": [title(x) for x in batch["content"]]}).astype({"title": "string"})
 
+    small_batches(files.sparkSession)
     got = files.select("path", "content").mapInPandas(titles, "path string, title string")
     return got.select(base_name(F.col("path")).alias("doc_id"), title_or_untitled(F.col("title")).alias("title"))
 

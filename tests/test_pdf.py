@@ -7,6 +7,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.sources import files, pdf
 
@@ -98,3 +99,31 @@ def test_command_line_reads_a_file(spark, tmp_path):
     assert run(parser().parse_args(["pdf", str(tmp_path / "d.pdf"), "-o", str(tmp_path / "o.json"), "--no-summary"])) == 0
     got = json.loads((tmp_path / "o.json").read_text())
     assert got["doc_name"] == "d.pdf" and [(x["title"], x["start_index"], x["end_index"]) for x in got["structure"]] == [("One", 1, 1), ("Two", 2, 2), ("more", 3, 3)]
+
+
+def test_titles_from_the_table_of_objects():
+    """A plain file's title is read without its pages; any other file is read whole."""
+    plain = pdf.written(["some text"] * 50, "Título – 字")
+    assert pdf.title_of(plain) == "Título – 字" and pdf.title_of(pdf.written(["x"])) is None
+    broken = plain.replace(b"/Type /Page ", b"/Type (Page ")  # pages that can't be told don't matter to the title
+    assert pdf.title_of(broken) == "Título – 字"
+    later = b"9 0 obj\n<< /Title (Later) >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 9 0 R >>\n"
+    for other in (plain + later, plain + b"\n" + later + b"startxref\n0\n%%EOF\n", plain[7:].join([b"%PDF-1.4\n% moved\n", b""]), made(CATALOG)):
+        assert pdf.title_of(other) == pdf.Pdf(other).title()
+    with pytest.raises(ValueError):
+        pdf.title_of(b"no file")
+
+
+def test_one_map_of_characters_is_read_once(monkeypatch):
+    calls, known = [], pdf.character_map
+    monkeypatch.setattr(pdf, "character_map", lambda raw: calls.append(1) or known(raw))
+    assert pdf.read(pdf.written(["a", "b", "c"]))[0] == ["a", "b", "c"] and len(calls) == 1
+
+
+def test_files_come_in_small_batches(spark):
+    """A task never holds the files, or the pages, of more than a small batch."""
+    content = pdf.written(["x"] * 3)
+    rows = spark.range(3000).coalesce(1).selectExpr("concat('in/', id, '.pdf') AS path").withColumn("content", F.lit(content))
+    seen = files.pages_of(rows, lambda c: ["x"] * 3)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= files.BATCH_FILES
+    assert seen.count() == 9000 and files.titles_of(rows).where("title = 'Untitled'").count() == 3000
